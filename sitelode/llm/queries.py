@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, secrets, shards
+from . import media, quality, secrets, shards
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -28,6 +28,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = shards.interleave(table(spark, sf_dir, "documents"), shards=8)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
@@ -39,6 +43,7 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_quality_rules": op3_quality_rules,
     "op4_stratified_shards": op4_stratified_shards,
     "op5_media_columns": op5_media_columns,
 }
