@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, quality, secrets, shards
+from . import media, packing, piece_model, quality, secrets, shards
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -41,9 +41,19 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op6_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_piece_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_model.encode(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_stratified_shards": op4_stratified_shards,
     "op5_media_columns": op5_media_columns,
+    "op6_bounded_packing": op6_bounded_packing,
+    "op10_piece_model": op10_piece_model,
 }
