@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, piece_model, quality, secrets, shards
+from . import language, media, packing, piece_model, quality, secrets, shards
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -45,6 +45,14 @@ def op6_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (doc_id) and pages (page_id) in one evidence table; each row has one of the two ids."""
+    columns = ["text", "declared", "host", "suffix"]
+    docs = language.document_evidence(table(spark, sf_dir, "documents")).select("doc_id", F.lit(None).cast("long").alias("page_id"), *columns)
+    pages = language.page_evidence(table(spark, sf_dir, "pages")).select(F.lit(None).cast("long").alias("doc_id"), "page_id", *columns)
+    return language.identify(docs.unionByName(pages), ["doc_id", "page_id"])
+
+
 def op10_piece_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_model.encode(table(spark, sf_dir, "documents"))
 
@@ -55,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_stratified_shards": op4_stratified_shards,
     "op5_media_columns": op5_media_columns,
     "op6_bounded_packing": op6_bounded_packing,
+    "op9_language_id": op9_language_id,
     "op10_piece_model": op10_piece_model,
 }
