@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, packing, piece_model, quality, secrets, shards
+from . import language, media, near_dup, packing, piece_model, quality, secrets, shards
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -45,6 +45,10 @@ def op6_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("class_key")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents (doc_id) and pages (page_id) in one evidence table; each row has one of the two ids."""
     columns = ["text", "declared", "host", "suffix"]
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_stratified_shards": op4_stratified_shards,
     "op5_media_columns": op5_media_columns,
     "op6_bounded_packing": op6_bounded_packing,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_language_id": op9_language_id,
     "op10_piece_model": op10_piece_model,
 }
