@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, near_dup, packing, piece_model, quality, secrets, shards
+from . import katz, language, media, near_dup, packing, piece_model, quality, secrets, shards
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
 
+def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    scores, _ = katz.katz(table(spark, sf_dir, "documents"), ~held_out)
+    return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan_versions(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("long")
@@ -62,6 +68,7 @@ def op10_piece_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_katz_backoff": op1_katz_backoff,
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_stratified_shards": op4_stratified_shards,
