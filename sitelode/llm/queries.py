@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import katz, language, media, near_dup, packing, piece_model, quality, secrets, shards
+from . import chat, katz, language, media, near_dup, packing, piece_model, quality, secrets, shards
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -51,6 +51,10 @@ def op6_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("class_key")
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_stratified_shards": op4_stratified_shards,
     "op5_media_columns": op5_media_columns,
     "op6_bounded_packing": op6_bounded_packing,
+    "op7_chat_repair": op7_chat_repair,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_language_id": op9_language_id,
     "op10_piece_model": op10_piece_model,
