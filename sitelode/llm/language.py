@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
+
 from .common import written
 from .words import Words, as_bytes, mix, slices
 
@@ -40,6 +42,7 @@ STRENGTH = 8.0
 TEMPER = 1.5
 KEEP_AT = 0.5
 OTHER = "other"
+_READ = StructType([StructField("n_words", LongType()), StructField("letters", BooleanType()), StructField("evidence", ArrayType(DoubleType()))])
 
 
 @dataclass
@@ -117,7 +120,7 @@ def read_text(rows: DataFrame, model: TextModel, carry: list[str]) -> DataFrame:
     """``carry`` columns, n_words, letters and the text scores of every row."""
     slim = rows.select(*carry, F.col("text").alias("_text"))
     names = [*slim.columns[:-1], "n_words", "letters", "evidence"]
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]), "n_words long", "letters boolean", "evidence array<double>"])
+    shape = StructType([*slim.schema.fields[:-1], *_READ.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,6 +193,12 @@ def document_evidence(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"declared": F.col("lang"), "host": F.col("source"), "suffix": F.lit(None).cast("string")})
 
 
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``identify`` keeps."""
+    whole = document_evidence(docs.select("text", "lang", "source", F.struct(*docs.columns).alias("_row")))
+    return identify(whole, ["_row"]).filter("kept").select("_row.*")
+
+
 def page_evidence(pages: DataFrame) -> DataFrame:
     """Pages declare it in the markup's lang attribute; host and suffix come from the address."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))

@@ -268,4 +268,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = written(ids.join(least, "root").select("key", "component_id"), "named")
     out = rows.join(named, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("_id")).otherwise(F.col("component_id"))
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("_id") == component, component.isNull()).alias("kept"), F.col("key").alias("class_key"))
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("_id") == component, component.isNull()).alias("kept"), F.col("key").alias("class_key"), F.col("_th").alias("text_hash"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: one of each component, and one of repeated rows."""
+    stay = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_stay"))
+    stay = written(stay.distinct(), "stay")
+    hashed = docs.withColumn("_th", F.xxhash64(text_col))
+    kept = hashed.join(stay, (F.col("_th") == F.col("_stay")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates([id_col, "_th"]).drop("_th")

@@ -269,6 +269,22 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     return slim.mapInArrow(run, shape).withColumnRenamed("_id", id_col)
 
 
+def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``score`` keeps."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                words = Words.of(as_bytes(part.column(at)))
+                kept = ~base_failed(counts(words))
+                if model:
+                    kept &= model.probability(Features.of(words)) >= KEEP_AT
+                yield part.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fits on the labelled rows, then scores every document."""
     return score(docs, fit(labelled_features(docs, labels, sample, id_col=id_col, text_col=text_col)), id_col, text_col)

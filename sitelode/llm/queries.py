@@ -56,7 +56,7 @@ def op7_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("class_key")
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("class_key", "text_hash")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
