@@ -275,6 +275,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of ``docs``, with all their columns, that stay: one of each component, and one of repeated rows."""
     stay = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_stay"))
     stay = written(stay.distinct(), "stay")
-    hashed = docs.withColumn("_th", F.xxhash64(text_col))
-    kept = hashed.join(stay, (F.col("_th") == F.col("_stay")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates([id_col, "_th"]).drop("_th")
+    hashed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_own"), F.xxhash64(text_col).alias("_th"))
+    kept = hashed.join(stay, (F.col("_th") == F.col("_stay")) & F.col("_own").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates(["_own", "_th"]).select("_row.*")

@@ -131,7 +131,7 @@ def _rows(sequences: list[tuple[int, list]], base: int, leftover: bool, id_type:
             held.append(data if leftover or keep_ids else None)
             offset += len(ids)
     n = len(held)
-    arrays = [pa.array(cols["_id"], id_type), *(pa.array(cols[k], pa.int64()) for k in PIECES), pa.array(held, pa.binary()), pa.array([leftover] * n), pa.array([base >> 32] * n, pa.int64())]
+    arrays = [pa.array(cols["_id"], id_type), *(pa.array(cols[k], pa.int64()) for k in PIECES), pa.array(held, pa.binary()), pa.array([leftover] * n, pa.bool_()), pa.array([base >> 32] * n, pa.int64())]
     return pa.RecordBatch.from_arrays(arrays, names=["_id", *PIECES, "ids", "leftover", "part"])
 
 

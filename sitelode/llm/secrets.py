@@ -111,17 +111,17 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", kinds: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` with every secret replaced by ``mask``; the other columns stay. The rules' own patterns do the replacing,
     on those texts of which the ledger has findings; matches too short to count stay, as they do in the scan."""
-    text = F.col(text_col)
-    new = written(scan_blobs(docs, text_col=text_col), "ledger").filter(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
-    with_blob = docs.withColumn("_blob", blob_id(F.coalesce(text, F.lit(""))))
-    spans = F.col("_findings") if kinds is None else F.filter("_findings", lambda s: s["kind"].isin(*kinds))
+    new = written(scan_blobs(docs, text_col=text_col), "ledger").filter(F.size("findings") > 0).select(F.col("blob").alias("_found"), "findings")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"), blob_id(F.coalesce(F.col(text_col), F.lit(""))).alias("_blob"))
+    text = F.col("_text")
+    spans = F.col("findings") if kinds is None else F.filter("findings", lambda s: s["kind"].isin(*kinds))
 
     def step(acc: Column, s: Column) -> Column:
         """Overlapping spans of several kinds are covered by one mask."""
-        fresh = s["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"])
+        piece = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), piece.alias("out"))
 
     masked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    kept = [c for c in docs.columns if c != text_col]
-    return with_blob.join(new, "_blob", "left").select(*kept, F.when(F.col("_findings").isNotNull() & text.isNotNull(), masked).otherwise(text).alias(text_col)).select(*docs.columns)
+    clean = F.when(F.col("findings").isNotNull() & text.isNotNull(), masked).otherwise(text)
+    joined_rows = rows.join(new, F.col("_blob") == F.col("_found"), "left")
+    return joined_rows.select(*[clean.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
