@@ -12,7 +12,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Chunks that a worker keeps; beyond this it starts anew.
-MOST = 400_000
+MOST = 600_000
 
 Encode = Callable[[list[bytes]], list[list[int]]]
 
@@ -29,10 +29,11 @@ class ChunkTable:
 
     def rows(self, vocab: list[bytes]) -> np.ndarray:
         """The row of each chunk in this table; encodes those that are new."""
-        if len(self.index) + len(vocab) > self.most:
-            self.forget()
         index = self.index
         new = [x for x in vocab if x not in index]
+        if new and index and len(index) + len(new) > self.most:
+            self.forget()
+            index, new = self.index, vocab
         if new:
             found = self.encode(new)
             sizes = np.fromiter(map(len, found), np.int64, len(found))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable
+from .chunks import MOST, ChunkTable
 from .common import written
 from .words import Words, as_bytes, slices
 
@@ -46,15 +46,75 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class ChunkEncoder:
+    """Encodes chunks without white space.
+
+    Most chunks are letters, with at most one mark of punctuation behind them, which this kind of tokenizer always parts
+    from letters. Letters alone give one run of tokens that ends with the only token with a word end, so many of them are
+    encoded as one text with spaces between and cut apart afterwards. All else is encoded chunk by chunk.
+    """
+
+    MARKS = frozenset(".,;:!?")
+    TOGETHER = 512
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.fromiter(((self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)), bool, size)
+        self.young: dict[str, list[int]] = {}  # what was used lately; the older half is dropped in turn
+        self.old: dict[str, list[int]] = {}
+
+    def __call__(self, chunks: list[bytes]) -> list[list[int]]:
+        parted, wanted = [], {}
+        for chunk in chunks:
+            stem, mark = chunk.decode(), ""
+            if stem[-1] in self.MARKS and stem[:-1].isalpha():
+                stem, mark = stem[:-1], stem[-1]
+            if stem.isascii() and stem.isalpha():
+                stem = stem.lower()  # as the tokenizer does
+            parted.append((stem, mark))
+            wanted[stem] = wanted[mark] = None
+        wanted.pop("", None)
+        found = {"": []}
+        new = []
+        for x in wanted:
+            ids = self.young.get(x)
+            if ids is None and (ids := self.old.get(x)) is None:
+                new.append(x)
+            else:
+                found[x] = ids
+        found |= zip(new, self._encode(new), strict=True)
+        if len(self.young) > MOST // 2:
+            self.old, self.young = self.young, {}
+        self.young.update(found)
+        return [found[stem] + found[mark] for stem, mark in parted]
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        plain = [i for i, x in enumerate(texts) if x.isalpha()]
+        groups = [plain[k : k + self.TOGETHER] for k in range(0, len(plain), self.TOGETHER)]
+        out: list[list[int] | None] = [None] * len(texts)
+        for group, made in zip(groups, self._batch([" ".join([texts[i] for i in g]) for g in groups]), strict=True):
+            ends = np.flatnonzero(self.ends[made]) + 1
+            if len(ends) == len(group):  # else a letter was rewritten to more than a letter
+                for i, a, b in zip(group, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    out[i] = made[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, made in zip(rest, self._batch([texts[i] for i in rest]), strict=True):
+            out[i] = made
+        return out
+
+    def _batch(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def chunk_table(path: str | None = None) -> ChunkTable:
-    """This worker's table for a tokenizer file that parts texts at white space."""
+    """This worker's table for a lower-casing word tokenizer that parts texts at white space."""
     path = path or tokenizer_path()
     if path not in _TABLES:
         os.environ.setdefault("RAYON_NUM_THREADS", "2")
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        _TABLES[path] = ChunkTable(lambda chunks: [x.ids for x in tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)])
+        _TABLES[path] = ChunkTable(ChunkEncoder(path))
     return _TABLES[path]
 
 

@@ -294,6 +294,17 @@ def test_packing_keeps_every_id_once(spark, docs, window, most_open):
     assert sum(got.values()) / (window * len(sequences)) > (0.9 if window < 2048 else 0.5)
 
 
+def test_chunks_give_the_ids_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    odd = ["It's IT'S we'll; a.b,c. x.. .y ?! don\u2019t", "\u0130stanbul \u1e9e\u00df e\u0301 \u212b \ufb01n na\u00efve, \u03a3\u03a3\u03a3", "<|endoftext|> <|ENDOFTEXT|>, 123,456 a1. \u65e5\u672c\u8a9e, \x1c\x85\u2003z", " ".join(t or "" for _, t, *_ in rows())]
+    ids, sizes = packing.encode_texts([x.encode() for x in odd], packing.chunk_table())
+    assert np.split(ids, np.cumsum(sizes)[:-1])[2].tolist() == tokenizer.encode(odd[2], add_special_tokens=False).ids
+    for x, own in zip(odd, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert own.tolist() == tokenizer.encode(x, add_special_tokens=False).ids, x
+
+
 def test_packing_nothing(empty):
     assert packing.pack(empty).collect() == []
 
