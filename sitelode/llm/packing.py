@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .chunks import MOST, ChunkTable
 from .common import written
-from .words import Words, as_bytes, slices
+from .words import TO_LOWER, Words, as_bytes, slices
 
 WINDOW = 2048
 #: Open windows of a partition.
@@ -63,33 +63,28 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.fromiter(((self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)), bool, size)
-        self.young: dict[str, list[int]] = {}  # what was used lately; the older half is dropped in turn
+        self.young: dict[str, list[int]] = {}  # what was used of late; what was not is dropped in turn
         self.old: dict[str, list[int]] = {}
 
     def __call__(self, chunks: list[bytes]) -> list[list[int]]:
-        parted, wanted = [], {}
-        for chunk in chunks:
-            stem, mark = chunk.decode(), ""
-            if stem[-1] in self.MARKS and stem[:-1].isalpha():
-                stem, mark = stem[:-1], stem[-1]
-            if stem.isascii() and stem.isalpha():
-                stem = stem.lower()  # as the tokenizer does
-            parted.append((stem, mark))
-            wanted[stem] = wanted[mark] = None
-        wanted.pop("", None)
-        found = {"": []}
-        new = []
-        for x in wanted:
-            ids = self.young.get(x)
-            if ids is None and (ids := self.old.get(x)) is None:
-                new.append(x)
-            else:
-                found[x] = ids
-        found |= zip(new, self._encode(new), strict=True)
-        if len(self.young) > MOST // 2:
-            self.old, self.young = self.young, {}
-        self.young.update(found)
-        return [found[stem] + found[mark] for stem, mark in parted]
+        marks, stems = self.MARKS, []
+        tails: dict[int, str] = {}
+        for i, stem in enumerate(b" ".join(chunks).decode().split(" ")):
+            if stem[-1] in marks and stem[:-1].isalpha():
+                tails[i] = stem[-1]
+                stem = stem[:-1]
+            stems.append(stem)
+        young, old = self.young, self.old
+        new = [x for x in dict.fromkeys([*stems, *tails.values()]) if x not in young]
+        young.update((x, old[x]) for x in new if x in old)
+        new = [x for x in new if x not in old]
+        young.update(zip(new, self._encode(new), strict=True))
+        out = list(map(young.__getitem__, stems))
+        for i, mark in tails.items():
+            out[i] = out[i] + young[mark]
+        if len(young) > MOST // 2:
+            self.old, self.young = young, {}
+        return out
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         plain = [i for i, x in enumerate(texts) if x.isalpha()]
@@ -119,7 +114,8 @@ def chunk_table(path: str | None = None) -> ChunkTable:
 
 
 def encode_texts(raw: list[bytes], table: ChunkTable) -> tuple[np.ndarray, np.ndarray]:
-    words = Words.of(raw)
+    # ASCII capitals are lower-cased by the tokenizer in any case; a marked special token in capitals is not one
+    words = Words.of([x if b"<|" in x else x.translate(TO_LOWER) for x in raw])
     return table.gather(table.rows(words.vocab)[words.ids] if len(words.vocab) else words.ids, words.counts)
 
 
