@@ -7,9 +7,12 @@ the leading one, 16 bits in all. BANDS groups of consecutive registers are the k
 
 Candidates are verified in two passes, so that a crowd under one key never costs all its pairs:
 
-1. every member of a key is compared with the key's least member, and verified links are joined to components;
-2. keys whose members still lie in several components have all pairs across components estimated from the sketches, in
-   blocks of bounded size, and those that may reach the threshold are verified; then components are joined again.
+1. every member of a key is compared with the key's centre, the member that meets most others over all keys, and
+   verified links are joined to components;
+2. keys whose members still lie in several components are gone through in blocks of bounded size. Members whose sketches
+   come near none of another component drop out. For the others, the shingles that any two of them share are counted:
+   an overlap cannot exceed that count, which rules out all pairs of documents that differ from the crowd by words of
+   their own. What is left is verified, and components are joined again.
 
 Before the exact comparison, the Jaccard estimate from equal registers, corrected for registers that agree by chance at
 the compressed width, drops pairs that are more than five standard errors below the threshold. A pair exactly at the
@@ -185,15 +188,23 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def facing_keys(members: DataFrame) -> DataFrame:
+    """The keys among ``members`` (bucket, size, key, root, sig, n) that may be linked to one of another root."""
+    return _compare(members.withColumn("support", F.col("n")), False).distinct()
+
+
 def cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different roots under one bucket whose estimate may reach the threshold.
+    """Pairs of different roots under one bucket that may be linked; ``members`` have ``support``, a bound on any overlap."""
+    return _compare(members, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    ``members``: bucket, size, key, root, sig, n. Large buckets are cut into blocks by hash, and each pair of blocks is
-    compared on its own, so that no task holds more than two blocks at once."""
+
+def _compare(members: DataFrame, pairs: bool) -> DataFrame:
+    """Large buckets are cut into blocks by hash, and each pair of blocks is compared on its own, so that no task holds
+    more than two blocks at once."""
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     own = members.withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int"))
     spread = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    dealt = spread.select("bucket", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "key", "root", "sig", "n")
+    dealt = spread.select("bucket", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "key", "root", "sig", "n", "support")
     n = parallelism(members.sparkSession)
     ordered = dealt.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "key")
 
@@ -211,29 +222,68 @@ def cross_pairs(members: DataFrame) -> DataFrame:
             yield from compare(held)
 
     def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        if group.num_rows < 2:
-            return
-        keys, roots = group["key"].to_pylist(), group["root"].to_pylist()
+        roots = group["root"].to_pylist()
         number = {x: i for i, x in enumerate(dict.fromkeys(roots))}
-        root = np.array([number[x] for x in roots])
         if len(number) < 2:
             return
+        keys, root = group["key"].to_pylist(), np.array([number[x] for x in roots])
         sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        size, own, lone = group["n"].to_numpy(), group["_own"].to_numpy(), group["i"][0].as_py() == group["j"][0].as_py()
-        a, b = [], []
-        for i in range(group.num_rows - 1):
-            rest = np.arange(i + 1, group.num_rows)
-            rest = rest[(root[rest] != root[i]) & (100 * np.minimum(size[rest], size[i]) >= PERCENT * np.maximum(size[rest], size[i]))]
+        size, support, own = (group[c].to_numpy() for c in ("n", "support", "_own"))
+        lone = group["i"][0].as_py() == group["j"][0].as_py()
+        a, b, met = [], [], np.zeros(len(keys), bool)
+        for i in range(len(keys) - 1):
+            rest = np.arange(i + 1, len(keys))
+            # linked sets of n and m members share at least 3 / 7 of n + m
+            enough = (100 + PERCENT) * np.minimum(support[rest], support[i]) >= PERCENT * (size[rest] + size[i])
+            rest = rest[(root[rest] != root[i]) & enough & (100 * np.minimum(size[rest], size[i]) >= PERCENT * np.maximum(size[rest], size[i]))]
             if not lone:
                 rest = rest[own[rest] != own[i]]
             if len(rest):
                 rest = rest[estimate((sig[rest] == sig[i]).sum(1), size[rest], np.full(len(rest), size[i])) >= lowest_estimate()]
-                a += [keys[i]] * len(rest)
-                b += [keys[k] for k in rest]
-        if a:
+            if len(rest):
+                met[rest] = met[i] = True
+                if pairs:
+                    a += [keys[i]] * len(rest)
+                    b += [keys[k] for k in rest]
+        if pairs and a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        elif not pairs and met.any():
+            yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in np.flatnonzero(met)], pa.binary())], names=["key"])
+
+    return ordered.mapInArrow(run, "a binary, b binary" if pairs else "key binary")
+
+
+def support(texts: DataFrame) -> DataFrame:
+    """(ref, support): the shingles of each class that another class of ``texts`` has too. ``ref`` is a hash of the key;
+    classes that share one get the sum, which is a bound all the same.
+
+    Shingles go to ranges of the hash space as arrays; each range answers with one count for each class and batch."""
+    ranges = 4 * parallelism(texts.sparkSession)
+    slim = texts.select(F.xxhash64("key").alias("ref"), "_text")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                hashes, sizes = shingles(Words.of(as_bytes(part.column(1)), lower=True))
+                ends = np.cumsum(sizes)
+                sets = [np.unique(hashes[e - s : e]) for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                ref = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
+                values = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+                order = np.argsort(values)
+                ref, values = ref[order], values[order]
+                edges = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
+                at = np.concatenate(([0], np.searchsorted(values, edges), [len(values)])).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (ref, values.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(ranges, dtype=np.int32)), *lists], names=["range", "refs", "shingles"])
+
+    def answer(rows: pa.Table) -> pa.Table:
+        refs, values = (rows[c].combine_chunks().flatten().to_numpy() for c in ("refs", "shingles"))
+        _, place, count = np.unique(values, return_inverse=True, return_counts=True)
+        found, n = np.unique(refs[count[place] > 1], return_counts=True)
+        return pa.table([pa.array(found), pa.array(n)], names=["ref", "n"])
 
-    return ordered.mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    asked = slim.mapInArrow(ask, "range int, refs array<long>, shingles array<long>")
+    return asked.groupBy("range").applyInArrow(answer, "ref long, n long").groupBy("ref").agg(F.sum("n").alias("support"))
 
 
 # -- the operator ---------------------------------------------------------------------------------------------------------
@@ -244,11 +294,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(sketch(docs, id_col, text_col), "sketches")
     classes = written(rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("_id").alias("least_id"), F.min(F.struct("_id", "_th")).alias("rep"), F.min("sig").alias("sig"), F.min("n").alias("n")), "classes")
     banded = band_keys(classes)
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("least")).filter("size > 1")
-    crowds = written(shared, "crowds")
-    members = written(banded.join(crowds, "bucket").select("bucket", "size", "least", "key"), "members")
-    first = members.filter(F.col("key") != F.col("least")).select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
-    pairs = written(first, "pairs")
+    crowds = written(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "crowds")
+    members = written(banded.join(crowds, "bucket").select("bucket", "size", "key"), "members")
+    meets = written(members.groupBy("key").agg(F.sum("size").alias("meets")), "meets")
+    centres = members.join(meets, "key").groupBy("bucket").agg(F.max(F.struct("meets", "key"))["key"].alias("centre"))
+    centred = members.join(written(centres, "centres"), "bucket").filter(F.col("key") != F.col("centre"))
+    pairs = written(centred.select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
     needed = members.select("key").distinct().join(classes, "key")
     wanted = needed.select("key", F.col("rep._id").alias("_rid"), F.col("rep._th").alias("_th"), "sig", "n")
     source = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
@@ -259,7 +310,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = written(members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "size", "key", F.coalesce("root", "key").alias("root")), "placed")
     mixed = written(placed.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low != _high").select("bucket"), "mixed")
     facing = placed.join(mixed, "bucket").join(classes.select("key", "sig", "n"), "key")
-    more = written(verify(written(cross_pairs(facing), "cross"), texts), "more")
+    near = written(facing_keys(facing), "near")
+    bounds = written(support(texts.join(near, "key").select("key", "_text")), "support")
+    bounded = near.withColumn("ref", F.xxhash64("key")).join(bounds, "ref").select("key", "support")
+    more = written(verify(written(cross_pairs(facing.join(written(bounded, "bounded"), "key")), "cross"), texts), "more")
     if not more.isEmpty():
         roots = written(components(links.unionByName(more)), "roots")
     ids = classes.select("key", "least_id").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least_id", F.coalesce("root", "key").alias("root"))
