@@ -1,10 +1,577 @@
-"""Named queries of the engine and their DuckDB counterparts."""
+"""Named queries of the engine over the stand-in facts, and their DuckDB counterparts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .functions import classify, dates, keys, measures, text
+from .operators import blend, compare, coverage, graph, jobs, links, merge, topics
+from .plans.search_report import GRAINS, Filter, SearchReport, monthly_summary
+from .sources import access_log, providers
+from .standins import fact, oracle_with, table
+from .streaming import events as event_stream
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+SITE = "https://site.example"
+START, END = date(1996, 1, 15), date(1996, 9, 20)
+DAYS = f"date BETWEEN DATE '{START}' AND DATE '{END}'"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def facts(spark: SparkSession, sf: str, *names: str) -> dict[str, DataFrame]:
+    return {n: fact(spark, sf, n) for n in names}
+
+
+# Columns that many reports share, as SQL.
+SUMS = "CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions"
+CTR = "round(CASE WHEN SUM(impressions) > 0 THEN CAST(SUM(clicks) AS DOUBLE) / SUM(impressions) ELSE 0 END, 6) AS ctr"
+POSITION = "round(CASE WHEN SUM(impressions) > 0 THEN SUM(position * impressions) / SUM(impressions) ELSE 0 END, 6) AS position"
+BOUNCE = "round(CASE WHEN SUM(sessions) > 0 THEN SUM(bounce_rate * sessions) / SUM(sessions) ELSE 0 END, 6) AS bounce_rate"
+
+# -- R1: the search report ------------------------------------------------------------------------------------------------
+
+
+def search(report: SearchReport) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return rounded(report.page(facts(spark, sf, report.grain)), "ctr", "position")
+
+    return run
+
+
+query("r1_search_report", oracle_with("query_daily") + f"SELECT query, {SUMS}, {CTR}, {POSITION} FROM query_daily WHERE {DAYS} AND query LIKE '%1%' AND query NOT LIKE '%15%' AND query <> '' GROUP BY query ORDER BY 2 DESC, 3 DESC, 1 LIMIT 10")(
+    search(SearchReport(START, END, ("query",), (Filter("query", "contains", "1"), Filter("query", "notContains", "15"), Filter("query", "like", "ignored")), limit=10))
+)
+query("r1_by_date", oracle_with("site_daily") + f"SELECT date, {SUMS}, {CTR}, {POSITION}, CAST(SUM(query_count) AS BIGINT) AS query_days FROM site_daily WHERE {DAYS} GROUP BY date ORDER BY date LIMIT 100 OFFSET 20")(
+    search(SearchReport(START, END, ("date",), limit=100, offset=20))
+)
+query("r1_total", oracle_with("site_daily") + f"SELECT {SUMS}, {CTR}, {POSITION}, CAST(SUM(query_count) AS BIGINT) AS query_days FROM site_daily WHERE {DAYS}")(search(SearchReport(START, END)))
+query("r1_by_page", oracle_with("page_daily") + f"SELECT page_key, {SUMS}, {CTR}, {POSITION}, CAST(SUM(query_count) AS BIGINT) AS query_days FROM page_daily WHERE {DAYS} AND page_key <> '' GROUP BY page_key ORDER BY 2 DESC, 3 DESC, 1 LIMIT 30")(
+    search(SearchReport(START, END, ("page",), limit=30))
+)
+query("r1_by_date_and_page", oracle_with("page_daily") + f"SELECT date, page_key, {SUMS}, {CTR}, {POSITION}, CAST(SUM(query_count) AS BIGINT) AS query_days FROM page_daily WHERE {DAYS} AND page_key <> '' GROUP BY 1, 2 ORDER BY date, page_key LIMIT 500")(
+    search(SearchReport(START, END, ("date", "page"), limit=500))
+)
+query("r1_by_page_of_queries", oracle_with("page_query_daily") + f"SELECT page_key, {SUMS}, {CTR}, {POSITION}, COUNT(DISTINCT NULLIF(query, '')) AS query_count FROM page_query_daily WHERE {DAYS} AND page_key <> '' AND query <> '' AND contains(query, '7') GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 50")(
+    search(SearchReport(START, END, ("page",), (Filter("query", "contains", "7"),), limit=50))
+)
+query("r1_queries_of_page", oracle_with("page_query_daily") + f"SELECT query, {SUMS}, {CTR}, {POSITION} FROM page_query_daily WHERE {DAYS} AND page_key = '/s1/p1' AND query <> '' GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 1000")(
+    search(SearchReport(START, END, ("query",), (Filter("page", "equals", "https://site.example//s1/p1/?utm=1#top"),)))
+)
+query("r1_by_page_and_query", oracle_with("page_query_daily") + f"SELECT page_key, query, {SUMS}, {CTR}, {POSITION} FROM page_query_daily WHERE {DAYS} AND page_key <> '' AND query <> '' GROUP BY 1, 2 ORDER BY 3 DESC, 4 DESC, 1, 2 LIMIT 100")(
+    search(SearchReport(START, END, ("page", "query"), limit=100))
+)
+query("r1_by_country", oracle_with("country_daily") + f"SELECT country, {SUMS}, {CTR}, {POSITION} FROM country_daily WHERE {DAYS} AND country <> '' GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1")(search(SearchReport(START, END, ("country",))))
+
+# -- C2: monthly summaries ------------------------------------------------------------------------------------------------
+
+
+@query("c2_monthly_summary", oracle_with("page_daily") + "SELECT CAST(date_trunc('month', date) AS DATE) AS month_start, page_key, CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions, round(SUM(position * impressions), 3) AS position_sum, CAST(SUM(query_count) AS BIGINT) AS query_days FROM page_daily WHERE page_key <> '' GROUP BY 1, 2")
+def c2_monthly_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(monthly_summary(fact(spark, sf, "page_daily")), "position_sum", digits=3)
+
+
+def rewritten(grain: str, dimensions: tuple[str, ...]) -> Query:
+    """The report through months and edges; its SQL counterpart reads days only."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        daily = facts(spark, sf, grain)
+        report = SearchReport(START, END, dimensions)
+        assert report.grain == grain
+        return rounded(report.page(daily, {grain: monthly_summary(daily[grain])}), "ctr", "position")
+
+    return run
+
+
+for _grain in GRAINS:
+    _key = {"page_daily": "page_key", "query_daily": "query", "country_daily": "country", "page_query_daily": "page_key, query", "site_daily": ""}[_grain]
+    _days = ", CAST(SUM(query_count) AS BIGINT) AS query_days" if _grain in ("site_daily", "page_daily") else ""
+    _group = f" GROUP BY {_key} ORDER BY clicks DESC, impressions DESC, {_key} LIMIT 1000" if _key else ""
+    query(f"c2_rewrite_{_grain}", oracle_with(_grain) + f"SELECT {_key + ', ' if _key else ''}{SUMS}, {CTR}, {POSITION}{_days} FROM {_grain} WHERE {DAYS}{_group}")(
+        rewritten(_grain, tuple({"page_key": "page"}.get(k, k) for k in _key.split(", ") if k))
+    )
+
+# -- C3: traffic reports --------------------------------------------------------------------------------------------------
+
+
+@query("r5_traffic_pages", oracle_with("traffic_page_daily") + f"SELECT page_key, CAST(SUM(sessions) AS BIGINT) AS sessions, CAST(SUM(total_users) AS BIGINT) AS total_users, CAST(SUM(page_views) AS BIGINT) AS page_views, CAST(SUM(event_count) AS BIGINT) AS event_count, {BOUNCE} FROM traffic_page_daily WHERE page_key <> '' GROUP BY 1 ORDER BY sessions DESC, page_key LIMIT 40")
+def r5_traffic_pages(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fact(spark, sf, "traffic_page_daily").filter("page_key <> ''")
+    total = rows.groupBy("page_key").agg(*[F.sum(c).alias(c) for c in ("sessions", "total_users", "page_views", "event_count")], measures.weighted_mean(F.col("bounce_rate"), F.col("sessions")).alias("bounce_rate"))
+    return rounded(total, "bounce_rate").orderBy(F.desc("sessions"), "page_key").limit(40)
+
+
+@query("r6_traffic_dimension", oracle_with("traffic_dimension_daily") + f"SELECT dimension, dimension_value, CAST(SUM(sessions) AS BIGINT) AS sessions, CAST(SUM(page_views) AS BIGINT) AS page_views, {BOUNCE}, round(AVG(bounce_rate), 6) AS avg_daily_bounce FROM traffic_dimension_daily WHERE dimension_value <> '' GROUP BY 1, 2")
+def r6_traffic_dimension(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fact(spark, sf, "traffic_dimension_daily").filter("dimension_value <> ''")
+    total = rows.groupBy("dimension", "dimension_value").agg(F.sum("sessions").alias("sessions"), F.sum("page_views").alias("page_views"), measures.weighted_mean(F.col("bounce_rate"), F.col("sessions")).alias("bounce_rate"), F.avg("bounce_rate").alias("avg_daily_bounce"))
+    return rounded(total, "bounce_rate", "avg_daily_bounce")
+
+
+_CLASS = "CASE WHEN lower(source) LIKE '%chatgpt%' THEN 'ChatGPT' WHEN lower(source) LIKE '%claude%' THEN 'Claude' WHEN lower(source) LIKE '%perplexity%' THEN 'Perplexity' WHEN lower(source) LIKE '%copilot%' THEN 'Copilot' WHEN lower(source) LIKE '%gemini%' THEN 'Gemini' ELSE source END"
+
+
+@query("r7_assistant_referrals", oracle_with("llm_referral_daily") + f"SELECT {_CLASS} AS source_class, page_key, CAST(SUM(sessions) AS BIGINT) AS sessions, CAST(SUM(engaged_sessions) AS BIGINT) AS engaged_sessions, round(SUM(key_events), 6) AS key_events, round(SUM(average_session_duration * sessions) / SUM(sessions), 6) AS duration FROM llm_referral_daily WHERE source <> '' GROUP BY 1, 2")
+def r7_assistant_referrals(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fact(spark, sf, "llm_referral_daily").filter("source <> ''").withColumn("source_class", classify.assistant_source(F.col("source")))
+    total = rows.groupBy("source_class", "page_key").agg(F.sum("sessions").alias("sessions"), F.sum("engaged_sessions").alias("engaged_sessions"), F.sum("key_events").alias("key_events"), measures.weighted_mean(F.col("average_session_duration"), F.col("sessions")).alias("duration"))
+    return rounded(total, "key_events", "duration")
+
+
+# -- C4: blend and reconciliation -----------------------------------------------------------------------------------------
+
+_KEY = "CASE WHEN k = '/' THEN k ELSE regexp_replace(k, '/$', '') END"
+_PATH = "regexp_replace('/' || regexp_replace(regexp_replace(trim(coalesce({c}, '')), '^[A-Za-z][A-Za-z0-9+.\\-]*:(//[^/?#]*)?', ''), '[?#].*$', ''), '/+', '/', 'g')"
+
+
+def _key_sql(column: str) -> str:
+    path = _PATH.format(c=column)
+    return f"(CASE WHEN {path} = '/' THEN '/' ELSE regexp_replace({path}, '/$', '') END)"
+
+
+_BLEND = (
+    oracle_with("page_query_daily", "traffic_page_daily", "crawl_pages", "crawl_links")
+    + f""", s AS (SELECT page_key, CAST(SUM(clicks) AS BIGINT) clicks, CAST(SUM(impressions) AS BIGINT) impressions, SUM(position * impressions) / SUM(impressions) AS position, COUNT(DISTINCT query) query_count FROM page_query_daily WHERE page_key <> '' GROUP BY 1),
+    t AS (SELECT page_key, CAST(SUM(sessions) AS BIGINT) sessions, CAST(SUM(page_views) AS BIGINT) page_views, SUM(bounce_rate * sessions) / SUM(sessions) AS bounce_rate FROM traffic_page_daily WHERE page_key <> '' GROUP BY 1),
+    k AS (SELECT *, {_key_sql('url')} AS raw_key, CASE WHEN canonical_url LIKE 'https://site.example/%' THEN {_key_sql('canonical_url')} ELSE {_key_sql('url')} END AS resolved_key FROM crawl_pages),
+    i AS (SELECT to_key, COUNT(*) inbound FROM crawl_links WHERE from_key <> to_key GROUP BY 1),
+    ki AS (SELECT k.*, coalesce(inbound, 0) inbound FROM k LEFT JOIN i ON raw_key = to_key),
+    best AS (SELECT *, SUM(CASE WHEN raw_key <> resolved_key THEN 1 ELSE 0 END) OVER (PARTITION BY resolved_key) variants, row_number() OVER (PARTITION BY resolved_key ORDER BY raw_key = resolved_key DESC, url, crawl_order) rn FROM ki),
+    main AS (SELECT resolved_key AS page_key, status_code, noindex, title, meta_description, h1_count, inbound, variants FROM best WHERE rn = 1),
+    moved AS (SELECT raw_key AS page_key, status_code, noindex, title, meta_description, h1_count, inbound, 1 AS variants FROM (SELECT *, row_number() OVER (PARTITION BY raw_key ORDER BY url, crawl_order) rn FROM ki WHERE raw_key <> resolved_key) WHERE rn = 1 AND raw_key IN (SELECT page_key FROM t) AND raw_key NOT IN (SELECT page_key FROM main)),
+    c AS (SELECT * FROM main UNION ALL SELECT * FROM moved),
+    j AS (SELECT coalesce(s.page_key, t.page_key, c.page_key) AS page_key, s.page_key IS NOT NULL has_search, t.page_key IS NOT NULL has_traffic, c.page_key IS NOT NULL has_crawl, coalesce(clicks, 0) clicks, coalesce(impressions, 0) impressions, coalesce(position, 0) position, coalesce(query_count, 0) query_count,
+      coalesce(sessions, 0) sessions, coalesce(page_views, 0) page_views, coalesce(bounce_rate, 0) bounce_rate, status_code, coalesce(noindex, false) noindex, title, meta_description, coalesce(h1_count, 0) h1_count, coalesce(inbound, 0) inbound, CAST(coalesce(variants, 0) AS BIGINT) canonical_variants
+      FROM s FULL JOIN t ON s.page_key = t.page_key FULL JOIN c ON coalesce(s.page_key, t.page_key) = c.page_key),
+    b AS (SELECT *, CASE WHEN impressions > 0 THEN CAST(clicks AS DOUBLE) / impressions ELSE 0 END ctr, CASE WHEN coalesce(split_part(page_key, '/', 2), '') = '' THEN '/' ELSE '/' || split_part(page_key, '/', 2) END folder,
+      coalesce(status_code > 0 AND status_code <> 200, false) crawl_error, has_crawl AND (trim(coalesce(title, '')) = '' OR trim(coalesce(meta_description, '')) = '' OR h1_count <> 1) metadata_gap, (impressions >= 100 OR clicks > 0 OR sessions >= 20) demand FROM j),
+    r AS (SELECT *, (NOT has_crawl OR crawl_error OR metadata_gap OR noindex OR canonical_variants > 0) crawl_issue, CASE
+      WHEN NOT has_crawl AND (has_search OR has_traffic) THEN 'Find in crawl' WHEN has_crawl AND crawl_error THEN 'Fix crawl error' WHEN has_crawl AND noindex AND (has_search OR has_traffic) THEN 'Resolve noindex conflict'
+      WHEN has_crawl AND canonical_variants > 0 THEN 'Resolve canonical mismatch' WHEN metadata_gap AND (impressions >= 100 OR sessions >= 20) THEN 'Fix page metadata' WHEN impressions >= 500 AND ctr < 0.02 THEN 'Improve CTR'
+      WHEN has_crawl AND impressions >= 250 AND inbound <= 2 THEN 'Add internal links' WHEN clicks >= 20 AND sessions >= 20 AND bounce_rate >= 0.7 THEN 'Improve engagement' WHEN sessions >= 25 AND impressions < 250 THEN 'Build search visibility'
+      WHEN has_search AND NOT has_traffic THEN 'Check analytics match' WHEN (has_traffic OR has_crawl) AND NOT has_search THEN 'Review search coverage' ELSE 'No priority issue' END insight FROM b),
+    v AS (SELECT *, CASE WHEN insight IN ('Find in crawl', 'Fix crawl error', 'Resolve canonical mismatch') THEN CASE WHEN demand THEN 'high' ELSE 'medium' END WHEN insight = 'Resolve noindex conflict' THEN CASE WHEN impressions >= 100 OR clicks > 0 THEN 'high' ELSE 'medium' END
+      WHEN insight IN ('Fix page metadata', 'Improve CTR', 'Add internal links', 'Improve engagement') THEN 'medium' WHEN insight = 'No priority issue' THEN 'none' ELSE 'low' END severity FROM r) """
+)
+
+
+def _blended(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    traffic = blend.traffic_pages(fact(spark, sf, "traffic_page_daily"))
+    crawl = blend.crawl_evidence(fact(spark, sf, "crawl_pages"), traffic, graph.inbound(fact(spark, sf, "crawl_links")), SITE)
+    return blend.search_pages(fact(spark, sf, "page_query_daily")), traffic, crawl
+
+
+@query("r11_blend", _BLEND + "SELECT page_key, has_search, has_traffic, has_crawl, clicks, impressions, round(position, 6) AS position, query_count, sessions, page_views, round(bounce_rate, 6) AS bounce_rate, canonical_variants, inbound, folder, crawl_issue, insight, severity FROM v")
+def r11_blend(spark: SparkSession, sf: str) -> DataFrame:
+    rows = blend.blend(*_blended(spark, sf))
+    shown = rows.select("page_key", "has_search", "has_traffic", "has_crawl", "clicks", "impressions", "position", "query_count", "sessions", "page_views", "bounce_rate", "canonical_variants", "inbound", "folder", "crawl_issue", "insight", "severity")
+    return rounded(shown, "position", "bounce_rate")
+
+
+@query("r11_totals", _BLEND + "SELECT COUNT(*) AS pages, CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions, CAST(SUM(sessions) AS BIGINT) AS sessions, round(CAST(SUM(clicks) AS DOUBLE) / SUM(impressions), 6) AS ctr, round(SUM(position * impressions) / SUM(impressions), 6) AS position, round(SUM(bounce_rate * sessions) / SUM(sessions), 6) AS bounce_rate, count_if(has_search)::BIGINT AS search_pages, count_if(has_traffic)::BIGINT AS traffic_pages, count_if(has_crawl)::BIGINT AS crawl_pages, count_if(crawl_issue)::BIGINT AS issue_pages FROM v")
+def r11_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(blend.blend_totals(blend.blend(*_blended(spark, sf))), "ctr", "position", "bounce_rate")
+
+
+@query("r11_folders", _BLEND + "SELECT folder, COUNT(*) AS pages, CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(sessions) AS BIGINT) AS sessions FROM v GROUP BY 1 ORDER BY 3 DESC, 4 DESC, 1 LIMIT 6")
+def r11_folders(spark: SparkSession, sf: str) -> DataFrame:
+    return blend.top_folders(blend.blend(*_blended(spark, sf)))
+
+
+@query("r11_opportunities", _BLEND + ", w AS (SELECT page_key, insight, severity, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END weight, impressions, sessions FROM v) SELECT page_key, insight, severity FROM w WHERE weight > 0 ORDER BY weight DESC, impressions DESC, sessions DESC, page_key LIMIT 4")
+def r11_opportunities(spark: SparkSession, sf: str) -> DataFrame:
+    return blend.top_opportunities(blend.blend(*_blended(spark, sf))).select("page_key", "insight", "severity")
+
+
+@query(
+    "r12_reconciliation",
+    _BLEND
+    + """, f AS (SELECT *, [CASE WHEN (has_search OR has_traffic) AND NOT has_crawl THEN 'missing_in_crawl' END, CASE WHEN (has_traffic OR has_crawl) AND NOT has_search THEN 'missing_in_search' END, CASE WHEN (has_search OR has_crawl) AND NOT has_traffic THEN 'missing_in_traffic' END,
+      CASE WHEN has_crawl AND (status_code IS NULL OR status_code >= 400) THEN 'crawl_error' END, CASE WHEN noindex THEN 'noindex' END, CASE WHEN canonical_variants > 0 THEN 'canonical_mismatch' END, CASE WHEN impressions >= 100 AND clicks = 0 THEN 'impressions_without_clicks' END] AS listed FROM v),
+    g AS (SELECT *, list_filter(listed, lambda x: x IS NOT NULL) fl FROM f)
+    SELECT page_key, has_search, has_traffic, has_crawl, clicks, impressions, sessions, coalesce(array_to_string(fl, ','), '') AS flags, CASE WHEN len(fl) = 0 THEN 'matched' ELSE 'flagged' END AS status, len(fl) * 1e9 + impressions * 100.0 + clicks * 10.0 + sessions AS score FROM g""",
+)
+def r12_reconciliation(spark: SparkSession, sf: str) -> DataFrame:
+    return blend.reconcile(*_blended(spark, sf))
+
+
+# -- keys and text --------------------------------------------------------------------------------------------------------
+
+
+@query("f1_page_keys", f"SELECT page_id, {_key_sql('url')} AS page_key, CASE WHEN coalesce(split_part({_key_sql('url')}, '/', 2), '') = '' THEN '/' ELSE '/' || split_part({_key_sql('url')}, '/', 2) END AS folder, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\\.', '') AS host, regexp_replace(regexp_replace(trim(url), '[?#].*$', ''), '/+$', '') || '/' AS grid, lower(regexp_replace(regexp_replace(trim(url), '[#?].*$', ''), '/+$', '')) AS compared FROM pages")
+def f1_page_keys(spark: SparkSession, sf: str) -> DataFrame:
+    key = keys.page_key(F.col("url"))
+    return table(spark, sf, "pages").select("page_id", key.alias("page_key"), keys.folder(key).alias("folder"), keys.host_of(F.col("url")).alias("host"), keys.grid_url(F.col("url")).alias("grid"), keys.compared_url(F.col("url")).alias("compared"))
+
+
+@query("f6_url_families")
+def f6_url_families(spark: SparkSession, sf: str) -> DataFrame:
+    shape = keys.url_skeleton(F.col("url"))
+    return table(spark, sf, "pages").select(shape.alias("s")).groupBy(F.col("s.family").alias("family"), F.col("s.hash").alias("hash")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query("f10_text_hashes", "SELECT doc_id, sha1(lower(text)) AS block_hash, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS cache_hash, CAST(ceil(len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) * 1.35) AS BIGINT) AS approximate_tokens FROM documents")
+def f10_text_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", text.block_hash(t).alias("block_hash"), text.cache_hash(t).alias("cache_hash"), text.approximate_tokens(t).alias("approximate_tokens"))
+
+
+@query("f12_sentences")
+def f12_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """First of equal sentences in a document."""
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("place", "sentence")).withColumn("hash", text.block_hash(F.col("sentence")))
+    return merge.latest(rows, ["doc_id", "hash"], F.col("place").asc())
+
+
+@query("k3_query_intent", oracle_with("query_daily") + "SELECT DISTINCT query, 'informational' AS intent, false AS question FROM query_daily")
+def k3_query_intent(spark: SparkSession, sf: str) -> DataFrame:
+    q = F.col("query")
+    return fact(spark, sf, "query_daily").select("query").distinct().select("query", F.lower(classify.query_intent(q, SITE)).alias("intent"), classify.is_question(q).alias("question"))
+
+
+# -- C5: coverage ---------------------------------------------------------------------------------------------------------
+
+_SPAN = "DATE '2024-01-01' AND DATE '2024-02-05'"
+
+
+def _event_days(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").filter("user_id % 97 = 3").select(F.to_date("ts").alias("date"))
+
+
+def _ledger(spark: SparkSession) -> DataFrame:
+    return spark.sql("SELECT date_add(DATE '2024-01-01', CAST(id * 5 AS INT)) AS date, CASE WHEN id % 3 = 0 THEN 'zero' WHEN id % 3 = 1 THEN 'error' ELSE 'partial' END AS status FROM range(6)")
+
+
+_DAYS = f"""WITH d AS (SELECT CAST(range AS DATE) AS date FROM range(DATE '2024-01-01', DATE '2024-02-06', INTERVAL 1 DAY)), l AS (SELECT DATE '2024-01-01' + CAST(i * 5 AS INT) AS date, CASE WHEN i % 3 = 0 THEN 'zero' WHEN i % 3 = 1 THEN 'error' ELSE 'partial' END AS status FROM range(6) r(i)),
+    s AS (SELECT CAST(ts AS DATE) AS date, COUNT(*) n FROM events WHERE user_id % 97 = 3 GROUP BY 1), c AS (SELECT d.date, CASE WHEN l.status IN ('zero', 'partial') THEN l.status WHEN n >= 1 THEN 'complete' WHEN l.status = 'error' THEN 'error' ELSE 'missing' END AS status FROM d LEFT JOIN l USING (date) LEFT JOIN s USING (date)) """
+
+
+def _days(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.day_status(_ledger(spark), _event_days(spark, sf), date(2024, 1, 1), date(2024, 2, 5))
+
+
+@query("r8_coverage_days", _DAYS + "SELECT * FROM c")
+def r8_coverage_days(spark: SparkSession, sf: str) -> DataFrame:
+    return _days(spark, sf)
+
+
+@query("r8_coverage", _DAYS + "SELECT COUNT(*) AS expected, count_if(status IN ('complete', 'partial', 'zero'))::BIGINT AS covered, count_if(status = 'error')::BIGINT AS errors, round(count_if(status IN ('complete', 'partial', 'zero')) / CAST(COUNT(*) AS DOUBLE), 6) AS ratio, coalesce(array_to_string(list_slice(list(CAST(date AS VARCHAR) ORDER BY date) FILTER (status NOT IN ('complete', 'partial', 'zero')), 1, 31), ','), '') AS missing FROM c")
+def r8_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(coverage.summary(_days(spark, sf)), "ratio").withColumn("missing", F.array_join(F.transform("missing_dates", lambda x: x.cast("string")), ",")).drop("missing_dates")
+
+
+@query("r10_missing_chunks", _DAYS + ", m AS (SELECT date, CAST(floor((row_number() OVER (ORDER BY date) - 1) / 4) AS BIGINT) AS chunk FROM c WHERE status NOT IN ('complete', 'partial', 'zero')) SELECT chunk, MIN(date) AS start, MAX(date) AS \"end\", COUNT(*) AS days FROM m GROUP BY 1")
+def r10_missing_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.missing_chunks(_days(spark, sf), 4)
+
+
+@query("c5_islands", "WITH d AS (SELECT DISTINCT user_id % 40 AS k, CAST(ts AS DATE) AS date FROM events WHERE value > 60), r AS (SELECT *, date - CAST(row_number() OVER (PARTITION BY k ORDER BY date) AS INT) AS run FROM d) SELECT k, MIN(date) AS start, MAX(date) AS \"end\", COUNT(*) AS days FROM r GROUP BY k, run")
+def c5_islands(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.islands(table(spark, sf, "events").filter("value > 60").select((F.col("user_id") % 40).alias("k"), F.to_date("ts").alias("date")), ["k"])
+
+
+@query("c5_gaps", "WITH d AS (SELECT DISTINCT user_id % 40 AS k, CAST(ts AS DATE) AS date FROM events WHERE value > 60), n AS (SELECT *, lead(date) OVER (PARTITION BY k ORDER BY date) AS nx FROM d) SELECT k, date + 1 AS start, nx - 1 AS \"end\" FROM n WHERE nx - date > 1")
+def c5_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    days = table(spark, sf, "events").filter("value > 60").select((F.col("user_id") % 40).alias("k"), F.to_date("ts").alias("date")).distinct()
+    return coverage.gaps(days, ["k"])
+
+
+@query("r9_site_status", oracle_with("jobs") + "SELECT site, COUNT(*) AS jobs, count_if(status = 'queued')::BIGINT AS queued, count_if(status = 'running')::BIGINT AS running, MIN(CAST(created_at AS DATE)) AS first_day, MAX(CAST(created_at AS DATE)) AS last_day, COUNT(DISTINCT CAST(created_at AS DATE)) AS days FROM jobs GROUP BY 1")
+def r9_site_status(spark: SparkSession, sf: str) -> DataFrame:
+    day = F.to_date("created_at")
+    return fact(spark, sf, "jobs").groupBy("site").agg(F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("status") == "queued").alias("queued"), F.count_if(F.col("status") == "running").alias("running"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count_distinct(day).alias("days"))
+
+
+# -- comparison -----------------------------------------------------------------------------------------------------------
+
+_NOW, _THEN = (date(1996, 3, 1), date(1996, 3, 31)), (date(1996, 2, 1), date(1996, 2, 29))
+
+
+def _periods(spark: SparkSession, sf: str, name: str, *group: str) -> tuple[DataFrame, DataFrame]:
+    total = lambda a, b: fact(spark, sf, name).filter(F.col("date").between(a, b)).groupBy(*group).agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
+    return total(*_NOW), total(*_THEN)
+
+
+def _two(name: str, group: str) -> str:
+    one = lambda n, p: f"{n} AS (SELECT {group}, CAST(SUM(clicks) AS BIGINT) clicks, CAST(SUM(impressions) AS BIGINT) impressions FROM {name} WHERE date BETWEEN DATE '{p[0]}' AND DATE '{p[1]}' GROUP BY {group})"
+    return oracle_with(name) + f", {one('a', _NOW)}, {one('b', _THEN)} "
+
+
+_BOTH = "coalesce(a.clicks, 0) AS clicks, coalesce(a.impressions, 0) AS impressions, coalesce(b.clicks, 0) AS previous_clicks, coalesce(b.impressions, 0) AS previous_impressions"
+
+
+@query("j14_compare_queries", _two("query_daily", "query") + f"SELECT a.query, {_BOTH} FROM a LEFT JOIN b USING (query)")
+def j14_compare_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.by_key(*_periods(spark, sf, "query_daily", "query"), ["query"], ["clicks", "impressions"])
+
+
+@query("j17_compare_pages", _two("page_daily", "page_key") + f"SELECT coalesce(a.page_key, b.page_key) AS page_key, {_BOTH} FROM a FULL JOIN b ON a.page_key = b.page_key")
+def j17_compare_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.by_key(*_periods(spark, sf, "page_daily", "page_key"), ["page_key"], ["clicks", "impressions"], "full_outer")
+
+
+@query("j15_compare_by_place", _two("site_daily", "date") + ", x AS (SELECT *, row_number() OVER (ORDER BY date) n FROM a), y AS (SELECT *, row_number() OVER (ORDER BY date) n FROM b) SELECT CAST(x.n AS INT) AS place, x.date, x.clicks, x.impressions, coalesce(y.clicks, 0) AS previous_clicks, coalesce(y.impressions, 0) AS previous_impressions FROM x LEFT JOIN y ON x.n = y.n")
+def j15_compare_by_place(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.by_place(*_periods(spark, sf, "site_daily", "date"), "date", ["clicks", "impressions"])
+
+
+@query("j16_compare_by_offset", _two("site_daily", "date") + f", m AS (SELECT DATE '{_NOW[0]}' + CAST(date - DATE '{_THEN[0]}' AS INT) AS date, clicks, impressions FROM b), q AS (SELECT * FROM m WHERE date BETWEEN DATE '{_NOW[0]}' AND DATE '{_NOW[1]}') SELECT coalesce(a.date, q.date) AS date, coalesce(a.clicks, 0) AS clicks, coalesce(a.impressions, 0) AS impressions, coalesce(q.clicks, 0) AS previous_clicks, coalesce(q.impressions, 0) AS previous_impressions FROM a FULL JOIN q ON a.date = q.date")
+def j16_compare_by_offset(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.by_offset(*_periods(spark, sf, "site_daily", "date"), "date", ["clicks", "impressions"], *_NOW, _THEN[0])
+
+
+@query("r21_weekly_series", oracle_with("site_daily") + f"SELECT CAST(date - CAST(dayofweek(date) AS INT) AS DATE) AS week, {SUMS}, {CTR}, {POSITION} FROM site_daily WHERE {DAYS} GROUP BY 1")
+def r21_weekly_series(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fact(spark, sf, "site_daily").filter(F.col("date").between(START, END)).groupBy(dates.bucket(F.col("date"), "week").alias("week"))
+    total = rows.agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), measures.click_rate(F.col("clicks"), F.col("impressions")).alias("ctr"), measures.weighted_mean(F.col("position"), F.col("impressions")).alias("position"))
+    return rounded(total, "ctr", "position")
+
+
+@query("j18_crawl_diff", oracle_with("crawl_pages") + f", k AS (SELECT *, {_key_sql('url')} AS page_key FROM crawl_pages), a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY crawl_order) rn FROM k WHERE crawl_order <= 120) WHERE rn = 1), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY crawl_order) rn FROM k WHERE crawl_order > 60) WHERE rn = 1) SELECT coalesce(a.page_key, b.page_key) AS page_key, CASE WHEN a.page_key IS NULL THEN 'new' WHEN b.page_key IS NULL THEN 'missing' WHEN a.status_code IS DISTINCT FROM b.status_code THEN 'status' WHEN a.title IS DISTINCT FROM b.title THEN 'title' WHEN a.canonical_url IS DISTINCT FROM b.canonical_url THEN 'canonical' ELSE 'unchanged' END AS change FROM a FULL JOIN b ON a.page_key = b.page_key")
+def j18_crawl_diff(spark: SparkSession, sf: str) -> DataFrame:
+    pages = fact(spark, sf, "crawl_pages").withColumn("page_key", keys.page_key(F.col("url")))
+    first = lambda df: merge.latest(df, ["page_key"], F.col("crawl_order").asc())
+    return compare.crawl_diff(first(pages.filter("crawl_order <= 120")), first(pages.filter("crawl_order > 60")))
+
+
+# -- merging --------------------------------------------------------------------------------------------------------------
+
+_ORDERS = "SELECT o_custkey AS k, o_orderkey AS seq, o_orderstatus AS status, o_totalprice AS price FROM orders"
+
+
+def _orders(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+
+
+def _old_new(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = _orders(spark, sf)
+    old = merge.latest(rows.filter("seq % 3 <> 0"), ["k"], F.col("seq").desc())
+    return old, merge.latest(rows.filter("seq % 3 = 0"), ["k"], F.col("seq").desc())
+
+
+_OLD_NEW = f"WITH r AS ({_ORDERS}), o AS (SELECT k, seq, status, price FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) rn FROM r WHERE seq % 3 <> 0) WHERE rn = 1), n AS (SELECT k, seq, status, price FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) rn FROM r WHERE seq % 3 = 0) WHERE rn = 1) "
+
+
+@query("s17_upsert", _OLD_NEW + "SELECT * FROM n UNION ALL SELECT * FROM o WHERE k NOT IN (SELECT k FROM n)")
+def s17_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.upsert(*_old_new(spark, sf), ["k"], F.col("seq").desc())
+
+
+@query("s18_insert_missing", _OLD_NEW + "SELECT * FROM o UNION ALL SELECT * FROM n WHERE k NOT IN (SELECT k FROM o)")
+def s18_insert_missing(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.insert_missing(*_old_new(spark, sf), ["k"], F.col("seq").desc())
+
+
+@query("s19_guarded_upsert", _OLD_NEW + "SELECT * FROM o WHERE status = 'F' UNION ALL SELECT * FROM n WHERE k NOT IN (SELECT k FROM o WHERE status = 'F') UNION ALL SELECT * FROM o WHERE status <> 'F' AND k NOT IN (SELECT k FROM n)")
+def s19_guarded_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.guarded_upsert(*_old_new(spark, sf), ["k"], F.col("status") == "F")
+
+
+@query("s20_widen", _OLD_NEW + "SELECT k, MIN(seq) AS low, MAX(seq) AS high FROM (SELECT * FROM o UNION ALL SELECT * FROM n) GROUP BY k")
+def s20_widen(spark: SparkSession, sf: str) -> DataFrame:
+    old, new = (d.select("k", F.col("seq").alias("low"), F.col("seq").alias("high")) for d in _old_new(spark, sf))
+    return merge.widen(old, new, ["k"], "low", "high")
+
+
+@query("s22_count_uses", _OLD_NEW + ", h AS (SELECT k, COUNT(*) c FROM r WHERE price > 200000 GROUP BY k) SELECT o.k, CAST(1 + coalesce(c, 0) AS BIGINT) AS use_count FROM o LEFT JOIN h USING (k)")
+def s22_count_uses(spark: SparkSession, sf: str) -> DataFrame:
+    cache = _old_new(spark, sf)[0].select("k", F.lit(1).cast("long").alias("use_count"))
+    return merge.count_uses(cache, _orders(spark, sf).filter("price > 200000"), ["k"])
+
+
+@query("s14_page_rollup", oracle_with("page_query_daily") + "SELECT date, page_key, CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions, round(SUM(position * impressions) / SUM(impressions), 6) AS position, COUNT(DISTINCT query) AS query_count FROM page_query_daily GROUP BY 1, 2")
+def s14_page_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(merge.rollup_pages(fact(spark, sf, "page_query_daily")), "position")
+
+
+@query("j12_latest_per_key", f"SELECT k, seq, status FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY price DESC, seq DESC) rn FROM ({_ORDERS})) WHERE rn = 1")
+def j12_latest_per_key(spark: SparkSession, sf: str) -> DataFrame:
+    return _orders(spark, sf).groupBy("k").agg(F.max_by(F.struct("seq", "status"), F.struct("price", "seq")).alias("r")).select("k", "r.seq", "r.status")
+
+
+# -- C6: crawl and graph --------------------------------------------------------------------------------------------------
+
+
+@query("g2_inbound_resolved", oracle_with("crawl_pages", "crawl_links") + f", k AS (SELECT DISTINCT {_key_sql('url')} AS page_key, CASE WHEN canonical_url LIKE 'https://site.example/%' THEN {_key_sql('canonical_url')} ELSE {_key_sql('url')} END AS resolved_key FROM crawl_pages), p AS (SELECT page_key, MIN(resolved_key) AS resolved_key FROM k GROUP BY 1), l AS (SELECT coalesce(resolved_key, to_key) AS t, COUNT(*) n FROM crawl_links LEFT JOIN p ON to_key = page_key GROUP BY 1) SELECT page_key, resolved_key, coalesce(n, 0) AS inbound FROM p LEFT JOIN l ON resolved_key = t")
+def g2_inbound_resolved(spark: SparkSession, sf: str) -> DataFrame:
+    keyed = blend.keyed_crawl(fact(spark, sf, "crawl_pages"), SITE).groupBy(F.col("raw_key").alias("page_key")).agg(F.min("resolved_key").alias("resolved_key"))
+    return graph.inbound_resolved(keyed, fact(spark, sf, "crawl_links"))
+
+
+@query("g1_reach", oracle_with("crawl_links") + ", d1 AS (SELECT DISTINCT to_key AS k FROM crawl_links WHERE from_key = '/s0/p0'), d2 AS (SELECT DISTINCT to_key AS k FROM crawl_links WHERE from_key IN (SELECT k FROM d1)), d3 AS (SELECT DISTINCT to_key AS k FROM crawl_links WHERE from_key IN (SELECT k FROM d2)), u AS (SELECT '/s0/p0' AS k, 0 AS depth UNION ALL SELECT k, 1 FROM d1 UNION ALL SELECT k, 2 FROM d2 UNION ALL SELECT k, 3 FROM d3) SELECT k AS page_key, CAST(MIN(depth) AS INT) AS depth FROM u GROUP BY 1")
+def g1_reach(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.reach(spark.sql("SELECT '/s0/p0' AS page_key"), fact(spark, sf, "crawl_links"), 3)
+
+
+@query("g3_outbound", oracle_with("crawl_links") + "SELECT from_key, COUNT(*) AS outbound, COUNT(DISTINCT to_key) AS targets FROM crawl_links GROUP BY 1")
+def g3_outbound(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.outbound(fact(spark, sf, "crawl_links"))
+
+
+@query("r13_crawl_summary", oracle_with("crawl_pages") + "SELECT COUNT(*) AS pages, count_if(status_code BETWEEN 200 AND 299)::BIGINT AS ok, count_if(status_code BETWEEN 300 AND 399)::BIGINT AS redirected, count_if(status_code >= 400)::BIGINT AS errors, count_if(status_code IS NULL)::BIGINT AS failed, count_if(noindex)::BIGINT AS noindex, count_if(trim(coalesce(title, '')) = '')::BIGINT AS no_title, count_if(trim(coalesce(meta_description, '')) = '')::BIGINT AS no_description, count_if(status_code IS NULL OR status_code >= 400 OR noindex OR trim(coalesce(title, '')) = '' OR trim(coalesce(meta_description, '')) = '' OR h1_count <> 1 OR word_count < 100)::BIGINT AS issues FROM crawl_pages")
+def r13_crawl_summary(spark: SparkSession, sf: str) -> DataFrame:
+    code, none = F.col("status_code"), lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    issue = code.isNull() | (code >= 400) | F.col("noindex") | none("title") | none("meta_description") | (F.col("h1_count") != 1) | (F.col("word_count") < 100)
+    parts = {"ok": code.between(200, 299), "redirected": code.between(300, 399), "errors": code >= 400, "failed": code.isNull(), "noindex": F.col("noindex"), "no_title": none("title"), "no_description": none("meta_description"), "issues": issue}
+    return fact(spark, sf, "crawl_pages").agg(F.count(F.lit(1)).alias("pages"), *[F.count_if(v).alias(k) for k, v in parts.items()])
+
+
+# -- C7: topics, vectors, links -------------------------------------------------------------------------------------------
+
+
+@query("r15_topics")
+def r15_topics(spark: SparkSession, sf: str) -> DataFrame:
+    return topics.topics(fact(spark, sf, "product_queries"), graph.inbound(fact(spark, sf, "crawl_links")).withColumnRenamed("to_key", "page_key"))
+
+
+def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf, "embeddings")
+    return rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("target"), F.col("embedding").alias("vector")), rows.select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
+
+
+@query("j20_nearest", "WITH p AS (SELECT a.vec_id AS target, b.vec_id AS item, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(s, 9) DESC, item) AS place FROM p WHERE s >= 0.3) SELECT target, item, round(s, 6) AS similarity FROM r WHERE place <= 20")
+def j20_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """Targets are every vector whose id is divisible by 100, against all vectors."""
+    return rounded(links.nearest(*_vectors(spark, sf), 20, 0.3).select("target", "item", "similarity"), "similarity")
+
+
+@query("j20_nearest_by_cell")
+def j20_nearest_by_cell(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(links.nearest(*_vectors(spark, sf), 20, 0.3, planes=6).select("target", "item", "similarity"), "similarity")
+
+
+@query("v1_cosine", "SELECT a.vec_id, round(CASE WHEN len(a.embedding) = len(b.embedding) THEN list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) ELSE 0 END, 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def v1_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return rounded(rows.join(after, "vec_id").select("vec_id", measures.cosine(F.col("embedding"), F.col("next")).alias("similarity")), "similarity")
+
+
+# -- C8: logs, ranks, second engine, grid ---------------------------------------------------------------------------------
+
+
+def _log(spark: SparkSession, sf: str) -> DataFrame:
+    return access_log.parse(fact(spark, sf, "access_log"))
+
+
+_LOG = oracle_with("access_log") + r""", p AS (SELECT regexp_extract(line, '\[([^\]]+)\]', 1) AS stamp, regexp_extract(line, '"(\S+) (\S+) ', 2) AS path, CAST(regexp_extract(line, '" (\d{3}) ', 1) AS INT) AS status, regexp_extract(line, '"([^"]*)"$', 1) AS agent FROM access_log),
+    log AS (SELECT strptime(split_part(stamp, ' ', 1), '%d/%b/%Y:%H:%M:%S') AS ts, path, status, CASE WHEN agent = '' THEN 'Unknown' WHEN lower(agent) LIKE '%googlebot%' THEN 'Googlebot' WHEN lower(agent) LIKE '%bingbot%' THEN 'Bingbot' WHEN lower(agent) LIKE '%gptbot%' THEN 'ChatGPT / OpenAI' WHEN lower(agent) LIKE '%perplexitybot%' THEN 'Perplexity' WHEN lower(agent) LIKE '%crawler%' THEN 'Generic Bot' ELSE 'Human' END AS bot_type FROM p) """
+
+
+@query("r17_log_daily", _LOG + "SELECT CAST(ts AS DATE) AS date, bot_type, COUNT(*) AS hits FROM log GROUP BY 1, 2")
+def r17_log_daily(spark: SparkSession, sf: str) -> DataFrame:
+    return access_log.daily(_log(spark, sf))
+
+
+@query("r17_log_errors", _LOG + "SELECT path, status, bot_type, COUNT(*) AS hits, MAX(ts) AS last_seen FROM log WHERE status >= 400 GROUP BY 1, 2, 3 ORDER BY 4 DESC, 1, 2, 3 LIMIT 100")
+def r17_log_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return access_log.errors(_log(spark, sf))
+
+
+@query("r17_bot_pages", _LOG + "SELECT path, COUNT(*) AS hits, COUNT(DISTINCT bot_type) AS bots FROM log WHERE bot_type NOT IN ('Human', 'Unknown') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+def r17_bot_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return access_log.bot_pages(_log(spark, sf))
+
+
+@query("r26_log_figures", _LOG + "SELECT count_if(bot_type = 'Human')::BIGINT AS human_hits, count_if(bot_type = 'Googlebot')::BIGINT AS googlebot_hits, count_if(status >= 400)::BIGINT AS errors, COUNT(*) AS hits, round(count_if(status < 400 AND bot_type = 'Googlebot') * 100.0 / count_if(bot_type = 'Googlebot'), 4) AS crawl_efficiency FROM log")
+def r26_log_figures(spark: SparkSession, sf: str) -> DataFrame:
+    return access_log.figures(_log(spark, sf)).withColumn("crawl_efficiency", F.col("crawl_efficiency").cast("double"))
+
+
+_RANKS = "WITH k AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 = 0), r AS (SELECT o_custkey AS keyword_id, CAST(o_orderdate AS DATE) AS date, MIN(CAST(o_orderkey % 100 AS INT)) AS position FROM orders GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY keyword_id ORDER BY date DESC) rn, lead(position) OVER (PARTITION BY keyword_id ORDER BY date DESC) AS before FROM r) "
+
+
+@query("r18_ranks", _RANKS + "SELECT id, date, position, position - before AS change FROM k LEFT JOIN (SELECT * FROM n WHERE rn = 1) ON id = keyword_id")
+def r18_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """Latest position of each keyword, and how it moved."""
+    ranks = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("keyword_id"), F.to_date("o_orderdate").alias("date")).agg(F.min((F.col("o_orderkey") % 100).cast("int")).alias("position"))
+    own = Window.partitionBy("keyword_id").orderBy(F.desc("date"))
+    last = ranks.withColumns({"change": F.col("position") - F.lead("position").over(own), "_rn": F.row_number().over(own)}).filter("_rn = 1").drop("_rn")
+    words = table(spark, sf, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"))
+    return words.join(last, F.col("id") == F.col("keyword_id"), "left").select("id", "date", "position", "change")
+
+
+@query("r19_second_engine", oracle_with("query_daily") + "SELECT query, CAST(SUM(impressions) AS BIGINT) AS impressions, CAST(SUM(clicks) AS BIGINT) AS clicks, round(CASE WHEN SUM(impressions) > 0 THEN CAST(SUM(clicks) AS DOUBLE) / SUM(impressions) ELSE 0 END, 6) AS ctr, round(SUM(position * greatest(clicks, CASE WHEN clicks > 0 THEN clicks ELSE 1 END)) / SUM(CASE WHEN clicks > 0 THEN clicks ELSE 1 END), 6) AS click_position, round(SUM((position + 1) * impressions) / SUM(impressions), 6) AS impression_position FROM query_daily GROUP BY 1")
+def r19_second_engine(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fact(spark, sf, "query_daily").withColumns({"click_position": F.col("position"), "impression_position": F.col("position") + 1})
+    return rounded(providers.engine2_totals(rows, ["query"]), "ctr", "click_position", "impression_position")
+
+
+@query("r20_index_grid", oracle_with("page_daily", "access_log") + r""", s AS (SELECT DISTINCT page_key FROM page_daily), b AS (SELECT regexp_extract(line, '"(\S+) (\S+) ', 2) AS page_key, MAX(strptime(split_part(regexp_extract(line, '\[([^\]]+)\]', 1), ' ', 1), '%d/%b/%Y:%H:%M:%S')) AS last_crawl FROM access_log WHERE line LIKE '%Googlebot%' GROUP BY 1) SELECT coalesce(s.page_key, b.page_key) AS page_key, s.page_key IS NOT NULL AS has_search, last_crawl FROM s FULL JOIN b ON s.page_key = b.page_key""")
+def r20_index_grid(spark: SparkSession, sf: str) -> DataFrame:
+    shown = fact(spark, sf, "page_daily").select("page_key").distinct().withColumn("has_search", F.lit(True))
+    crawled = _log(spark, sf).filter("bot_type = 'Googlebot'").filter(~keys.is_asset(F.col("path"))).groupBy(F.col("path").alias("page_key")).agg(F.max("ts").alias("last_crawl"))
+    return shown.join(crawled, "page_key", "full_outer").fillna(False, ["has_search"])
+
+
+@query("r22_grid", oracle_with("query_daily") + f", g AS (SELECT query, {SUMS}, {CTR}, {POSITION} FROM query_daily WHERE {DAYS} GROUP BY query) SELECT query, CAST(clicks AS VARCHAR) AS clicks, CAST(impressions AS VARCHAR) AS impressions, printf('%.2f%%', ctr * 100) AS ctr, printf('%.1f', position) AS position FROM g WHERE clicks >= 1 AND impressions >= 50 AND position <= 9 AND len(regexp_split_to_array(trim(query), '\\s+')) >= 2 AND contains(lower(query), 'part')")
+def r22_grid(spark: SparkSession, sf: str) -> DataFrame:
+    grid = rounded(SearchReport(START, END, ("query",)).plan(facts(spark, sf, "query_daily")), "ctr", "position")
+    return providers.export_columns(grid.filter((F.col("clicks") >= 1) & (F.col("impressions") >= 50) & (F.col("position") <= 9) & (F.size(F.split(F.trim("query"), r"\s+")) >= 2) & F.lower("query").contains("part")), "query")
+
+
+# -- queues ---------------------------------------------------------------------------------------------------------------
+
+
+@query("r28_claim_order", oracle_with("jobs") + ", run AS (SELECT DISTINCT owner, site FROM jobs WHERE status = 'running'), w AS (SELECT *, row_number() OVER (PARTITION BY owner, site ORDER BY created_at, id) rn FROM jobs j WHERE status = 'queued' AND NOT EXISTS (SELECT 1 FROM run WHERE run.owner = j.owner AND run.site = j.site)), o AS (SELECT owner, COUNT(*) n FROM jobs WHERE status = 'running' GROUP BY 1) SELECT id, w.owner, site, coalesce(n, 0) AS running FROM w LEFT JOIN o ON w.owner = o.owner WHERE rn = 1")
+def r28_claim_order(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.claim_order(fact(spark, sf, "jobs")).select("id", "owner", "site", "running")
+
+
+@query("r27_waits", oracle_with("jobs") + ", t AS (SELECT site, CAST(floor(quantile_cont(seconds, 0.5) + 0.5) AS BIGINT) AS typical FROM jobs WHERE status = 'completed' GROUP BY 1), q AS (SELECT site, id, row_number() OVER (PARTITION BY site ORDER BY created_at, id) AS place FROM jobs WHERE status = 'queued') SELECT q.site, id, CAST(place AS INT) AS place, greatest(coalesce(typical, 30), 30) AS typical, CAST(floor((place - 1) / 2) * greatest(coalesce(typical, 30), 30) AS BIGINT) AS wait FROM q LEFT JOIN t ON q.site = t.site")
+def r27_waits(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.waits(fact(spark, sf, "jobs")).select("site", "id", "place", "typical", F.col("wait").cast("long").alias("wait"))
+
+
+@query("r27_workload", oracle_with("jobs") + ", n AS (SELECT site, COUNT(*) AS open FROM jobs WHERE status IN ('queued', 'running') GROUP BY 1) SELECT site, open, CASE WHEN open = 0 THEN 'idle' WHEN open <= 2000 THEN 'normal' WHEN open <= 4000 THEN 'busy' ELSE 'backlogged' END AS state FROM n")
+def r27_workload(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.workload(fact(spark, sf, "jobs"), 2000)
+
+
+@query("r29_health", oracle_with("jobs") + "SELECT owner, count_if(status = 'queued')::BIGINT AS queued, count_if(status = 'running')::BIGINT AS running, count_if(status = 'completed')::BIGINT AS completed, MIN(CASE WHEN status = 'queued' THEN created_at END) AS oldest_queued FROM jobs GROUP BY 1")
+def r29_health(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.health(fact(spark, sf, "jobs"))
+
+
+@query("a23_spread", oracle_with("jobs") + "SELECT status, round(floor(quantile_cont(seconds, 0.5) * 1e6 + 0.5) / 1e6, 6) AS p50, floor(quantile_cont(seconds, 0.95) * 1e6 + 0.5) / 1e6 AS p95, floor(quantile_cont(seconds, 0.99) * 1e6 + 0.5) / 1e6 AS p99, floor(pow(SUM(CAST(seconds AS DOUBLE)), 2) / (COUNT(*) * SUM(CAST(seconds AS DOUBLE) * seconds)) * 1e6 + 0.5) / 1e6 AS fairness FROM jobs GROUP BY 1")
+def a23_spread(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.spread(fact(spark, sf, "jobs"))
+
+
+@query("j26_covering_jobs", oracle_with("jobs") + ", b AS (SELECT id, owner, site, status, CAST(created_at AS DATE) AS s, CAST(created_at AS DATE) + CAST(5 + id % 40 AS INT) AS e, created_at AS updated_at FROM jobs WHERE id % 2 = 0), q AS (SELECT id AS request_id, owner, site, CAST(created_at AS DATE) + 1 AS ws, CAST(created_at AS DATE) + 6 AS we FROM jobs WHERE id % 5 = 1), m AS (SELECT request_id, b.id AS job_id, row_number() OVER (PARTITION BY request_id ORDER BY CAST(s = ws AND e = we AS INT) DESC, CASE status WHEN 'running' THEN 0 WHEN 'retrying' THEN 1 WHEN 'queued' THEN 2 ELSE 3 END, s DESC, e, updated_at DESC, b.id DESC) rn FROM q JOIN b ON q.owner = b.owner AND q.site = b.site AND s <= ws AND e >= we) SELECT request_id, job_id FROM m WHERE rn = 1")
+def j26_covering_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    rows, day = fact(spark, sf, "jobs"), F.to_date("created_at")
+    known = rows.filter("id % 2 = 0").select("id", "owner", "site", "status", day.alias("start"), F.date_add(day, (F.col("id") % 40 + 5).cast("int")).alias("end"), F.col("created_at").alias("updated_at"))
+    wanted = rows.filter("id % 5 = 1").select(F.col("id").alias("request_id"), "owner", "site", F.date_add(day, 1).alias("want_start"), F.date_add(day, 6).alias("want_end"))
+    return jobs.covering(wanted, known)
+
+
+# -- stream extension -----------------------------------------------------------------------------------------------------
+
+
+@query("t1_windows", "SELECT date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS \"end\", event_type, COUNT(*) AS events, round(SUM(value), 4) AS value FROM events GROUP BY 1, 2, 3")
+def t1_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(event_stream.windowed(table(spark, sf, "events")), "value", digits=4)
+
+
+@query("t1_sessions", "WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n FROM events), s AS (SELECT *, SUM(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT MIN(ts) AS start, MAX(ts) + INTERVAL 6 HOUR AS \"end\", user_id, COUNT(*) AS events FROM s GROUP BY user_id, k")
+def t1_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return event_stream.sessions(table(spark, sf, "events"), "6 hours")

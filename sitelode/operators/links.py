@@ -1,0 +1,101 @@
+"""Internal-link recommendation: vector and word candidates, scores, and a constrained choice."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.classify import confidence_label, opportunity_type
+from ..functions.measures import clamp, half_up, unit
+from ..functions.text import link_tokens
+
+LEAST_SIMILARITY = 0.58
+LEAST_SCORE = 50
+PER_TARGET, PER_SOURCE, PER_ANCHOR = 5, 3, 2
+
+
+def nearest(targets: DataFrame, items: DataFrame, k: int, least: float = LEAST_SIMILARITY, dims: int = 64, planes: int = 0) -> DataFrame:
+    """(target, item, similarity): the ``k`` nearest items of each target with at least ``least`` cosine similarity.
+
+    ``planes`` = 0 compares all; targets are a stated query set, and Spark's own size check decides on a broadcast. With
+    planes, vectors meet only in the cell of the space that the signs of so many coordinates name, or in a neighbouring
+    cell that differs in one sign: much less work, and a recall that has to be measured."""
+    a = targets.select("target", unit(F.col("vector")).alias("a")).filter("a is not null")
+    b = items.select("item", unit(F.col("vector")).alias("b")).filter("b is not null")
+    if planes:
+        step = max(1, dims // planes)
+        cell = lambda v: F.aggregate(F.array(*[F.when(v[i * step] > 0, 1 << i).otherwise(0) for i in range(planes)]), F.lit(0), lambda s, x: s + x)
+        near = F.array(cell(F.col("a")), *[cell(F.col("a")).bitwiseXOR(F.lit(1 << i)) for i in range(planes)])
+        pairs = a.withColumn("cell", F.explode(near)).join(b.withColumn("cell", cell(F.col("b"))), "cell")
+    else:
+        pairs = a.join(b)
+    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    scored = pairs.select("target", "item", dot.alias("similarity")).filter(F.col("similarity") >= least)
+    own = Window.partitionBy("target").orderBy(F.desc("similarity"), F.asc("item"))
+    return scored.withColumn("place", F.row_number().over(own)).filter(F.col("place") <= k)
+
+
+def word_candidates(targets: DataFrame, sentences: DataFrame, existing: DataFrame) -> DataFrame:
+    """(target_key, source_key, sentence, overlap): tokens that a sentence shares with a target, on other pages that do
+    not link there yet."""
+    t = targets.select("target_key", F.explode(F.array_distinct(link_tokens(F.col("text")))).alias("token"))
+    s = sentences.select("source_key", "sentence_id", F.explode(F.array_distinct(link_tokens(F.col("sentence")))).alias("token"))
+    met = t.join(s, "token").filter("target_key <> source_key").groupBy("target_key", "source_key", "sentence_id").agg(F.count(F.lit(1)).alias("overlap"))
+    return met.join(existing.select(F.col("from_key").alias("source_key"), F.col("to_key").alias("target_key")).distinct(), ["source_key", "target_key"], "left_anti")
+
+
+def source_authority(depth: Column, clicks: Column, inbound: Column) -> Column:
+    return clamp(24 - depth * 3, 6, 24) + clamp(clicks / 15, 0, 12) + clamp(inbound, 0, 10)
+
+
+def target_need(inbound: Column, impressions: Column, position: Column, sessions: Column) -> Column:
+    return clamp((10 - inbound) * 4, 0, 36) + clamp(impressions / 80, 0, 26) + F.when(position.between(4, 20), 16).otherwise(0) + clamp(sessions / 25, 0, 12)
+
+
+def semantic_boost(similarity: Column) -> Column:
+    return F.when(similarity > 0, clamp((similarity - 0.42) * 58, 0, 24)).otherwise(0.0)
+
+
+def scored(candidates: DataFrame) -> DataFrame:
+    """``candidates``: target and source measures, overlap, similarity, anchor. Adds score, confidence, type; drops weak ones."""
+    anchor = half_up(clamp(F.size(link_tokens(F.col("anchor"))) * 3 + F.when(F.length("anchor") >= 8, 3).otherwise(0), 4, 12))
+    need = target_need(F.col("inbound"), F.col("impressions"), F.col("position"), F.col("sessions"))
+    authority = source_authority(F.col("depth"), F.col("source_clicks"), F.col("source_inbound"))
+    score = half_up(clamp(need + authority + F.col("overlap") * 8 + semantic_boost(F.col("similarity")) + anchor, 0, 100)).cast("int")
+    kept = candidates.filter((F.col("overlap") >= 2) | (F.col("similarity") >= LEAST_SIMILARITY)).filter(F.col("anchor") != "")
+    rows = kept.withColumn("score", score).filter(F.col("score") >= LEAST_SCORE)
+    return rows.withColumns({"confidence": confidence_label(F.col("score")), "type": opportunity_type(F.col("inbound"), F.col("position"), F.col("sessions"), F.col("impressions"))})
+
+
+def top_per_target(rows: DataFrame, k: int = 3) -> DataFrame:
+    own = Window.partitionBy("site", "target_key").orderBy(F.desc("score"), "source_key", "anchor")
+    return rows.withColumn("_rn", F.row_number().over(own)).filter(F.col("_rn") <= k).drop("_rn")
+
+
+def choose(rows: DataFrame, most: int = 200) -> DataFrame:
+    """The greedy choice, which depends on its own earlier choices: by falling score, at most PER_SOURCE links from a
+    page, PER_TARGET to a page, PER_ANCHOR with one text to a page, one use of a text on a page, one link between two pages.
+
+    One group for each site, after ``top_per_target`` has cut it to three rows for each page."""
+
+    def pick(group: pd.DataFrame) -> pd.DataFrame:
+        sources, targets, anchors = Counter(), Counter(), Counter()
+        used, pairs, kept = set(), set(), []
+        for r in group.sort_values(["score", "target_key", "source_key", "anchor"], ascending=[False, True, True, True]).itertuples():
+            text = r.anchor.lower()
+            if sources[r.source_key] >= PER_SOURCE or targets[r.target_key] >= PER_TARGET or anchors[r.target_key, text] >= PER_ANCHOR or (r.source_key, text) in used or (r.source_key, r.target_key) in pairs:
+                continue
+            sources[r.source_key] += 1
+            targets[r.target_key] += 1
+            anchors[r.target_key, text] += 1
+            used.add((r.source_key, text))
+            pairs.add((r.source_key, r.target_key))
+            kept.append(r.Index)
+            if len(kept) == most:
+                break
+        return group.loc[kept]
+
+    return rows.groupBy("site").applyInPandas(pick, rows.schema)

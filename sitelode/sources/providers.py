@@ -1,0 +1,67 @@
+"""Provider payloads, robots rules, sitemaps, and export."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.dates import provider_date
+from ..functions.measures import floored_mean, safe_ratio
+
+SEARCH_ROW = "struct<keys:array<string>,clicks:double,impressions:double,ctr:double,position:double>"
+ENGINE2_ROW = "struct<Query:string,Date:string,Impressions:double,Clicks:double,AvgClickPosition:double,AvgImpressionPosition:double>"
+
+
+def search_rows(payloads: DataFrame, column: str = "payload", page_size: int = 25_000) -> DataFrame:
+    """Rows of ``{"rows": [...]}`` payloads, with ``truncated`` where a page is full."""
+    parsed = payloads.withColumn("_p", F.from_json(column, f"struct<rows:array<{SEARCH_ROW}>>"))
+    full = F.coalesce(F.size("_p.rows") >= page_size, F.lit(False))
+    return parsed.withColumn("truncated", full).select(*[c for c in payloads.columns if c != column], "truncated", F.explode("_p.rows").alias("_r")).select("*", "_r.*").drop("_r")
+
+
+def engine2_rows(payloads: DataFrame, column: str = "payload", fetched: str = "fetched_date") -> DataFrame:
+    """Rows of ``{"d": [...]}`` payloads; a row without a date takes the day it was fetched and says so."""
+    parsed = payloads.select(fetched, F.explode(F.from_json(column, f"struct<d:array<{ENGINE2_ROW}>>").getField("d")).alias("r"))
+    day = provider_date(F.col("r.Date"))
+    number = lambda c: F.coalesce(F.col(f"r.{c}"), F.lit(0.0))
+    return parsed.filter(F.trim(F.coalesce("r.Query", F.lit(""))) != "").select(F.coalesce(day, F.col(fetched)).alias("date"), F.trim("r.Query").alias("query"), number("Impressions").cast("long").alias("impressions"), number("Clicks").cast("long").alias("clicks"), number("AvgClickPosition").alias("click_position"), number("AvgImpressionPosition").alias("impression_position"), F.when(day.isNull(), "fetched").otherwise("reported").alias("date_source"))
+
+
+def engine2_totals(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums, and mean positions under weights of at least 1."""
+    return rows.groupBy(*keys).agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), safe_ratio(F.sum("clicks"), F.sum("impressions")).alias("ctr"), floored_mean(F.col("click_position"), F.col("clicks")).alias("click_position"), floored_mean(F.col("impression_position"), F.col("impressions")).alias("impression_position"))
+
+
+def robots_rules(robots: DataFrame, column: str = "robots") -> DataFrame:
+    """site, kind, value of the group for all agents: allow, disallow and sitemap lines after ``User-agent: *``."""
+    lines = robots.select("site", F.posexplode(F.split(column, r"\r?\n")).alias("i", "_line")).withColumn("_line", F.trim("_line")).filter("_line <> '' and not startswith(_line, '#')")
+    pair = lines.select("site", "i", F.lower(F.trim(F.regexp_extract("_line", r"^([^:]*)", 1))).alias("kind"), F.trim(F.regexp_extract("_line", r"^[^:]*:(.*)$", 1)).alias("value"))
+    # the agent line that governs each line: one robots file is one small group
+    agents = pair.filter("kind = 'user-agent'").groupBy("site").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("agents"))
+    governed = pair.filter(F.col("kind").isin("allow", "disallow", "sitemap") & (F.col("value") != "")).join(agents, "site")
+    last = F.element_at(F.filter("agents", lambda a: a["i"] < F.col("i")), -1)
+    return governed.filter(F.size(F.filter("agents", lambda a: a["i"] < F.col("i"))) > 0).filter(last["value"] == "*").select("site", "kind", "value")
+
+
+def allowed(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """site, path, allowed: the longest matching prefix decides, and allow wins ties; no match allows."""
+    per_site = rules.groupBy("site").agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("value"))).alias(k) for k in ("allow", "disallow")])
+    longest = lambda c: F.coalesce(F.array_max(F.transform(F.filter(c, lambda r: F.startswith(F.col("path"), r)), F.length)), F.lit(-1))
+    return paths.join(per_site, "site", "left").select("site", "path", (longest("allow") >= longest("disallow")).alias("allowed"))
+
+
+def sitemap_urls(maps: DataFrame, column: str = "xml") -> DataFrame:
+    """site, url, is_map of sitemaps and sitemap indexes on the site's own host."""
+    bare = F.regexp_replace(column, r'\sxmlns="[^"]*"', "")
+    found = maps.select("site", F.explode(F.xpath(bare, F.lit("//loc/text()"))).alias("url"), bare.contains("<sitemapindex").alias("is_map")).withColumn("url", F.trim("url"))
+    host = F.regexp_extract("url", r"^https?://(?:www\.)?([^/:]+)", 1)
+    return found.filter(host == F.regexp_replace("site", r"^www\.", "")).distinct()
+
+
+def export_columns(grid: DataFrame, dimension: str) -> DataFrame:
+    """Report columns as text: rates with two decimals and a percent sign, positions with one."""
+    return grid.select(F.col(dimension), F.col("clicks").cast("string"), F.col("impressions").cast("string"), F.format_string("%.2f%%", F.col("ctr") * 100).alias("ctr"), F.format_string("%.1f", F.col("position")).alias("position"))
+
+
+def write_csv(grid: DataFrame, path: str) -> None:
+    grid.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
