@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import classify, dates, keys, measures, text
-from .operators import blend, compare, coverage, graph, jobs, links, merge, topics
+from .operators import blend, compare, coverage, graph, jobs, links, markup, merge, profiles, topics
 from .plans.search_report import GRAINS, Filter, SearchReport, monthly_summary
 from .sources import access_log, providers
 from .standins import fact, oracle_with, table
@@ -228,7 +228,7 @@ def f6_url_families(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select(shape.alias("s")).groupBy(F.col("s.family").alias("family"), F.col("s.hash").alias("hash")).agg(F.count(F.lit(1)).alias("pages"))
 
 
-@query("f10_text_hashes", "SELECT doc_id, sha1(lower(text)) AS block_hash, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS cache_hash, CAST(ceil(len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) * 1.35) AS BIGINT) AS approximate_tokens FROM documents")
+@query("f10_text_hashes", "SELECT doc_id, sha1(lower(text)) AS block_hash, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS cache_hash, CAST(ceil(len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) * CAST(1.35 AS DOUBLE)) AS BIGINT) AS approximate_tokens FROM documents")
 def f10_text_hashes(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
     return table(spark, sf, "documents").select("doc_id", text.block_hash(t).alias("block_hash"), text.cache_hash(t).alias("cache_hash"), text.approximate_tokens(t).alias("approximate_tokens"))
@@ -575,3 +575,82 @@ def t1_windows(spark: SparkSession, sf: str) -> DataFrame:
 @query("t1_sessions", "WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n FROM events), s AS (SELECT *, SUM(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT MIN(ts) AS start, MAX(ts) + INTERVAL 6 HOUR AS \"end\", user_id, COUNT(*) AS events FROM s GROUP BY user_id, k")
 def t1_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return event_stream.sessions(table(spark, sf, "events"), "6 hours")
+
+
+# -- markup ---------------------------------------------------------------------------------------------------------------
+
+
+def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.snapshots(table(spark, sf, "pages"))
+
+
+@query("c6_page_facts", "SELECT page_id, nullif(trim(regexp_extract(html, '<html lang=\"([a-z]+)\"', 1)), '') AS language, len(regexp_extract_all(html, '<h1[ >]'))::INT AS h1_count, len(regexp_extract_all(html, '<h2[ >]'))::INT AS h2_count FROM pages")
+def c6_page_facts(spark: SparkSession, sf: str) -> DataFrame:
+    return _snapshots(spark, sf).select("page_id", "language", "h1_count", "h2_count")
+
+
+@query("c6_links")
+def c6_links(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.unfolded(_snapshots(spark, sf), "links")
+
+
+@query("c6_blocks")
+def c6_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.unfolded(_snapshots(spark, sf), "blocks").withColumn("headings", F.array_join("headings", " > "))
+
+
+@query("c6_sentences")
+def c6_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.unfolded(_snapshots(spark, sf), "sentences")
+
+
+@query("c6_regions")
+def c6_regions(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.regions_from_blocks(markup.unfolded(_snapshots(spark, sf), "blocks"))
+
+
+@query("c7_repeated_blocks")
+def c7_repeated_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.repeated_blocks(markup.unfolded(_snapshots(spark, sf), "blocks"))
+
+
+@query("c7_templates")
+def c7_templates(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.templates(_snapshots(spark, sf))
+
+
+@query("r14_profiles")
+def r14_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    return profiles.profiles(_snapshots(spark, sf))
+
+
+@query("r24_audit", oracle_with("crawl_pages", "crawl_links") + f""", k AS (SELECT *, {_key_sql('url')} AS raw_key, CASE WHEN canonical_url LIKE 'https://site.example/%' THEN {_key_sql('canonical_url')} ELSE {_key_sql('url')} END AS resolved_key FROM crawl_pages), i AS (SELECT to_key, COUNT(*) inbound FROM crawl_links WHERE from_key <> to_key GROUP BY 1),
+    a AS (SELECT url, raw_key AS page_key, [CASE WHEN coalesce(status_code >= 400, true) THEN 'error_status' END, CASE WHEN noindex THEN 'noindex' END, CASE WHEN trim(coalesce(title, '')) = '' THEN 'no_title' END, CASE WHEN trim(coalesce(meta_description, '')) = '' THEN 'no_description' END, CASE WHEN h1_count = 0 THEN 'no_h1' END, CASE WHEN h1_count > 1 THEN 'many_h1' END, CASE WHEN word_count < 300 THEN 'thin' END, CASE WHEN coalesce(inbound, 0) <= 2 THEN 'few_links' END, CASE WHEN length(title) > 60 THEN 'long_title' END, CASE WHEN length(meta_description) > 160 THEN 'long_description' END, CASE WHEN raw_key <> resolved_key THEN 'canonical_elsewhere' END] AS l FROM k LEFT JOIN i ON raw_key = to_key)
+    SELECT url, page_key, coalesce(array_to_string(list_filter(l, lambda x: x IS NOT NULL), ','), '') AS issues, CAST(greatest(0, 100 - coalesce(list_sum(list_transform(list_filter(l, lambda x: x IS NOT NULL), lambda x: CASE x WHEN 'error_status' THEN 22 WHEN 'noindex' THEN 22 WHEN 'no_title' THEN 14 WHEN 'no_h1' THEN 14 WHEN 'thin' THEN 14 WHEN 'no_description' THEN 12 WHEN 'canonical_elsewhere' THEN 12 ELSE 8 END)), 0)) AS INT) AS score FROM a""")
+def r24_audit(spark: SparkSession, sf: str) -> DataFrame:
+    keyed = blend.keyed_crawl(fact(spark, sf, "crawl_pages"), SITE)
+    inbound = graph.inbound(fact(spark, sf, "crawl_links"))
+    return profiles.audit(keyed.join(inbound, F.col("raw_key") == F.col("to_key"), "left"))
+
+
+@query("j19_word_candidates")
+def j19_word_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _snapshots(spark, sf)
+    key = keys.page_key(F.col("url"))
+    targets = pages.select(key.alias("target_key"), F.concat_ws(" ", "title", "h1_text").alias("text")).dropDuplicates(["target_key"])
+    sentences = pages.select(key.alias("source_key"), F.explode("sentences").alias("s")).select("source_key", F.col("s.text_hash").alias("sentence_id"), F.col("s.sentence").alias("sentence"))
+    existing = pages.select(key.alias("from_key"), F.explode("links").alias("l")).select("from_key", keys.page_key(F.col("l.to_url")).alias("to_key"))
+    return links.word_candidates(targets, sentences, existing).filter("overlap >= 2")
+
+
+@query("r16_recommendations")
+def r16_recommendations(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates by shared words, scored, three for each target, chosen under the caps."""
+    pages = _snapshots(spark, sf)
+    found = j19_word_candidates(spark, sf)
+    facts_of = pages.select(keys.page_key(F.col("url")).alias("k"), (F.col("page_id") % 9).alias("inbound"), (F.col("page_id") * 7 % 900).alias("impressions"), (F.col("page_id") % 30 + 1).cast("double").alias("position"), (F.col("page_id") % 60).alias("sessions"), (F.col("page_id") % 5).alias("depth"), F.col("h1_text")).dropDuplicates(["k"])
+    target = facts_of.select(F.col("k").alias("target_key"), "inbound", "impressions", "position", "sessions", F.substring("h1_text", 1, 40).alias("anchor"))
+    source = facts_of.select(F.col("k").alias("source_key"), "depth", F.col("impressions").alias("source_clicks"), F.col("inbound").alias("source_inbound"))
+    rows = links.scored(found.join(target, "target_key").join(source, "source_key").withColumn("similarity", F.lit(0.0)).filter("anchor is not null"))
+    best = links.top_per_target(rows.withColumn("site", F.lit(SITE)))
+    return links.choose(best.select("site", "source_key", "target_key", "anchor", "overlap", "score", "confidence", "type"))
