@@ -299,25 +299,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     meets = written(members.groupBy("key").agg(F.sum("size").alias("meets")), "meets")
     centres = members.join(meets, "key").groupBy("bucket").agg(F.max(F.struct("meets", "key"))["key"].alias("centre"))
     centred = members.join(written(centres, "centres"), "bucket").filter(F.col("key") != F.col("centre"))
-    pairs = written(centred.select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+    pairs = centred.select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct()
     needed = members.select("key").distinct().join(classes, "key")
     wanted = needed.select("key", F.col("rep._id").alias("_rid"), F.col("rep._th").alias("_th"), "sig", "n")
     source = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
-    texts = written(source.join(written(wanted, "wanted"), ["_th"]).filter(F.col("_id").eqNullSafe(F.col("_rid"))).select("key", "sig", "n", "_text").dropDuplicates(["key"]), "texts")
-    links = written(verify(pairs, texts), "links")
-    roots = written(components(links), "roots")
+    texts = written(source.join(wanted, ["_th"]).filter(F.col("_id").eqNullSafe(F.col("_rid"))).select("key", "sig", "n", "_text").dropDuplicates(["key"]), "texts")
+    roots = written(components(verify(pairs, texts)), "roots")
     # second pass
     placed = written(members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "size", "key", F.coalesce("root", "key").alias("root")), "placed")
     mixed = written(placed.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low != _high").select("bucket"), "mixed")
     facing = placed.join(mixed, "bucket").join(classes.select("key", "sig", "n"), "key")
     near = written(facing_keys(facing), "near")
-    bounds = written(support(texts.join(near, "key").select("key", "_text")), "support")
+    bounds = support(texts.join(near, "key").select("key", "_text"))
     bounded = near.withColumn("ref", F.xxhash64("key")).join(bounds, "ref").select("key", "support")
-    more = written(verify(written(cross_pairs(facing.join(written(bounded, "bounded"), "key")), "cross"), texts), "more")
-    if not more.isEmpty():
-        roots = written(components(links.unionByName(more)), "roots")
+    more = written(verify(cross_pairs(facing.join(bounded, "key")), texts), "more")
     ids = classes.select("key", "least_id").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least_id", F.coalesce("root", "key").alias("root"))
-    ids = written(ids, "placed")
+    if not more.isEmpty():  # what the second pass links are whole components of the first
+        up = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
+        between = more.join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+        joined = components(between).select(F.col("node").alias("root"), F.col("root").alias("_final"))
+        ids = ids.join(joined, "root", "left").select("key", "least_id", F.coalesce("_final", "root").alias("root"))
+    ids = written(ids, "ids")
     least = written(ids.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
     named = written(ids.join(least, "root").select("key", "component_id"), "named")
     out = rows.join(named, "key", "left")
