@@ -9,10 +9,10 @@ Candidates are verified in two passes, so that a crowd under one key never costs
 
 1. every member of a key is compared with the key's centre, the member that meets most others over all keys, and
    verified links are joined to components;
-2. keys whose members still lie in several components are gone through in blocks of bounded size. Members whose sketches
-   come near none of another component drop out. For the others, the shingles that any two of them share are counted:
-   an overlap cannot exceed that count, which rules out all pairs of documents that differ from the crowd by words of
-   their own. What is left is verified, and components are joined again.
+2. keys whose members still lie in several components are gone through in blocks of bounded size: first by sketches,
+   where members that come near none of another component drop out, then, for the others, on full sets. Each pair is
+   taken under the first key that its members share, and only links leave a task, so that a crowd of documents just
+   below the threshold makes no rows. Then components are joined again.
 
 Before the exact comparison, the Jaccard estimate from equal registers, corrected for registers that agree by chance at
 the compressed width, drops pairs that are more than five standard errors below the threshold. A pair exactly at the
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import parallelism, written
 from .components import components
-from .words import Words, as_bytes, mix, slices
+from .words import Words, as_bytes, mix, segment_sums, slices
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -49,6 +49,7 @@ ERRORS = 5.0
 BLOCK = 512
 
 _PLACES = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
+_SALTS = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 _FACTORS = mix(np.arange(101, 101 + REGISTERS, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -141,10 +142,9 @@ def band_keys(classes: DataFrame) -> DataFrame:
     """(bucket, key) for each band of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
         for batch in batches:
             sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, BANDS)  # four registers in a number
-            buckets = mix(sigs ^ salt).view(np.int64)
+            buckets = mix(sigs ^ _SALTS).view(np.int64)
             rows = np.repeat(np.arange(batch.num_rows), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(buckets.ravel()), batch.column(0).take(pa.array(rows))], names=["bucket", "key"])
 
@@ -189,24 +189,23 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def facing_keys(members: DataFrame) -> DataFrame:
-    """The keys among ``members`` (bucket, size, key, root, sig, n) that may be linked to one of another root."""
-    return _compare(members.withColumn("support", F.col("n")), False).distinct()
+    """The keys among ``members`` (bucket, size, key, root, sig, n) whose sketch comes near one of another root."""
+    return _compare(members.withColumn("_text", F.lit(None).cast("string")), False).distinct()
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different roots under one bucket that may be linked; ``members`` have ``support``, a bound on any overlap."""
-    return _compare(members, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def cross_links(members: DataFrame) -> DataFrame:
+    """Links (a, b) between different roots under one bucket, on full sets; ``members`` have ``_text`` as well."""
+    return _compare(members, True).distinct()
 
 
-def _compare(members: DataFrame, pairs: bool) -> DataFrame:
+def _compare(members: DataFrame, exact: bool) -> DataFrame:
     """Large buckets are cut into blocks by hash, and each pair of blocks is compared on its own, so that no task holds
     more than two blocks at once."""
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     own = members.withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int"))
     spread = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    dealt = spread.select("bucket", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "key", "root", "sig", "n", "support")
-    n = parallelism(members.sparkSession)
-    ordered = dealt.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "key")
+    dealt = spread.select("bucket", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "key", "root", "sig", "n", *(["_text"] if exact else []))
+    ordered = dealt.repartition(parallelism(members.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -228,62 +227,56 @@ def _compare(members: DataFrame, pairs: bool) -> DataFrame:
             return
         keys, root = group["key"].to_pylist(), np.array([number[x] for x in roots])
         sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        size, support, own = (group[c].to_numpy() for c in ("n", "support", "_own"))
+        bands = sig.view(np.uint64)
+        here = np.flatnonzero(mix(bands[0] ^ _SALTS).view(np.int64) == group["bucket"][0].as_py())
+        size, own = group["n"].to_numpy(), group["_own"].to_numpy()
         lone = group["i"][0].as_py() == group["j"][0].as_py()
+        sets = Sets(group["_text"].to_pylist()) if exact else None
         a, b, met = [], [], np.zeros(len(keys), bool)
         for i in range(len(keys) - 1):
             rest = np.arange(i + 1, len(keys))
-            # linked sets of n and m members share at least 3 / 7 of n + m
-            enough = (100 + PERCENT) * np.minimum(support[rest], support[i]) >= PERCENT * (size[rest] + size[i])
-            rest = rest[(root[rest] != root[i]) & enough & (100 * np.minimum(size[rest], size[i]) >= PERCENT * np.maximum(size[rest], size[i]))]
+            rest = rest[(root[rest] != root[i]) & (100 * np.minimum(size[rest], size[i]) >= PERCENT * np.maximum(size[rest], size[i]))]
             if not lone:
                 rest = rest[own[rest] != own[i]]
+            if exact and len(here):
+                rest = rest[(bands[rest] == bands[i]).argmax(1) == here[0]]
             if len(rest):
                 rest = rest[estimate((sig[rest] == sig[i]).sum(1), size[rest], np.full(len(rest), size[i])) >= lowest_estimate()]
-            if len(rest):
+            if len(rest) and exact:
+                common = sets.common(i, rest)
+                rest = rest[100 * common >= PERCENT * (size[rest] + size[i] - common)]
+                a += [min(keys[i], keys[k]) for k in rest]
+                b += [max(keys[i], keys[k]) for k in rest]
+            elif len(rest):
                 met[rest] = met[i] = True
-                if pairs:
-                    a += [keys[i]] * len(rest)
-                    b += [keys[k] for k in rest]
-        if pairs and a:
+        if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-        elif not pairs and met.any():
+        elif met.any():
             yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in np.flatnonzero(met)], pa.binary())], names=["key"])
 
-    return ordered.mapInArrow(run, "a binary, b binary" if pairs else "key binary")
-
-
-def support(texts: DataFrame) -> DataFrame:
-    """(ref, support): the shingles of each class that another class of ``texts`` has too. ``ref`` is a hash of the key;
-    classes that share one get the sum, which is a bound all the same.
+    return ordered.mapInArrow(run, "a binary, b binary" if exact else "key binary")
 
-    Shingles go to ranges of the hash space as arrays; each range answers with one count for each class and batch."""
-    ranges = 4 * parallelism(texts.sparkSession)
-    slim = texts.select(F.xxhash64("key").alias("ref"), "_text")
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1):
-                hashes, sizes = shingles(Words.of(as_bytes(part.column(1)), lower=True))
-                ends = np.cumsum(sizes)
-                sets = [np.unique(hashes[e - s : e]) for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                ref = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
-                values = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-                order = np.argsort(values)
-                ref, values = ref[order], values[order]
-                edges = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
-                at = np.concatenate(([0], np.searchsorted(values, edges), [len(values)])).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (ref, values.view(np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(ranges, dtype=np.int32)), *lists], names=["range", "refs", "shingles"])
+class Sets:
+    """The shingle sets of a block's texts, as numbers, for counting common members."""
 
-    def answer(rows: pa.Table) -> pa.Table:
-        refs, values = (rows[c].combine_chunks().flatten().to_numpy() for c in ("refs", "shingles"))
-        _, place, count = np.unique(values, return_inverse=True, return_counts=True)
-        found, n = np.unique(refs[count[place] > 1], return_counts=True)
-        return pa.table([pa.array(found), pa.array(n)], names=["ref", "n"])
+    def __init__(self, texts: list[str]):
+        hashes, sizes = shingles(Words.of([t.encode() for t in texts], lower=True))
+        ends = np.cumsum(sizes)
+        sets = [np.unique(hashes[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        self.sizes = np.array([len(x) for x in sets])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        _, self.members = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(int(self.members.max(initial=-1)) + 1, np.int64)
 
-    asked = slim.mapInArrow(ask, "range int, refs array<long>, shingles array<long>")
-    return asked.groupBy("range").applyInArrow(answer, "ref long, n long").groupBy("ref").agg(F.sum("n").alias("support"))
+    def common(self, i: int, others: np.ndarray) -> np.ndarray:
+        own = self.members[self.starts[i] : self.starts[i] + self.sizes[i]]
+        self.mark[own] = 1
+        sizes = self.sizes[others]
+        at = np.repeat(self.starts[others] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        found = segment_sums(self.mark[self.members[at]], sizes)
+        self.mark[own] = 0
+        return found
 
 
 # -- the operator ---------------------------------------------------------------------------------------------------------
@@ -310,9 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = written(placed.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low != _high").select("bucket"), "mixed")
     facing = placed.join(mixed, "bucket").join(classes.select("key", "sig", "n"), "key")
     near = written(facing_keys(facing), "near")
-    bounds = support(texts.join(near, "key").select("key", "_text"))
-    bounded = near.withColumn("ref", F.xxhash64("key")).join(bounds, "ref").select("key", "support")
-    more = written(verify(cross_pairs(facing.join(bounded, "key")), texts), "more")
+    more = written(cross_links(facing.join(near, "key").join(texts.select("key", "_text"), "key")), "more")
     ids = classes.select("key", "least_id").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least_id", F.coalesce("root", "key").alias("root"))
     if not more.isEmpty():  # what the second pass links are whole components of the first
         up = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))

@@ -428,23 +428,17 @@ def test_sketch_estimates(spark):
 
 
 def test_second_pass_finds_links_that_the_first_misses(spark):
-    """Members that do not reach the key's least member, but each other."""
+    """Members that do not reach the key's centre, but each other; also where a key's members fill several blocks."""
     sig = bytes(2 * near_dup.REGISTERS)
-    members = [(1, 3, bytes([i]), bytes([i]), sig, 100) for i in range(3)] + [(2, 1200, i.to_bytes(2, "big"), b"r%d" % (i == 7), sig, 10) for i in range(1200)]
-    df = spark.createDataFrame(members, "bucket long, size long, key binary, root binary, sig binary, n long").withColumn("support", F.col("n"))
-    found = {(bytes(r["a"]), bytes(r["b"])) for r in near_dup.cross_pairs(df).collect()}
-    assert {(bytes([a]), bytes([b])) for a in range(3) for b in range(a + 1, 3)} <= found
-    assert len(found) == 3 + 1199
-    assert near_dup.facing_keys(df.drop("support")).count() == 1203
-    assert near_dup.cross_pairs(df.withColumn("support", F.lit(8))).count() == 0
-
-
-def test_support_counts_shared_shingles(spark):
     words = prose(9, 40).split(" ")
-    texts = [(b"a", " ".join(words)), (b"b", " ".join(words[:20] + ["z"] * 20)), (b"c", prose(10, 30))]
-    df = spark.createDataFrame(texts, "key binary, _text string")
-    keys = dict(df.select(F.xxhash64("key"), F.col("key").cast("string")).collect())
-    assert {keys[r["ref"]]: r["support"] for r in near_dup.support(df).collect()} == {"a": 16, "b": 16}
+    near = [" ".join(words), " ".join([*words[:39], "z"]), prose(10, 40)]
+    members = [(1, 3, bytes([i]), bytes([i]), sig, 36, near[i]) for i in range(3)]
+    members += [(2, 1200, i.to_bytes(2, "big"), b"r%d" % (i == 7), sig, 36, near[0] if i % 2 else near[2]) for i in range(1200)]
+    df = spark.createDataFrame(members, "bucket long, size long, key binary, root binary, sig binary, n long, _text string")
+    found = {(bytes(r["a"]), bytes(r["b"])) for r in near_dup.cross_links(df).collect()}
+    seven = (7).to_bytes(2, "big")
+    assert found == {(bytes([0]), bytes([1]))} | {tuple(sorted((seven, i.to_bytes(2, "big")))) for i in range(1, 1200, 2) if i != 7}
+    assert near_dup.facing_keys(df.drop("_text")).count() == 1203
 
 
 def test_components(spark):
