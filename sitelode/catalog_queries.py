@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import classify, dates, keys, measures, text
-from .operators import blend, compare, coverage, graph, jobs, links, markup, merge, profiles, topics
+from .operators import blend, compare, coverage, graph, insights, jobs, links, markup, merge, profiles, scopes, topics
 from .plans.search_report import GRAINS, Filter, SearchReport, monthly_summary
 from .sources import access_log, providers
 from .standins import fact, oracle_with, table
@@ -654,3 +654,74 @@ def r16_recommendations(spark: SparkSession, sf: str) -> DataFrame:
     rows = links.scored(found.join(target, "target_key").join(source, "source_key").withColumn("similarity", F.lit(0.0)).filter("anchor is not null"))
     best = links.top_per_target(rows.withColumn("site", F.lit(SITE)))
     return links.choose(best.select("site", "source_key", "target_key", "anchor", "overlap", "score", "confidence", "type"))
+
+
+# -- raw reports, scopes, insights ----------------------------------------------------------------------------------------
+
+
+@query("r2_raw_search", oracle_with("page_query_daily") + f"SELECT date, page_key, query, clicks, impressions, round(position, 6) AS position FROM page_query_daily WHERE {DAYS} AND (contains(lower(page_key), '/p2') OR contains(lower(query), '33')) ORDER BY impressions DESC, date, page_key, query LIMIT 50 OFFSET 10")
+def r2_raw_search(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fact(spark, sf, "page_query_daily").filter(F.col("date").between(START, END)).filter(F.lower("page_key").contains("/p2") | F.lower("query").contains("33"))
+    shown = rows.orderBy(F.desc("impressions"), "date", "page_key", "query").offset(10).limit(50)
+    return rounded(shown.select("date", "page_key", "query", F.col("clicks").cast("long").alias("clicks"), F.col("impressions").cast("long").alias("impressions"), "position"), "position")
+
+
+@query("r3_raw_traffic", oracle_with("traffic_page_daily") + "SELECT date, page_key, CAST(SUM(sessions) AS BIGINT) AS sessions, round(SUM(bounce_rate * sessions) / SUM(sessions), 6) AS bounce_rate FROM traffic_page_daily WHERE page_key <> '' GROUP BY 1, 2 ORDER BY 1, 3 DESC, 2 LIMIT 200")
+def r3_raw_traffic(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fact(spark, sf, "traffic_page_daily").filter("page_key <> ''").groupBy("date", "page_key")
+    return rounded(rows.agg(F.sum("sessions").alias("sessions"), measures.weighted_mean(F.col("bounce_rate"), F.col("sessions")).alias("bounce_rate")), "bounce_rate").orderBy("date", F.desc("sessions"), "page_key").limit(200)
+
+
+_MONTHS = (date(1996, 3, 1), date(1996, 3, 31)), (date(1996, 2, 1), date(1996, 2, 29))
+
+
+@query("r23_query_counts", oracle_with("page_query_daily") + ", a AS (SELECT page_key, COUNT(DISTINCT query) n FROM page_query_daily WHERE date BETWEEN DATE '1996-03-01' AND DATE '1996-03-31' AND query <> '' GROUP BY 1), b AS (SELECT page_key, COUNT(DISTINCT query) n FROM page_query_daily WHERE date BETWEEN DATE '1996-02-01' AND DATE '1996-02-29' AND query <> '' GROUP BY 1) SELECT coalesce(a.page_key, b.page_key) AS page_key, coalesce(a.n, 0) AS query_count, coalesce(b.n, 0) AS previous_query_count FROM a FULL JOIN b ON a.page_key = b.page_key")
+def r23_query_counts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fact(spark, sf, "page_query_daily").filter("query <> ''")
+    count = lambda span: rows.filter(F.col("date").between(*span)).groupBy("page_key").agg(F.count_distinct("query").alias("query_count"))
+    return compare.by_key(count(_MONTHS[0]), count(_MONTHS[1]), ["page_key"], ["query_count"], "full_outer")
+
+
+@query("r25_insights", oracle_with("query_daily") + """, p AS (SELECT query, date >= DATE '1996-03-01' AS now, SUM(clicks) clicks, SUM(impressions) impressions, SUM(position * impressions) / SUM(impressions) AS position FROM query_daily WHERE date BETWEEN DATE '1996-02-01' AND DATE '1996-03-31' GROUP BY 1, 2),
+    j AS (SELECT a.query, a.clicks, a.impressions, a.position, coalesce(b.clicks, 0) pc, coalesce(b.position, 0) pp FROM (SELECT * FROM p WHERE now) a LEFT JOIN (SELECT * FROM p WHERE NOT now) b ON a.query = b.query),
+    k AS (SELECT *, CASE WHEN pc > 0 THEN (clicks - pc) * 100.0 / pc WHEN clicks > 0 THEN 100.0 ELSE 0.0 END AS ch FROM j),
+    m AS (SELECT *, CASE WHEN pc >= 10 AND abs(ch) >= 20 THEN 'click_trend' WHEN impressions >= 100 AND position > 3 AND clicks * 50 < impressions THEN 'impressions_opportunity' WHEN abs(position - pp) >= 1 THEN 'position_move' END AS kind FROM k)
+    SELECT query, kind, round(CAST(ch AS DOUBLE), 4) AS change FROM m WHERE kind IS NOT NULL ORDER BY impressions DESC, query LIMIT 3""")
+def r25_insights(spark: SparkSession, sf: str) -> DataFrame:
+    total = lambda span: SearchReport(*span, ("query",)).plan(facts(spark, sf, "query_daily"))
+    both = compare.by_key(total(_MONTHS[0]), total(_MONTHS[1]), ["query"], ["clicks", "impressions", "position"])
+    return insights.panel(both, "query")
+
+
+_PROPERTIES = "SELECT c_custkey AS id, c_custkey % 20 AS owner, CASE CAST(c_custkey % 3 AS INT) WHEN 0 THEN concat('sc-domain:site-', CAST(c_nationkey AS STRING), '.example') WHEN 1 THEN concat('https://www.Site-', CAST(c_nationkey AS STRING), '.example/') ELSE concat('http://site-', CAST(c_nationkey AS STRING), '.example/path') END AS site, c_custkey AS created_at FROM customer"
+
+
+def _properties(spark: SparkSession, sf: str) -> DataFrame:
+    return scopes.with_domain(spark.sql(_PROPERTIES.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf, "customer")))
+
+
+@query("u10_scope_merge", f"WITH p AS ({_PROPERTIES}), d AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(trim(site)), '^(sc-domain:|https?://)', ''), '^www\\.', ''), '[/?#:].*$', '') AS domain FROM p) SELECT owner, domain, MIN(id) AS id, COUNT(*) AS scopes, substr(sha256(CAST(owner AS VARCHAR) || chr(10) || domain), 1, 24) AS scope_id FROM d GROUP BY 1, 2")
+def u10_scope_merge(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _properties(spark, sf)
+    kept, children = scopes.merged(rows, rows.select(F.col("id").alias("scope"), F.col("id").alias("child")))
+    n = children.groupBy(F.col("scope").alias("id")).agg(F.count(F.lit(1)).alias("scopes"))
+    return kept.join(n, "id").select("owner", "domain", "id", "scopes", "scope_id")
+
+
+@query("j27_site_matches", f"WITH p AS ({_PROPERTIES}), d AS (SELECT DISTINCT owner, site, regexp_replace(regexp_replace(regexp_replace(lower(trim(site)), '^(sc-domain:|https?://)', ''), '^www\\.', ''), '[/?#:].*$', '') AS domain FROM p), q AS (SELECT DISTINCT s_suppkey % 20 AS owner, concat('Site', CAST(s_nationkey AS VARCHAR), '.example') AS property FROM supplier), m AS (SELECT d.owner, site, property, row_number() OVER (PARTITION BY d.owner, site ORDER BY property) rn FROM d JOIN q ON d.owner = q.owner AND replace(split_part(domain, '.', 1), '-', '') = lower(split_part(property, '.', 1))) SELECT owner, site, property, 0 AS exact FROM m WHERE rn = 1")
+def j27_site_matches(spark: SparkSession, sf: str) -> DataFrame:
+    names = table(spark, sf, "supplier").select((F.col("s_suppkey") % 20).alias("owner"), F.concat(F.lit("Site"), F.col("s_nationkey").cast("string"), F.lit(".example")).alias("property")).distinct()
+    return scopes.matched(_properties(spark, sf).select("owner", "site").distinct(), names)
+
+
+@query("k28_index_status", oracle_with("crawl_pages") + f", g AS (SELECT DISTINCT {_key_sql('url')} AS page_key, CASE WHEN crawl_order % 3 = 0 THEN 'Submitted and indexed' WHEN crawl_order % 3 = 1 THEN 'Crawled - currently not indexed' END AS s, crawl_order % 60 AS d FROM crawl_pages) SELECT CASE WHEN s = 'Submitted and indexed' THEN CASE WHEN d > 30 THEN 'at-risk' ELSE 'indexed' END ELSE 'not-indexed' END AS index_status, COUNT(*) AS pages FROM g GROUP BY 1")
+def k28_index_status(spark: SparkSession, sf: str) -> DataFrame:
+    state = F.when(F.col("crawl_order") % 3 == 0, "Submitted and indexed").when(F.col("crawl_order") % 3 == 1, "Crawled - currently not indexed")
+    grid = fact(spark, sf, "crawl_pages").select(keys.page_key(F.col("url")).alias("page_key"), state.alias("coverage_state"), (F.col("crawl_order") % 60).alias("days_since_crawl")).distinct()
+    return insights.index_states(grid).groupBy("index_status").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query("r14_readiness", oracle_with("crawl_pages") + ", p AS (SELECT crawl_order % 6 AS site, COUNT(*) AS pages, count_if(word_count > 200) AS b, count_if(h1_count > 0) AS f, count_if(title <> '') AS t FROM crawl_pages GROUP BY 1) SELECT site, CASE WHEN b / CAST(pages AS DOUBLE) >= 0.9 AND f / CAST(pages AS DOUBLE) >= 0.9 AND t / CAST(pages AS DOUBLE) >= 0.75 THEN 'ready' ELSE 'partial' END AS state FROM p WHERE site <> 5 UNION ALL SELECT site, 'pending' FROM p WHERE site = 5")
+def r14_readiness(spark: SparkSession, sf: str) -> DataFrame:
+    per = fact(spark, sf, "crawl_pages").groupBy((F.col("crawl_order") % 6).alias("site")).agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("word_count") > 200).alias("b"), F.count_if(F.col("h1_count") > 0).alias("f"), F.count_if(F.col("title") != "").alias("t"))
+    return per.select("site", profiles.readiness(F.col("pages"), F.col("b"), F.col("f"), F.col("t"), F.col("site") == 5, F.lit(False)).alias("state"))
