@@ -2,4 +2,49 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from . import shards
+from .secrets import BASE, RULE_VERSION, RULES
+
+
+def secret_scan_sql() -> str:
+    """Spans from the matches and the pieces between them: a match begins where all that is before it ends."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {quoted(r.kind)} AS kind, {i} AS rk, {r.least} AS least, regexp_extract_all(t, {quoted(r.pattern)}) AS m, regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS g, string_split_regex(t, {quoted(r.pattern)}) AS s FROM d" for i, r in enumerate(RULES)
+    )
+    size = "coalesce(list_sum(list_transform({0}, lambda z: length(z))), 0)"
+    counts = ", ".join(f"coalesce(count_if(kind = '{r.kind}'), 0)::BIGINT AS n_{r.kind}" for r in BASE)
+    span = "string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, rk)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), k AS ({found}),
+    u AS (SELECT doc_id, kind, rk, least, m, g, s, unnest(range(1, len(m) + 1)) AS i FROM k WHERE len(m) > 0),
+    x AS (SELECT doc_id, kind, rk, least, CAST({size.format('s[1:i]')} + {size.format('m[1:i - 1]')} AS BIGINT) AS a, length(m[i]) AS n, length(g[i]) AS measured FROM u),
+    f AS (SELECT doc_id, kind, rk, a, a + n AS e FROM x WHERE measured >= least)
+    SELECT d.doc_id, {counts}, sha256(coalesce({span} FILTER (rk < {len(BASE)}), '')) AS base_sha256, coalesce({span}, '') AS spans, sha256(t) AS blob, '{RULE_VERSION}' AS rule_version
+    FROM d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id, t"""
+
+
+def crc32_table() -> list[int]:
+    """By rule: eight steps of the reversed polynomial for each byte."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+def stratified_shards_sql(shards_wanted: int = 8) -> str:
+    """Ranks over whole partitions; the checksum folds over the bytes of the text."""
+    table = f"[{', '.join(map(str, crc32_table()))}]::BIGINT[]"
+    byte = "CAST(('0x' || substr(h, CAST(2 * i - 1 AS BIGINT), 2)) AS BIGINT)"
+    crc = f"xor(list_reduce(list_transform(range(1, n + 1), lambda i: {byte}), lambda acc, b: xor(acc >> 8, tab[1 + (xor(acc, b) & 255)]), 4294967295::BIGINT), 4294967295::BIGINT)"
+    return f"""WITH d AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n, md5('{shards.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+    c AS (SELECT d.doc_id, d.source, d.k, d.n + 1 AS size, {crc} AS text_crc32 FROM d, (SELECT {table} AS tab)),
+    r AS (SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY k, doc_id, text_crc32, size) - 1) / CAST(2 * COUNT(*) OVER (PARTITION BY source) AS DOUBLE) AS f FROM c),
+    p AS (SELECT *, row_number() OVER (ORDER BY f, source NULLS FIRST, k, doc_id, text_crc32, size) - 1 AS place, COUNT(*) OVER () AS total FROM r),
+    q AS (SELECT *, total // {shards_wanted} AS least, total % {shards_wanted} AS more FROM p),
+    s AS (SELECT *, CASE WHEN place < (least + 1) * more THEN place // (least + 1) ELSE more + (place - (least + 1) * more) // greatest(least, 1) END AS shard FROM q)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard, CAST(place - CASE WHEN shard <= more THEN shard * (least + 1) ELSE (least + 1) * more + (shard - more) * least END AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, source FROM s"""
+
+
+ORACLE: dict[str, str] = {"op4_stratified_shards": stratified_shards_sql(), "op2_secret_scan": secret_scan_sql()}
