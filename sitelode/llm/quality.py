@@ -206,33 +206,57 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
 
 
 def fit(features: DataFrame) -> Model | None:
-    """Fits on three of four rows by hash of the id and calibrates on the fourth; None without both labels in both parts."""
-    table = features.withColumn("_fold", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(4))).select("_id", "_label", "_fold", "slots", "vals").toArrow().sort_by("_id").combine_chunks()
-    if not table.num_rows:
-        return None
-    label, fold = table["_label"].to_numpy().astype(np.float64), table["_fold"].to_numpy()
-    held = fold == 0
+    """Fits on three of four rows by hash of the id and calibrates on the fourth; None without both labels in both parts.
+
+    The bounded sample meets in one task, which returns the model alone, so no features pass through the driver.
+    """
+    folds = features.select("_id", "_label", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(4)).alias("_fold"), "slots", "vals")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _fitted(sorted(_examples(batches), key=lambda x: x[0]))
+        if model:
+            columns = [[model.weights.tobytes()], [model.bias], [model.slope], [model.offset], [model.rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["weights", "bias", "slope", "offset", "rows"])
+
+    made = folds.repartition(1).mapInArrow(run, "weights binary, bias double, slope double, offset double, rows long").collect()
+    return Model(np.frombuffer(made[0]["weights"], np.float32), *made[0][1:]) if made else None
+
+
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, int, int, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), batch.column(4), strict=True):
+            yield *row[:3], row[3].values.to_numpy().copy(), row[4].values.to_numpy().copy()
+
+
+def _fitted(rows: list[tuple[object, int, int, np.ndarray, np.ndarray]]) -> Model | None:
+    label, held = np.array([x[1] for x in rows], np.float64), np.array([x[2] == 0 for x in rows], bool)
     if any(len(set(label[x])) < 2 for x in (held, ~held)):
         return None
-    slots, vals = (table[c].combine_chunks() for c in ("slots", "vals"))
-    sizes = np.diff(slots.offsets.to_numpy())
-    slot, val = slots.flatten().to_numpy().astype(np.int64), vals.flatten().to_numpy().astype(np.float64)
-    row = np.repeat(np.arange(len(label)), sizes)
+    parts, start = [], 0  # runs of rows, so that the arithmetic needs little room besides the sample
+    sizes = np.array([len(x[3]) for x in rows])
+    for stop in range(1, len(rows) + 1):
+        if stop == len(rows) or sizes[start:stop].sum() >= 1 << 20:
+            parts.append((slice(start, stop), np.concatenate([x[3] for x in rows[start:stop]]), np.concatenate([x[4] for x in rows[start:stop]]), sizes[start:stop]))
+            start = stop
+    n = len(rows)
+    rows.clear()
+    margins = lambda: np.concatenate([segment_sums(val * w[slot], size) for _, slot, val, size in parts]) + bias
     share = label[~held].mean()
     weight = np.where(held, 0.0, np.where(label == 1, 0.5 / share, 0.5 / (1 - share))) / (~held).sum()
     w, bias = np.zeros(1 << BITS), 0.0
     first, second, b1, b2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, ROUNDS + 1):  # Adam on the whole sample
-        margin = segment_sums(val * w[slot], sizes) + bias
-        error = (sigmoid(margin) - label) * weight
-        grad = np.bincount(slot, val * error[row], len(w)) + RIDGE * w
+        error = (sigmoid(margins()) - label) * weight
+        grad = RIDGE * w
+        for own, slot, val, size in parts:
+            grad += np.bincount(slot, val * np.repeat(error[own], size), len(w))
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         b1, b2 = 0.9 * b1 + 0.1 * error.sum(), 0.999 * b2 + 0.001 * error.sum() ** 2
         w -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         bias -= RATE * (b1 / (1 - 0.9**step)) / (np.sqrt(b2 / (1 - 0.999**step)) + 1e-8)
-    margin = segment_sums(val * w[slot], sizes) + bias
+    margin = margins()
     slope, offset = platt(margin[held], label[held])
-    return Model(w.astype(np.float32), float(bias), slope, offset, len(label))
+    return Model(w.astype(np.float32), float(bias), slope, offset, n)
 
 
 def platt(margin: np.ndarray, label: np.ndarray, rounds: int = 60) -> tuple[float, float]:
