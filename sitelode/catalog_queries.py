@@ -253,15 +253,15 @@ _SPAN = "DATE '2024-01-01' AND DATE '2024-02-05'"
 
 
 def _event_days(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").filter("user_id % 97 = 3").select(F.to_date("ts").alias("date"))
+    return table(spark, sf, "events").select(F.to_date("ts").alias("date"))
 
 
 def _ledger(spark: SparkSession) -> DataFrame:
-    return spark.sql("SELECT date_add(DATE '2024-01-01', CAST(id * 5 AS INT)) AS date, CASE WHEN id % 3 = 0 THEN 'zero' WHEN id % 3 = 1 THEN 'error' ELSE 'partial' END AS status FROM range(6)")
+    return spark.sql("SELECT date_add(DATE '2024-01-01', CAST(id * 5 AS INT)) AS date, CASE WHEN id % 3 = 0 THEN 'zero' WHEN id % 3 = 1 THEN 'error' ELSE 'partial' END AS status FROM range(8)")
 
 
-_DAYS = f"""WITH d AS (SELECT CAST(range AS DATE) AS date FROM range(DATE '2024-01-01', DATE '2024-02-06', INTERVAL 1 DAY)), l AS (SELECT DATE '2024-01-01' + CAST(i * 5 AS INT) AS date, CASE WHEN i % 3 = 0 THEN 'zero' WHEN i % 3 = 1 THEN 'error' ELSE 'partial' END AS status FROM range(6) r(i)),
-    s AS (SELECT CAST(ts AS DATE) AS date, COUNT(*) n FROM events WHERE user_id % 97 = 3 GROUP BY 1), c AS (SELECT d.date, CASE WHEN l.status IN ('zero', 'partial') THEN l.status WHEN n >= 1 THEN 'complete' WHEN l.status = 'error' THEN 'error' ELSE 'missing' END AS status FROM d LEFT JOIN l USING (date) LEFT JOIN s USING (date)) """
+_DAYS = f"""WITH d AS (SELECT CAST(range AS DATE) AS date FROM range(DATE '2024-01-01', DATE '2024-02-06', INTERVAL 1 DAY)), l AS (SELECT DATE '2024-01-01' + CAST(i * 5 AS INT) AS date, CASE WHEN i % 3 = 0 THEN 'zero' WHEN i % 3 = 1 THEN 'error' ELSE 'partial' END AS status FROM range(8) r(i)),
+    s AS (SELECT CAST(ts AS DATE) AS date, COUNT(*) n FROM events GROUP BY 1), c AS (SELECT d.date, CASE WHEN l.status IN ('zero', 'partial') THEN l.status WHEN n >= 1 THEN 'complete' WHEN l.status = 'error' THEN 'error' ELSE 'missing' END AS status FROM d LEFT JOIN l USING (date) LEFT JOIN s USING (date)) """
 
 
 def _days(spark: SparkSession, sf: str) -> DataFrame:
@@ -345,11 +345,11 @@ def r21_weekly_series(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(total, "ctr", "position")
 
 
-@query("j18_crawl_diff", oracle_with("crawl_pages") + f", k AS (SELECT *, {_key_sql('url')} AS page_key FROM crawl_pages), a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY crawl_order) rn FROM k WHERE crawl_order <= 120) WHERE rn = 1), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY crawl_order) rn FROM k WHERE crawl_order > 60) WHERE rn = 1) SELECT coalesce(a.page_key, b.page_key) AS page_key, CASE WHEN a.page_key IS NULL THEN 'new' WHEN b.page_key IS NULL THEN 'missing' WHEN a.status_code IS DISTINCT FROM b.status_code THEN 'status' WHEN a.title IS DISTINCT FROM b.title THEN 'title' WHEN a.canonical_url IS DISTINCT FROM b.canonical_url THEN 'canonical' ELSE 'unchanged' END AS change FROM a FULL JOIN b ON a.page_key = b.page_key")
+@query("j18_crawl_diff", oracle_with("crawl_pages") + f", k AS (SELECT *, {_key_sql('url')} AS page_key FROM crawl_pages), a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY crawl_order) rn FROM k WHERE status_code = 200) WHERE rn = 1), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY crawl_order) rn FROM k WHERE NOT noindex) WHERE rn = 1) SELECT coalesce(a.page_key, b.page_key) AS page_key, CASE WHEN a.page_key IS NULL THEN 'new' WHEN b.page_key IS NULL THEN 'missing' WHEN a.status_code IS DISTINCT FROM b.status_code THEN 'status' WHEN a.title IS DISTINCT FROM b.title THEN 'title' WHEN a.canonical_url IS DISTINCT FROM b.canonical_url THEN 'canonical' ELSE 'unchanged' END AS change FROM a FULL JOIN b ON a.page_key = b.page_key")
 def j18_crawl_diff(spark: SparkSession, sf: str) -> DataFrame:
     pages = fact(spark, sf, "crawl_pages").withColumn("page_key", keys.page_key(F.col("url")))
     first = lambda df: merge.latest(df, ["page_key"], F.col("crawl_order").asc())
-    return compare.crawl_diff(first(pages.filter("crawl_order <= 120")), first(pages.filter("crawl_order > 60")))
+    return compare.crawl_diff(first(pages.filter("status_code = 200")), first(pages.filter("not noindex")))
 
 
 # -- merging --------------------------------------------------------------------------------------------------------------
@@ -496,7 +496,7 @@ def r26_log_figures(spark: SparkSession, sf: str) -> DataFrame:
     return access_log.figures(_log(spark, sf)).withColumn("crawl_efficiency", F.col("crawl_efficiency").cast("double"))
 
 
-_RANKS = "WITH k AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 = 0), r AS (SELECT o_custkey AS keyword_id, CAST(o_orderdate AS DATE) AS date, MIN(CAST(o_orderkey % 100 AS INT)) AS position FROM orders GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY keyword_id ORDER BY date DESC) rn, lead(position) OVER (PARTITION BY keyword_id ORDER BY date DESC) AS before FROM r) "
+_RANKS = "WITH k AS (SELECT c_custkey AS id FROM customer), r AS (SELECT o_custkey AS keyword_id, CAST(o_orderdate AS DATE) AS date, MIN(CAST(o_orderkey % 100 AS INT)) AS position FROM orders GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY keyword_id ORDER BY date DESC) rn, lead(position) OVER (PARTITION BY keyword_id ORDER BY date DESC) AS before FROM r) "
 
 
 @query("r18_ranks", _RANKS + "SELECT id, date, position, position - before AS change FROM k LEFT JOIN (SELECT * FROM n WHERE rn = 1) ON id = keyword_id")
@@ -505,7 +505,7 @@ def r18_ranks(spark: SparkSession, sf: str) -> DataFrame:
     ranks = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("keyword_id"), F.to_date("o_orderdate").alias("date")).agg(F.min((F.col("o_orderkey") % 100).cast("int")).alias("position"))
     own = Window.partitionBy("keyword_id").orderBy(F.desc("date"))
     last = ranks.withColumns({"change": F.col("position") - F.lead("position").over(own), "_rn": F.row_number().over(own)}).filter("_rn = 1").drop("_rn")
-    words = table(spark, sf, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"))
+    words = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
     return words.join(last, F.col("id") == F.col("keyword_id"), "left").select("id", "date", "position", "change")
 
 
@@ -556,11 +556,11 @@ def a23_spread(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.spread(fact(spark, sf, "jobs"))
 
 
-@query("j26_covering_jobs", oracle_with("jobs") + ", b AS (SELECT id, owner, site, status, CAST(created_at AS DATE) AS s, CAST(created_at AS DATE) + CAST(5 + id % 40 AS INT) AS e, created_at AS updated_at FROM jobs WHERE id % 2 = 0), q AS (SELECT id AS request_id, owner, site, CAST(created_at AS DATE) + 1 AS ws, CAST(created_at AS DATE) + 6 AS we FROM jobs WHERE id % 5 = 1), m AS (SELECT request_id, b.id AS job_id, row_number() OVER (PARTITION BY request_id ORDER BY CAST(s = ws AND e = we AS INT) DESC, CASE status WHEN 'running' THEN 0 WHEN 'retrying' THEN 1 WHEN 'queued' THEN 2 ELSE 3 END, s DESC, e, updated_at DESC, b.id DESC) rn FROM q JOIN b ON q.owner = b.owner AND q.site = b.site AND s <= ws AND e >= we) SELECT request_id, job_id FROM m WHERE rn = 1")
+@query("j26_covering_jobs", oracle_with("jobs") + ", b AS (SELECT id, owner, site, status, CAST(created_at AS DATE) AS s, CAST(created_at AS DATE) + CAST(5 + id % 40 AS INT) AS e, created_at AS updated_at FROM jobs), q AS (SELECT id AS request_id, owner, site, CAST(created_at AS DATE) + 1 AS ws, CAST(created_at AS DATE) + 6 AS we FROM jobs), m AS (SELECT request_id, b.id AS job_id, row_number() OVER (PARTITION BY request_id ORDER BY CAST(s = ws AND e = we AS INT) DESC, CASE status WHEN 'running' THEN 0 WHEN 'retrying' THEN 1 WHEN 'queued' THEN 2 ELSE 3 END, s DESC, e, updated_at DESC, b.id DESC) rn FROM q JOIN b ON q.owner = b.owner AND q.site = b.site AND s <= ws AND e >= we) SELECT request_id, job_id FROM m WHERE rn = 1")
 def j26_covering_jobs(spark: SparkSession, sf: str) -> DataFrame:
     rows, day = fact(spark, sf, "jobs"), F.to_date("created_at")
-    known = rows.filter("id % 2 = 0").select("id", "owner", "site", "status", day.alias("start"), F.date_add(day, (F.col("id") % 40 + 5).cast("int")).alias("end"), F.col("created_at").alias("updated_at"))
-    wanted = rows.filter("id % 5 = 1").select(F.col("id").alias("request_id"), "owner", "site", F.date_add(day, 1).alias("want_start"), F.date_add(day, 6).alias("want_end"))
+    known = rows.select("id", "owner", "site", "status", day.alias("start"), F.date_add(day, (F.col("id") % 40 + 5).cast("int")).alias("end"), F.col("created_at").alias("updated_at"))
+    wanted = rows.select(F.col("id").alias("request_id"), "owner", "site", F.date_add(day, 1).alias("want_start"), F.date_add(day, 6).alias("want_end"))
     return jobs.covering(wanted, known)
 
 

@@ -35,12 +35,12 @@ SQL = {
     "llm_referral_daily": """SELECT CAST(ts AS DATE) AS date, CASE CAST(user_id % 6 AS INT) WHEN 0 THEN 'chatgpt.com' WHEN 1 THEN 'perplexity.ai' WHEN 2 THEN 'Claude.ai' WHEN 3 THEN 'gemini.google.com' WHEN 4 THEN 'copilot' ELSE '' END AS source,
         concat('/s', CAST(user_id % 4 AS STRING)) AS page_key, COUNT(*) AS sessions, SUM(event_id % 2) AS engaged_sessions, CAST(SUM(event_id % 7) AS DOUBLE) AS key_events,
         CAST(SUM(event_id % 100) AS DOUBLE) / COUNT(*) AS average_session_duration FROM {events} GROUP BY 1, 2, 3""",
-    "crawl_pages": """SELECT concat('https://www.site.example/s', CAST(p_partkey % 5 AS STRING), '/p', CAST(p_partkey % 40 AS STRING), CASE WHEN p_partkey % 2 = 0 THEN '/' ELSE '?x=1' END) AS url,
+    "crawl_pages": """SELECT concat('https://www.site.example/s', CAST(p_partkey % 5 AS STRING), '/p', CAST(p_partkey % 900 AS STRING), CASE WHEN p_partkey % 2 = 0 THEN '/' ELSE '?x=1' END) AS url,
         CASE WHEN p_partkey % 11 = 0 THEN concat('https://site.example/s1/p', CAST(p_partkey % 40 AS STRING)) WHEN p_partkey % 7 = 0 THEN 'https://other.example/z' END AS canonical_url,
         CASE WHEN p_partkey % 17 = 0 THEN 404 WHEN p_partkey % 19 = 0 THEN NULL ELSE 200 END AS status_code, p_partkey % 13 = 0 AS noindex, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END AS title,
         CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_type END AS meta_description, CAST(p_size % 3 AS INT) AS h1_count, CAST(p_size * 20 AS BIGINT) AS word_count, CAST(p_partkey AS BIGINT) AS crawl_order
-        FROM {part} WHERE p_partkey <= 160""",
-    "crawl_links": """SELECT DISTINCT concat('/s', CAST(o_custkey % 5 AS STRING), '/p', CAST(o_custkey % 40 AS STRING)) AS from_key, concat('/s', CAST(o_orderkey % 5 AS STRING), '/p', CAST(o_orderkey % 37 AS STRING)) AS to_key FROM {orders} WHERE o_orderkey % 7 = 0""",
+        FROM {part}""",
+    "crawl_links": """SELECT DISTINCT concat('/s', CAST(o_custkey % 5 AS STRING), '/p', CAST(o_custkey % 40 AS STRING)) AS from_key, concat('/s', CAST(o_orderkey % 5 AS STRING), '/p', CAST(o_orderkey % 37 AS STRING)) AS to_key FROM {orders}""",
     "jobs": """SELECT o_orderkey AS id, o_custkey % 400 AS owner, o_orderkey % 11 AS site, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' ELSE 'completed' END AS status,
         CASE WHEN o_orderpriority < '2' THEN 50 WHEN o_orderpriority < '4' THEN 20 ELSE 5 END AS priority, o_orderdate AS created_at, CAST(floor(o_totalprice / 1000) AS BIGINT) AS seconds FROM {orders}""",
     "access_log": """SELECT concat('10.0.', CAST(user_id % 250 AS STRING), '.', CAST(event_id % 250 AS STRING), ' - - [0', CAST(1 + event_id % 9 AS STRING), '/Jan/2024:1', CAST(event_id % 10 AS STRING), ':05:09 -0700] "',
