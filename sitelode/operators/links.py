@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,22 +16,28 @@ from ..functions.text import link_tokens
 
 LEAST_SIMILARITY = 0.58
 LEAST_SCORE = 50
+#: Probability that hashed tables meet a pair at the least similarity, and the seed of their projections.
+LEAST_RECALL, SEED = 0.95, 1729
 PER_TARGET, PER_SOURCE, PER_ANCHOR = 5, 3, 2
 
 
-def nearest(targets: DataFrame, items: DataFrame, k: int, least: float = LEAST_SIMILARITY, dims: int = 64, planes: int = 0) -> DataFrame:
+def nearest(targets: DataFrame, items: DataFrame, k: int, least: float = LEAST_SIMILARITY, dims: int = 64, planes: int = 0, recall: float = LEAST_RECALL) -> DataFrame:
     """(target, item, similarity): the ``k`` nearest items of each target with at least ``least`` cosine similarity.
 
     ``planes`` = 0 compares all; targets are a stated query set, and Spark's own size check decides on a broadcast. With
-    planes, vectors meet only in the cell of the space that the signs of so many coordinates name, or in a neighbouring
-    cell that differs in one sign: much less work, and a recall that has to be measured."""
+    planes, vectors meet only where they share a cell in one of several tables, a cell being the signs of so many random
+    projections. Two vectors at an angle t share a sign with probability 1 - t / pi, so the number of tables follows from
+    ``planes``, ``least`` and ``recall``: a pair at ``least`` is met with probability ``recall``, a nearer pair with a
+    greater one. The lower ``least``, the more tables, and the less is saved against comparing all."""
     a = targets.select("target", unit(F.col("vector")).alias("a")).filter("a is not null")
     b = items.select("item", unit(F.col("vector")).alias("b")).filter("b is not null")
     if planes:
-        step = max(1, dims // planes)
-        cell = lambda v: F.aggregate(F.array(*[F.when(v[i * step] > 0, 1 << i).otherwise(0) for i in range(planes)]), F.lit(0), lambda s, x: s + x)
-        near = F.array(cell(F.col("a")), *[cell(F.col("a")).bitwiseXOR(F.lit(1 << i)) for i in range(planes)])
-        pairs = a.withColumn("cell", F.explode(near)).join(b.withColumn("cell", cell(F.col("b"))), "cell")
+        tables = table_count(planes, least, recall)
+        cells = lambda v: hashed_cells(v, dims, planes, tables)
+        a, b = a.withColumn("ca", cells(F.col("a"))), b.withColumn("cb", cells(F.col("b")))
+        met = a.select("*", F.posexplode("ca").alias("table", "cell")).join(b.select("*", F.posexplode("cb").alias("table", "cell")), ["table", "cell"])
+        # A pair that shares several cells is taken in the first of them, so no second shuffle makes pairs distinct.
+        pairs = met.filter(F.array_position(F.zip_with("ca", "cb", lambda x, y: x == y), True) == F.col("table") + 1)
     else:
         pairs = a.join(b)
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -38,6 +46,27 @@ def nearest(targets: DataFrame, items: DataFrame, k: int, least: float = LEAST_S
     return scored.withColumn("place", F.row_number().over(own)).filter(F.col("place") <= k)
 
 
+def table_count(planes: int, least: float, recall: float) -> int:
+    """Tables that meet a pair at ``least`` with probability ``recall``."""
+    same = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** planes
+    return 1 if same >= recall else math.ceil(math.log(1 - recall) / math.log(1 - same))
+
+
+def hashed_cells(vector: Column, dims: int, planes: int, tables: int) -> Column:
+    """The cell of a vector in each table: the signs of ``planes`` seeded normal projections as the bits of a number."""
+    drawn = np.random.default_rng(SEED).normal(size=(tables, planes, dims))
+
+    @F.pandas_udf("array<int>")
+    def cells(vectors: pd.Series) -> pd.Series:
+        out = []
+        for v in vectors:
+            v = np.asarray(v, float)[:dims]
+            out.append(((drawn[:, :, : len(v)] @ v > 0) << np.arange(planes)).sum(axis=1).astype(np.int32))
+        return pd.Series(out)
+
+    return cells(vector)
+
+
 def word_candidates(targets: DataFrame, sentences: DataFrame, existing: DataFrame) -> DataFrame:
     """(target_key, source_key, sentence, overlap): tokens that a sentence shares with a target, on other pages that do
     not link there yet."""

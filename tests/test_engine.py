@@ -301,6 +301,15 @@ def test_nearest_and_its_cells(spark):
     assert len(exact) == 200 and len(exact & cells) / len(exact) >= 0.9
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_recall_of_the_registered_cells(spark, size):
+    from sitelode import catalog_queries as c
+
+    exact, cells = ({(r["target"], r["item"]) for r in c.QUERIES[q](spark, f"/root/testdata/{size}").collect()} for q in ("j20_nearest", "j20_nearest_by_cell"))
+    print(size, len(exact & cells), len(exact))
+    assert len(exact & cells) / len(exact) >= 0.9
+
+
 def test_choice_keeps_its_caps(spark):
     rows = [("s", f"/s{i % 3}", f"/t{i % 7}", ["Wall panels", "wall panels", "x"][i % 3], 90 - i) for i in range(40)]
     kept = links.choose(spark.createDataFrame(rows, "site string, source_key string, target_key string, anchor string, score int")).collect()
