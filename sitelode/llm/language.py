@@ -5,8 +5,8 @@ For a row with text t, declared language d, address suffix s and host h, and for
     log P(L | t, d, s, h) = text(t, L) + log P(d | L) + log P(s | L) + log P(L | h) + const
 
 * text: byte n-grams of the lower-cased words under a hashed, smoothed model per language, tempered by the square root of
-  the length (neighbouring n-grams are far from independent). The model is fitted on a bounded sample of rows whose
-  declared language is known: SAMPLE of each language, by hash.
+  the length (neighbouring n-grams are far from independent). The model is fitted on a bounded sample of the distinct
+  texts whose declared language is known: SAMPLE of each language at most, those of least hash.
 * P(d | L), P(s | L): smoothed tables of how often rows whose text alone points to L declare d or have suffix s.
 * P(L | h): host counts smoothed towards the registered domain's, those towards the whole table's.
 
@@ -19,12 +19,13 @@ if the text has a letter and the best language has at least KEEP_AT; equal rows
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
@@ -34,6 +35,8 @@ from .words import Words, as_bytes, mix, slices
 
 BITS = 15
 SAMPLE = 512
+#: Bits of the text hash that the sample is drawn by.
+RANGE = 48
 GRAMS = (1, 2, 3)
 SMOOTH = 0.5
 #: Rows that a broader level counts for in a narrower one.
@@ -83,16 +86,29 @@ def gram_slots(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(slots), np.concatenate(owners)
 
 
+def sampled(rows: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[str, int]]:
+    """(declared, text): of each of the 64 most frequent languages the ``sample`` distinct texts of least hash, or all if
+    there are fewer; and the number of distinct texts of each. Copies count once, so a hot text weighs as any other."""
+    key = F.pmod(F.xxhash64("text"), F.lit(1 << RANGE))
+    known = rows.filter(F.col("declared").isNotNull() & F.col("text").isNotNull()).select("declared", "text", key.alias("_h"))
+    distinct = known.groupBy("declared", "_h").agg(F.lit(1)).groupBy("declared").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["declared"]: r["n"] for r in distinct.orderBy(F.desc("n"), "declared").limit(64).collect()}
+    if not sizes:
+        return known.select("declared", "text"), sizes
+    # A threshold that twice the sample is expected to pass (fewer than the sample: a chance below 1e-60 at 512), made one
+    # row a text in the tasks, then the exact cut on the few that pass.
+    bound = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1 << RANGE, math.ceil(2 * sample / n * (1 << RANGE)))))])
+    few = known.filter(F.col("_h") < bound[F.col("declared")]).groupBy("declared", "_h").agg(F.min("text").alias("text"))
+    own = Window.partitionBy("declared").orderBy("_h")
+    return few.withColumn("_rn", F.row_number().over(own)).filter(F.col("_rn") <= sample).select("declared", "text"), sizes
+
+
 def fit_text(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
     """``rows``: text, declared (null: unlabelled). Slot counts are summed in the tasks, so the driver gets one
     fixed-size vector for each task and language."""
-    known = rows.filter(F.col("declared").isNotNull() & F.col("text").isNotNull()).select("declared", "text", F.xxhash64("text").alias("_h"))
-    # The bound holds for each language: a hash threshold that follows from counts, then a last cut on the few that pass.
-    sizes = {r["declared"]: r["n"] for r in known.groupBy("declared").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "declared").limit(64).collect()}
+    part, sizes = sampled(rows, sample)
     if not sizes:
         return TextModel([], np.zeros((1 << BITS, 0)))
-    rate = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))])
-    part = known.filter(F.pmod("_h", F.lit(1 << 20)) < F.ceil(rate[F.col("declared")] * (1 << 20)))
     languages = sorted(sizes)
     number = {k: i for i, k in enumerate(languages)}
 
@@ -110,7 +126,7 @@ def fit_text(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
             used = np.flatnonzero(total[k])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k, np.int32)), pa.array(used.astype(np.int32)), pa.array(total[k][used])], names=["k", "slot", "n"])
 
-    found = part.select("declared", "text").mapInArrow(run, "k int, slot int, n double").groupBy("k", "slot").agg(F.sum("n").alias("n")).toArrow()
+    found = part.mapInArrow(run, "k int, slot int, n double").groupBy("k", "slot").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((1 << BITS, len(languages)), SMOOTH)
     np.add.at(table, (found["slot"].to_numpy(), found["k"].to_numpy()), found["n"].to_numpy())
     return TextModel(languages, np.log(table / table.sum(axis=0)))

@@ -463,6 +463,14 @@ def test_language_of_pages_and_documents(spark, sf):
     assert (pages["host"], pages["suffix"], pages["declared"]) == ("www.shop.example.de", "de", "de-AT") and "var" not in pages["text"] and "Hallo Welt" in pages["text"]
 
 
+def test_language_sample_is_of_distinct_texts(spark):
+    few = [("hot text", "hot")] * 4000 + [(f"text {i}", "hot") for i in range(5)] + [(f"word {i % 900}", "many") for i in range(2700)] + [(None, "none"), ("x", None)]
+    part, sizes = language.sampled(spark.createDataFrame(few, "text string, declared string"), 20)
+    found = [tuple(r) for r in part.select("declared", "text").collect()]
+    assert sizes == {"hot": 6, "many": 900} and len(found) == len(set(found)) == 26
+    assert {t for k, t in found if k == "hot"} == {"hot text", *(f"text {i}" for i in range(5))}
+
+
 def test_language_edges(spark, docs, empty):
     assert language.identify(language.document_evidence(empty), ["doc_id"]).collect() == []
     assert language.keep_identified(empty).collect() == []
