@@ -37,14 +37,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import parallelism, shared_path
-from .words import Words, as_bytes, mix, segment_sums, slices
+from .words import Words, as_bytes, distinct, mix, segment_sums, slices
 
 ORDER = 2
 BLOCK = 2_000_000
@@ -83,17 +82,6 @@ def expand_keys(data: bytes) -> np.ndarray:
     return np.cumsum(expand(data, "u8"), dtype=np.uint64)
 
 
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct keys, the place of each key among them, one position of each)."""
-    order = np.argsort(keys)
-    ordered = keys[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    place = np.empty(len(keys), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return ordered[new], place, order[new]
-
-
 # -- blocks ---------------------------------------------------------------------------------------------------------------
 
 
@@ -145,13 +133,12 @@ def tokenised(docs: DataFrame, train: Column, id_col: str, text_col: str, block:
         for batch in batches:
             for part in slices(batch, 2):
                 words = Words.of(as_bytes(part.column(2)), lower=True)
-                hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in words.vocab), np.uint64, len(words.vocab))
                 sizes = words.counts + 1
                 tokens = np.full(int(sizes.sum()), END)
                 last = np.zeros(len(tokens), bool)
                 last[np.cumsum(sizes) - 1] = True
                 if len(words.ids):
-                    tokens[~last] = hashes[words.ids]
+                    tokens[~last] = words.hashes[words.ids]
                 held.append((part.column(0), part.column(1), tokens, sizes))
                 count += len(tokens)
                 if count >= block:

@@ -59,10 +59,10 @@ class TextModel:
         n = len(words.counts)
         out = np.zeros((n, len(self.languages)))
         if len(slots):
-            grams = np.bincount(owner, minlength=len(words.vocab))
+            grams = np.bincount(owner, minlength=words.size)
             size = np.maximum(words.per_text(grams[words.ids]), 1)
             for k in range(len(self.languages)):
-                each = np.bincount(owner, self.table[slots, k], len(words.vocab))
+                each = np.bincount(owner, self.table[slots, k], words.size)
                 out[:, k] = words.per_text(each[words.ids]) * TEMPER / np.sqrt(size)
         return out - out.max(axis=1, keepdims=True) if len(self.languages) and n else out
 
@@ -70,9 +70,9 @@ class TextModel:
 def gram_slots(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashed byte n-grams of the distinct words, with their bounding spaces, and the word each belongs to."""
     data, starts, lengths = words.joined
-    if not len(words.vocab):
+    if not words.size:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    owner = np.repeat(np.arange(len(words.vocab)), lengths + 1)
+    owner = np.repeat(np.arange(words.size), lengths + 1)
     end = (starts + lengths)[owner]
     at, wide = np.arange(len(owner)), data.astype(np.uint64)
     slots, owners = [], []
@@ -120,7 +120,7 @@ def fit_text(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
                 slots, owner = gram_slots(words)
                 label = np.array([number[x] for x in piece.column(0).to_pylist()], np.int64)
                 for k in range(len(languages)):
-                    own = np.bincount(words.ids, (label == k)[words.doc], len(words.vocab)) if len(words.vocab) else np.empty(0)
+                    own = np.bincount(words.ids, (label == k)[words.doc], words.size) if words.size else np.empty(0)
                     total[k] += np.bincount(slots, own[owner], 1 << BITS)
         for k in range(len(languages)):
             used = np.flatnonzero(total[k])

@@ -30,7 +30,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,10 +57,9 @@ _FACTORS = mix(np.arange(101, 101 + REGISTERS, dtype=np.uint64)) | np.uint64(1)
 
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles (repeats included) of all texts in a row, and the number of each text."""
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in words.vocab), np.uint64, len(words.vocab))
     n = words.counts
     sizes = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
-    own = hashes[words.ids] if len(words.ids) else np.empty(0, np.uint64)
+    own = words.hashes[words.ids] if len(words.ids) else np.empty(0, np.uint64)
     starts = np.repeat(np.cumsum(n) - n, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     length = np.repeat(np.minimum(n, SHINGLE), sizes)
     total = length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)

@@ -23,9 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import MOST, ChunkTable
-from .common import written
-from .words import TO_LOWER, Words, as_bytes, slices
+from .chunks import ChunkTable
+from .common import LOWER, UPPER, written
+from .words import TO_LOWER, Pieces, Words, as_bytes, segment_sums, slices
 
 WINDOW = 2048
 #: Open windows of a partition.
@@ -34,9 +34,11 @@ OPEN = 32
 CUT = 16
 END = 1
 #: Partitions whose leftovers are merged together.
-GROUP = 64
+GROUP = 16
 TOKENIZER = "word_bpe_49k.json"
 
+_IS_LETTER = np.isin(np.arange(256), list((LOWER + UPPER).encode()))
+_IS_MARK = np.isin(np.arange(256), list(b".,;:!?&#$*%"))
 _TABLES: dict[str, ChunkTable] = {}
 
 
@@ -49,12 +51,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class ChunkEncoder:
     """Encodes chunks without white space.
 
-    Most chunks are letters, with at most one mark of punctuation behind them, which this kind of tokenizer always parts
-    from letters. Letters alone give one run of tokens that ends with the only token with a word end, so many of them are
-    encoded as one text with spaces between and cut apart afterwards. All else is encoded chunk by chunk.
+    Letters alone give one run of tokens that ends with the only token with a word end, so many such chunks are encoded as
+    one text with spaces between and cut apart afterwards. All else is encoded chunk by chunk.
     """
 
-    MARKS = frozenset(".,;:!?")
     TOGETHER = 512
 
     def __init__(self, path: str):
@@ -63,47 +63,62 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.fromiter(((self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)), bool, size)
-        self.young: dict[str, list[int]] = {}  # what was used of late; what was not is dropped in turn
-        self.old: dict[str, list[int]] = {}
-
-    def __call__(self, chunks: list[bytes]) -> list[list[int]]:
-        marks, stems = self.MARKS, []
-        tails: dict[int, str] = {}
-        for i, stem in enumerate(b" ".join(chunks).decode().split(" ")):
-            if stem[-1] in marks and stem[:-1].isalpha():
-                tails[i] = stem[-1]
-                stem = stem[:-1]
-            stems.append(stem)
-        young, old = self.young, self.old
-        new = [x for x in dict.fromkeys([*stems, *tails.values()]) if x not in young]
-        young.update((x, old[x]) for x in new if x in old)
-        new = [x for x in new if x not in old]
-        young.update(zip(new, self._encode(new), strict=True))
-        out = list(map(young.__getitem__, stems))
-        for i, mark in tails.items():
-            out[i] = out[i] + young[mark]
-        if len(young) > MOST // 2:
-            self.old, self.young = young, {}
-        return out
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        plain = [i for i, x in enumerate(texts) if x.isalpha()]
-        groups = [plain[k : k + self.TOGETHER] for k in range(0, len(plain), self.TOGETHER)]
-        out: list[list[int] | None] = [None] * len(texts)
-        for group, made in zip(groups, self._batch([" ".join([texts[i] for i in g]) for g in groups]), strict=True):
-            ends = np.flatnonzero(self.ends[made]) + 1
-            if len(ends) == len(group):  # else a letter was rewritten to more than a letter
-                for i, a, b in zip(group, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    out[i] = made[a:b]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, made in zip(rest, self._batch([texts[i] for i in rest]), strict=True):
-            out[i] = made
-        return out
+    def __call__(self, pieces: Pieces, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data, starts, lengths = pieces.spaced(new)
+        letters = np.append(0, np.cumsum(letter_bytes(data)))
+        plain = letters[starts + lengths] - letters[starts] == lengths
+        ids, sizes = self._together(pieces, new[plain])
+        found = [ids]
+        if not plain.all():
+            texts = [x.decode() for x in pieces.as_list(new[~plain])]
+            each = [np.array(x, np.uint32) for x in self._batch(texts)]
+            order = np.argsort(np.append(np.flatnonzero(plain), np.flatnonzero(~plain)))
+            sizes = np.append(sizes, [len(x) for x in each]).astype(np.int64)
+            flat = np.concatenate([*found, *each])
+            starts = (np.cumsum(sizes) - sizes)[order]
+            sizes = sizes[order]
+            ids = flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))]
+        return ids, sizes, np.zeros(len(new), bool)
+
+    def _together(self, pieces: Pieces, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        data, starts, lengths = pieces.spaced(which)
+        text = data.tobytes()
+        edges = [*range(0, len(which), self.TOGETHER), len(which)]
+        ids = [np.array(x, np.uint32) for x in self._batch([text[starts[a] : starts[b - 1] + lengths[b - 1]].decode() for a, b in zip(edges[:-1], edges[1:], strict=True)])]
+        flat = np.concatenate([np.empty(0, np.uint32), *ids])
+        stops = np.flatnonzero(self.ends[flat]) + 1
+        if len(stops) != len(which):
+            raise ValueError(f"{len(which)} chunks of letters gave {len(stops)} word ends")
+        return flat, np.diff(stops, prepend=0)
 
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def parted(words: Words) -> Pieces:
+    """The words with the marks of punctuation behind a letter at their end taken off as a piece of its own: this kind of
+    tokenizer always parts the two, and far fewer pieces are distinct."""
+    text, ends = words.text, words.starts + words.lengths
+    before = np.maximum.accumulate(np.where(_IS_MARK[text], 0, np.arange(len(text))))[ends - 1]  # the last byte that is no mark
+    tail = ends - 1 - before
+    cut = (tail > 0) & (before >= words.starts) & letter_bytes(text)[before]
+    times = 1 + cut
+    starts, lengths = np.repeat(words.starts, times), np.repeat(words.lengths - np.where(cut, tail, 0), times)
+    tails = np.cumsum(times)[cut] - 1
+    starts[tails], lengths[tails] = before[cut] + 1, tail[cut]
+    return Pieces(words.raw, text, starts, lengths, segment_sums(times, words.counts))
+
+
+def letter_bytes(text: np.ndarray) -> np.ndarray:
+    """The bytes of letters of ASCII and Latin-1: in UTF-8 those of the latter are C3 and one byte more."""
+    second = np.zeros(len(text), bool)
+    second[1:] = (text[:-1] == 0xC3) & (text[1:] != 0x97) & (text[1:] != 0xB7)
+    lead = np.zeros(len(text), bool)
+    lead[:-1] = second[1:]
+    return _IS_LETTER[text] | second | lead
+
+
 def chunk_table(path: str | None = None) -> ChunkTable:
     """This worker's table for a lower-casing word tokenizer that parts texts at white space."""
     path = path or tokenizer_path()
@@ -115,8 +130,8 @@ def chunk_table(path: str | None = None) -> ChunkTable:
 
 def encode_texts(raw: list[bytes], table: ChunkTable) -> tuple[np.ndarray, np.ndarray]:
     # ASCII capitals are lower-cased by the tokenizer in any case; a marked special token in capitals is not one
-    words = Words.of([x if b"<|" in x else x.translate(TO_LOWER) for x in raw])
-    return table.gather(table.rows(words.vocab)[words.ids] if len(words.vocab) else words.ids, words.counts)
+    pieces = parted(Words.of([x if b"<|" in x else x.translate(TO_LOWER) for x in raw]))
+    return table.gather(table.rows(pieces)[pieces.ids], pieces.counts)
 
 
 class Packer:
@@ -204,10 +219,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, mo
             id_type = batch.column(0).type
             for part in slices(batch, 1):
                 flat, sizes = encode_texts(as_bytes(part.column(1)), table)
-                at = 0
-                for doc, n in zip(part.column(0).to_pylist(), sizes.tolist(), strict=True):
-                    packer.add(doc, np.append(flat[at : at + n], np.uint32(END)))
-                    at += n
+                stops = np.cumsum(sizes)
+                flat = np.insert(flat, stops, END)
+                stops = (stops + np.arange(1, len(stops) + 1)).tolist()
+                for doc, a, b in zip(part.column(0).to_pylist(), [0, *stops[:-1]], stops, strict=True):
+                    packer.add(doc, flat[a:b])
                 yield _rows(packer.drain(), base, False, id_type, keep_ids)
         if id_type is not None:
             yield _rows([(x[0], x[1]) for x in packer.open], base, True, id_type, keep_ids)

@@ -11,14 +11,15 @@ without that property is encoded by whole texts. Every distinct chunk that a wor
 hold such a chunk. Decoding is done on the final ids and compared with the text.
 
 A null or empty text has no ids. A text that holds the marker itself does not survive decoding (the format cannot tell it
-from a space), and neither does one that a lossy normaliser changes: ``round_trip`` is false there.
+from a space), and neither does one that a lossy normaliser changes: ``round_trip`` is false there. Repeated rows and ids
+are encoded each on their own; an empty table gives no rows; only the id and text columns are read, so other columns may
+have any names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,11 +28,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkTable
-from .words import as_bytes, slices
+from .words import SHORT, Pieces, as_bytes, segment_sums, slices
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -170,22 +172,24 @@ class Backend:
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.by_chunk = self.model.parts_at_marks
         self.tokenizer = self.model.tokenizer(normalise=not self.by_chunk)
-        self.bytes = self.model.id_bytes()
+        each = self.model.id_bytes()
+        self.bytes, self.lengths = np.frombuffer(b"".join(each), np.uint8), np.array([len(x) for x in each])
+        self.begins = np.cumsum(self.lengths) - self.lengths
         self.table = ChunkTable(self._chunks)
-        self.differ: set[bytes] = set()
 
-    def _chunks(self, chunks: list[bytes]) -> list[list[int]]:
-        """Chunks begin with a run of spaces (which may be empty only for a text's first chunk without dummy prefix)."""
-        marked = [c.decode().replace(" ", MARK) for c in chunks]
-        made = [x.ids for x in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
-        # The library adds the dummy prefix itself, so one leading space is left to it.
+    def _chunks(self, pieces: Pieces, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Chunks begin with a run of spaces (which may be empty only for a text's first chunk without dummy prefix).
+        Marked are those on which the two libraries differ."""
+        chunks = [x.decode() for x in pieces.as_list(new)]
+        made = [x.ids for x in self.tokenizer.encode_batch_fast([c.replace(" ", MARK) for c in chunks], add_special_tokens=False)]
+        # The library adds the dummy prefix itself, so one leading space is left to it; a lone one it takes for no text.
         drop = int(self.model.add_dummy_prefix)
-        wanted = self.reference.encode([c.decode()[drop:] if c.startswith(b" ") else c.decode() for c in chunks], num_threads=self.threads)
-        for i, (a, b) in enumerate(zip(made, wanted, strict=True)):
-            if a != b and (len(chunks[i]) > drop):
-                self.differ.add(chunks[i])
-                made[i] = b
-        return made
+        wanted = self.reference.encode([c[drop:] if c.startswith(" ") else c for c in chunks], num_threads=self.threads)
+        differ = np.array([a != b and len(c) > drop for a, b, c in zip(made, wanted, chunks, strict=True)], bool)
+        for i in np.flatnonzero(differ).tolist():
+            made[i] = wanted[i]
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum())), sizes, differ
 
     def encode(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ids of each text, whether both libraries agree on the text)."""
@@ -196,36 +200,37 @@ class Backend:
             same = np.array([a == b for a, b in zip(made, wanted, strict=True)], bool)
             sizes = np.fromiter(map(len, wanted), np.int64, len(wanted))
             return np.fromiter(chain.from_iterable(wanted), np.uint32, int(sizes.sum())), sizes, same
-        split = [_parted(x, self.model.add_dummy_prefix) for x in raw]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        vocab = list(dict.fromkeys(chain.from_iterable(split)))
-        index = dict(zip(vocab, self.table.rows(vocab).tolist(), strict=True))
-        rows = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
-        ids, sizes = self.table.gather(rows, counts)
-        same = np.ones(len(raw), bool)
-        if self.differ and (bad := self.differ.intersection(vocab)):
-            same = np.array([bad.isdisjoint(x) for x in split], bool)
-        return ids, sizes, same
+        pieces = parted(raw, self.model.add_dummy_prefix)
+        rows = self.table.rows(pieces)[pieces.ids]
+        ids, sizes = self.table.gather(rows, pieces.counts)
+        return ids, sizes, segment_sums(self.table.marks[rows].astype(np.int64), pieces.counts) == 0
 
     def decode(self, ids: np.ndarray) -> bytes:
-        text = b"".join(map(self.bytes.__getitem__, ids.tolist()))
-        return text[1:] if self.model.add_dummy_prefix and text.startswith(b" ") else text
-
-
-_RUNS = re.compile(rb" *[^ ]+| +")
-
-
-def _parted(text: bytes, prefix: bool) -> list[bytes]:
-    """The text, with its dummy prefix, cut before each run of spaces."""
-    if not text:
-        return []
-    if b"\xe2\x96\x81" in text:  # the marker in a text is a space to the model
-        text = text.replace(b"\xe2\x96\x81", b" ")
-    if prefix:
-        text = b" " + text
-    if b"  " in text or text.endswith(b" ") or not text.startswith(b" "):
-        return _RUNS.findall(text)
-    return [b" " + x for x in text[1:].split(b" ")]
+        return self.decode_all(ids, np.array([len(ids)]))[0]
+
+    def decode_all(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The texts of ids in a row, ``sizes`` of each."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        data = self.bytes[np.repeat(self.begins[ids] - (ends - lengths), lengths) + np.arange(total)].tobytes()
+        bounds = np.append(0, ends)[np.append(0, np.cumsum(sizes))].tolist()
+        drop = self.model.add_dummy_prefix
+        return [data[a + (drop and data[a : a + 1] == b" ") : b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def parted(raw: list[bytes], prefix: bool) -> Pieces:
+    """The texts, each with its dummy prefix unless empty, cut before each run of spaces."""
+    raw = [x.replace(MARK.encode(), b" ") for x in raw]  # the marker in a text is a space to the model
+    texts = [b" " + x if x else x for x in raw] if prefix else raw
+    text = np.frombuffer(b"".join([*texts, b" " * SHORT]), np.uint8)
+    bounds = np.cumsum([0, *map(len, texts)])
+    space = text[: bounds[-1]] == 32
+    begins = space.copy()
+    begins[1:] &= ~space[:-1]
+    begins[bounds[:-1][np.diff(bounds) > 0]] = True
+    starts = np.flatnonzero(begins)
+    return Pieces(raw, text, starts, np.diff(starts, append=bounds[-1]), np.diff(np.searchsorted(starts, bounds)))
 
 
 _BACKENDS: dict[tuple[str, int], Backend] = {}
@@ -260,7 +265,7 @@ def encode(docs: DataFrame, model: str | None = None, threads: int = THREADS, ke
                 stops = np.cumsum(sizes)
                 own = [ids[e - n : e] for e, n in zip(stops.tolist(), sizes.tolist(), strict=True)]
                 data = [x.tobytes() for x in own]
-                trip = [used.decode(x) == text for x, text in zip(own, raw, strict=True)]
+                trip = [x == text for x, text in zip(used.decode_all(ids, sizes), raw, strict=True)]
                 arrays = [pa.array([len(x) for x in raw], pa.int64()), pa.array(sizes), pa.array([zlib.crc32(x) for x in data], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in data]), pa.array(same), pa.array(trip, pa.bool_())]
                 if keep_ids:
                     arrays.append(pa.ListArray.from_arrays(pa.array(np.append(0, stops).astype(np.int32)), pa.array(ids.astype(np.int32))))
@@ -279,7 +284,10 @@ def decode(encoded: DataFrame, model: str | None = None, threads: int = THREADS,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used = backend(model, threads)
         for batch in batches:
-            texts = [None if x is None else used.decode(np.array(x, np.int64)).decode(errors="replace") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_id", "text"])
+            ids = batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            texts = used.decode_all(ids.flatten().to_numpy(zero_copy_only=False), sizes)
+            held = [t.decode(errors="replace") if ok else None for ok, t in zip(ids.is_valid().to_pylist(), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.string())], names=["_id", "text"])
 
     return slim.mapInArrow(run, f"_id {kind}, text string").withColumnRenamed("_id", id_col)

@@ -47,7 +47,7 @@ def repeated_words(words: Words, n: int = 3) -> np.ndarray:
     at = words.windows(n)
     if not len(at):
         return np.zeros(len(words.counts), np.int64)
-    width = max(1, int(len(words.vocab) - 1).bit_length())
+    width = max(1, int(words.size - 1).bit_length())
     if n * width <= 63:
         key = np.zeros(len(at), np.int64)
         for k in range(n):
@@ -55,7 +55,7 @@ def repeated_words(words: Words, n: int = 3) -> np.ndarray:
     else:  # too many distinct words for one number: number the windows step by step
         key = words.ids[at]
         for k in range(1, n):
-            key = np.unique(key * len(words.vocab) + words.ids[at + k], return_inverse=True)[1]
+            key = np.unique(key * words.size + words.ids[at + k], return_inverse=True)[1]
     # Windows that occur once in the whole batch drop out before the exact comparison inside each text.
     slot = (mix(key.view(np.uint64)) >> np.uint64(64 - 22)).astype(np.int64)
     seen = np.bincount(slot, minlength=1 << 22)
@@ -78,7 +78,7 @@ def counts(words: Words) -> dict[str, np.ndarray]:
     data, starts, lengths = words.joined
     each = np.append(0, np.cumsum((data & 0xC0) != 0x80))  # code points before each byte
     symbol = np.append(0, np.cumsum(np.isin(data, np.frombuffer(SYMBOLS, np.uint8))))
-    over = lambda total: (total[starts + lengths] - total[starts])[words.ids] if len(words.vocab) else words.ids
+    over = lambda total: (total[starts + lengths] - total[starts])[words.ids] if words.size else words.ids
     lines = [[y for y in x.split(b"\n") if y.strip()] for x in words.raw]
     return {
         "n_words": words.counts,
@@ -110,7 +110,7 @@ class Features:
     @classmethod
     def of(cls, words: Words) -> Features:
         data, starts, lengths = words.joined
-        n = len(words.vocab)
+        n = words.size
         slots, owners, whole = [], [], np.zeros(n, np.uint64)
         wide = data.astype(np.uint64)
         owner = np.repeat(np.arange(n), lengths + 1)  # of each byte and the space before it
@@ -135,8 +135,8 @@ class Features:
     def margins(self, weights: np.ndarray, bias: float) -> np.ndarray:
         """Per text: bias plus the mean weight over words, over byte n-grams and over pairs."""
         words = self.words
-        gram = np.bincount(self.gram_owner, weights[self.gram_slots], len(words.vocab))
-        grams = np.bincount(self.gram_owner, minlength=len(words.vocab))
+        gram = np.bincount(self.gram_owner, weights[self.gram_slots], words.size)
+        grams = np.bincount(self.gram_owner, minlength=words.size)
         share = lambda total, n: total / np.maximum(n, 1)
         pair_doc = words.doc[self.pair_at]
         n = len(words.counts)
@@ -152,7 +152,7 @@ class Features:
         words, out = self.words, []
         order = np.argsort(self.gram_owner, kind="stable")
         slots = self.gram_slots[order]
-        ends = np.cumsum(np.bincount(self.gram_owner, minlength=len(words.vocab)))
+        ends = np.cumsum(np.bincount(self.gram_owner, minlength=words.size))
         stops = np.cumsum(words.counts)
         pair_stops = np.cumsum(np.bincount(words.doc[self.pair_at], minlength=len(words.counts)))
         for i, (stop, n) in enumerate(zip(stops.tolist(), words.counts.tolist(), strict=True)):
