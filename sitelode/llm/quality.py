@@ -12,7 +12,7 @@ a document vote; null labels are ignored. Equal texts get equal results; other c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,14 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, as_bytes, mix, segment_sums, slices
+from .words import Words, as_bytes, mix, slices
 
 BITS = 17
 SAMPLE = 4096
 GRAMS = (2, 3, 4)
-ROUNDS = 120
-RATE = 0.3
-RIDGE = 1e-6
+ROUNDS = 20
+RIDGE = 1e-5
 #: A text is kept if its calibrated probability of good quality is at least this.
 KEEP_AT = 0.4
 # Fixed values of the counts.
@@ -235,28 +234,61 @@ def _fitted(rows: list[tuple[object, int, int, np.ndarray, np.ndarray]]) -> Mode
     parts, start = [], 0  # runs of rows, so that the arithmetic needs little room besides the sample
     sizes = np.array([len(x[3]) for x in rows])
     for stop in range(1, len(rows) + 1):
-        if stop == len(rows) or sizes[start:stop].sum() >= 1 << 20:
-            parts.append((slice(start, stop), np.concatenate([x[3] for x in rows[start:stop]]), np.concatenate([x[4] for x in rows[start:stop]]), sizes[start:stop]))
+        if stop == len(rows) or sizes[start:stop].sum() >= 1 << 18:
+            own = np.repeat(np.arange(start, stop), sizes[start:stop])
+            parts.append((own, np.concatenate([x[3] for x in rows[start:stop]]).astype(np.int64), np.concatenate([x[4] for x in rows[start:stop]])))
             start = stop
     n = len(rows)
     rows.clear()
-    margins = lambda: np.concatenate([segment_sums(val * w[slot], size) for _, slot, val, size in parts]) + bias
     share = label[~held].mean()
     weight = np.where(held, 0.0, np.where(label == 1, 0.5 / share, 0.5 / (1 - share))) / (~held).sum()
-    w, bias = np.zeros(1 << BITS), 0.0
-    first, second, b1, b2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for step in range(1, ROUNDS + 1):  # Adam on the whole sample
-        error = (sigmoid(margins()) - label) * weight
-        grad = RIDGE * w
-        for own, slot, val, size in parts:
-            grad += np.bincount(slot, val * np.repeat(error[own], size), len(w))
-        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-        b1, b2 = 0.9 * b1 + 0.1 * error.sum(), 0.999 * b2 + 0.001 * error.sum() ** 2
-        w -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-        bias -= RATE * (b1 / (1 - 0.9**step)) / (np.sqrt(b2 / (1 - 0.999**step)) + 1e-8)
-    margin = margins()
+
+    def margins(theta: np.ndarray) -> np.ndarray:
+        return sum(np.bincount(own, val * theta[slot], n) for own, slot, val in parts) + theta[-1]
+
+    def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """Weighted log loss and its gradient; the last parameter is the bias."""
+        margin = margins(theta)
+        error = (sigmoid(margin) - label) * weight
+        grad = RIDGE * theta
+        for own, slot, val in parts:
+            grad += np.bincount(slot, val * error[own], len(theta))
+        grad[-1] = error.sum()
+        return float(weight @ (np.logaddexp(0, margin) - label * margin)) + RIDGE / 2 * float(theta[:-1] @ theta[:-1]), grad
+
+    theta = minimise(loss, np.zeros((1 << BITS) + 1), ROUNDS)
+    margin = margins(theta)
     slope, offset = platt(margin[held], label[held])
-    return Model(w.astype(np.float32), float(bias), slope, offset, n)
+    return Model(theta[:-1].astype(np.float32), float(theta[-1]), slope, offset, n)
+
+
+def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], theta: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
+    """Limited-memory BFGS with halving steps; each round costs one evaluation, or few."""
+    value, grad = loss(theta)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []  # change of place, of gradient, and their product
+    for _ in range(rounds):
+        way, saved = -grad, []
+        for s, y, sy in reversed(steps):
+            saved.append(a := float(s @ way) / sy)
+            way = way - a * y
+        if steps:
+            _, y, sy = steps[-1]
+            way = way * (sy / float(y @ y))
+        for (s, y, sy), a in zip(steps, reversed(saved), strict=True):
+            way = way + (a - float(y @ way) / sy) * s
+        slope, size = float(grad @ way), 1.0 if steps else 1 / max(float(np.abs(grad).max()), 1e-12)
+        for _ in range(30):
+            there, (low, new) = theta + size * way, loss(theta + size * way)
+            if low <= value + 1e-4 * size * slope:
+                break
+            size /= 2
+        else:
+            return theta
+        s, y = there - theta, new - grad
+        if float(s @ y) > 1e-12:
+            steps = [*steps, (s, y, float(s @ y))][-memory:]
+        theta, value, grad = there, low, new
+    return theta
 
 
 def platt(margin: np.ndarray, label: np.ndarray, rounds: int = 60) -> tuple[float, float]:
