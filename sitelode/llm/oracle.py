@@ -23,6 +23,17 @@ def secret_scan_sql() -> str:
     FROM d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id, t"""
 
 
+def ledger_versions_sql() -> str:
+    """New blobs are distinct texts that no earlier scan under the same rules had; spans are counted for each path."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    spans = lambda rules: " + ".join(f"len(list_filter(regexp_extract_all(t, {quoted(r.pattern)}, {r.group}), lambda x: length(x) >= {r.least}))" for r in rules)
+    each = lambda step, version, source, new, rules: f"SELECT {step}::INT AS step, '{version}' AS rule_version, COUNT(*) AS n_paths, ({new})::BIGINT AS n_new_blobs, coalesce(SUM({spans(rules)}), 0)::BIGINT AS n_spans FROM {source}"
+    return f"""WITH d AS (SELECT coalesce(text, '') AS t FROM documents), b AS (SELECT coalesce(text, '') AS t FROM benchmark), u AS (SELECT t FROM d UNION ALL SELECT t FROM b)
+    {each(1, 1, 'd', 'SELECT COUNT(DISTINCT t) FROM d', RULES)}
+    UNION ALL {each(2, 1, 'u', 'SELECT COUNT(DISTINCT t) FROM b WHERE t NOT IN (SELECT t FROM d)', RULES)}
+    UNION ALL {each(3, 2, 'u', 'SELECT COUNT(DISTINCT t) FROM u', BASE)}"""
+
+
 def crc32_table() -> list[int]:
     """By rule: eight steps of the reversed polynomial for each byte."""
     out = []
@@ -47,4 +58,4 @@ def stratified_shards_sql(shards_wanted: int = 8) -> str:
     SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard, CAST(place - CASE WHEN shard <= more THEN shard * (least + 1) ELSE (least + 1) * more + (shard - more) * least END AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, source FROM s"""
 
 
-ORACLE: dict[str, str] = {"op4_stratified_shards": stratified_shards_sql(), "op2_secret_scan": secret_scan_sql()}
+ORACLE: dict[str, str] = {"op4_stratified_shards": stratified_shards_sql(), "op2_secret_scan": secret_scan_sql(), "secret_ledger_versions": ledger_versions_sql()}

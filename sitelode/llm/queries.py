@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, katz, language, media, near_dup, packing, piece_model, quality, secrets, shards
-from .common import table
+from .common import shared_path, table
 from .oracle import ORACLE  # noqa: F401
 
 
@@ -34,6 +34,22 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def secret_ledger_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three scans into one stored ledger: documents; documents and benchmark items, of which only the latter are new; and
+    all of them again under a second rule version that has the base rules alone."""
+    path = shared_path(spark, "ledger-versions")
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("documents/"), "doc_id").alias("path"), "text")
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("benchmark/"), "item_id").alias("path"), "text")
+    before, steps = 0, []
+    for step, (versions, rules, version) in enumerate(((docs, secrets.RULES, "1"), (docs.unionByName(items), secrets.RULES, "1"), (docs.unionByName(items), secrets.BASE, "2")), 1):
+        found, ledger = secrets.scan_versions(versions, rules=rules, rule_version=version, id_col="path", ledger_path=path)
+        now = ledger.count()
+        sums = found.agg(F.count(F.lit(1)).alias("n_paths"), F.coalesce(F.sum(F.size("findings")), F.lit(0)).alias("n_spans"))
+        steps.append(sums.select(F.lit(step).alias("step"), F.lit(version).alias("rule_version"), "n_paths", F.lit(now - before).cast("long").alias("n_new_blobs"), "n_spans"))
+        before = now
+    return steps[0].unionByName(steps[1]).unionByName(steps[2])
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -82,4 +98,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_language_id": op9_language_id,
     "op10_piece_model": op10_piece_model,
+    "secret_ledger_versions": secret_ledger_versions,
 }

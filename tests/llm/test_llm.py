@@ -170,6 +170,35 @@ def test_redaction_masks_each_secret_once(spark):
         assert text == (None if SECRETS[i] is None else wanted + SECRETS[i][at:])
 
 
+def test_very_many_matches_take_time_in_proportion(spark):
+    n = 200_000
+    text = " ".join(["0123456789abcdef"] * n)
+    df = spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id long, text string")
+    found, _ = secrets.scan_versions(df)
+    got = {r[0]: (r[1], r[2]) for r in found.select("doc_id", F.size("findings"), F.array_max("findings.end")).collect() if r[1]}
+    assert got == {1: (n, len(text)), 2: (n, len(text))}
+    masked = {r[0]: r[1] for r in secrets.redact(df).collect()}
+    assert masked[1] == masked[2] == " ".join(["[SECRET]"] * n) and masked[3] is None
+
+
+def test_stored_ledger_scans_new_blobs_and_new_rule_versions(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    distinct = docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+    sizes = []
+    for versions, rule_version in ((docs, "1"), (clashing(docs), "1"), (docs, "2")):
+        found, whole = secrets.scan_versions(versions, rule_version=rule_version, ledger_path=path)
+        sizes.append(whole.count())
+        assert found.filter("findings is null").isEmpty() and found.count() == docs.count()
+    assert sizes == [distinct, distinct, 2 * distinct]
+    assert whole.groupBy("blob", "rule_version").count().filter("count > 1").isEmpty()
+
+
+def test_secrets_of_an_empty_table(spark, empty):
+    found, ledger = secrets.scan_versions(empty)
+    assert found.isEmpty() and ledger.isEmpty()
+    assert secrets.redact(empty).isEmpty() and secrets.redact(empty).columns == empty.columns
+
+
 # -- quality --------------------------------------------------------------------------------------------------------------
 
 
