@@ -9,17 +9,19 @@ Candidates are verified in two passes, so that a crowd under one key never costs
 
 1. every member of a key is compared with the key's centre, the member that meets most others over all keys, and
    verified links are joined to components;
-2. keys whose members still lie in several components are gone through in blocks of bounded size: first by sketches,
-   where members that come near none of another component drop out, then, for the others, on full sets. Each pair is
-   taken under the first key that its members share, and only links leave a task, so that a crowd of documents just
-   below the threshold makes no rows. Then components are joined again.
+2. keys whose members still lie in several components are gone through in parts of bounded size: first by sketches,
+   where members that come near none of another component drop out, then, for the others, on full sets, in parts counted
+   anew. Each pair is taken under the first key that its members share, and only links leave a task, so that a crowd of
+   documents just below the threshold makes no rows. A member travels once for each part of its key: one of BLOCK
+   sketches, or of BLOCK_SHINGLES shingles. Then components are joined again.
 
 Before the exact comparison, the Jaccard estimate from equal registers, corrected for registers that agree by chance at
 the compressed width, drops pairs that are more than five standard errors below the threshold. A pair exactly at the
 threshold shares no key with probability (1 - 0.75**4)**32, or 5e-6; pairs above it less.
 
 Null text counts as empty. Rows without shingles are linked with nothing. Repeated rows share a class; a null id never is
-a component's id, and a row with a null id is kept only if no row of its component has an id.
+a component's id, and a row with a null id is kept only if no row of its component has an id. An empty table gives no
+rows. Only the id and text columns are read, so other columns may have any names; ``keep_one`` keeps them all.
 """
 
 from __future__ import annotations
@@ -44,8 +46,10 @@ MANTISSA = 10
 PERCENT = 75
 #: Standard errors below the threshold at which an estimate rules a pair out.
 ERRORS = 5.0
-#: Members of a key that are compared in one block of the second pass.
-BLOCK = 512
+#: Sketches of a key that are compared with one another in one task; a key of more is cut into parts of so many.
+BLOCK = 1 << 14
+#: The same for full sets, by their shingles.
+BLOCK_SHINGLES = 1 << 20
 
 _PLACES = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 _SALTS = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -187,36 +191,40 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def facing_keys(members: DataFrame) -> DataFrame:
-    """The keys among ``members`` (bucket, size, key, root, sig, n) whose sketch comes near one of another root."""
-    return _compare(members.withColumn("_text", F.lit(None).cast("string")), False).distinct()
+    """(bucket, key) of the ``members`` (bucket, key, root, sig, n) whose sketch comes near one of another root, under the
+    first bucket that the two share."""
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_parts"))
+    return _compare(members.join(written(sizes, "sizes"), "bucket"), False).distinct()
 
 
 def cross_links(members: DataFrame) -> DataFrame:
-    """Links (a, b) between different roots under one bucket, on full sets; ``members`` have ``_text`` as well."""
-    return _compare(members, True).distinct()
+    """Links (a, b) between different roots under the first bucket they share, on full sets; ``members`` have ``_text``."""
+    sizes = members.groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("_parts"))
+    return _compare(members.join(written(sizes, "sizes"), "bucket"), True).distinct()
 
 
 def _compare(members: DataFrame, exact: bool) -> DataFrame:
-    """Large buckets are cut into blocks by hash, and each pair of blocks is compared on its own, so that no task holds
-    more than two blocks at once."""
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = members.withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int"))
+    """Buckets of several parts are cut by hash, and each pair of parts is compared on its own, so that no task holds more
+    than two of them at once."""
+    own = members.withColumn("_own", F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int"))
     spread = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     dealt = spread.select("bucket", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "key", "root", "sig", "n", *(["_text"] if exact else []))
     ordered = dealt.repartition(parallelism(members.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "key")
+    least_equal = lowest_estimate() * REGISTERS  # chance agreement only lowers an estimate
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, group = [], None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            group = np.stack([held[c].to_numpy() for c in ("bucket", "i", "j")], 1)
-            breaks = np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1
-            for a, b in zip(np.append(0, breaks[:-1]).tolist() if len(breaks) else [], breaks.tolist(), strict=True):
-                yield from compare(held.slice(a, b - a))
-            held = held.slice(int(breaks[-1]) if len(breaks) else 0)
-        if held is not None:
-            yield from compare(held)
+            columns = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("bucket", "i", "j")], 1)
+            breaks = np.flatnonzero((columns[1:] != columns[:-1]).any(1)) + 1
+            for a, b in zip([0, *breaks.tolist()], [*breaks.tolist(), batch.num_rows], strict=True):
+                if held and tuple(columns[a]) != group:
+                    yield from compare(pa.Table.from_batches(held))
+                    held = []
+                group = tuple(columns[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from compare(pa.Table.from_batches(held))
 
     def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
         roots = group["root"].to_pylist()
@@ -225,8 +233,8 @@ def _compare(members: DataFrame, exact: bool) -> DataFrame:
             return
         keys, root = group["key"].to_pylist(), np.array([number[x] for x in roots])
         sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        bands = sig.view(np.uint64)
-        here = np.flatnonzero(mix(bands[0] ^ _SALTS).view(np.int64) == group["bucket"][0].as_py())
+        bands, bucket = sig.view(np.uint64), group["bucket"][0].as_py()
+        here = np.flatnonzero(mix(bands[0] ^ _SALTS).view(np.int64) == bucket)
         size, own = group["n"].to_numpy(), group["_own"].to_numpy()
         lone = group["i"][0].as_py() == group["j"][0].as_py()
         sets = Sets(group["_text"].to_pylist()) if exact else None
@@ -236,10 +244,13 @@ def _compare(members: DataFrame, exact: bool) -> DataFrame:
             rest = rest[(root[rest] != root[i]) & (100 * np.minimum(size[rest], size[i]) >= PERCENT * np.maximum(size[rest], size[i]))]
             if not lone:
                 rest = rest[own[rest] != own[i]]
-            if exact and len(here):
-                rest = rest[(bands[rest] == bands[i]).argmax(1) == here[0]]
+            equal = (sig[rest] == sig[i]).sum(1)
+            rest, equal = rest[equal >= least_equal], equal[equal >= least_equal]
+            if len(here):
+                first = (bands[rest] == bands[i]).argmax(1) == here[0]
+                rest, equal = rest[first], equal[first]
             if len(rest):
-                rest = rest[estimate((sig[rest] == sig[i]).sum(1), size[rest], np.full(len(rest), size[i])) >= lowest_estimate()]
+                rest = rest[estimate(equal, size[rest], np.full(len(rest), size[i])) >= lowest_estimate()]
             if len(rest) and exact:
                 common = sets.common(i, rest)
                 rest = rest[100 * common >= PERCENT * (size[rest] + size[i] - common)]
@@ -250,9 +261,10 @@ def _compare(members: DataFrame, exact: bool) -> DataFrame:
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
         elif met.any():
-            yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in np.flatnonzero(met)], pa.binary())], names=["key"])
+            found = [keys[k] for k in np.flatnonzero(met)]
+            yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(found), pa.int64()), pa.array(found, pa.binary())], names=["bucket", "key"])
 
-    return ordered.mapInArrow(run, "a binary, b binary" if exact else "key binary")
+    return ordered.mapInArrow(run, "a binary, b binary" if exact else "bucket long, key binary")
 
 
 class Sets:
@@ -297,11 +309,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = written(source.join(wanted, ["_th"]).filter(F.col("_id").eqNullSafe(F.col("_rid"))).select("key", "sig", "n", "_text").dropDuplicates(["key"]), "texts")
     roots = written(components(verify(pairs, texts)), "roots")
     # second pass
-    placed = written(members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "size", "key", F.coalesce("root", "key").alias("root")), "placed")
+    placed = written(members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root")), "placed")
     mixed = written(placed.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low != _high").select("bucket"), "mixed")
     facing = placed.join(mixed, "bucket").join(classes.select("key", "sig", "n"), "key")
     near = written(facing_keys(facing), "near")
-    more = written(cross_links(facing.join(near, "key").join(texts.select("key", "_text"), "key")), "more")
+    more = written(cross_links(facing.join(near, ["bucket", "key"]).join(texts.select("key", "_text"), "key")), "more")
     ids = classes.select("key", "least_id").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least_id", F.coalesce("root", "key").alias("root"))
     if not more.isEmpty():  # what the second pass links are whole components of the first
         up = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))

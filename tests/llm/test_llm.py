@@ -456,8 +456,12 @@ def test_sketch_estimates(spark):
     assert (near_dup.compressed(x) >> 10).tolist() == [63, 62, 0, 0, 63]
 
 
-def test_second_pass_finds_links_that_the_first_misses(spark):
+@pytest.mark.parametrize("parts", [1, 3])
+def test_second_pass_finds_links_that_the_first_misses(spark, parts, monkeypatch):
     """Members that do not reach the key's centre, but each other; also where a key's members fill several blocks."""
+    if parts > 1:
+        monkeypatch.setattr(near_dup, "BLOCK", 512)
+        monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 512 * 36)
     sig = bytes(2 * near_dup.REGISTERS)
     words = prose(9, 40).split(" ")
     near = [" ".join(words), " ".join([*words[:39], "z"]), prose(10, 40)]
