@@ -6,7 +6,9 @@ For a row with text t, declared language d, address suffix s and host h, and for
 
 * text: byte n-grams of the lower-cased words under a hashed, smoothed model per language, tempered by the square root of
   the length (neighbouring n-grams are far from independent). The model is fitted on a bounded sample of the distinct
-  texts whose declared language is known: SAMPLE of each language at most, those of least hash.
+  texts whose declared language is known: SAMPLE of each language at most, those of least hash. Every declared tag of the
+  form of a language subtag (2 to 8 letters) with LEAST distinct texts or more is a language; a table takes 128 KB for
+  each. Text that is foreign to all of them goes to UNKNOWN, under which all n-grams are alike.
 * P(d | L), P(s | L): smoothed tables of how often rows whose text alone points to L declare d or have suffix s.
 * P(L | h): host counts smoothed towards the registered domain's, those towards the whole table's.
 
@@ -14,7 +16,9 @@ All tables but the text model come from grouped aggregation over all rows. Rows
 written table, so that adaptive execution can broadcast it if it is small and split a hot host if it is not.
 
 A null or empty text, declaration, suffix or host adds no evidence; a row with none has the global prior. Rows are kept
-if the text has a letter and the best language has at least KEEP_AT; equal rows get equal results.
+if the text has a letter and the best class is a language and has at least KEEP_AT; equal rows get equal results. An empty
+table gives no rows; where no language can be fitted, language and posterior are null and no row is kept. Columns to
+carry may have any names but those of the evidence and of the result.
 """
 
 from __future__ import annotations
@@ -44,27 +48,31 @@ STRENGTH = 8.0
 #: Weight of one square-root-tempered n-gram.
 TEMPER = 1.5
 KEEP_AT = 0.5
-OTHER = "other"
+#: Distinct texts that make a declared tag a language.
+LEAST = 4
+OTHER, UNKNOWN = "other", "und"
 _READ = StructType([StructField("n_words", LongType()), StructField("letters", BooleanType()), StructField("evidence", ArrayType(DoubleType()))])
 
 
 @dataclass
 class TextModel:
     languages: list[str]
-    table: np.ndarray  # slots x languages, log probability
+    table: np.ndarray  # languages x slots, log probability
 
     def scores(self, words: Words) -> np.ndarray:
-        """Tempered log likelihood, texts x languages, with the best at 0."""
+        """Tempered log likelihood, texts x languages and UNKNOWN, with the best at 0."""
         slots, owner = gram_slots(words)
         n = len(words.counts)
-        out = np.zeros((n, len(self.languages)))
+        out = np.zeros((n, len(self.languages) + 1))
         if len(slots):
             grams = np.bincount(owner, minlength=words.size)
-            size = np.maximum(words.per_text(grams[words.ids]), 1)
-            for k in range(len(self.languages)):
-                each = np.bincount(owner, self.table[slots, k], words.size)
-                out[:, k] = words.per_text(each[words.ids]) * TEMPER / np.sqrt(size)
-        return out - out.max(axis=1, keepdims=True) if len(self.languages) and n else out
+            size = words.per_text(grams[words.ids])
+            root = np.sqrt(np.maximum(size, 1))
+            for k, own in enumerate(self.table):
+                each = np.bincount(owner, own[slots], words.size)
+                out[:, k] = words.per_text(each[words.ids]) * TEMPER / root
+            out[:, -1] = -BITS * np.log(2) * size * TEMPER / root
+        return out - out.max(axis=1, keepdims=True) if n else out
 
 
 def gram_slots(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -86,15 +94,15 @@ def gram_slots(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(slots), np.concatenate(owners)
 
 
-def sampled(rows: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[str, int]]:
-    """(declared, text): of each of the 64 most frequent languages the ``sample`` distinct texts of least hash, or all if
-    there are fewer; and the number of distinct texts of each. Copies count once, so a hot text weighs as any other."""
+def sampled(rows: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> tuple[DataFrame, dict[str, int]]:
+    """(declared, text): of each language the ``sample`` distinct texts of least hash, or all if there are fewer; and the
+    number of distinct texts of each. Copies count once, so a hot text weighs as any other."""
     key = F.pmod(F.xxhash64("text"), F.lit(1 << RANGE))
     known = rows.filter(F.col("declared").isNotNull() & F.col("text").isNotNull()).select("declared", "text", key.alias("_h"))
     distinct = known.groupBy("declared", "_h").agg(F.lit(1)).groupBy("declared").agg(F.count(F.lit(1)).alias("n"))
-    sizes = {r["declared"]: r["n"] for r in distinct.orderBy(F.desc("n"), "declared").limit(64).collect()}
+    sizes = {r["declared"]: r["n"] for r in distinct.filter(F.col("n") >= least).collect()}
     if not sizes:
-        return known.select("declared", "text"), sizes
+        return known.select("declared", "text").limit(0), sizes
     # A threshold that twice the sample is expected to pass (fewer than the sample: a chance below 1e-60 at 512), made one
     # row a text in the tasks, then the exact cut on the few that pass.
     bound = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1 << RANGE, math.ceil(2 * sample / n * (1 << RANGE)))))])
@@ -103,33 +111,33 @@ def sampled(rows: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[str,
     return few.withColumn("_rn", F.row_number().over(own)).filter(F.col("_rn") <= sample).select("declared", "text"), sizes
 
 
-def fit_text(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
+def fit_text(rows: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> TextModel:
     """``rows``: text, declared (null: unlabelled). Slot counts are summed in the tasks, so the driver gets one
     fixed-size vector for each task and language."""
-    part, sizes = sampled(rows, sample)
+    part, sizes = sampled(rows, sample, least)
     if not sizes:
-        return TextModel([], np.zeros((1 << BITS, 0)))
+        return TextModel([], np.zeros((0, 1 << BITS)))
     languages = sorted(sizes)
     number = {k: i for i, k in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), 1 << BITS))
+        total = np.zeros((len(languages), 1 << BITS), np.float32)
         for batch in batches:
             for piece in slices(batch, 1):
                 words = Words.of(as_bytes(piece.column(1)), lower=True)
                 slots, owner = gram_slots(words)
                 label = np.array([number[x] for x in piece.column(0).to_pylist()], np.int64)
-                for k in range(len(languages)):
+                for k in np.unique(label).tolist():
                     own = np.bincount(words.ids, (label == k)[words.doc], words.size) if words.size else np.empty(0)
                     total[k] += np.bincount(slots, own[owner], 1 << BITS)
         for k in range(len(languages)):
             used = np.flatnonzero(total[k])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k, np.int32)), pa.array(used.astype(np.int32)), pa.array(total[k][used])], names=["k", "slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k, np.int32)), pa.array(used.astype(np.int32)), pa.array(total[k][used].astype(np.float64))], names=["k", "slot", "n"])
 
     found = part.mapInArrow(run, "k int, slot int, n double").groupBy("k", "slot").agg(F.sum("n").alias("n")).toArrow()
-    table = np.full((1 << BITS, len(languages)), SMOOTH)
-    np.add.at(table, (found["slot"].to_numpy(), found["k"].to_numpy()), found["n"].to_numpy())
-    return TextModel(languages, np.log(table / table.sum(axis=0)))
+    table = np.full((len(languages), 1 << BITS), SMOOTH, np.float32)
+    np.add.at(table, (found["k"].to_numpy(), found["slot"].to_numpy()), found["n"].to_numpy().astype(np.float32))
+    return TextModel(languages, np.log(table / table.sum(axis=1, keepdims=True, dtype=np.float64)).astype(np.float32))
 
 
 def read_text(rows: DataFrame, model: TextModel, carry: list[str]) -> DataFrame:
@@ -156,16 +164,16 @@ def domain_of(host: Column) -> Column:
     return F.array_join(F.slice(F.split(host, r"\."), F.greatest(F.size(F.split(host, r"\.")) - 1, F.lit(1)), 2), ".")
 
 
-def identify(rows: DataFrame, carry: list[str], sample: int = SAMPLE, keep_at: float = KEEP_AT) -> DataFrame:
+def identify(rows: DataFrame, carry: list[str], sample: int = SAMPLE, keep_at: float = KEEP_AT, least: int = LEAST) -> DataFrame:
     """``rows``: text, declared, suffix, host and the columns to carry. Adds language, posterior, text_language,
     n_words, evidence per language and kept."""
-    primary = F.lower(F.regexp_extract("declared", "^[A-Za-z]+", 0))
-    clean = rows.withColumns({"declared": F.when(primary != "", primary), "host": F.nullif(F.lower("host"), F.lit("")), "suffix": F.nullif(F.lower("suffix"), F.lit(""))})
-    model = fit_text(clean.select("declared", "text"), sample)
+    primary = F.lower(F.regexp_extract("declared", "^[A-Za-z]{2,8}(?![A-Za-z])", 0))
+    clean = rows.withColumns({"declared": F.when(~primary.isin("", UNKNOWN), primary), "host": F.nullif(F.lower("host"), F.lit("")), "suffix": F.nullif(F.lower("suffix"), F.lit(""))})
+    model = fit_text(clean.select("declared", "text"), sample, least)
     if not model.languages:
         return rows.select(*carry, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior"), F.lit(None).cast("string").alias("text_language"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("map<string,double>").alias("posteriors"), F.lit(False).alias("kept"))
-    names = F.array(*map(F.lit, model.languages))
-    n = len(model.languages)
+    names = F.array(*map(F.lit, [*model.languages, UNKNOWN]))
+    n = len(model.languages) + 1
     tag = F.when(F.col("declared").isNull() | F.col("declared").isin(model.languages), F.col("declared")).otherwise(F.lit(OTHER))
     read = written(read_text(clean.withColumns({"_declared": tag, "_suffix": F.col("suffix"), "_host": F.col("host"), "_domain": domain_of(F.col("host"))}), model, [*carry, "_declared", "_suffix", "_host", "_domain"]), "language")
     best = F.array_position("evidence", F.array_max("evidence")).cast("int") - 1
@@ -181,7 +189,7 @@ def identify(rows: DataFrame, carry: list[str], sample: int = SAMPLE, keep_at: f
         """log P(value | language), up to what all values share: counts over the language's, smoothed by STRENGTH rows."""
         return table.withColumn("e", F.zip_with("c", F.array(*[F.lit(float(x)) for x in overall]), lambda c, t: F.log((c + 1) / (t + STRENGTH))))
 
-    declared = likelihood(counts("_declared")).select("_declared", F.col("e").alias("_ed"))  # at most one row more than languages
+    declared = likelihood(counts("_declared")).select("_declared", F.col("e").alias("_ed"))  # one row for each language, and one for OTHER
     suffixes = written(likelihood(counts("_suffix")).select("_suffix", F.col("e").alias("_es")), "suffixes")
     smooth = lambda c, towards: F.zip_with(c, towards, lambda a, b: (a + STRENGTH * b) / (F.aggregate(c, F.lit(0.0), lambda s, y: s + y) + STRENGTH))
     domains = counts("_domain").select("_domain", smooth(F.col("c"), base).alias("_pd"))
@@ -200,7 +208,7 @@ def identify(rows: DataFrame, carry: list[str], sample: int = SAMPLE, keep_at: f
         F.when(F.col("letters"), names[best]).alias("text_language"),
         "n_words",
         F.map_from_arrays(names, F.col("_f")).alias("posteriors"),
-        (F.col("letters") & (F.array_max("_f") >= keep_at)).alias("kept"),
+        (F.col("letters") & (F.array_max("_f") >= keep_at) & (names[at] != UNKNOWN)).alias("kept"),
     )
 
 
@@ -218,6 +226,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 def page_evidence(pages: DataFrame) -> DataFrame:
     """Pages declare it in the markup's lang attribute; host and suffix come from the address."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    plain = F.regexp_replace(F.col("html"), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
-    plain = F.regexp_replace(F.regexp_replace(plain, r"<[^>]*>", " "), r"&[A-Za-z0-9#]+;", " ")
+    # What is not closed reaches to the end, so that no place is searched twice.
+    plain = F.regexp_replace(F.col("html"), r"(?is)<(script|style)\b[^>]*(?:>.*?(?:</\1\s*>|\z)|\z)", " ")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"<[^<>]*>", " "), r"&[A-Za-z0-9#]{1,32};", " ")
     return pages.withColumns({"text": plain, "declared": F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1), "host": host, "suffix": F.regexp_extract(host, r"\.([a-z]+)$", 1)})

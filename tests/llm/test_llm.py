@@ -515,6 +515,109 @@ def test_language_edges(spark, docs, empty):
     assert kept.columns == clashing(docs).columns and {"declared"} == {r["declared"] for r in kept.collect()}
 
 
+def brute_fusion(table, posteriors_of=None):
+    """table: (id, text, declared, suffix, host), few enough that all texts are fitted. Posterior of each class by id."""
+    letters = lambda t: any(c.isalpha() for c in t or "")
+
+    def grams(text):
+        out = []
+        for w in WORD.findall((text or "").translate(LOWER)):
+            data = b" " + w.encode() + b" "
+            for size in language.GRAMS:
+                for i in range(len(data) - size + 1 - (size == 1)):  # a word's last space is no gram of its own
+                    key = size
+                    for b in data[i : i + size]:
+                        key = key << 8 | b
+                    out.append(int(language.mix(np.array([key], np.uint64))[0]) >> (64 - language.BITS))
+        return out
+
+    texts = defaultdict(set)
+    for _, t, d, _, _ in table:
+        if d and t is not None:
+            texts[d].add(t)
+    langs = sorted(k for k, v in texts.items() if len(v) >= language.LEAST)
+    width = 1 << language.BITS
+    model = {}
+    for k in langs:
+        own = Counter(g for t in texts[k] for g in grams(t))
+        total = sum(own.values()) + language.SMOOTH * width
+        model[k] = (own, total)
+    classes = [*langs, language.UNKNOWN]
+
+    def evidence(text):
+        found = grams(text)
+        if not found:
+            return [0.0] * len(classes)
+        out = [sum(math.log((own[g] + language.SMOOTH) / total) for g in found) for own, total in model.values()]
+        out.append(-math.log(width) * len(found))
+        return [x * language.TEMPER / math.sqrt(len(found)) for x in out]
+
+    scores = {i: evidence(t) for i, t, *_ in table}
+    votes = [(max(range(len(classes)), key=lambda k: (scores[i][k], -k)), d if d is None or d in langs else language.OTHER, s, h) for i, t, d, s, h in table if letters(t)]
+    count = lambda at, value: [sum(v[0] == k and v[at] == value for v in votes) for k in range(len(classes))]
+    overall = [sum(v[0] == k for v in votes) for k in range(len(classes))]
+    prior = [(x + 1) / (sum(overall) + len(classes)) for x in overall]
+    S = language.STRENGTH
+    share = lambda c, towards: [(a + S * b) / (sum(c) + S) for a, b in zip(c, towards, strict=True)]
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    out = {}
+    for i, _, d, s, h in table:
+        total = scores[i]
+        for at, value in ((1, d if d is None or d in langs else language.OTHER), (2, s)):
+            if value and any(v[at] == value for v in votes):
+                total = [x + math.log((c + 1) / (n + S)) for x, c, n in zip(total, count(at, value), overall, strict=True)]
+        p = prior
+        if h and any(v[3] == h for v in votes):
+            by_domain = [sum(v[0] == k and v[3] is not None and domain(v[3]) == domain(h) for v in votes) for k in range(len(classes))]
+            p = share(count(3, h), share(by_domain, prior))
+        total = [x + math.log(y) for x, y in zip(total, p, strict=True)]
+        weights = [math.exp(x - max(total)) for x in total]
+        out[i] = {k: w / sum(weights) for k, w in zip(classes, weights, strict=True)}
+    return out
+
+
+def test_language_fusion_matches_brute_force(spark):
+    cyrillic = "съешь ещё этих мягких французских булок да выпей чаю"
+    words = {"aa": "abba cadda effa gahha", "bb": "ozzo uppu irri otto", "cc": "xyx wvw tst rqr"}
+    table = [(len(words) * j + k, " ".join(words[x].split()[(j + m) % 4] for m in range(3 + j)), x, (None, "one", "two")[j % 3], (None, f"{x}.host.example", "shared.host.example", f"{x}.other")[j % 4]) for j in range(6) for k, x in enumerate(words)]
+    table += [(100, "abba otto", None, "one", "shared.host.example"), (101, cyrillic, None, None, None), (102, None, "aa", "two", None), (103, "", None, None, "aa.host.example"), (104, "123 456", "bb", None, None), (105, "ozzo uppu", "zz", "three", "new.example"), (106, None, None, None, None)]
+    df = spark.createDataFrame(table, "id long, text string, declared string, suffix string, host string")
+    wanted = brute_fusion(table)
+    for r in language.identify(df, ["id"]).collect():
+        best = max(wanted[r["id"]], key=wanted[r["id"]].get)
+        assert r["posteriors"] == pytest.approx(wanted[r["id"]], abs=1e-4), r
+        assert r["language"] == best
+        letters = any(c.isalpha() for c in {x[0]: x[1] for x in table}[r["id"]] or "")
+        assert r["kept"] == (letters and best != language.UNKNOWN and wanted[r["id"]][best] >= language.KEEP_AT)
+
+
+def test_foreign_text_is_unknown_and_not_kept(spark, sf):
+    docs = language.document_evidence(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "text", "declared", "suffix", "host")
+    foreign = spark.createDataFrame([(-1, "съешь ещё этих мягких французских булок да выпей чаю " * 5, None, None, None)], docs.schema)
+    found = {r["doc_id"]: r for r in language.identify(docs.unionByName(foreign), ["doc_id"]).collect()}
+    assert (found[-1]["language"], found[-1]["kept"]) == (language.UNKNOWN, False)
+    assert sum(r["kept"] for r in found.values()) >= len(found) - 3
+
+
+def test_seventy_languages_and_a_text_repeated_very_often(spark):
+    tag = lambda k: "q" + chr(97 + k // 26) + chr(97 + k % 26)
+    each = [(f"{tag(k)[::-1]}{tag(k)} {tag(k) * 2} w{j}{tag(k)}", tag(k)) for k in range(70) for j in range(6)]
+    hot = spark.range(100_000).select(F.lit("hot words here").alias("text"), F.lit("qaa").alias("declared"))
+    rows = spark.createDataFrame(each, "text string, declared string").unionByName(hot)
+    model = language.fit_text(rows)
+    assert model.languages == [tag(k) for k in range(70)]
+    part, sizes = language.sampled(rows)
+    assert sizes["qaa"] == 7 and part.count() == 70 * 6 + 1
+    found = language.identify(rows.distinct().withColumns({"suffix": F.lit(None).cast("string"), "host": F.lit(None).cast("string")}), ["text", "declared"]).filter("text != 'hot words here'").collect()
+    assert sum(r["language"] == r["declared"] for r in found) == len(found) == 420
+
+
+def test_markup_without_ends_is_read_once(spark):
+    html = "<html lang=de>" + "<script>" * 50_000 + "<" * 50_000 + "&" * 50_000
+    pages = spark.createDataFrame([(1, "https://a.de/", html), (2, None, "<" * 200_000), (3, "https://b.fr", "<script " * 50_000)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["declared"] for r in language.page_evidence(pages).select("page_id", "declared", "text").collect()} == {1: "de", 2: "", 3: ""}
+
+
 # -- pieces ---------------------------------------------------------------------------------------------------------------
 
 
