@@ -127,3 +127,26 @@ def opportunity_type(inbound: Column, position: Column, sessions: Column, impres
 
 def confidence_label(score: Column, high: float = 84, medium: float = 66) -> Column:
     return first_match([(score >= high, "high"), (score >= medium, "medium")], "low")
+
+
+# Words of a page's lower-cased title, heading and text that tell its type, in order.
+QUICK_TYPES = (
+    (r"\bfaq\b|frequently asked|common questions", "faq"),
+    (r"\bcompare\b|\bcomparison\b|\bversus\b|\bvs\b", "comparison"),
+    (r"\bcalculator\b|\bestimator\b|\btool\b|\bconfigurator\b", "tool"),
+    (r"\bproducts\b|\bcollection\b|\bcatalog\b|shop all", "category"),
+    (r"\bpricing\b|\bbook demo\b|\bget started\b|\brequest quote\b", "landing"),
+)
+
+
+def quick_page_type(title: Column, heading: Column, body: Column, has_article: Column, subheadings: Column) -> Column:
+    """A page's type from its words, then from its structure."""
+    low = F.lower(F.concat_ws(" ", title, heading, body))
+    return first_match([*((low.rlike(p), label) for p, label in QUICK_TYPES), (has_article | (subheadings >= 2), "article"), (low.rlike(r"\bproduct\b"), "product")], "unknown")
+
+
+def crawl_issue() -> Column:
+    """Nine reasons that put a crawled page on the list of issues."""
+    none = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    elsewhere = (F.coalesce("canonical_url", F.lit("")) != "") & (F.col("canonical_url") != F.col("normalized_url"))
+    return F.col("status_code").isNull() | (F.col("status_code") >= 400) | F.coalesce("noindex", F.lit(False)) | none("title") | none("meta_description") | elsewhere | (F.coalesce("inbound", F.lit(0)) == 0)

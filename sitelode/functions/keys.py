@@ -110,3 +110,8 @@ def scope_domain(site: Column) -> Column:
 
 def scope_id(owner: Column, domain: Column) -> Column:
     return F.substring(F.sha2(F.concat(owner, F.lit("\n"), domain), 256), 1, 24)
+
+
+def is_noise(path: Column) -> Column:
+    """Paths that scanners probe: hidden files, scripts, environment and backup files."""
+    return path.contains("/.") | path.endswith(".php") | path.contains(".env") | path.endswith(".bak")

@@ -33,6 +33,14 @@ def dataset_status(ledger: DataFrame, required: int) -> DataFrame:
     return good.groupBy("date").agg(status.alias("status"))
 
 
+def by_dataset(stored: DataFrame, datasets: list[str], start: date, end: date) -> DataFrame:
+    """Of each dataset: expected and covered days, the covered share, first and last stored day. ``stored``: dataset, date."""
+    days = calendar(stored.sparkSession, start, end).select("date", F.explode(F.array(*map(F.lit, datasets))).alias("dataset"))
+    held = stored.select("dataset", "date").distinct().withColumn("_here", F.lit(True))
+    covered = F.count("_here")
+    return days.join(held, ["dataset", "date"], "left").groupBy("dataset").agg(F.count(F.lit(1)).alias("expected"), covered.alias("covered"), safe_ratio(covered, F.count(F.lit(1))).alias("ratio"), F.min(F.when(F.col("_here"), F.col("date"))).alias("first_day"), F.max(F.when(F.col("_here"), F.col("date"))).alias("last_day"))
+
+
 def summary(days: DataFrame, most_missing: int = 31) -> DataFrame:
     """One row: counts, the covered share, and the first missing days."""
     covered = F.count_if(F.col("status").isin(*COVERED))

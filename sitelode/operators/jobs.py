@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +53,29 @@ def waits(jobs: DataFrame, slots: int = 2, least: int = 30) -> DataFrame:
     return queued.withColumn("wait", F.floor((F.col("place") - 1) / slots) * F.col("typical"))
 
 
+def estimates(jobs: DataFrame, now: Column, slots: int = 2, least: int = 30) -> DataFrame:
+    """Place and seconds to wait of each running, queued and retrying job, with what the running ones have left.
+
+    Jobs take ``typical`` seconds each (the median of the site's completed ones). A running job has that less the time
+    since ``started_at`` left; at most ``slots`` run. A queued job takes the slot that is free first, so with the slots
+    sorted by what is left, the n-th queued job waits for slot (n - 1) mod slots and whole rounds before it."""
+    done = jobs.filter("status = 'completed'").groupBy("site").agg(median_seconds(F.col("seconds")).alias("typical"))
+    open_jobs = jobs.filter(F.col("status").isin("running", "queued", "retrying")).join(done, "site", "left").withColumn("typical", F.greatest(F.coalesce("typical", F.lit(least)), F.lit(least)))
+    left = F.greatest(F.lit(0), F.col("typical") - (now.cast("long") - F.col("started_at").cast("long")))
+    running = open_jobs.filter("status = 'running'").withColumn("left", left)
+    # the slots of a site: what its running jobs have left, the least first; the others are free
+    first = running.withColumn("_rn", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("left"), "id"))).filter(F.col("_rn") <= slots)
+    held = first.groupBy("site").agg(F.collect_list("left").alias("_left"))
+    own = Window.partitionBy("site").orderBy(F.col("queued_at").asc(), "id")
+    waiting = open_jobs.filter("status <> 'running'").withColumn("n", F.row_number().over(own)).join(held, "site", "left")
+    busy = F.coalesce("_left", F.array().cast("array<long>"))
+    free = F.array_sort(F.concat(busy, F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(0), slots - F.size(busy)))))
+    wait = F.element_at(free, ((F.col("n") - 1) % slots + 1).cast("int")) + F.floor((F.col("n") - 1) / slots) * F.col("typical")
+    blocked = F.when(F.size(busy) >= slots, 1).otherwise(0)
+    queued = waiting.select("site", "id", "status", (F.col("n") + blocked).cast("int").alias("place"), "typical", wait.cast("long").alias("wait"))
+    return queued.unionByName(running.select("site", "id", "status", F.lit(1).alias("place"), "typical", F.lit(0).cast("long").alias("wait")))
+
+
 def workload(jobs: DataFrame, slots: int = 2) -> DataFrame:
     n = jobs.filter(F.col("status").isin("queued", "running")).groupBy("site").agg(F.count(F.lit(1)).alias("open"))
     return n.withColumn("state", F.when(F.col("open") == 0, "idle").when(F.col("open") <= slots, "normal").when(F.col("open") <= 2 * slots, "busy").otherwise("backlogged"))

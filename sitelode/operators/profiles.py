@@ -104,6 +104,12 @@ def audit(pages: DataFrame) -> DataFrame:
     return pages.select("url", F.col("raw_key").alias("page_key"), F.array_join(issues, ",").alias("issues"), F.greatest(F.lit(0), 100 - penalty).alias("score"))
 
 
+def with_search(pages: DataFrame, search: DataFrame) -> DataFrame:
+    """Crawled pages (raw_key) with their clicks and impressions; 0 where search has none."""
+    sums = search.filter("page_key <> ''").groupBy("page_key").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
+    return pages.join(sums, F.col("raw_key") == F.col("page_key"), "left").drop("page_key").fillna(0, ["clicks", "impressions"])
+
+
 def readiness(pages: Column, with_blocks: Column, profiled: Column, templated: Column, running: Column, failed: Column) -> Column:
     """State of the content evidence of a site."""
     share = lambda n: F.when(pages > 0, n / pages).otherwise(0.0)

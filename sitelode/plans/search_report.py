@@ -7,7 +7,7 @@ its grain and only the edges from daily facts; sums of positions are stored, so
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import date
 from functools import reduce
 
@@ -45,7 +45,9 @@ class SearchReport:
     limit: int = 1000
     offset: int = 0
     query_metric: bool = False
-    _: None = field(default=None, repr=False)
+    #: With a site, facts must have the columns owner and site; an owner of None finds the rows without one.
+    site: str | None = None
+    owner: str | None = None
 
     def __post_init__(self) -> None:
         if self.start > self.end:
@@ -68,6 +70,8 @@ class SearchReport:
         """Filters with an unknown operator or dimension are ignored; page literals are compared as keys."""
         own = GRAINS[self.grain] - {"date"}
         parts = [F.col(COLUMN[d]) != "" for d in own]
+        if self.site is not None:
+            parts += [F.col("site") == self.site, F.col("owner").eqNullSafe(F.lit(self.owner).cast("string"))]
         for f in filter(_known, self.filters):
             c = F.col(COLUMN[f.dimension])
             if f.operator == "equals":
@@ -123,6 +127,7 @@ def monthly_summary(daily: DataFrame, start: date | None = None, end: date | Non
     """Sums by month and the daily grain's keys; only whole months of the range, so that a short refresh never leaves half a month."""
     keys = [c for c in ("page_key", "query", "country") if c in daily.columns]
     days = daily.filter(reduce(lambda a, b: a & b, [F.col(k) != "" for k in keys], F.lit(True)))
+    keys = [*(c for c in ("owner", "site") if c in daily.columns), *keys]
     if start is not None:
         days = days.filter(F.col("date") >= start.replace(day=1))
     if end is not None:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import provider_date
-from ..functions.measures import floored_mean, safe_ratio
+from ..functions.keys import page_key
+from ..functions.measures import floored_mean, number, safe_ratio
 
 SEARCH_ROW = "struct<keys:array<string>,clicks:double,impressions:double,ctr:double,position:double>"
 ENGINE2_ROW = "struct<Query:string,Date:string,Impressions:double,Clicks:double,AvgClickPosition:double,AvgImpressionPosition:double>"
@@ -19,6 +22,32 @@ def search_rows(payloads: DataFrame, column: str = "payload", page_size: int = 2
     return parsed.withColumn("truncated", full).select(*[c for c in payloads.columns if c != column], "truncated", F.explode("_p.rows").alias("_r")).select("*", "_r.*").drop("_r")
 
 
+ANALYTICS_ROW = "struct<dimensionValues:array<struct<value:string>>,metricValues:array<struct<value:string>>>"
+# Fixed value: sources of the assistants, lower-cased.
+ASSISTANT_SOURCES = r"chatgpt|openai|claude|anthropic|perplexity|copilot|bing\.com/chat|gemini|bard|ai\.google|google.*ai|you\.com|phind|mistral|meta.*ai|grok|x\.com/i/grok"
+
+
+def analytics_rows(payloads: DataFrame, dimensions: list[str], metrics: list[str], column: str = "payload") -> DataFrame:
+    """Rows of ``{"rows": [...]}`` payloads whose dimensions and metrics stand in order: a text column for each dimension
+    (``date`` as a day), a number for each metric. A payload that cannot be read gives no rows; what is no number is 0."""
+    rows = payloads.select(*[c for c in payloads.columns if c != column], F.explode(F.from_json(column, f"struct<rows:array<{ANALYTICS_ROW}>>").getField("rows")).alias("_r"))
+    at = lambda kind, i: F.try_element_at(F.col(f"_r.{kind}"), F.lit(i + 1)).getField("value")
+    named = [(provider_date(at("dimensionValues", i)) if d == "date" else F.coalesce(at("dimensionValues", i), F.lit(""))).alias(d) for i, d in enumerate(dimensions)]
+    return rows.select(*rows.columns[:-1], *named, *[number(at("metricValues", i)).alias(m) for i, m in enumerate(metrics)])
+
+
+def traffic_page_rows(rows: DataFrame) -> DataFrame:
+    """One row for each day and page key; paths with one key are summed, their bounce rates weighted by sessions."""
+    keyed = rows.withColumn("page_key", page_key(F.when(F.col("page_path") == "", "/").otherwise(F.col("page_path"))))
+    sums = [F.sum(c).cast("long").alias(c) for c in ("sessions", "total_users", "page_views", "event_count")]
+    return keyed.groupBy("date", "page_key").agg(*sums, safe_ratio(F.sum(F.col("bounce_rate") * F.col("sessions")), F.sum("sessions")).alias("bounce_rate"))
+
+
+def from_assistants(rows: DataFrame, source: str = "source") -> DataFrame:
+    """The rows whose source is an assistant."""
+    return rows.filter(F.lower(source).rlike(ASSISTANT_SOURCES))
+
+
 def engine2_rows(payloads: DataFrame, column: str = "payload", fetched: str = "fetched_date") -> DataFrame:
     """Rows of ``{"d": [...]}`` payloads; a row without a date takes the day it was fetched and says so."""
     parsed = payloads.select(fetched, F.explode(F.from_json(column, f"struct<d:array<{ENGINE2_ROW}>>").getField("d")).alias("r"))
@@ -58,6 +87,26 @@ def sitemap_urls(maps: DataFrame, column: str = "xml") -> DataFrame:
     return found.filter(host == F.regexp_replace("site", r"^www\.", "")).distinct()
 
 
+def expand_sitemaps(seeds: DataFrame, fetched: DataFrame, depth: int = 3, most_maps: int = 1000, most_urls: int = 50_000) -> DataFrame:
+    """site, url of the pages that the ``seeds`` (site, url) lead to through sitemap indexes, by ``fetched`` (site, map_url,
+    xml): level by level, each map once, and of each site at most so many maps and pages, the lesser addresses first. The
+    two bounds are the crawler's own; a site's maps are few, so a level is a small join."""
+    level = seeds.select("site", F.col("url").alias("map_url")).distinct()
+    seen, found = level, []
+    for _ in range(depth):
+        links = sitemap_urls(level.join(fetched, ["site", "map_url"]))
+        found.append(links.filter("not is_map").select("site", "url"))
+        level = links.filter("is_map").select("site", F.col("url").alias("map_url")).distinct().join(seen, ["site", "map_url"], "left_anti")
+        level = _first(level, "map_url", most_maps)
+        seen = seen.unionByName(level)
+    return _first(reduce(DataFrame.unionByName, found).distinct(), "url", most_urls)
+
+
+def _first(rows: DataFrame, column: str, most: int) -> DataFrame:
+    own = Window.partitionBy("site").orderBy(column)
+    return rows.withColumn("_rn", F.row_number().over(own)).filter(F.col("_rn") <= most).drop("_rn")
+
+
 def export_columns(grid: DataFrame, dimension: str) -> DataFrame:
     """Report columns as text: rates with two decimals and a percent sign, positions with one."""
     return grid.select(F.col(dimension), F.col("clicks").cast("string"), F.col("impressions").cast("string"), F.format_string("%.2f%%", F.col("ctr") * 100).alias("ctr"), F.format_string("%.1f", F.col("position")).alias("position"))

@@ -46,6 +46,20 @@ SQL = {
     "access_log": """SELECT concat('10.0.', CAST(user_id % 250 AS STRING), '.', CAST(event_id % 250 AS STRING), ' - - [0', CAST(1 + event_id % 9 AS STRING), '/Jan/2024:1', CAST(event_id % 10 AS STRING), ':05:09 -0700] "',
         CASE WHEN event_type = 'signup' THEN 'POST' ELSE 'GET' END, ' /s', CAST(user_id % 4 AS STRING), '/p', CAST(user_id % 30 AS STRING), ' HTTP/1.1" ', CASE WHEN event_id % 23 = 0 THEN '404' WHEN event_id % 41 = 0 THEN '500' ELSE '200' END, ' 512 "-" "',
         CASE CAST(user_id % 7 AS INT) WHEN 0 THEN 'Mozilla/5.0 (compatible; Googlebot/2.1)' WHEN 1 THEN 'bingbot/2.0' WHEN 2 THEN 'GPTBot/1.0' WHEN 3 THEN 'PerplexityBot' WHEN 4 THEN 'my-crawler' WHEN 5 THEN '' ELSE 'Mozilla/5.0 (X11)' END, '"') AS line FROM {events}""",
+    "scoped_daily": """SELECT CASE WHEN l_suppkey % 4 > 0 THEN concat('owner', CAST(l_suppkey % 4 AS STRING)) END AS owner, concat('https://site-', CAST(l_suppkey % 5 AS STRING), '.example') AS site, CAST(l_shipdate AS DATE) AS date,
+        concat('/s', CAST(l_suppkey AS STRING), '/p', CAST(l_partkey % 50 AS STRING)) AS page_key, concat('part ', CAST(l_partkey AS STRING)) AS query, SUM(CAST(floor(l_quantity * l_discount) AS BIGINT)) AS clicks, SUM(CAST(l_quantity AS BIGINT)) AS impressions,
+        CAST(SUM(CAST(l_quantity AS BIGINT) * (1 + CAST(round(l_tax * 100) AS BIGINT))) AS DOUBLE) / SUM(CAST(l_quantity AS BIGINT)) AS position FROM {lineitem} GROUP BY 1, 2, 3, 4, 5""",
+    "authority_pages": """SELECT concat('/p', CAST(p_partkey AS STRING)) AS page_key, concat('https://site.example/p', CAST(p_partkey AS STRING)) AS url, p_name AS title FROM {part} WHERE p_partkey % 5 > 0""",
+    "authority_profiles": """SELECT concat('/p', CAST(p_partkey AS STRING)) AS page_key, regexp_extract(p_type, '^([A-Z]+)', 1) AS page_type, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN CAST(p_partkey % 100 AS DOUBLE) + 2 ELSE CAST(p_partkey % 100 AS DOUBLE) / 100 END AS confidence,
+        CASE WHEN p_partkey % 4 = 0 THEN p_brand END AS template_key FROM {part} WHERE p_partkey % 3 < 2""",
+    "authority_members": """SELECT concat('/p', CAST(l_partkey AS STRING)) AS page_key, concat('Brand#', CAST(1 + l_suppkey % 5 AS STRING), CAST(1 + l_suppkey % 3 AS STRING)) AS template_key, CAST(l_linenumber AS DOUBLE) AS distance, CASE WHEN l_linenumber = 2 THEN true END AS is_exemplar FROM {lineitem} WHERE l_linenumber < 4""",
+    "authority_clusters": """SELECT p_brand AS template_key, COUNT(*) AS member_count, CAST(COUNT(*) % 100 AS DOUBLE) / 100 AS confidence FROM {part} GROUP BY 1""",
+    "authority_regions": """SELECT concat('/p', CAST(ps AS STRING)) AS page_key, region, confidence, prominence, visible, text_density, link_density, boilerplate FROM (SELECT l_partkey + 3 AS ps, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS region, CASE WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber = 2 THEN CAST(l_suppkey % 150 AS DOUBLE) ELSE CAST(l_discount AS DOUBLE) END AS confidence,
+        CASE WHEN l_linenumber = 3 THEN NULL ELSE CAST(l_tax AS DOUBLE) END AS prominence, l_returnflag = 'N' AS visible, CAST(l_discount AS DOUBLE) AS text_density, CAST(l_tax AS DOUBLE) AS link_density, CAST(l_linenumber AS DOUBLE) / 10 AS boilerplate FROM {lineitem}) x""",
+    "typed_pages": """SELECT p_partkey AS page_id, p_name AS title, CASE CAST(p_partkey % 12 AS INT) WHEN 0 THEN 'Frequently asked about it' WHEN 1 THEN 'Compare both' WHEN 2 THEN 'One vs two' WHEN 3 THEN 'A calculator' WHEN 4 THEN 'Shop all' WHEN 5 THEN 'Pricing' WHEN 6 THEN 'The product' WHEN 7 THEN 'Stool and toolbox' WHEN 8 THEN 'New collection' ELSE p_type END AS heading,
+        CASE WHEN p_partkey % 17 = 0 THEN 'our FAQ' WHEN p_partkey % 17 = 1 THEN 'faqs' WHEN p_partkey % 17 = 2 THEN NULL ELSE p_brand END AS body, p_partkey % 9 = 0 AS has_article, CAST(p_size % 4 AS INT) AS subheadings FROM {part}""",
+    "asked_queries": """SELECT p_partkey AS id, concat(CASE CAST(p_partkey % 14 AS INT) WHEN 0 THEN 'How to clean ' WHEN 1 THEN 'buy ' WHEN 2 THEN 'sign up for ' WHEN 3 THEN 'acme goods ' WHEN 4 THEN 'Acme-Goods ' WHEN 5 THEN '  who made ' WHEN 6 THEN 'cheap ' WHEN 7 THEN 'could I use ' WHEN 8 THEN 'login ' WHEN 9 THEN 'meaning of ' ELSE '' END, lower(p_type), CASE WHEN p_partkey % 11 = 0 THEN ' price' WHEN p_partkey % 11 = 1 THEN '?' ELSE '' END) AS query FROM {part}""",
+    "analytics_payloads": """SELECT event_id AS payload_id, concat('{{"rows":[{{"dimensionValues":[{{"value":"', replace(CAST(CAST(ts AS DATE) AS STRING), '-', ''), '"}},{{"value":"/s', CAST(user_id % 4 AS STRING), '/p', CAST(user_id % 30 AS STRING), '?u=', CAST(event_id AS STRING), '"}}],"metricValues":[{{"value":"', CAST(event_id % 9 AS STRING), '"}},{{"value":"', CAST(event_id % 5 AS STRING), '"}},{{"value":"', CAST(event_id % 13 AS STRING), '"}},{{"value":"0.', CAST(event_id % 10 AS STRING), '"}},{{"value":"', CAST(event_id % 3 AS STRING), '"}}]}}]}}') AS payload FROM {events}""",
 }
 
 
@@ -54,10 +68,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fact(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    used = set(re.findall(r"\{(\w+)\}", SQL[name]))
+    used = set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", SQL[name]))
     return spark.sql(SQL[name], **{t: table(spark, sf_dir, t) for t in used})
 
 
 def oracle_with(*names: str) -> str:
     """``WITH`` clause that defines stand-ins in DuckDB."""
-    return "WITH " + ", ".join(f"{n} AS ({re.sub(r'[{}]', '', SQL[n])})" for n in names) + " "
+    return "WITH " + ", ".join(f"{n} AS ({_plain(SQL[n])})" for n in names) + " "
+
+
+def _plain(sql: str) -> str:
+    """DuckDB knows the tables by name; doubled braces are single ones in a text."""
+    return re.sub(r"(?<!\{)\{(\w+)\}(?!\})", r"\1", sql).replace("{{", "{").replace("}}", "}")
