@@ -1,6 +1,10 @@
 """The document pipeline: quality rules, language identification, near-duplicates, secrets, packing.
 
 Each stage takes what its predecessor kept, as written and read back; all but the last return the columns of documents.
+Null and empty texts fail the quality rules (fewer than 50 words). Null languages and sources add no evidence; null ids are
+kept as they are, repeated rows leave one. Very long texts are worked on whole, alone in their slice. Empty tables pass
+through all stages and give no rows; other columns, whatever their names, are carried to the last stage. ``run`` removes
+a stage's intermediate tables once its result is written.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelode.llm import language, near_dup, packing, quality, secrets
-from sitelode.llm.common import table, written
+from sitelode.llm.common import mark, release, shared_path, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +55,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = shared_path(spark, f"stage-{name}")
+        docs = written(stage(spark, docs, sf_dir), name, path=path)
+        release(spark, before, keep=(path,))  # what the stage wrote on its way, and its input
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,7 +12,8 @@ conversation, one for each partition it touches, fix the state at each cut, and
 The result has a row per input turn: ``rendered`` is its share of the formatted conversation, which is the concatenation
 of the shares by ``seq``. Turns with the same number, and null turns (which come last), are ordered by role and text.
 Roles are trimmed and lower-cased; an unknown or null role is relabelled at a lower price. Null texts count as empty. A
-null conversation id is one conversation. Empty tables give no rows.
+null conversation id is one conversation. Repeated rows are turns of their own. Empty tables give no rows. Only the four
+columns are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -130,8 +131,11 @@ _FIELDS = [("seq", pa.int64()), ("action", pa.string()), ("out_role", pa.string(
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conversation, turn, role, FIELDS for every turn."""
     slim = turns.select(F.col(conv_col).alias("_conv"), F.col(turn_col).alias("_turn"), F.col(role_col).cast("string").alias("_role"), F.col(text_col).cast("string").alias("_text"))
-    keys = ["_conv", F.col("_turn").asc_nulls_last(), "_role", F.xxhash64("_text"), "_text"]
-    dealt = slim.repartitionByRange(parallelism(turns.sparkSession), *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+    # The row number parts rows that are equal otherwise, so that any conversation can be cut; which of two equal rows has
+    # which number makes no difference.
+    keys = ["_conv", F.col("_turn").asc_nulls_last(), "_role", F.xxhash64("_text"), "_text", "_tie"]
+    tied = slim.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(parallelism(turns.sparkSession), *keys).sortWithinPartitions(*keys).drop("_tie").withColumn("_part", F.spark_partition_id())
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
     own = ", ".join(f"{n} {kinds[n]}" for n in ("_conv", "_turn", "_role"))
     shape = f"{own}, {FIELDS}, _part int, _open boolean, _text string"

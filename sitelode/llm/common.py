@@ -18,21 +18,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), a local one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A local master (tests) may do without it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.gettempdir()}/sitelode-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Paths handed out to this process's sessions, so that a caller who has written his result can remove what led to it.
+_HANDED_OUT: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sitelode/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sitelode/{name}-{uuid.uuid4().hex}"
+    _HANDED_OUT.append(path)
+    return path
+
+
+def mark() -> int:
+    return len(_HANDED_OUT)
+
+
+def release(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Removes the intermediate tables made after ``since``. Only once nothing lazy reads them any more."""
+    gone = [p for p in _HANDED_OUT[since:] if p not in keep]
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _HANDED_OUT.remove(path)
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: list[str] | None = None, path: str | None = None) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back, so that a lost executor costs no earlier stage."""
-    path = shared_path(df.sparkSession, name)
+    path = path or shared_path(df.sparkSession, name)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

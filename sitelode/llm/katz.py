@@ -22,15 +22,18 @@ block. A block asks for what it lacks, and buckets of the hash space answer:
 3. each block evaluates its tokens, from the highest order down, and emits its documents' scores.
 
 A frequent word or n-gram is one entry per block, so no key is hot; buckets are ranges of a hash, so they are even. What
-a task holds is a block or a bucket. Blocks never move: the table's bucketing serves steps 2 and 3. Arrays travel as
-compressed byte planes.
+a task holds is a block or a bucket; a block is cut between documents, so a text of more than BLOCK words makes a block of
+its own size. Blocks never move: the table's bucketing serves steps 2 and 3. Messages travel as compressed byte planes; the
+model is stored as arrays of numbers (``model_counts``, ``model_weights``).
 
 Null or empty texts are a lone end token; rows with repeated or null ids are scored each on their own; an empty table
-gives no rows; without training rows every token is unknown, with probability one.
+gives no rows; without training rows every token is unknown, with probability one. Only the id and text columns and what
+``train`` names are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import parallelism, shared_path
@@ -47,6 +50,8 @@ from .words import Words, as_bytes, distinct, mix, segment_sums, slices
 
 ORDER = 2
 BLOCK = 2_000_000
+#: N-grams that a bucket is meant to answer for.
+BUCKET = 2_000_000
 #: Counts up to this are discounted.
 MOST = 5
 SPARE = 0.5
@@ -156,10 +161,10 @@ def tokenised(docs: DataFrame, train: Column, id_col: str, text_col: str, block:
         train = pa.chunked_array([x[1] for x in held]).combine_chunks()
         n = len(ids)
         whole = lambda x: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), x)
-        arrays = [pa.array([number], pa.int64()), whole(ids), whole(train), pa.array([squeeze(np.concatenate([x[3] for x in held]))]), pa.array([squeeze(rank[place])]), pa.array([vocab[often].tobytes()])]
-        return pa.RecordBatch.from_arrays(arrays, names=["block", "ids", "train", "sizes", "tokens", "vocab"])
+        arrays = [pa.array([number], pa.int64()), whole(ids), whole(train), pa.array([squeeze(np.concatenate([x[3] for x in held]))]), pa.array([squeeze(rank[place])]), pa.array([vocab[often].tobytes()]), pa.array([len(place)])]
+        return pa.RecordBatch.from_arrays(arrays, names=["block", "ids", "train", "sizes", "tokens", "vocab", "n_tokens"])
 
-    return slim.mapInArrow(run, f"block long, ids array<{kind}>, train array<boolean>, sizes binary, tokens binary, vocab binary")
+    return slim.mapInArrow(run, f"block long, ids array<{kind}>, train array<boolean>, sizes binary, tokens binary, vocab binary, n_tokens long")
 
 
 def read_block(row: dict) -> Block:
@@ -170,13 +175,14 @@ def read_block(row: dict) -> Block:
 # -- asking and answering -------------------------------------------------------------------------------------------------
 
 ASKED = "order int, bucket int, block long, keys binary, n binary, mass binary, lower binary, need binary"
-ANSWERED = "order int, bucket int, block long, keys binary, n binary, own binary, stats array<long>, kind string"
-WEIGHTS = "order int, bucket int, block long, keys binary, weights binary, kind string"
+ANSWERED = "bucket int, block long, n binary, own binary, stats array<long>, model_keys array<long>, model_counts array<long>, kind string, order int"
+WEIGHTS = "bucket int, block long, weights binary, model_keys array<long>, model_weights array<double>, kind string, order int"
 
 
 def _batch(shape: str, rows: list[dict]) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
-    return pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, kinds[k]) for n, k in (x.split() for x in shape.split(", "))]))
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
+    fields = [(n, kinds[k]) for n, k in (x.split() for x in shape.split(", "))]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in fields], names=[n for n, _ in fields])
 
 
 def _ranges(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -218,7 +224,7 @@ def answer_counts(asked: pa.Table) -> pa.Table:
         rows.append({"order": order, "bucket": bucket, "block": block, "n": squeeze(total[place[mine]]), "own": squeeze(np.packbits(own[mine])), "kind": "answer"})
     seen = total > 0
     stats = [int(seen.sum()), int(total.sum()), *np.bincount(np.minimum(total, MOST + 2), minlength=MOST + 3)[1 : MOST + 2].tolist()]
-    rows.append({"order": order, "bucket": bucket, "keys": squeeze_keys(known[seen]), "n": squeeze(total[seen]), "stats": stats, "kind": "model"})
+    rows.append({"order": order, "bucket": bucket, "model_keys": known[seen].view(np.int64), "model_counts": total[seen], "stats": stats, "kind": "model"})
     return pa.Table.from_batches([_batch(ANSWERED, rows)])
 
 
@@ -237,7 +243,7 @@ def answer_weights(asked: pa.Table) -> pa.Table:
         if wanted.any():
             rows.append({"order": order, "bucket": bucket, "block": block, "weights": squeeze(weight[place[at : at + len(k)][wanted]]), "kind": "answer"})
         at += len(k)
-    rows.append({"order": order, "bucket": bucket, "keys": squeeze_keys(known), "weights": squeeze(weight), "kind": "model"})
+    rows.append({"order": order, "bucket": bucket, "model_keys": known.view(np.int64), "model_weights": weight, "kind": "model"})
     return pa.Table.from_batches([_batch(WEIGHTS, rows)])
 
 
@@ -359,20 +365,22 @@ def evaluate(reading: Reading, answers: list[dict]) -> dict[str, np.ndarray]:
 def katz(docs: DataFrame, train: Column, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> tuple[DataFrame, dict[str, str]]:
     """(scores of all rows under the model of the rows where ``train`` holds, paths of the model's tables).
 
-    Scores: id, train, n_tokens, n_known, train_tokens, base_score, score. Tables: ``counts`` (kind=model: n-gram keys and
-    counts by order and bucket) and ``weights`` (kind=model: context keys and log10 alpha)."""
+    Scores: id, train, n_tokens, n_known, train_tokens, base_score, score. Tables: ``counts`` and ``weights``, partitioned
+    by kind and order; ``model_counts`` and ``model_weights`` read the model from them as plain rows."""
     spark = docs.sparkSession
     wide = parallelism(spark)
-    buckets = 4 * wide
     paths = {x: shared_path(spark, x) for x in ("blocks", "counts", "weights")}
     name = f"sitelode_blocks_{uuid.uuid4().hex}"
     made = tokenised(docs, train, id_col, text_col, block)
     made.write.bucketBy(wide, "block").option("path", paths["blocks"]).option("compression", "none").saveAsTable(name)
     blocks = spark.table(name)
     id_type = made.schema["ids"].dataType.elementType.simpleString()
+    # As many buckets as the tokens ask for; a block sends a bucket nothing where it has nothing, so there are never more
+    # messages than n-grams.
+    buckets = max(wide, math.ceil((blocks.agg(F.sum("n_tokens")).first()[0] or 0) / BUCKET))
 
     counts = ask_counts(blocks, order, buckets).groupBy("order", "bucket").applyInArrow(answer_counts, ANSWERED)
-    counts.write.partitionBy("kind").parquet(paths["counts"])
+    counts.write.partitionBy("kind", "order").parquet(paths["counts"])
     stored = spark.read.schema(ANSWERED).parquet(paths["counts"])
     # one row for each order
     totals = {r["order"]: r for r in stored.filter("kind = 'model'").groupBy("order").agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(MOST + 3)]).collect()}
@@ -389,7 +397,7 @@ def katz(docs: DataFrame, train: Column, order: int = ORDER, id_col: str = "doc_
         return pa.Table.from_batches([_batch(ASKED, ask_weights(reading, buckets))])
 
     asked = blocks.select(*columns).groupBy("block").cogroup(first.groupBy("block")).applyInArrow(ask, ASKED)
-    asked.groupBy("order", "bucket").applyInArrow(answer_weights, WEIGHTS).write.partitionBy("kind").parquet(paths["weights"])
+    asked.groupBy("order", "bucket").applyInArrow(answer_weights, WEIGHTS).write.partitionBy("kind", "order").parquet(paths["weights"])
     second = spark.read.schema(WEIGHTS).parquet(paths["weights"]).filter("kind = 'answer'")
     second = second.select("block", "order", "bucket", F.lit(None).cast("binary").alias("n"), F.lit(None).cast("binary").alias("own"), "weights")
 
@@ -405,9 +413,30 @@ def katz(docs: DataFrame, train: Column, order: int = ORDER, id_col: str = "doc_
 
     shape = f"_id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scores = blocks.select("ids", *columns).groupBy("block").cogroup(first.unionByName(second).groupBy("block")).applyInArrow(score, shape)
+    spark.sql(f"DROP TABLE {name}")  # its name only: the files are in the shared folder, and the plan has them
     return scores.withColumnRenamed("_id", id_col), paths
 
 
+def model_counts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(order, key, count) of every n-gram seen in training; keys are the hashes that ``ngram_keys`` gives."""
+    rows = spark.read.schema(ANSWERED).parquet(paths["counts"]).filter("kind = 'model'")
+    return rows.select("order", F.explode(F.arrays_zip(F.col("model_keys").alias("key"), F.col("model_counts").alias("count"))).alias("m")).select("order", "m.*")
+
+
+def model_weights(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(order, key, weight): log10 alpha of every context with a follower seen in training."""
+    rows = spark.read.schema(WEIGHTS).parquet(paths["weights"]).filter("kind = 'model'")
+    return rows.select("order", F.explode(F.arrays_zip(F.col("model_keys").alias("key"), F.col("model_weights").alias("weight"))).alias("m")).select("order", "m.*")
+
+
+def ngram_keys(text: str | None, order: int) -> list[np.ndarray]:
+    """The key of the n-gram that ends at each token of a text, for n from 1 to ``order``."""
+    words = Words.of([(text or "").encode()], lower=True)
+    tokens = np.append(words.hashes[words.ids], END) if words.size else np.array([END])
+    grams = Block(0, tokens, np.array([len(tokens)]), np.array([True])).orders(order)
+    return [g.keys[g.place].view(np.int64) for g in grams]
+
+
 def _model(totals: dict, documents: int, order: int) -> Model:
     row = lambda k: [totals[k][f"s{i}"] for i in range(MOST + 3)] if k in totals else [0] * (MOST + 3)
     words, tokens, *seen = row(1)

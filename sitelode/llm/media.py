@@ -4,7 +4,12 @@
 decodes the sample tables (sizes, chunk runs, 32- and 64-bit chunk offsets, durations, sync samples) and returns codec,
 timescale, duration and the byte range of every key sample. ``wrap`` stores bytes as one track of fixed-size samples.
 
-A null or damaged container gives an ``error`` and null fields, never a failed job; a null text counts as empty.
+Samples of movie fragments (``moof`` with ``tfhd`` and ``trun`` under the defaults of ``trex``) follow those of the sample
+tables. A file has a row for its first track, and an array with all of them.
+
+A null or damaged container gives an ``error`` and null fields, never a failed job; a null text counts as empty. Repeated
+rows and ids are described each on their own; an empty table gives no rows; only the id column and the text or media column
+are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -69,8 +74,8 @@ def wrap(payload: bytes, codec: bytes = CODEC) -> bytes:
     return ftyp + head + payload + box(b"moov", mvhd, box(b"trak", tkhd, mdia))
 
 
-def walk(data: memoryview, start: int, end: int, depth: int = 0) -> Iterator[tuple[int, bytes, int, int]]:
-    """(depth, kind, start of body, end) of every box, parents first."""
+def walk(data: memoryview, start: int, end: int, depth: int = 0) -> Iterator[tuple[int, bytes, int, int, int]]:
+    """(start, kind, start of body, end, depth) of every box, parents first."""
     while start + 8 <= end:
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
@@ -80,7 +85,7 @@ def walk(data: memoryview, start: int, end: int, depth: int = 0) -> Iterator[tup
         stop = end if size == 0 else start + size
         if stop < body or stop > end:
             raise ValueError(f"box {kind!r} at {start} ends at {stop}, outside {end}")
-        yield depth, kind, body, stop
+        yield start, kind, body, stop, depth
         if kind in NESTED and depth < DEEPEST:
             yield from walk(data, body, stop, depth + 1)
         start = stop
@@ -98,9 +103,13 @@ def _table(data: memoryview, at: int, end: int, n: int, kind: str) -> np.ndarray
 def probe(data: bytes) -> list[dict]:
     """One dict per track: codec, timescale, duration, offsets and sizes of all samples, and which are key samples."""
     view, tracks, now = memoryview(data), [], {}
-    for _, kind, at, end in walk(view, 0, len(view)):
+    defaults: dict[int, tuple[int, int, int]] = {}  # by track: duration, size and flags of a fragment's samples
+    moof = run = 0
+    for start, kind, at, end, _ in walk(view, 0, len(view)):
         if kind == b"trak":
             tracks.append(now := {})
+        elif kind == b"tkhd":
+            (now["id"],) = struct.unpack_from(">I", view, at + (20 if view[at] == 1 else 12))
         elif kind == b"mdhd":
             long = view[at] == 1
             now["timescale"], now["duration"] = struct.unpack_from(">IQ" if long else ">II", view, at + (20 if long else 12))
@@ -122,9 +131,68 @@ def probe(data: bytes) -> list[dict]:
         elif kind == b"stss":
             (n,) = struct.unpack_from(">I", view, at + 4)
             now["keys"] = _table(view, at + 8, end, n, ">u4") - 1
+        elif kind == b"trex":
+            track, _, *values = struct.unpack_from(">5I", view, at + 4)
+            defaults[track] = tuple(values)
+        elif kind == b"moof":
+            moof = run = start
+        elif kind == b"tfhd":
+            now, base, fallback = _fragment_head(view, at, tracks, defaults, moof, run)
+            run = base
+        elif kind == b"trun":
+            run = _fragment_run(view, at, end, now, base, fallback, run)
     return [_placed(t, len(view)) for t in tracks]
 
 
+# The flag of a sample that is no key sample, and what the flags of a fragment's boxes announce.
+NOT_SYNC = 0x10000
+
+
+def _fragment_head(view: memoryview, at: int, tracks: list[dict], defaults: dict, moof: int, run: int) -> tuple[dict, int, list[int]]:
+    """(track, base offset, default duration, size and flags) of a track fragment."""
+    flags, number = struct.unpack_from(">II", view, at)
+    flags &= 0xFFFFFF
+    track = next((t for t in tracks if t.get("id") == number), None)
+    if track is None:
+        raise ValueError(f"a fragment of track {number}, which is not there")
+    at += 8
+    base = moof if flags & 0x20000 else run
+    if flags & 0x1:
+        (base,) = struct.unpack_from(">Q", view, at)
+        at += 8
+    at += 4 * bool(flags & 0x2)
+    values = list(defaults.get(number, (0, 0, 0)))
+    for i, bit in enumerate((0x8, 0x10, 0x20)):
+        if flags & bit:
+            (values[i],) = struct.unpack_from(">I", view, at)
+            at += 4
+    return track, base, values
+
+
+def _fragment_run(view: memoryview, at: int, end: int, track: dict, base: int, fallback: list[int], run: int) -> int:
+    """Adds the samples of a run to its track; where the next one begins."""
+    flags, n = struct.unpack_from(">II", view, at)
+    flags &= 0xFFFFFF
+    at += 8
+    if flags & 0x1:
+        run = base + struct.unpack_from(">i", view, at)[0]
+        at += 4
+    first = None
+    if flags & 0x4:
+        (first,) = struct.unpack_from(">I", view, at)
+        at += 4
+    fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+    if not fields and n > len(view):
+        raise ValueError("a run has more samples than the file bytes")
+    table = _table(view, at, end, n * len(fields), ">u4").reshape(n, len(fields))
+    column = lambda bit, i: table[:, fields.index(bit)] if bit in fields else np.full(n, fallback[i], np.int64)
+    durations, sizes, marks = column(0x100, 0), column(0x200, 1), column(0x400, 2).copy()
+    if first is not None and n:
+        marks[0] = first
+    track.setdefault("more", []).append((run + np.cumsum(sizes) - sizes, sizes, (marks & NOT_SYNC) == 0, int(durations.sum())))
+    return run + int(sizes.sum())
+
+
 def _placed(track: dict, length: int) -> dict:
     """Resolves chunk runs to the byte offset of each sample."""
     sizes, chunks, runs = track["sizes"], track["chunks"], track["runs"]
@@ -134,40 +202,53 @@ def _placed(track: dict, length: int) -> dict:
     firsts = np.cumsum(per) - per
     before = np.cumsum(sizes) - sizes
     offsets = np.repeat(chunks - (before[firsts] if len(firsts) else 0), per) + before
-    if len(sizes) and int((offsets + sizes).max()) > length:
-        raise ValueError("a sample lies outside the file")
     keys = track.get("keys", np.arange(len(sizes)))  # no sync table: every sample is a key sample
-    return {"codec": track["codec"], "timescale": track["timescale"], "duration": track.get("duration") or track.get("ticks", 0), "offsets": offsets, "sizes": sizes, "keys": keys[keys < len(sizes)]}
+    keys, more = keys[keys < len(sizes)], track.get("more", [])
+    if more:
+        held = len(sizes) + np.cumsum([0, *(len(m[1]) for m in more)])
+        keys = np.concatenate([keys, *(a + np.flatnonzero(m[2]) for a, m in zip(held[:-1], more, strict=True))])
+        offsets, sizes = (np.concatenate([x, *(m[i] for m in more)]) for i, x in ((0, offsets), (1, sizes)))
+    if len(sizes) and (int(offsets.min()) < 0 or int((offsets + sizes).max()) > length):
+        raise ValueError("a sample lies outside the file")
+    ticks = track.get("ticks", 0) + sum(m[3] for m in more)
+    return {"codec": track["codec"], "timescale": track["timescale"], "duration": (0 if more else track.get("duration")) or ticks, "offsets": offsets, "sizes": sizes, "keys": keys}
 
 
-PROBED = "codec string, timescale long, duration long, n_samples long, key_offsets array<long>, key_sizes array<long>, error string"
+TRACK = "codec string, timescale long, duration long, n_samples long, key_offsets array<long>, key_sizes array<long>"
+PROBED = f"{TRACK}, error string"
+
+
+def track_row(track: dict) -> dict:
+    keys = track["keys"]
+    return {"codec": track["codec"], "timescale": track["timescale"], "duration": track["duration"], "n_samples": len(track["sizes"]), "key_offsets": track["offsets"][keys].tolist(), "key_sizes": track["sizes"][keys].tolist()}
 
 
 def probed_row(data: bytes | None) -> dict:
-    """The columns of PROBED for a container's first track."""
-    row = dict.fromkeys(x.split()[0] for x in PROBED.split(", "))
+    """The columns of PROBED for a container's first track, and ``tracks`` for all of them."""
+    row = dict.fromkeys(x.split()[0] for x in PROBED.split(", ")) | {"tracks": None}
     if data is None:
         return row | {"error": "null"}
     try:
-        track = probe(data)[0]
+        tracks = [track_row(t) for t in probe(data)]
+        return row | tracks[0] | {"tracks": tracks}
     except (ValueError, KeyError, IndexError, struct.error) as e:
         return row | {"error": f"{type(e).__name__}: {e}"[:200]}
-    keys = track["keys"]
-    return row | {"codec": track["codec"], "timescale": track["timescale"], "duration": track["duration"], "n_samples": len(track["sizes"]), "key_offsets": track["offsets"][keys].tolist(), "key_sizes": track["sizes"][keys].tolist()}
 
 
 def probe_media(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """id and PROBED for a column of containers; only the boxes are read, no sample."""
+    """id, PROBED and ``tracks`` for a column of containers; only the boxes are read, no sample."""
     slim = df.select(F.col(id_col).alias("_id"), F.col(media_col).alias("_media"))
     kind = slim.schema["_id"].dataType.simpleString()
+    schema = pa.schema([*_PROBED_ARROW, pa.field("tracks", pa.list_(pa.struct(_PROBED_ARROW)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [probed_row(x) for x in batch.column(1).to_pylist()]
-            made = pa.RecordBatch.from_pylist(rows, schema=_PROBED_ARROW)
+            made = pa.RecordBatch.from_pylist(rows, schema=schema)
             yield pa.RecordBatch.from_arrays([batch.column(0), *made.columns], names=["_id", *made.schema.names])
 
-    return slim.mapInArrow(run, f"_id {kind}, {PROBED}").withColumnRenamed("_id", id_col)
+    inner = ", ".join(f"{n}: {k}" for n, k in (x.split(" ", 1) for x in PROBED.split(", ")))
+    return slim.mapInArrow(run, f"_id {kind}, {PROBED}, tracks array<struct<{inner}>>").withColumnRenamed("_id", id_col)
 
 
 _PROBED_ARROW = pa.schema([("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("key_offsets", pa.list_(pa.int64())), ("key_sizes", pa.list_(pa.int64())), ("error", pa.string())])
@@ -201,8 +282,8 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _described(text: bytes, keep_media: bool) -> dict:
     media = wrap(padded(text))
-    row = probed_row(media)
     track = probe(media)[0]
+    row = track_row(track) | {"error": None}
     read = read_samples(media, track)
     ranges = ",".join(f"{a}+{b}" for a, b in zip(row["key_offsets"], row["key_sizes"], strict=True))
     feature = f"{row['codec'].strip()}|{row['timescale']}|{row['duration']}|{row['n_samples']}|{len(row['key_offsets'])}|{hashlib.sha256(ranges.encode()).hexdigest()[:16]}"

@@ -49,9 +49,10 @@ def stratified_shards_sql(shards_wanted: int = 8) -> str:
     table = f"[{', '.join(map(str, crc32_table()))}]::BIGINT[]"
     byte = "CAST(('0x' || substr(h, CAST(2 * i - 1 AS BIGINT), 2)) AS BIGINT)"
     crc = f"xor(list_reduce(list_transform(range(1, n + 1), lambda i: {byte}), lambda acc, b: xor(acc >> 8, tab[1 + (xor(acc, b) & 255)]), 4294967295::BIGINT), 4294967295::BIGINT)"
-    return f"""WITH d AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n, md5('{shards.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
-    c AS (SELECT d.doc_id, d.source, d.k, d.n + 1 AS size, {crc} AS text_crc32 FROM d, (SELECT {table} AS tab)),
-    r AS (SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY k, doc_id, text_crc32, size) - 1) / CAST(2 * COUNT(*) OVER (PARTITION BY source) AS DOUBLE) AS f FROM c),
+    return f"""WITH d AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    m AS (SELECT d.doc_id, d.source, d.n + 1 AS size, {crc} AS text_crc32 FROM d, (SELECT {table} AS tab)),
+    c AS (SELECT *, md5('{shards.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32 || ':' || size) AS k, CAST(('0x' || substr(md5('{shards.SEED}:' || coalesce(source, '')), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS u FROM m),
+    r AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY k, doc_id, text_crc32, size) - u) / CAST(COUNT(*) OVER (PARTITION BY source) AS DOUBLE) AS f FROM c),
     p AS (SELECT *, row_number() OVER (ORDER BY f, source NULLS FIRST, k, doc_id, text_crc32, size) - 1 AS place, COUNT(*) OVER () AS total FROM r),
     q AS (SELECT *, total // {shards_wanted} AS least, total % {shards_wanted} AS more FROM p),
     s AS (SELECT *, CASE WHEN place < (least + 1) * more THEN place // (least + 1) ELSE more + (place - (least + 1) * more) // greatest(least, 1) END AS shard FROM q)
