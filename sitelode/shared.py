@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes and reads back, which cuts the lineage."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/sitelode-shared"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}/sitelode-shared"
     path = f"{root}/sitelode/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
