@@ -13,6 +13,7 @@ from .operators import blend, compare, coverage, graph, insights, jobs, links, m
 from .plans.search_report import GRAINS, Filter, SearchReport, monthly_summary
 from .sources import access_log, providers
 from .standins import fact, oracle_with, table
+from .shared import stored
 from .streaming import events as event_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,7 +223,14 @@ def f1_page_keys(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", key.alias("page_key"), keys.folder(key).alias("folder"), keys.host_of(F.col("url")).alias("host"), keys.grid_url(F.col("url")).alias("grid"), keys.compared_url(F.col("url")).alias("compared"))
 
 
-@query("f6_url_families")
+_SEGMENTS = """WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, list_transform(list_filter(string_split(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.\\-]*:(//[^/?#]*)?', ''), '[?#].*$', ''), '/'), lambda x: x <> ''), lambda x: lower(trim(x))) AS parts,
+    list_sort(list_distinct(list_filter(list_transform(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: lower(regexp_replace(x, '=.*$', ''))), lambda x: x <> ''))) AS names FROM pages),
+    s AS (SELECT page_id, i, parts[i] AS x, coalesce(regexp_full_match(parts[i - 1], '(19|20)\\d{2}'), false) AS y1, coalesce(regexp_full_match(parts[i - 2], '(19|20)\\d{2}'), false) AND i > 2 AS y2 FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM p)),
+    k AS (SELECT page_id, string_agg(CASE WHEN regexp_full_match(x, '[a-z]{2}(?:-[a-z]{2})?') THEN '{locale}' WHEN regexp_full_match(x, '(19|20)\\d{2}') THEN '{year}' WHEN regexp_full_match(x, '(0?[1-9]|1[0-2])') AND y1 AND i > 1 THEN '{month}' WHEN regexp_full_match(x, '(0?[1-9]|[12]\\d|3[01])') AND y2 THEN '{day}' WHEN regexp_full_match(x, '\\d+') THEN '{n}' WHEN len(list_filter(string_split(x, '-'), lambda z: z <> '')) >= 3 THEN '{slug}' WHEN contains(x, '-') THEN '{compound}' ELSE x END, '/' ORDER BY i) AS path FROM s GROUP BY 1),
+    f AS (SELECT host || '/' || coalesce(path, '') || CASE WHEN len(names) > 0 THEN '?' || array_to_string(names, '&') ELSE '' END AS family FROM p LEFT JOIN k USING (page_id)) """
+
+
+@query("f6_url_families", _SEGMENTS.replace("\\\\", "\\") + "SELECT family, substr(sha256(family), 1, 16) AS hash, COUNT(*) AS pages FROM f GROUP BY 1, 2")
 def f6_url_families(spark: SparkSession, sf: str) -> DataFrame:
     shape = keys.url_skeleton(F.col("url"))
     return table(spark, sf, "pages").select(shape.alias("s")).groupBy(F.col("s.family").alias("family"), F.col("s.hash").alias("hash")).agg(F.count(F.lit(1)).alias("pages"))
@@ -234,17 +242,23 @@ def f10_text_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.block_hash(t).alias("block_hash"), text.cache_hash(t).alias("cache_hash"), text.approximate_tokens(t).alias("approximate_tokens"))
 
 
-@query("f12_sentences")
+@query(
+    "f12_sentences",
+    """WITH t AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS x FROM documents), p AS (SELECT doc_id, string_split(regexp_replace(x, '([.!?])\\s+([A-Z0-9"''])', '\\1' || chr(10) || '\\2', 'g'), chr(10)) AS parts FROM t),
+    u AS (SELECT doc_id, unnest(parts) AS sentence, unnest(range(len(parts))) AS i FROM p), g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS place FROM u WHERE length(sentence) >= 55 AND len(string_split(sentence, ' ')) >= 8),
+    h AS (SELECT doc_id, CAST(place AS INT) AS place, sentence, sha1(lower(sentence)) AS hash FROM g) SELECT doc_id, place, sentence, hash FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, hash ORDER BY place) rn FROM h) WHERE rn = 1""",
+)
 def f12_sentences(spark: SparkSession, sf: str) -> DataFrame:
     """First of equal sentences in a document."""
     rows = table(spark, sf, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("place", "sentence")).withColumn("hash", text.block_hash(F.col("sentence")))
     return merge.latest(rows, ["doc_id", "hash"], F.col("place").asc())
 
 
-@query("k3_query_intent", oracle_with("query_daily") + "SELECT DISTINCT query, 'informational' AS intent, false AS question FROM query_daily")
+@query("k3_query_intent", oracle_with("product_queries") + "SELECT DISTINCT query, CASE WHEN regexp_matches(query, 'login|signin|sign up|contact|support|dashboard|portal') THEN 'navigational' WHEN regexp_matches(query, 'buy|price|cheap|software|tool|review|vs|compare|best|top|discount|coupon|order|purchase|hire|services|cost|pricing|deal|app|platform') THEN 'commercial' WHEN regexp_matches(query, 'how|what|guide|tutorial|why|when|where|who|tips|ideas|examples|learn|meaning|definition|can|is|does|ways|benefits|history|news|free') THEN 'informational' WHEN contains(query, 'site') THEN 'navigational' ELSE 'informational' END AS intent, false AS question FROM product_queries")
 def k3_query_intent(spark: SparkSession, sf: str) -> DataFrame:
+    """k4_intents_and_questions has questions and brand names."""
     q = F.col("query")
-    return fact(spark, sf, "query_daily").select("query").distinct().select("query", F.lower(classify.query_intent(q, SITE)).alias("intent"), classify.is_question(q).alias("question"))
+    return fact(spark, sf, "product_queries").select("query").distinct().select("query", F.lower(classify.query_intent(q, SITE)).alias("intent"), classify.is_question(q).alias("question"))
 
 
 # -- C5: coverage ---------------------------------------------------------------------------------------------------------
@@ -437,9 +451,29 @@ def r13_crawl_summary(spark: SparkSession, sf: str) -> DataFrame:
 # -- C7: topics, vectors, links -------------------------------------------------------------------------------------------
 
 
-@query("r15_topics")
+_STOPPED = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+
+
+@query(
+    "r15_topics",
+    oracle_with("product_queries", "crawl_links")
+    + f""", i AS (SELECT to_key AS page_key, COUNT(*) AS inbound FROM crawl_links WHERE from_key <> to_key GROUP BY 1),
+    q AS (SELECT page_key, query, SUM(clicks) c, SUM(impressions) n, SUM(position * impressions) w FROM product_queries WHERE impressions > 0 GROUP BY 1, 2),
+    k AS (SELECT *, list_slice(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(lower(query), '[a-z0-9]+'), lambda t: CASE WHEN length(t) > 5 AND t LIKE '%ing' THEN left(t, length(t) - 3) WHEN length(t) > 4 AND t LIKE '%es' THEN left(t, length(t) - 2) WHEN length(t) > 3 AND t LIKE '%s' THEN left(t, length(t) - 1) ELSE t END), lambda t: length(t) > 2 AND t NOT IN ({_STOPPED})))), 1, 4) AS l FROM q),
+    r AS (SELECT *, CASE WHEN len(l) > 0 THEN array_to_string(l, '|') ELSE trim(lower(query)) END AS topic FROM k),
+    bp AS (SELECT topic, r.page_key, SUM(n) n, MAX(inbound) inbound, row_number() OVER (PARTITION BY topic ORDER BY SUM(n) DESC, r.page_key) rn FROM r LEFT JOIN i ON i.page_key = r.page_key GROUP BY 1, 2),
+    bq AS (SELECT topic, query, SUM(n) n, row_number() OVER (PARTITION BY topic ORDER BY SUM(n) DESC, query) rn, row_number() OVER (PARTITION BY topic ORDER BY SUM(n) DESC, query DESC) rl FROM r GROUP BY 1, 2),
+    t AS (SELECT topic, CAST(SUM(c) AS BIGINT) clicks, CAST(SUM(n) AS BIGINT) impressions, SUM(w) / SUM(n) AS position, CAST(SUM(c) AS DOUBLE) / SUM(n) AS ctr FROM r GROUP BY 1),
+    p AS (SELECT topic, COUNT(*) pages, CAST(coalesce(SUM(inbound), 0) AS BIGINT) inbound, string_agg(page_key, '|' ORDER BY rn) FILTER (rn <= 8) AS top_pages FROM bp GROUP BY 1),
+    s AS (SELECT topic, COUNT(*) queries, string_agg(query, '|' ORDER BY rn) FILTER (rn <= 10) AS top_queries, MAX(query) FILTER (rl = 1) AS label FROM bq GROUP BY 1),
+    a AS (SELECT *, CAST(floor(greatest(0, least(40, 40 - greatest(0, position - 1) * 0.8)) + 0.5) AS INT) AS visibility, CAST(floor(greatest(0, least(25, ctr * 250)) + 0.5) AS INT) AS demand, CAST(floor(greatest(0, least(20, pages * 5.0)) + 0.5) AS INT) AS depth, CAST(floor(greatest(0, least(15, inbound)) + 0.5) AS INT) AS support FROM t JOIN p USING (topic) JOIN s USING (topic))
+    SELECT topic, label, clicks, impressions, queries, pages, inbound, top_pages, top_queries, round(position, 6) AS position, round(ctr, 6) AS ctr, visibility, demand, depth, support, CASE WHEN position <= 3 THEN 'leading' WHEN position <= 10 THEN 'established' WHEN position <= 20 THEN 'emerging' ELSE 'gap' END AS status,
+      array_to_string(list_filter([CASE WHEN pages < 2 THEN 'thin' END, CASE WHEN position > 10 THEN 'low_position' END, CASE WHEN inbound < greatest(3, pages * 2) THEN 'few_links' END, CASE WHEN ctr < 0.02 AND position <= 10 THEN 'low_ctr' END], lambda x: x IS NOT NULL), ',') AS issues, visibility + demand + depth + support AS score FROM a""",
+)
 def r15_topics(spark: SparkSession, sf: str) -> DataFrame:
-    return topics.topics(fact(spark, sf, "product_queries"), graph.inbound(fact(spark, sf, "crawl_links")).withColumnRenamed("to_key", "page_key"))
+    found = topics.topics(fact(spark, sf, "product_queries"), graph.inbound(fact(spark, sf, "crawl_links")).withColumnRenamed("to_key", "page_key"))
+    listed = {"top_pages": F.array_join("top_pages", "|"), "top_queries": F.array_join("top_queries", "|"), "issues": F.array_join("issues", ",")}
+    return rounded(found.withColumns(listed), "position", "ctr")
 
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -621,7 +655,9 @@ def c7_templates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("r14_profiles")
 def r14_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    return profiles.profiles(_snapshots(spark, sf))
+    pages = stored(_snapshots(spark, sf), "snapshots")
+    shares = markup.repeated_blocks(markup.unfolded(pages, "blocks")).select("page_id", "repeated_share")
+    return profiles.profiles(pages.join(shares, "page_id", "left"))
 
 
 @query("r24_audit", oracle_with("crawl_pages", "crawl_links") + f""", k AS (SELECT *, {_key_sql('url')} AS raw_key, CASE WHEN canonical_url LIKE 'https://site.example/%' THEN {_key_sql('canonical_url')} ELSE {_key_sql('url')} END AS resolved_key FROM crawl_pages), i AS (SELECT to_key, COUNT(*) inbound FROM crawl_links WHERE from_key <> to_key GROUP BY 1),
@@ -633,26 +669,39 @@ def r24_audit(spark: SparkSession, sf: str) -> DataFrame:
     return profiles.audit(keyed.join(inbound, F.col("raw_key") == F.col("to_key"), "left"))
 
 
+def _linkable(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(pages, targets, sentences, links that are there), from markup that is parsed once."""
+    pages = stored(_snapshots(spark, sf), "snapshots")
+    keyed = links.page_tests(pages.withColumn("page_key", keys.page_key(F.col("url"))))
+    known = keyed.groupBy("page_key").agg(F.min_by(F.struct(*[c for c in ("page_id", "url", "title", "h1_text", "canonical_url", "indexable", "source_ok", "target_ok")]), "page_id").alias("p")).select("page_key", "p.*")
+    targets = known.filter("indexable and target_ok").select(F.col("page_key").alias("target_key"), F.concat_ws(" ", "title", "h1_text").alias("text"))
+    sentences = keyed.filter("indexable and source_ok").select(F.col("page_key").alias("source_key"), F.explode("sentences").alias("s")).select("source_key", F.col("s.text_hash").alias("sentence_id"), F.col("s.sentence").alias("sentence")).dropDuplicates(["source_key", "sentence_id"])
+    existing = pages.select(keys.page_key(F.col("url")).alias("from_key"), F.explode("links").alias("l")).select("from_key", keys.page_key(F.col("l.to_url")).alias("to_key")).distinct()
+    return known, targets, sentences, existing
+
+
 @query("j19_word_candidates")
 def j19_word_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    pages = _snapshots(spark, sf)
-    key = keys.page_key(F.col("url"))
-    targets = pages.select(key.alias("target_key"), F.concat_ws(" ", "title", "h1_text").alias("text")).dropDuplicates(["target_key"])
-    sentences = pages.select(key.alias("source_key"), F.explode("sentences").alias("s")).select("source_key", F.col("s.text_hash").alias("sentence_id"), F.col("s.sentence").alias("sentence"))
-    existing = pages.select(key.alias("from_key"), F.explode("links").alias("l")).select("from_key", keys.page_key(F.col("l.to_url")).alias("to_key"))
-    return links.word_candidates(targets, sentences, existing).filter("overlap >= 2")
+    _, targets, sentences, existing = _linkable(spark, sf)
+    return links.word_candidates(targets, sentences, existing)
 
 
 @query("r16_recommendations")
 def r16_recommendations(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates by shared words, scored, three for each target, chosen under the caps."""
-    pages = _snapshots(spark, sf)
-    found = j19_word_candidates(spark, sf)
-    facts_of = pages.select(keys.page_key(F.col("url")).alias("k"), (F.col("page_id") % 9).alias("inbound"), (F.col("page_id") * 7 % 900).alias("impressions"), (F.col("page_id") % 30 + 1).cast("double").alias("position"), (F.col("page_id") % 60).alias("sessions"), (F.col("page_id") % 5).alias("depth"), F.col("h1_text")).dropDuplicates(["k"])
-    target = facts_of.select(F.col("k").alias("target_key"), "inbound", "impressions", "position", "sessions", F.substring("h1_text", 1, 40).alias("anchor"))
-    source = facts_of.select(F.col("k").alias("source_key"), "depth", F.col("impressions").alias("source_clicks"), F.col("inbound").alias("source_inbound"))
-    rows = links.scored(found.join(target, "target_key").join(source, "source_key").withColumn("similarity", F.lit(0.0)).filter("anchor is not null"))
-    best = links.top_per_target(rows.withColumn("site", F.lit(SITE)))
+    """Candidates by shared words or near vectors, scored, three for each target, chosen under the caps. A page's vector
+    is that of its id; its sentences take it over."""
+    known, targets, sentences, existing = _linkable(spark, sf)
+    found = stored(links.word_candidates(targets, sentences, existing), "candidates")
+    vectors = known.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("page_id"), F.col("embedding").alias("vector")), "page_id")
+    near = links.nearest(vectors.join(targets, F.col("page_key") == F.col("target_key")).select(F.col("target_key").alias("target"), "vector"), vectors.filter("source_ok").select(F.col("page_key").alias("item"), "vector"), 80)
+    found = links.with_vectors(found, near.select(F.col("target").alias("target_key"), F.col("item").alias("source_key"), "similarity"), sentences, targets, existing)
+    found = links.apart(found, known)
+    measures_of = known.select(F.col("page_key").alias("k"), (F.col("page_id") % 9).alias("inbound"), (F.col("page_id") * 7 % 900).alias("impressions"), (F.col("page_id") % 30 + 1).cast("double").alias("position"), (F.col("page_id") % 60).alias("sessions"), (F.col("page_id") % 5).alias("depth"), "title", "h1_text")
+    target = measures_of.select(F.col("k").alias("target_key"), "inbound", "impressions", "position", "sessions", "title", "h1_text")
+    source = measures_of.select(F.col("k").alias("source_key"), "depth", F.col("impressions").alias("source_clicks"), F.col("inbound").alias("source_inbound"))
+    rows = links.anchored(found.join(target, "target_key").join(source, "source_key"))
+    site = F.concat(F.lit(SITE), F.lit("/"), F.substring_index(F.substring("source_key", 2, 1000), "/", 1))
+    best = links.top_per_target(links.scored(rows).withColumn("site", site))
     return links.choose(best.select("site", "source_key", "target_key", "anchor", "overlap", "score", "confidence", "type"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Common words that no tokeniser keeps.
+# Common words that no tokeniser keeps.
 STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "are", "was", "you", "your", "our", "how", "what", "why", "when", "who", "can", "best", "near", "into", "about")
 
 
@@ -31,9 +31,10 @@ def approximate_tokens(x: Column) -> Column:
     return F.ceil(F.size(words(F.coalesce(x, F.lit("")))) * 1.35).cast("long")
 
 
-def sentences(x: Column) -> Column:
-    """Split behind . ! ? before a capital, digit or quote; of 55 characters and 8 words at least, clipped at 420."""
-    parts = F.transform(F.split(clean(x, 2400), r"(?<=[.!?])\s+(?=[A-Z0-9\"'])"), lambda s: clean(s, 420))
+def sentences(x: Column, most_text: int | None = None, most_sentence: int | None = None) -> Column:
+    """Split behind . ! ? before a capital, digit or quote; of 55 characters and 8 words at least. By default of the whole
+    text and whole; the bounds clip the text and each sentence."""
+    parts = F.transform(F.split(clean(x, most_text), r"(?<=[.!?])\s+(?=[A-Z0-9\"'])"), lambda s: clean(s, most_sentence))
     return F.filter(parts, lambda s: (F.length(s) >= 55) & (F.size(F.split(s, r"\s+")) >= 8))
 
 

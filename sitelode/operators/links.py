@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+import re
 
 import numpy as np
 import pandas as pd
@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import confidence_label, opportunity_type
+from ..functions.keys import compared_url
 from ..functions.measures import clamp, half_up, unit
-from ..functions.text import link_tokens
+from ..functions.text import STOP_WORDS, link_tokens
+from ..shared import stored
 
 LEAST_SIMILARITY = 0.58
 LEAST_SCORE = 50
@@ -67,13 +69,148 @@ def hashed_cells(vector: Column, dims: int, planes: int, tables: int) -> Column:
     return cells(vector)
 
 
-def word_candidates(targets: DataFrame, sentences: DataFrame, existing: DataFrame) -> DataFrame:
-    """(target_key, source_key, sentence, overlap): tokens that a sentence shares with a target, on other pages that do
-    not link there yet."""
-    t = targets.select("target_key", F.explode(F.array_distinct(link_tokens(F.col("text")))).alias("token"))
-    s = sentences.select("source_key", "sentence_id", F.explode(F.array_distinct(link_tokens(F.col("sentence")))).alias("token"))
-    met = t.join(s, "token").filter("target_key <> source_key").groupBy("target_key", "source_key", "sentence_id").agg(F.count(F.lit(1)).alias("overlap"))
-    return met.join(existing.select(F.col("from_key").alias("source_key"), F.col("to_key").alias("target_key")).distinct(), ["source_key", "target_key"], "left_anti")
+# Addresses that are no pages, and pages that are not linked.
+ASSET_URL = r"(?i)\.(?:avif|css|gif|ico|jpe?g|js|json|mov|mp3|mp4|pdf|png|svg|webm|webp|woff2?|xml|zip)(?:[?#].*)?$"
+ASSET_PATH = r"(?i)/(?:wp-content/uploads|uploads|assets|static|media)/"
+UTILITY_PAGE = r"(?i)/(?:privacy-policy|privacy|politika-privatnosti|datenschutz|terms|uvjeti|legal|impressum|cookie|cookies|login|account|cart|checkout|thank-you|search|tag|category|author|feed|attachment|wp-json)(?:/|$)|/page/\d+(?:/|$)|[?&](?:filter|sort|s|q|replytocom)="
+HOME_PAGE = r"(?i)^/(?:[a-z]{2}(?:-[a-z]{2})?/)?(?:home|homepage|startseite)?/?$"
+# Words that make no anchor alone, and those that weaken a short one.
+GENERIC_WORDS = frozenset(("activities", "activity", "adventure", "article", "blog", "click", "content", "details", "guide", "home", "information", "learn", "link", "overview", "page", "park", "post", "resource", "resources", "route", "service", "services", "site", "solution", "solutions", "trail", "website"))
+WEAK_WORDS = frozenset(("article", "blog", "click", "content", "details", "information", "link", "overview", "page", "post", "resource", "resources", "service", "services", "solution", "solutions", "website"))
+
+
+def page_tests(pages: DataFrame) -> DataFrame:
+    """Adds indexable, source_ok and target_ok; columns status_code and content_type are tested where they are there."""
+    place = F.concat_ws(" ", "url", "page_key")
+    away = (F.coalesce("canonical_url", F.lit("")) != "") & (compared_url(F.col("canonical_url")) != compared_url(F.col("url")))
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    empty = (F.coalesce("word_count", F.lit(0)) < 20) & (text("title") == "") & (text("h1_text") == "")
+    index = ~place.rlike(ASSET_URL) & ~place.rlike(ASSET_PATH) & ~F.coalesce("noindex", F.lit(False)) & ~away & ~empty
+    if "status_code" in pages.columns:
+        index &= F.coalesce(F.col("status_code").between(200, 299), F.lit(False))
+    if "content_type" in pages.columns:
+        kind = F.lower(text("content_type"))
+        index &= (kind == "") | kind.contains("text/html") | kind.contains("application/xhtml+xml")
+    useful = ~place.rlike(UTILITY_PAGE)
+    return pages.withColumns({"indexable": index, "source_ok": useful, "target_ok": useful & (F.coalesce("word_count", F.lit(0)) >= 120) & ~F.col("page_key").rlike(HOME_PAGE)})
+
+
+def apart(pairs: DataFrame, pages: DataFrame) -> DataFrame:
+    """``pairs`` (source_key, target_key) without pages that are nearly one: same last part of the address, same canonical
+    address, or same long heading."""
+    slug = F.lower(F.element_at(F.split(F.rtrim(F.col("page_key"), F.lit("/")), "/"), -1))
+    heading = F.trim(F.regexp_replace(F.lower(F.coalesce(F.nullif("h1_text", F.lit("")), F.col("title"), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    own = lambda p: pages.select(F.col("page_key").alias(f"{p}_key"), slug.alias(f"_{p}_slug"), compared_url(F.coalesce("canonical_url", "url")).alias(f"_{p}_home"), heading.alias(f"_{p}_heading"))
+    both = pairs.join(own("source"), "source_key").join(own("target"), "target_key")
+    same = lambda c: (F.col(f"_source_{c}") != "") & (F.col(f"_source_{c}") == F.col(f"_target_{c}"))
+    one = same("slug") | same("home") | (same("heading") & (F.length("_source_heading") >= 24))
+    return both.filter(~F.coalesce(one, F.lit(False))).select(pairs.columns)
+
+
+def word_candidates(targets: DataFrame, sentences: DataFrame, existing: DataFrame, least: int = 2) -> DataFrame:
+    """(target_key, source_key, sentence_id, overlap): sentences that share ``least`` tokens or more with a target, on other
+    pages that do not link there yet.
+
+    Tokens are ordered by how many sentences have them. Two sets that share ``least`` tokens share one outside the last
+    ``least`` - 1 of each, so pairs meet only in the rarer tokens, the commonest never bring any together, and the overlap
+    is counted on the sets. No pair is lost."""
+    t = targets.select("target_key", F.array_distinct(link_tokens(F.col("text"))).alias("words"))
+    s = sentences.select("source_key", "sentence_id", F.array_distinct(link_tokens(F.col("sentence"))).alias("words"))
+    often = s.select(F.explode("words").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+    def rarer(rows: DataFrame, ids: list[str]) -> DataFrame:
+        each = rows.select(*ids, F.explode("words").alias("token")).join(often, "token")
+        place = F.row_number().over(Window.partitionBy(*ids).orderBy(F.desc("n"), F.desc("token")))
+        return each.withColumn("_rn", place).filter(F.col("_rn") >= least).select(*ids, "token")
+
+    pairs = rarer(t, ["target_key"]).join(rarer(s, ["source_key", "sentence_id"]), "token").filter("target_key <> source_key").select("target_key", "source_key", "sentence_id").distinct()
+    pairs = pairs.join(existing.select(F.col("from_key").alias("source_key"), F.col("to_key").alias("target_key")).distinct(), ["source_key", "target_key"], "left_anti")
+    both = pairs.join(t.withColumnRenamed("words", "_t"), "target_key").join(s.withColumnRenamed("words", "_s"), ["source_key", "sentence_id"])
+    return both.select("target_key", "source_key", "sentence_id", F.size(F.array_intersect("_t", "_s")).alias("overlap")).filter(F.col("overlap") >= least)
+
+
+def with_vectors(words: DataFrame, near: DataFrame, sentences: DataFrame, targets: DataFrame, existing: DataFrame) -> DataFrame:
+    """``words`` with the similarity of ``near`` (target_key, source_key, similarity; 0 where it has none), and the pairs
+    that only ``near`` has, with the first sentence of the source and the tokens that it shares with the target."""
+    near = near.filter("target_key <> source_key").join(existing.select(F.col("from_key").alias("source_key"), F.col("to_key").alias("target_key")).distinct(), ["source_key", "target_key"], "left_anti")
+    text = sentences.select("source_key", "sentence_id", "sentence")
+    seen = words.join(near, ["target_key", "source_key"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0))).join(text, ["source_key", "sentence_id"])
+    first = text.groupBy("source_key").agg(F.min(F.struct("sentence_id", "sentence")).alias("s")).select("source_key", "s.*")
+    alone = near.join(words.select("target_key", "source_key").distinct(), ["target_key", "source_key"], "left_anti").join(first, "source_key").join(targets.select("target_key", "text"), "target_key")
+    shared = F.size(F.array_intersect(F.array_distinct(link_tokens(F.col("text"))), F.array_distinct(link_tokens(F.col("sentence")))))
+    columns = ["target_key", "source_key", "sentence_id", "overlap", "similarity", "sentence"]
+    return seen.select(columns).unionByName(alone.withColumn("overlap", shared).select(columns))
+
+
+_WORDS = re.compile(r"[^\W_][^\W_-]*(?:-[^\W_-]+)*-*")
+
+
+def tokens_of(text: str) -> list[str]:
+    """The tokens of ``link_tokens`` for one text."""
+    plain = "".join(c if c.isalnum() or c.isspace() or c == "-" else " " for c in text.lower())
+    return [t for t in plain.replace("-", " ").split() if len(t) >= 3 and t not in STOP_WORDS]
+
+
+def find_span(text: str, phrase: str) -> tuple[int, int] | None:
+    """Where a phrase stands between word boundaries, whatever its case."""
+    low, wanted = text.lower(), phrase.lower()
+    if len(low) != len(text):  # a letter has grown: compare as it stands
+        low, wanted = text, phrase
+    at = low.find(wanted) if wanted else -1
+    while at >= 0:
+        end = at + len(wanted)
+        if not (at and low[at - 1].isalnum()) and not (end < len(low) and low[end].isalnum()):
+            return at, end
+        at = low.find(wanted, at + 1)
+    return None
+
+
+def useful_anchor(text: str) -> bool:
+    words = tokens_of(text)
+    if not words or all(w in GENERIC_WORDS for w in words) or (len(words) == 1 and len(words[0]) < 8):
+        return False
+    return len(words) > 2 or not any(w in WEAK_WORDS for w in words)
+
+
+def anchor_span(sentence: str, phrases: list[str], target_words: set[str]) -> tuple[int, int] | None:
+    """The part of a sentence to link: the longest phrase of the target that it has, else the first run of two to four of
+    its words that are all the target's."""
+    tidy = [re.sub(r"[|:–].*$", "", p or "").strip() for p in phrases]
+    for phrase in sorted((p for p in tidy if 4 <= len(p) <= 90), key=len, reverse=True):
+        span = find_span(sentence, phrase)
+        if span and useful_anchor(sentence[slice(*span)]):
+            return span
+    words = [w for w in _WORDS.findall(sentence) if len(w) >= 3]
+    for i in range(len(words)):
+        for size in (4, 3, 2, 1):
+            phrase = " ".join(words[i : i + size])
+            own = tokens_of(phrase)
+            if len(own) >= 2 and all(w in target_words for w in own):
+                span = find_span(sentence, phrase)
+                if span and useful_anchor(sentence[slice(*span)]):
+                    return span
+    return None
+
+
+def anchored(rows: DataFrame) -> DataFrame:
+    """Adds anchor, anchor_start and anchor_end (null: the sentence has none) for rows with sentence, target_key, title and
+    h1_text, and top_queries where they are known."""
+    slug = F.regexp_replace(F.element_at(F.split(F.rtrim(F.col("target_key"), F.lit("/")), "/"), -1), "[-_]", " ")
+    phrases = F.array("h1_text", "title", slug)
+    if "top_queries" in rows.columns:
+        phrases = F.concat(F.coalesce("top_queries", F.array().cast("array<string>")), phrases)
+
+    @F.pandas_udf("struct<start:int,end:int>")
+    def spans(sentence: pd.Series, wanted: pd.Series, key: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, own, k in zip(sentence, wanted, key, strict=True):
+            known = [p for p in own if p]
+            out.append(anchor_span(text or "", known, {w for p in [*known, k or ""] for w in tokens_of(p)}))
+        return pd.DataFrame({"start": [None if x is None else x[0] for x in out], "end": [None if x is None else x[1] for x in out]}).astype("Int32")
+
+    found = rows.withColumn("_span", spans(F.col("sentence"), phrases, F.col("target_key")))
+    text = F.substring("sentence", F.col("_span.start") + 1, F.col("_span.end") - F.col("_span.start"))
+    return found.withColumns({"anchor": F.coalesce(text, F.lit("")), "anchor_start": F.col("_span.start"), "anchor_end": F.col("_span.end")}).drop("_span")
 
 
 def source_authority(depth: Column, clicks: Column, inbound: Column) -> Column:
@@ -104,27 +241,30 @@ def top_per_target(rows: DataFrame, k: int = 3) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(own)).filter(F.col("_rn") <= k).drop("_rn")
 
 
-def choose(rows: DataFrame, most: int = 200) -> DataFrame:
+#: What may be chosen from each group of candidates.
+CAPS = ((("source_key",), PER_SOURCE), (("target_key",), PER_TARGET), (("target_key", "_text"), PER_ANCHOR), (("source_key", "_text"), 1), (("source_key", "target_key"), 1))
+#: Links of a site, at most; the reports' default.
+MOST_LINKS = 500
+
+
+def choose(rows: DataFrame, most: int | None = MOST_LINKS) -> DataFrame:
     """The greedy choice, which depends on its own earlier choices: by falling score, at most PER_SOURCE links from a
-    page, PER_TARGET to a page, PER_ANCHOR with one text to a page, one use of a text on a page, one link between two pages.
-
-    One group for each site, after ``top_per_target`` has cut it to three rows for each page."""
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        sources, targets, anchors = Counter(), Counter(), Counter()
-        used, pairs, kept = set(), set(), []
-        for r in group.sort_values(["score", "target_key", "source_key", "anchor"], ascending=[False, True, True, True]).itertuples():
-            text = r.anchor.lower()
-            if sources[r.source_key] >= PER_SOURCE or targets[r.target_key] >= PER_TARGET or anchors[r.target_key, text] >= PER_ANCHOR or (r.source_key, text) in used or (r.source_key, r.target_key) in pairs:
-                continue
-            sources[r.source_key] += 1
-            targets[r.target_key] += 1
-            anchors[r.target_key, text] += 1
-            used.add((r.source_key, text))
-            pairs.add((r.source_key, r.target_key))
-            kept.append(r.Index)
-            if len(kept) == most:
-                break
-        return group.loc[kept]
-
-    return rows.groupBy("site").applyInPandas(pick, rows.schema)
+    page, PER_TARGET to a page, PER_ANCHOR with one text to a page, one use of a text on a page, one link between two
+    pages; then the first ``most`` of each site (None: all).
+
+    In rounds, on Spark: a candidate that fits even if all before it in each of its groups are taken is taken, one of a
+    group that is full is dropped, and what is left goes to the next round. The first one left is always taken, and the
+    result is that of taking one at a time."""
+    order = [F.desc("score"), F.asc("target_key"), F.asc("source_key"), F.asc("_text"), F.asc("anchor"), F.asc("_id")]
+    now = stored(rows.withColumns({"_text": F.lower("anchor"), "_taken": F.lit(False), "_id": F.monotonically_increasing_id()}), "choice")
+    while not now.filter("not _taken").isEmpty():
+        fits, full = F.lit(True), F.lit(False)
+        for group, cap in CAPS:
+            own = Window.partitionBy("site", *group)
+            fits &= F.row_number().over(own.orderBy(F.desc("_taken"), *order)) <= cap
+            full |= F.count_if("_taken").over(own) >= cap
+        judged = now.withColumns({"_fits": fits, "_full": full})
+        now = stored(judged.filter("_taken or not _full").withColumn("_taken", F.col("_taken") | F.col("_fits")).drop("_fits", "_full"), "choice")
+    if most is not None:
+        now = now.withColumn("_rn", F.row_number().over(Window.partitionBy("site").orderBy(*order))).filter(F.col("_rn") <= most)
+    return now.select(rows.columns)

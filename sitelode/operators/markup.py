@@ -11,6 +11,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
@@ -18,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import url_skeleton
+from .reports import cluster_confidence
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset(("script", "style", "noscript", "template"))
 #: An opening tag closes an open element of these tags first, within the nearest of the fences.
@@ -27,8 +31,23 @@ ENDS_PARAGRAPH = frozenset("address article aside blockquote div dl fieldset foo
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 BLOCKS = frozenset((*HEADINGS, "p", "li", "dt", "dd", "blockquote", "figcaption"))
 STRUCTURAL = frozenset("html body main header nav section article aside footer div form ul ol li".split())
-# Limits of one page.
-MOST_RAW, MOST_BLOCKS, MOST_SENTENCES, MOST_IN_BLOCK = 180, 120, 250, 6
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Bounds of what is read of one page; None: all of it, which is the default everywhere."""
+
+    raw: int | None = None
+    blocks: int | None = None
+    sentences: int | None = None
+    in_block: int | None = None
+    block_text: int | None = None
+    sentence_text: int | None = None
+
+
+EXACT = Limits()
+# The bounds of a crawler that keeps pages small.
+CRAWLER = Limits(180, 120, 250, 6, 900, 420)
 # Roles in order, with the tags, aria roles and words of class, id or label that give them.
 ROLES = (
     ("footer", ("footer",), ("contentinfo",), ("footer",)),
@@ -197,8 +216,8 @@ def selector(node: Element) -> str:
     return node.tag + (f"#{own}" if own else "") + "".join(f".{c}" for c in classes)
 
 
-def sentences(text: str) -> list[str]:
-    found = [tidy(s, 420) for s in SENTENCE_END.split(tidy(text, 2400))]
+def sentences(text: str, most: int | None = None) -> list[str]:
+    found = [tidy(s, most) for s in SENTENCE_END.split(tidy(text))]
     return [s for s in found if len(s) >= 55 and len(s.split()) >= 8]
 
 
@@ -209,7 +228,28 @@ def boilerplate(role: str, text: str, link_density: float, repeats: int) -> floa
     return between(score + (0.08 if len(text.split()) < 12 else 0.0))
 
 
-def page_snapshot(url: str | None, html: str | None) -> dict:
+# Words of classes that tell a page's structure, and of calls to action.
+CLASS_HINTS = frozenset(("article", "card", "content", "cta", "faq", "feature", "footer", "form", "grid", "header", "hero", "list", "main", "menu", "nav", "post", "pricing", "product", "review", "section", "sidebar", "table", "testimonial", "tool"))
+CTA_WORDS = ("buy", "consultation", "demo", "quote", "start", "trial")
+STRUCTURED = re.compile(r'"@type"\s*:\s*"([A-Za-z]+)"')
+PRICE = re.compile(r"[$€£]\s?\d")
+WORD = re.compile(r"[a-z0-9]+")
+
+
+def bucket_of(n: int) -> str:
+    return "0" if n <= 0 else "1" if n == 1 else "2-3" if n <= 3 else "4-8" if n <= 8 else "9-16" if n <= 16 else "17+"
+
+
+def structure(node: Element) -> str:
+    """Tag, aria role, depth, children, text and class words of a node, as a token."""
+    depth = sum(1 for _ in node.above()) - 1
+    children = sum(isinstance(c, Element) for c in node.children)
+    hints = sorted(set(WORD.findall(node.attrs.get("class", "").lower())) & CLASS_HINTS)
+    own = len(tidy("".join(c for c in node.children if isinstance(c, str))))
+    return f"{node.tag}:{node.attrs.get('role', '').lower() or '-'}:d{bucket_of(depth)}:c{bucket_of(children)}:t{bucket_of(own)}:{'+'.join(hints[:2]) or '-'}"
+
+
+def page_snapshot(url: str | None, html: str | None, limits: Limits = EXACT) -> dict:
     """Everything about one page; a null or broken page gives empty parts."""
     root = parsed(html or "")
     nodes = list(root.walk())
@@ -223,6 +263,11 @@ def page_snapshot(url: str | None, html: str | None) -> dict:
     regions = {id(n): role_of(n) for n in nodes if is_region(n)}
     near = lambda node: next(((i, n) for i, n in enumerate(node.above()) if id(n) in regions), (0, body))[1]
     role = lambda node: regions.get(id(near(node)), "main")
+    text = body.text()
+    structured = sorted({x.lower() for x in STRUCTURED.findall(html or "")})
+    linked = Counter(id(near(a)) for a in by_tag.get("a", []))
+    called = set(WORD.findall(" ".join(n.text() for t in ("a", "button") for n in by_tag.get(t, [])).lower()))
+    parts = text_parts(nodes, role, tidy(first("h1") or "", 180), limits)
     return {
         "title": tidy(first("title") or "", 220) or None,
         "meta_description": tidy(meta.get("description", "")) or None,
@@ -232,10 +277,16 @@ def page_snapshot(url: str | None, html: str | None) -> dict:
         "h1_text": first("h1"),
         "h1_count": len(by_tag.get("h1", [])),
         "h2_count": len(by_tag.get("h2", [])),
-        "word_count": len(body.text().split()),
+        "word_count": len(text.split()),
+        "structured_types": structured,
+        "has_price": bool(PRICE.search(text)),
+        "has_ratings": "aggregaterating" in structured or "review" in structured,
+        "calls": sorted(called.intersection(CTA_WORDS)),
+        "dom": [*(structure(n) for n in nodes if n.tag in STRUCTURAL), *(f"block:{b['block_type']}:{b['role']}" for b in parts["blocks"])],
+        "region_links": [f"{regions[id(n)]}:links{bucket_of(linked[id(n)])}" for n in nodes if id(n) in regions],
         "links": links(url or "", by_tag.get("a", []), role),
         "regions": [{"role": r, "dom_path": p} for r, p in dict.fromkeys((regions[id(n)], dom_path(n)) for n in nodes if id(n) in regions)],
-        **text_parts(nodes, role, tidy(first("h1") or "", 180)),
+        **parts,
     }
 
 
@@ -260,12 +311,12 @@ def links(url: str, anchors: list[Element], role) -> list[dict]:  # noqa: ANN001
     return out
 
 
-def text_parts(nodes: list[Element], role, page_heading: str) -> dict:  # noqa: ANN001
+def text_parts(nodes: list[Element], role, page_heading: str, limits: Limits = EXACT) -> dict:  # noqa: ANN001
     raw, chain, chain_role = [], [page_heading or None] + [None] * 5, None
     for n in nodes:
         if n.tag not in BLOCKS:
             continue
-        text = tidy(n.text(), 900)
+        text = tidy(n.text(), limits.block_text)
         if not text:
             continue
         where = role(n)
@@ -276,7 +327,7 @@ def text_parts(nodes: list[Element], role, page_heading: str) -> dict:  # noqa:
             level = int(n.tag[1])
             chain = [*chain[: level - 1], text, *[None] * (6 - level)]
         words = len(text.split())
-        if (len(text) < 4 if n.tag in HEADINGS else len(text) < 35 or words < 6) or len(raw) >= MOST_RAW:
+        if (len(text) < 4 if n.tag in HEADINGS else len(text) < 35 or words < 6) or (limits.raw is not None and len(raw) >= limits.raw):
             continue
         linked = tidy("".join(a.text() for a in n.walk() if a.tag == "a"), 2000)
         headings = [tidy(x, 180) for x in chain if x]
@@ -284,13 +335,13 @@ def text_parts(nodes: list[Element], role, page_heading: str) -> dict:  # noqa:
         key = digest("|".join([where, dom_path(n).lower(), selector(n), " > ".join(headings).lower()]))[:20]
         raw.append({"block_key": f"blk_{key}", "block_type": n.tag, "role": where, "dom_path": dom_path(n), "headings": headings, "text": text, "text_hash": digest(text), "link_density": between(len(linked) / len(text)), "text_density": between(words / max(12, 10 * children)), "prominence": between(PROMINENCE.get(n.tag, 0.5) + PROMINENT_REGION.get(where, 0.0))})
     repeats = Counter(b["text_hash"] for b in raw)
-    blocks = [b | {"block": i, "boilerplate": boilerplate(b["role"], b["text"], b["link_density"], repeats[b["text_hash"]])} for i, b in enumerate(raw[:MOST_BLOCKS])]
+    blocks = [b | {"block": i, "boilerplate": boilerplate(b["role"], b["text"], b["link_density"], repeats[b["text_hash"]])} for i, b in enumerate(raw[: limits.blocks])]
     found, seen = [], set()
     for b in blocks:
         if b["boilerplate"] >= 0.78 or b["text_density"] < 0.18:
             continue
-        for i, s in enumerate(sentences(b["text"])[:MOST_IN_BLOCK]):
-            if len(found) < MOST_SENTENCES and (h := digest(s)) not in seen:
+        for i, s in enumerate(sentences(b["text"], limits.sentence_text)[: limits.in_block]):
+            if (limits.sentences is None or len(found) < limits.sentences) and (h := digest(s)) not in seen:
                 seen.add(h)
                 found.append({"block": b["block"], "block_key": b["block_key"], "place": i, "sentence": s, "text_hash": h, "role": b["role"], "link_density": b["link_density"], "boilerplate": b["boilerplate"]})
     return {"blocks": blocks, "sentences": found}
@@ -299,10 +350,10 @@ def text_parts(nodes: list[Element], role, page_heading: str) -> dict:  # noqa:
 LINK = "struct<to_url:string,internal:boolean,anchor:string,role:string,block_type:string>"
 BLOCK = "struct<block:int,block_key:string,block_type:string,role:string,dom_path:string,headings:array<string>,text:string,text_hash:string,link_density:double,text_density:double,prominence:double,boilerplate:double>"
 SENTENCE = "struct<block:int,block_key:string,place:int,sentence:string,text_hash:string,role:string,link_density:double,boilerplate:double>"
-SNAPSHOT = f"title string, meta_description string, canonical_url string, noindex boolean, language string, h1_text string, h1_count int, h2_count int, word_count int, links array<{LINK}>, regions array<struct<role:string,dom_path:string>>, blocks array<{BLOCK}>, sentences array<{SENTENCE}>"
+SNAPSHOT = f"title string, meta_description string, canonical_url string, noindex boolean, language string, h1_text string, h1_count int, h2_count int, word_count int, structured_types array<string>, has_price boolean, has_ratings boolean, calls array<string>, dom array<string>, region_links array<string>, links array<{LINK}>, regions array<struct<role:string,dom_path:string>>, blocks array<{BLOCK}>, sentences array<{SENTENCE}>"
 
 
-def snapshots(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def snapshots(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", limits: Limits = EXACT) -> DataFrame:
     """id, url and SNAPSHOT of every page."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -315,7 +366,7 @@ def snapshots(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                rows = [page_snapshot(u, h) for u, h in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                rows = [page_snapshot(u, h, limits) for u, h in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
                 made = pa.RecordBatch.from_pylist(rows, schema=fields)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made.columns], names=["_id", "url", *made.schema.names])
 
@@ -327,7 +378,7 @@ def unfolded(pages: DataFrame, column: str, id_col: str = "page_id") -> DataFram
 
 
 def regions_from_blocks(blocks: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """Per page and role: mean densities, first block key, and the text in order (a page has MOST_BLOCKS blocks at most)."""
+    """Per page and role: mean densities, first block key, and the text in order (what is gathered is one page's text)."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), " ")
     return blocks.groupBy(id_col, "role").agg(F.count(F.lit(1)).alias("blocks"), F.avg("text_density").alias("text_density"), F.avg("link_density").alias("link_density"), F.min_by("block_key", "block").alias("block_key"), text.alias("text"))
 
@@ -338,9 +389,20 @@ def repeated_blocks(blocks: DataFrame, id_col: str = "page_id") -> DataFrame:
     return blocks.join(pages, "text_hash").groupBy(id_col).agg(F.count(F.lit(1)).alias("blocks"), F.avg((F.col("pages") >= 2).cast("double")).alias("repeated_share"))
 
 
-def templates(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """Pages with the same sequence of region roles and block types share a template. Returns page, template and size."""
-    shape = F.concat_ws("|", F.array_join(F.transform("regions", lambda r: r["role"]), ","), F.array_join(F.transform(F.slice("blocks", 1, 40), lambda b: F.concat_ws(":", b["block_type"], b["role"])), ","))
-    keyed = pages.select(id_col, F.concat(F.lit("tpl_"), F.substring(F.sha2(shape, 256), 1, 12)).alias("template"))
-    sizes = keyed.groupBy("template").agg(F.count(F.lit(1)).alias("size"))
-    return keyed.join(sizes, "template")
+#: Structure tokens of a page that its template goes by.
+TEMPLATE_TOKENS = 120
+
+
+def templates(pages: DataFrame, id_col: str = "page_id", most_tokens: int | None = TEMPLATE_TOKENS) -> DataFrame:
+    """Pages with the same structure share a template: the fingerprint is that of the first ``most_tokens`` structure
+    tokens (nodes, then blocks; None: all) and of the links of each region in order. Returns page, template, the pages of
+    the template and its confidence."""
+    dom = F.col("dom") if most_tokens is None else F.slice("dom", 1, most_tokens)
+    shape = F.concat_ws("#", F.array_join(dom, "|"), F.array_join("region_links", "|"))
+    keyed = pages.select(id_col, F.concat(F.lit("tpl_"), F.substring(F.sha2(shape, 256), 1, 12)).alias("template"), url_skeleton(F.col("url"))["family"].alias("_family"), F.size(F.array_distinct(F.transform("region_links", lambda x: F.substring_index(x, ":", 1)))).alias("_kinds"), F.size("region_links").alias("_regions"))
+    sizes = keyed.groupBy("template").agg(F.count(F.lit(1)).alias("size"), F.max("_kinds").alias("_kinds"), F.max("_regions").alias("_regions"))
+    top = keyed.groupBy("template", "_family").agg(F.count(F.lit(1)).alias("_n")).groupBy("template").agg(F.max("_n").alias("_top"))
+    # Members share all their regions, so the share of kinds among them is the first member's.
+    sure = cluster_confidence(F.col("size"), F.col("_top") / F.col("size"), F.when(F.col("_kinds") > 0, F.least(F.col("_kinds"), F.lit(6)) / F.greatest(F.lit(1), F.col("_regions"))).otherwise(0.0))
+    known = sizes.join(top, "template").select("template", "size", sure.alias("confidence"))
+    return keyed.select(id_col, "template").join(known, "template")

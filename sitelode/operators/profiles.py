@@ -15,17 +15,24 @@ TYPES = ("article", "category", "comparison", "faq", "guide", "hub", "legal", "l
 TASKS = ("buy_or_hire", "calculate", "compare", "find", "learn", "navigate", "reference", "review", "troubleshoot")
 # Words of a page that speak for a type, and the points for types and tasks.
 WORD_RULES = (
-    ("faq questions answers", {"faq": 44}, {"troubleshoot": 28, "learn": 14, "reference": 14}),
-    ("guide tutorial how checklist", {"guide": 34}, {"learn": 28}),
-    ("blog article news story insights", {"article": 28}, {"learn": 20}),
-    ("hub resources library overview", {"hub": 34}, {"navigate": 28}),
-    ("category collection catalog shop", {"category": 24}, {"find": 20}),
-    ("service consulting agency book quote demo", {"service": 34}, {"buy_or_hire": 26}),
-    ("sku buy", {"product": 38}, {"buy_or_hire": 30}),
-    ("compare comparison versus vs alternatives best", {"comparison": 42}, {"compare": 34}),
-    ("calculator estimator generator checker tool", {"tool": 40}, {"calculate": 36}),
-    ("location office directions hours near", {"location": 40}, {"find": 28, "navigate": 14}),
+    (("faq", "questions", "answers"), {"faq": 44}, {"troubleshoot": 28, "learn": 14, "reference": 14}),
+    (("guide", "tutorial", "how", "checklist"), {"guide": 34}, {"learn": 28}),
+    (("blog", "article", "news", "story", "insights"), {"article": 28}, {"learn": 20}),
+    (("hub", "resources", "library", "overview"), {"hub": 34}, {"navigate": 28}),
+    (("category", "collection", "catalog", "shop"), {"category": 24}, {"find": 20}),
+    (("service", "consulting", "agency", "book", "quote", "demo"), {"service": 34}, {"buy_or_hire": 26}),
+    (("sku", "buy"), {"product": 38}, {"buy_or_hire": 30}),
+    (("compare", "comparison", "versus", "vs", "alternatives", "best"), {"comparison": 42}, {"compare": 34}),
+    (("calculator", "estimator", "generator", "checker", "tool"), {"tool": 40}, {"calculate": 36}),
+    (("location", "office", "directions", "hours", "near"), {"location": 40}, {"find": 28, "navigate": 14}),
+    (("pricing", "plan", "checkout", "start", "trial"), {"transactional": 34}, {"buy_or_hire": 32}),
+    (("support", "fix", "error", "troubleshoot", "repair"), {}, {"troubleshoot": 26}),
+    (("docs", "documentation", "reference", "spec", "api"), {}, {"reference": 22}),
 )
+# Structured types and calls to action that speak for a type as its words do.
+TYPE_MARKS = {"article": ("article", "blogposting"), "product": ("product",), "location": ("localbusiness",)}
+TYPE_CALLS = {"service": ("quote", "consultation", "demo"), "transactional": ("start", "trial")}
+REFERENCE_MARKS = ("faqpage", "howto", "techarticle", "article")
 # Paths.
 LEGAL_PATH = r"/(privacy(?:-policy)?|terms(?:-of-service)?|cookie|cookies|gdpr|legal|impressum|disclaimer)(?:/|$)"
 UTILITY_PATH = r"/(login|account|search|cart|checkout|thank-you|reset-password|signup|register)(/|$)"
@@ -42,8 +49,11 @@ def label_of(c: Column) -> Column:
 
 
 def profiles(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """``pages``: url, title, h1_text, word_count, h1_count, regions (array of struct with role). page_type, primary_task
-    and their scores; ties go to the lesser name, and a page without signals is an article to learn from."""
+    """``pages``: url, title, h1_text, word_count, h1_count, regions (array of struct with role), and where they are known
+    structured_types, calls, has_price, has_ratings, blocks and repeated_share. page_type, primary_task and their scores;
+    ties go to the lesser name, and a page without signals is an article to learn from."""
+    none = {"structured_types": F.array().cast("array<string>"), "calls": F.array().cast("array<string>"), "has_price": F.lit(False), "has_ratings": F.lit(False)}
+    pages = pages.withColumns({k: v for k, v in none.items() if k not in pages.columns})
     text = F.concat_ws(" ", "title", "h1_text", page_key(F.col("url")))
     rows = pages.withColumns({"_tokens": profile_tokens(text), "_roles": F.transform("regions", lambda r: r["role"]), "_path": F.lower(page_key(F.col("url")))})
     types: dict[str, list[Column]] = {t: [] for t in TYPES}
@@ -58,9 +68,25 @@ def profiles(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     rule(F.col("_path").rlike(UTILITY_PATH), {"utility": 42}, {"navigate": 18})
     by_type = {next(iter(t)): r for r, (t, _) in REGION_RULES.items()}
     for words, type_points, task_points in WORD_RULES:
-        here = F.arrays_overlap("_tokens", F.array(*map(F.lit, words.split())))
-        region = by_type.get(next(iter(type_points)))
-        rule(here | F.array_contains("_roles", region) if region else here, type_points, task_points)
+        here = F.arrays_overlap("_tokens", F.array(*map(F.lit, words)))
+        name = next(iter(type_points), None)
+        if name in by_type:
+            here |= F.array_contains("_roles", by_type[name])
+        for column, marks in (("structured_types", TYPE_MARKS), ("calls", TYPE_CALLS)):
+            if name in marks:
+                here |= F.arrays_overlap(column, F.array(*map(F.lit, marks[name])))
+        if name == "product":
+            here |= F.col("has_price") & F.array_contains("calls", "buy")
+        if name == "transactional":
+            here |= F.col("_path").contains("/pricing")
+        if name == "comparison":
+            compared = here
+        rule(here, type_points, task_points)
+    rule(F.col("has_ratings"), {}, {"review": 18})
+    rule(compared & F.col("has_ratings"), {}, {"review": 14})
+    rule(F.arrays_overlap("structured_types", F.array(*map(F.lit, REFERENCE_MARKS))), {}, {"reference": 10})
+    if {"repeated_share", "blocks"} <= set(pages.columns):
+        rule((F.size("blocks") >= 6) & (F.col("repeated_share") >= 0.45), {"hub": 10, "category": 10}, {})
     rule((F.col("word_count") >= 1200) & (F.col("h1_count") <= 1), {"article": 12, "guide": 12}, {})
     total = lambda parts: reduce(lambda a, b: a + b, parts, F.lit(0))
 

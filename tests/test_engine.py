@@ -331,3 +331,80 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def greedy(rows):
+    """One at a time."""
+    sources, targets, texts, used, pairs, kept = {}, {}, {}, set(), set(), []
+    for site, source, target, anchor, score in sorted(rows, key=lambda r: (-r[4], r[2], r[1], r[3])):
+        full = sources.get((site, source), 0) >= 3 or targets.get((site, target), 0) >= 5 or texts.get((site, target, anchor), 0) >= 2
+        if full or (site, source, anchor) in used or (site, source, target) in pairs:
+            continue
+        for held, key in ((sources, (site, source)), (targets, (site, target)), (texts, (site, target, anchor))):
+            held[key] = held.get(key, 0) + 1
+        used.add((site, source, anchor))
+        pairs.add((site, source, target))
+        kept.append((site, source, target, anchor, score))
+    return sorted(kept)
+
+
+def test_choice_in_rounds_is_that_of_one_at_a_time(spark):
+    from random import Random
+
+    draw = Random(7)
+    rows = list({(f"s{draw.randrange(2)}", f"/a{draw.randrange(12)}", f"/t{draw.randrange(8)}", f"w{draw.randrange(6)}", draw.randrange(50, 70)) for _ in range(600)})
+    df = spark.createDataFrame(rows, "site string, source_key string, target_key string, anchor string, score int")
+    assert sorted(map(tuple, links.choose(df, None).collect())) == greedy(rows)
+    assert links.choose(df, 5).groupBy("site").count().agg(F.max("count")).first()[0] == 5
+    assert links.choose(df.limit(0)).isEmpty()
+
+
+def test_word_candidates_lose_no_pair(spark):
+    from random import Random
+
+    draw = Random(3)
+    words = ["common"] * 12 + [f"word{i}" for i in range(25)]
+    text = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    targets, sentences = [(f"/t{i}", text(4)) for i in range(25)], [(f"/s{i % 9}", f"h{i}", text(7)) for i in range(60)]
+    found = links.word_candidates(spark.createDataFrame(targets, "target_key string, text string"), spark.createDataFrame(sentences, "source_key string, sentence_id string, sentence string"), spark.createDataFrame([("/s1", "/t1")], "from_key string, to_key string"))
+    wanted = {(t, s, i, n) for t, x in targets for s, i, y in sentences if (n := len(set(x.split()) & set(y.split()))) >= 2 and (s, t) != ("/s1", "/t1")}
+    assert set(map(tuple, found.select("target_key", "source_key", "sentence_id", "overlap").collect())) == wanted
+
+
+def test_anchor_spans():
+    own = lambda s, p, k="": (x := links.anchor_span(s, p, {w for q in [*p, k] for w in links.tokens_of(q)})) and s[slice(*x)]
+    assert own("We sell Mountain Bikes for rent here.", ["mountain bikes", "bikes"]) == "Mountain Bikes"
+    assert own("We sell mountain bikeshop things", ["mountain bikes"]) is None
+    assert own("Our guide, and the article", ["guide", "article"]) is None
+    assert own("Rent carbon frames in May", ["Frames of carbon"], "/x/rent") == "Rent carbon frames"
+    assert own("Prices | all", ["Prices are low | Shop"]) is None and own("", ["anything long"]) is None
+
+
+def test_page_tests_and_pairs_that_are_one(spark):
+    rows = [("https://a.b/x/one", "/x/one", "https://a.b/x/one/", False, 300, "A title", "h"), ("https://a.b/f.pdf", "/f.pdf", None, False, 300, "t", "h"), ("https://a.b/privacy/", "/privacy", None, False, 300, "t", "h"), ("https://a.b/", "/", None, False, 300, "t", "h"), ("https://a.b/y", "/y", "https://a.b/z", False, 300, "t", "h"), ("https://a.b/n", "/n", None, True, 300, "t", "h"), ("https://a.b/s", "/s", None, False, 30, "t", "h"), ("https://a.b/e", "/e", None, False, 3, " ", None)]
+    found = {r["page_key"]: (r["indexable"], r["source_ok"], r["target_ok"]) for r in links.page_tests(spark.createDataFrame(rows, "url string, page_key string, canonical_url string, noindex boolean, word_count int, title string, h1_text string")).collect()}
+    assert found == {"/x/one": (True, True, True), "/f.pdf": (False, True, True), "/privacy": (True, False, False), "/": (True, True, False), "/y": (False, True, True), "/n": (False, True, True), "/s": (True, True, False), "/e": (False, True, False)}
+    pages = spark.createDataFrame([("/a/one", "u1", None, "t1", "short"), ("/b/one", "u2", None, "t2", "short"), ("/c", "u3", "u1", "t3", ""), ("/d", "u4", None, "t", "The same long heading of both"), ("/e", "u5", None, "t", "the same, long heading of BOTH")], "page_key string, url string, canonical_url string, title string, h1_text string")
+    keys = ["/a/one", "/b/one", "/c", "/d", "/e"]
+    pairs = spark.createDataFrame([(a, b) for a in keys for b in keys if a < b], "source_key string, target_key string")
+    gone = {("/a/one", "/b/one"), ("/a/one", "/c"), ("/d", "/e")}
+    assert {tuple(r) for r in links.apart(pairs, pages).collect()} == {(a, b) for a in keys for b in keys if a < b} - gone
+
+
+def test_markup_without_bounds(spark):
+    html = "<html><body><main>" + "".join(f"<p>Paragraph number {i} has enough words to be a block. It also goes on with a second sentence of many words that is long enough.</p>" for i in range(1000)) + "</main></body></html>"
+    exact, bounded = markup.page_snapshot("https://a.b/", html), markup.page_snapshot("https://a.b/", html, markup.CRAWLER)
+    assert len(exact["blocks"]) == 1000 and len(bounded["blocks"]) == 120 and len(exact["sentences"]) == 1 and len(bounded["sentences"]) == 1
+    long = "Word " * 12_000 + "end. " + "This is the last sentence of a long document and has enough words in it to count."
+    got = spark.createDataFrame([(long,)], "t string").select(text.sentences(F.col("t")).alias("s")).first()["s"]
+    assert len(got) == 2 and got[1].startswith("This is the last") and len(got[0]) > 50_000
+
+
+def test_sitemaps_are_expanded_level_by_level(spark):
+    index = lambda *u: "<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in u) + "</sitemapindex>"
+    pages = lambda *u: "<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in u) + "</urlset>"
+    s = "https://a.b/"
+    fetched = [("a.b", f"{s}m", index(f"{s}m1", f"{s}m2", f"{s}m", "https://other.c/m")), ("a.b", f"{s}m1", pages(f"{s}1", f"{s}2")), ("a.b", f"{s}m2", index(f"{s}m3")), ("a.b", f"{s}m3", pages(f"{s}3", f"{s}1", "https://other.c/1"))]
+    found = providers.expand_sitemaps(spark.createDataFrame([("a.b", f"{s}m")], "site string, url string"), spark.createDataFrame(fetched, "site string, map_url string, xml string"))
+    assert {tuple(r) for r in found.collect()} == {("a.b", f"{s}{i}") for i in (1, 2, 3)}
+    assert providers.expand_sitemaps(spark.createDataFrame([("a.b", f"{s}m")], "site string, url string"), spark.createDataFrame(fetched, "site string, map_url string, xml string"), most_urls=2).count() == 2
