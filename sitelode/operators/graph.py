@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import page_key
 from ..shared import stored
 
 
@@ -42,3 +43,8 @@ def reach(seeds: DataFrame, links: DataFrame, depth: int, most: int | None = Non
             break
         seen = seen.unionByName(front)
     return seen if most is None else seen.orderBy("depth", "page_key").limit(most)
+
+
+def fetched_pages(rows: DataFrame) -> DataFrame:
+    """``rows``: url, final_url (null: not fetched), status_code. Adds page_key, that of the final address, and failed."""
+    return rows.withColumns({"page_key": page_key(F.coalesce("final_url", "url")), "failed": F.col("status_code").isNull() & F.col("final_url").isNull()})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.measures import fairness, half_up, median_seconds
+from ..functions.measures import half_up, median_seconds, safe_ratio
 
 
 def claim_order(jobs: DataFrame) -> DataFrame:
@@ -38,9 +38,17 @@ def covering(requests: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def queue_positions(jobs: DataFrame) -> DataFrame:
-    """Place of each queued job in its site's queue; sites are the unit of waiting."""
-    own = Window.partitionBy("site").orderBy("created_at", "id")
-    return jobs.filter("status = 'queued'").withColumn("place", F.row_number().over(own))
+    """Place of each queued job in its site's queue; sites are the unit of waiting.
+
+    A place is the number of the site's jobs of earlier days (a running sum over a table of day counts) and the place
+    within the day, so that no task ranks a whole queue."""
+    queued = jobs.filter("status = 'queued'").withColumn("_day", F.to_date("created_at"))
+    days = queued.groupBy("site", "_day").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("site").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select(F.col("site").alias("_s"), F.col("_day").alias("_d"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("site", "_day").orderBy("created_at", "id")
+    placed = queued.withColumn("_in", F.row_number().over(own)).join(before, F.col("site").eqNullSafe(F.col("_s")) & F.col("_day").eqNullSafe(F.col("_d")))
+    return placed.withColumn("place", (F.col("_before") + F.col("_in")).cast("int")).drop("_s", "_d", "_before", "_in", "_day")
 
 
 def waits(jobs: DataFrame, slots: int = 2, least: int = 30) -> DataFrame:
@@ -87,9 +95,13 @@ def health(jobs: DataFrame) -> DataFrame:
 
 
 def spread(jobs: DataFrame) -> DataFrame:
-    p = F.percentile("seconds", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+    """Exact percentiles and fairness by status, from the counts of equal values, which are combined before the exchange."""
+    counted = jobs.filter(F.col("seconds").isNotNull()).groupBy("status", "seconds").agg(F.count(F.lit(1)).alias("n"))
+    p = F.percentile("seconds", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.col("n"))
+    x, n = F.col("seconds").cast("double"), F.col("n")
+    even = safe_ratio(F.pow(F.sum(x * n), F.lit(2.0)), F.sum(n) * F.sum(x * x * n))
     rounded = lambda x: half_up(x, 6)
-    return jobs.groupBy("status").agg(p.alias("_p"), rounded(fairness(F.col("seconds").cast("double"))).alias("fairness")).select("status", *[rounded(F.col("_p")[i]).alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "fairness")
+    return counted.groupBy("status").agg(p.alias("_p"), rounded(even).alias("fairness")).select("status", *[rounded(F.col("_p")[i]).alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "fairness")
 
 
 def backoff(attempt: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog_queries import _BLEND, BOUNCE, CTR, DAYS, END, POSITION, SITE, START, SUMS, _blended, _key_sql, _log, query, rounded
-from .functions import classify, keys
+from .functions import classify, dates, keys, measures
 from .operators import blend, coverage, graph, jobs, profiles, reports
 from .plans.search_report import Filter, SearchReport, monthly_summary
 from .sources import providers
@@ -352,3 +352,96 @@ def j25_sites_to_refresh(spark: SparkSession, sf: str) -> DataFrame:
     rows = fact(spark, sf, "jobs")
     lists = [rows.filter("status = 'queued'"), rows.filter("status = 'running'"), rows.filter("priority = 50").withColumn("site", F.col("site") + 1), rows.filter("seconds > 300")]
     return reports.fan_out(rows.filter("owner % 7 <> 0"), lists, rows.filter("id % 5 < 3"))
+
+
+@query("w4_stale_jobs", oracle_with("jobs") + "SELECT id, owner, site, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY owner, site ORDER BY created_at DESC, id DESC) AS rank FROM jobs WHERE status = 'running') WHERE rank > 1")
+def w4_stale_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.one_running(fact(spark, sf, "jobs")).select("id", "owner", "site", "rank")
+
+
+_KIND = "CASE CAST(id % 3 AS INT) WHEN 0 THEN 'core' WHEN 1 THEN 'pages' ELSE 'dimensions' END"
+
+
+@query("w3_work_order", oracle_with("jobs") + f", j AS (SELECT id, priority, CASE WHEN id % 6 = 0 THEN NULL ELSE created_at END AS created_at, {_KIND} AS kind FROM jobs WHERE status = 'queued') SELECT id, priority, kind FROM j ORDER BY priority DESC, CASE kind WHEN 'core' THEN 0 WHEN 'pages' THEN 1 ELSE 2 END, created_at ASC NULLS FIRST, id LIMIT 400")
+def w3_work_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The next 400 jobs by priority, kind and age; those without a time first."""
+    kind = F.when(F.col("id") % 3 == 0, "core").when(F.col("id") % 3 == 1, "pages").otherwise("dimensions")
+    rows = fact(spark, sf, "jobs").filter("status = 'queued'").select("id", "priority", F.when(F.col("id") % 6 != 0, F.col("created_at")).alias("created_at"), kind.alias("kind"))
+    rank = F.when(F.col("kind") == "core", 0).when(F.col("kind") == "pages", 1).otherwise(2)
+    return rows.orderBy(*jobs.priority_order(rows, rank)).limit(400).select("id", "priority", "kind")
+
+
+@query("o3_totals", oracle_with("page_query_daily") + f"SELECT 'pages' AS what, COUNT(DISTINCT page_key) AS n FROM page_query_daily WHERE {DAYS} UNION ALL SELECT 'pages and queries', COUNT(*) FROM (SELECT DISTINCT page_key, query FROM page_query_daily WHERE {DAYS})")
+def o3_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """How many rows a report has without its order and paging."""
+    rows = fact(spark, sf, "page_query_daily")
+    count = lambda what, *d: (r := SearchReport(START, END, d, (Filter("query", "notContains", "none"),))).plan({r.grain: rows}).agg(F.lit(what).alias("what"), F.count(F.lit(1)).alias("n"))
+    return count("pages", "page").unionByName(count("pages and queries", "page", "query"))
+
+
+@query("w1_total_beside_rows", oracle_with("query_daily") + f", g AS (SELECT query, {SUMS} FROM query_daily WHERE {DAYS} GROUP BY 1) SELECT query, clicks, impressions, (SELECT COUNT(*) FROM g) AS total FROM g ORDER BY clicks DESC, impressions DESC, query LIMIT 7")
+def w1_total_beside_rows(spark: SparkSession, sf: str) -> DataFrame:
+    report, rows = SearchReport(START, END, ("query",), limit=7), fact(spark, sf, "query_daily")
+    total = report.plan({"query_daily": rows}).agg(F.count(F.lit(1)).alias("total"))
+    return report.page({"query_daily": rows}).select("query", "clicks", "impressions").join(F.broadcast(total))  # one row
+
+
+_ADDRESSES = "SELECT p_partkey AS id, CASE CAST(p_partkey % 5 AS INT) WHEN 0 THEN '' WHEN 1 THEN NULL ELSE concat('/k', CAST(p_partkey AS STRING)) END AS page_key, concat(CASE WHEN p_partkey % 3 = 0 THEN 'HTTPS://Shop.Example' WHEN p_partkey % 3 = 1 THEN 'http://a.example:8080' ELSE '' END, '/One/', CAST(p_size AS STRING), CASE WHEN p_partkey % 4 = 0 THEN '///' WHEN p_partkey % 4 = 1 THEN '?b=1#c' WHEN p_partkey % 4 = 2 THEN '/#x' ELSE '' END) AS url, CAST(p_size AS INT) AS n FROM {part}"
+
+
+@query(
+    "f3_addresses",
+    "WITH a AS (" + _ADDRESSES.replace("{part}", "part") + """), h AS (SELECT *, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) AS head, regexp_replace(url, '^[A-Za-z]+://[^/?#]*', '') AS rest FROM a)
+    SELECT id, coalesce(nullif(page_key, ''), url) AS effective_key, CASE WHEN head = '' THEN NULL ELSE lower(head) || regexp_replace(regexp_replace(rest, '[?#].*$', ''), '/+$', '') END AS crawl_url, CASE WHEN regexp_matches(rest, '^/[^/?#]+/[^/?#]') THEN '/One/' ELSE '/' END AS section,
+    CASE WHEN n <= 0 THEN '0' WHEN n = 1 THEN '1' WHEN n <= 3 THEN '2-3' WHEN n <= 8 THEN '4-8' WHEN n <= 16 THEN '9-16' ELSE '17+' END AS bucket FROM h""",
+)
+def f3_addresses(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.sql(_ADDRESSES, part=spark.read.parquet(f"{sf}/part.parquet"))
+    return rows.select("id", keys.effective_key(F.col("page_key"), F.col("url")).alias("effective_key"), keys.crawl_url(F.col("url")).alias("crawl_url"), keys.section(keys.page_key(F.col("url"))).alias("section"), measures.bucket_count(F.col("n")).alias("bucket"))
+
+
+@query(
+    "d10_times",
+    """SELECT event_id, CAST(epoch(TIMESTAMP '2024-02-10 00:00:00') - epoch(ts) AS DOUBLE) / 3600 AS age_hours, CAST(greatest(1, round(event_id % 90)) AS BIGINT) AS seconds, CAST(date_trunc('month', ts) AS DATE) AS month, CAST(CAST(ts AS DATE) - CAST(isodow(ts) - 1 AS INT) AS DATE) AS week,
+    CASE WHEN event_id % 5 = 0 THEN 'AUTH' WHEN event_id % 5 = 1 THEN 'QUOTA' WHEN event_id % 5 = 2 THEN 'DB' WHEN event_id % 5 = 3 THEN 'PROVIDER' ELSE 'UNKNOWN' END AS error FROM events""",
+)
+def d10_times(spark: SparkSession, sf: str) -> DataFrame:
+    ts, n = F.col("ts").cast("timestamp"), F.col("event_id")
+    message = F.when(n % 5 == 0, "Error 401: Permission denied").when(n % 5 == 1, "Quota is gone").when(n % 5 == 2, "Deadlock found").when(n % 5 == 3, "fetch failed")
+    later = F.timestamp_micros(F.unix_micros(ts) + (n % 90) * 1_000_000)
+    as_of = F.lit("2024-02-10 00:00:00").cast("timestamp")
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", dates.age_hours(ts, as_of).alias("age_hours"), dates.duration_seconds(ts, later).alias("seconds"), dates.month_of(F.to_date(ts)).alias("month"), dates.bucket(F.to_date(ts), "week", 2).alias("week"), classify.error_class(message).alias("error"))
+
+
+@query("r21_monthly_compare", oracle_with("site_daily") + ", m AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, CAST(SUM(clicks) AS BIGINT) AS clicks FROM site_daily WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-06-30' GROUP BY 1), b AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, CAST(SUM(clicks) AS BIGINT) AS clicks FROM site_daily WHERE date BETWEEN DATE '1995-01-01' AND DATE '1995-06-30' GROUP BY 1), x AS (SELECT *, row_number() OVER (ORDER BY month) n FROM m), y AS (SELECT *, row_number() OVER (ORDER BY month) n FROM b) SELECT CAST(x.n AS INT) AS place, x.month, x.clicks, coalesce(y.clicks, 0) AS previous_clicks FROM x LEFT JOIN y ON x.n = y.n")
+def r21_monthly_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """Months of a range beside those of the year before, by place."""
+    from .operators import compare
+
+    rows = fact(spark, sf, "site_daily")
+    months = lambda y: rows.filter(F.col("date").between(date(y, 1, 1), date(y, 6, 30))).groupBy(dates.bucket(F.col("date"), "month").alias("month")).agg(F.sum("clicks").alias("clicks"))
+    return compare.by_place(months(1996), months(1995), "month", ["clicks"])
+
+
+@query("r23_query_series", oracle_with("page_query_daily") + ", a AS (SELECT date, COUNT(DISTINCT query) AS n FROM page_query_daily WHERE query <> '' AND date BETWEEN DATE '1996-03-01' AND DATE '1996-03-31' GROUP BY 1), b AS (SELECT date, COUNT(DISTINCT query) AS n FROM page_query_daily WHERE query <> '' AND date BETWEEN DATE '1996-02-01' AND DATE '1996-02-29' GROUP BY 1), x AS (SELECT *, row_number() OVER (ORDER BY date) p FROM a), y AS (SELECT *, row_number() OVER (ORDER BY date) p FROM b) SELECT CAST(x.p AS INT) AS place, x.date, x.n AS query_count, coalesce(y.n, 0) AS previous_query_count FROM x LEFT JOIN y ON x.p = y.p")
+def r23_query_series(spark: SparkSession, sf: str) -> DataFrame:
+    from .operators import compare
+
+    rows = fact(spark, sf, "page_query_daily").filter("query <> ''")
+    days = lambda m, d: rows.filter(F.col("date").between(date(1996, m, 1), date(1996, m, d))).groupBy("date").agg(F.count_distinct("query").alias("query_count"))
+    return compare.by_place(days(3, 31), days(2, 29), "date", ["query_count"])
+
+
+@query("g5_redirected_pages", oracle_with("crawl_pages") + f", r AS (SELECT crawl_order, url, CASE WHEN crawl_order % 6 = 0 THEN 'https://site.example/moved/' || CAST(crawl_order AS VARCHAR) || '?r=1' WHEN status_code IS NULL THEN NULL ELSE url END AS final_url, status_code FROM crawl_pages) SELECT crawl_order, {_key_sql('coalesce(final_url, url)')} AS page_key, status_code IS NULL AND crawl_order % 6 <> 0 AS failed FROM r")
+def g5_redirected_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A page goes by its final address; a failed one, without status, stays under the address that was asked for."""
+    final = F.when(F.col("crawl_order") % 6 == 0, F.concat(F.lit("https://site.example/moved/"), F.col("crawl_order").cast("string"), F.lit("?r=1"))).when(F.col("status_code").isNotNull(), F.col("url"))
+    return graph.fetched_pages(fact(spark, sf, "crawl_pages").withColumn("final_url", final)).select("crawl_order", "page_key", "failed")
+
+
+@query("k23_page_tests", oracle_with("crawl_pages") + f", k AS (SELECT crawl_order, url, {_key_sql('url')} AS page_key, regexp_replace(regexp_replace(lower(coalesce(canonical_url, '')), '[#?].*$', ''), '/+$', '') AS home, regexp_replace(regexp_replace(lower(url), '[#?].*$', ''), '/+$', '') AS own, * EXCLUDE (crawl_order, url) FROM crawl_pages) SELECT crawl_order, coalesce(status_code BETWEEN 200 AND 299, false) AND NOT noindex AND NOT (home <> '' AND home <> own) AND NOT (word_count < 20 AND trim(coalesce(title, '')) = '' AND h1_text = '') AS indexable, true AS source_ok, word_count >= 120 AS target_ok FROM (SELECT *, CASE WHEN h1_count > 0 THEN 'h' ELSE '' END AS h1_text FROM k)")
+def k23_page_tests(spark: SparkSession, sf: str) -> DataFrame:
+    from .operators import links
+
+    pages = fact(spark, sf, "crawl_pages").withColumns({"page_key": keys.page_key(F.col("url")), "h1_text": F.when(F.col("h1_count") > 0, "h").otherwise("")})
+    return links.page_tests(pages).select("crawl_order", "indexable", "source_ok", "target_ok")
