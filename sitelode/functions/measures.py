@@ -55,8 +55,8 @@ def bucket_count(n: Column) -> Column:
 
 
 def normal_confidence(c: Column) -> Column:
-    """Values over 1 are percentages."""
-    return clamp(F.when(c > 1, c / 100).otherwise(c), 0, 1)
+    """Values over 1 are percentages; null stays null."""
+    return F.when(c.isNotNull(), clamp(F.when(c > 1, c / 100).otherwise(c), 0, 1))
 
 
 def cosine(a: Column, b: Column) -> Column:

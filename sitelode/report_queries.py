@@ -243,7 +243,7 @@ def u2_page_keys(spark: SparkSession, sf: str) -> DataFrame:
     return reports.all_page_keys(*[fact(spark, sf, n) for n in ("authority_profiles", "authority_members", "authority_regions")])
 
 
-@query("k26_region_evidence", oracle_with("authority_regions") + "SELECT page_key, region, round(coalesce(greatest(0, least(1, CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END)), 0) * 100 + coalesce(prominence, 0) * 25 + CASE WHEN visible THEN 10 ELSE 0 END + text_density * 10 - link_density * 8 - boilerplate * 12, 6) + 0 AS score FROM authority_regions")
+@query("k26_region_evidence", oracle_with("authority_regions") + "SELECT page_key, region, round(coalesce(CASE WHEN confidence IS NOT NULL THEN greatest(0, least(1, CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END)) END, 0) * 100 + coalesce(prominence, 0) * 25 + CASE WHEN visible THEN 10 ELSE 0 END + text_density * 10 - link_density * 8 - boilerplate * 12, 6) + 0 AS score FROM authority_regions")
 def k26_region_evidence(spark: SparkSession, sf: str) -> DataFrame:
     score = reports.region_evidence(*map(F.col, ("confidence", "prominence", "visible", "text_density", "link_density", "boilerplate")))
     return fact(spark, sf, "authority_regions").select("page_key", "region", (F.round(score, 6) + 0.0).alias("score"))
@@ -266,7 +266,7 @@ def a18_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return reports.histogram(rows, ["template_key"], "family", 4)
 
 
-@query("a27_confidence", oracle_with("authority_profiles") + "SELECT page_type, round(AVG(greatest(0, least(1, CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END))), 4) AS value, CASE WHEN AVG(confidence) IS NULL THEN 'unknown' WHEN round(AVG(greatest(0, least(1, CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END))), 4) >= 0.75 THEN 'high' WHEN round(AVG(greatest(0, least(1, CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END))), 4) >= 0.45 THEN 'medium' ELSE 'low' END AS label FROM authority_profiles GROUP BY 1")
+@query("a27_confidence", oracle_with("authority_profiles") + "SELECT page_type, round(AVG(CASE WHEN confidence IS NOT NULL THEN greatest(0, least(1, CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END)) END), 4) AS value, CASE WHEN AVG(confidence) IS NULL THEN 'unknown' WHEN round(AVG(CASE WHEN confidence IS NOT NULL THEN greatest(0, least(1, CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END)) END), 4) >= 0.75 THEN 'high' WHEN round(AVG(CASE WHEN confidence IS NOT NULL THEN greatest(0, least(1, CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END)) END), 4) >= 0.45 THEN 'medium' ELSE 'low' END AS label FROM authority_profiles GROUP BY 1")
 def a27_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return reports.confidence_summary(fact(spark, sf, "authority_profiles"), ["page_type"])
 

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,9 +33,18 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = LATE) -> Da
 
 def refresh_days(stream: DataFrame, source: DataFrame, target: str, checkpoint: str, rebuild) -> StreamingQuery:  # noqa: ANN001
     """For each micro-batch, rebuilds the days that it touches from the whole source and replaces those partitions."""
+    return _refresh(stream, source, target, checkpoint, rebuild, F.to_date("ts"), "date")
 
+
+def refresh_months(stream: DataFrame, source: DataFrame, target: str, checkpoint: str, rebuild) -> StreamingQuery:  # noqa: ANN001
+    """The same for whole months (``month_start``), so that a late or short batch never leaves half a month in a summary.
+    ``rebuild`` gets the source's rows of the touched months and returns rows with month_start."""
+    return _refresh(stream, source, target, checkpoint, rebuild, F.trunc("ts", "MM"), "month_start")
+
+
+def _refresh(stream: DataFrame, source: DataFrame, target: str, checkpoint: str, rebuild, bucket: Column, name: str) -> StreamingQuery:  # noqa: ANN001
     def apply(batch: DataFrame, _: int) -> None:
-        days = batch.select(F.to_date("ts").alias("date")).distinct()
-        replace_partitions(rebuild(source.withColumn("date", F.to_date("ts")).join(days, "date", "left_semi")), target)
+        touched = batch.select(bucket.alias(name)).distinct()
+        replace_partitions(rebuild(source.withColumn(name, bucket).join(touched, name, "left_semi")), target, name)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

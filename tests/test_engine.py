@@ -408,3 +408,49 @@ def test_sitemaps_are_expanded_level_by_level(spark):
     found = providers.expand_sitemaps(spark.createDataFrame([("a.b", f"{s}m")], "site string, url string"), spark.createDataFrame(fetched, "site string, map_url string, xml string"))
     assert {tuple(r) for r in found.collect()} == {("a.b", f"{s}{i}") for i in (1, 2, 3)}
     assert providers.expand_sitemaps(spark.createDataFrame([("a.b", f"{s}m")], "site string, url string"), spark.createDataFrame(fetched, "site string, map_url string, xml string"), most_urls=2).count() == 2
+
+
+def test_months_are_rebuilt_whole(spark, tmp_path):
+    source, target = f"{tmp_path}/events", f"{tmp_path}/months"
+    at = lambda m, d: datetime(2024, m, d, 12)
+    schema = "ts timestamp, value double"
+    spark.createDataFrame([(at(1, 3), 1.0), (at(1, 20), 2.0), (at(2, 5), 4.0)], schema).coalesce(1).write.parquet(source)
+    rebuild = lambda rows: rows.groupBy("month_start").agg(F.sum("value").alias("value"))
+    run = lambda: stream.refresh_months(stream.read_events(spark, source), spark.read.parquet(source), target, f"{tmp_path}/state", rebuild).awaitTermination()
+    read = lambda: {(r["month_start"].month, r["value"]) for r in spark.read.parquet(target).collect()}
+    run()
+    assert read() == {(1, 3.0), (2, 4.0)}
+    spark.createDataFrame([(at(1, 30), 8.0)], schema).coalesce(1).write.mode("append").parquet(source)
+    run()
+    assert read() == {(1, 11.0), (2, 4.0)}
+
+
+def test_reports_of_odd_rows(spark):
+    from sitelode.operators import reports
+
+    rows = spark.createDataFrame([(None, "s", date(2024, 1, 1), "/a", "A_b%", 1, 10, 2.0), ("o", "s", date(2024, 1, 2), "/a", "axb", 0, 0, 0.0), ("o", "s", date(2024, 1, 2), "", "a", 3, 5, 1.0)], "owner string, site string, date date, page_key string, query string, clicks long, impressions long, position double")
+    assert [r["query"] for r in reports.in_scope(rows, None, "s").collect()] == ["A_b%"] and reports.in_scope(rows, "o", "t").isEmpty()
+    found = reports.raw_search(rows, "query", date(2024, 1, 1), date(2024, 1, 31), "a_B%").collect()
+    assert [(r["query"], r["ctr"]) for r in found] == [("A_b%", 0.1)]  # wild cards are plain characters
+    assert [(r["page_key"], r["query_count"], r["ctr"]) for r in reports.raw_search(rows, "page", date(2024, 1, 1), date(2024, 1, 31)).collect()] == [("/a", 2, 0.1)]
+    assert reports.raw_search(rows.limit(0), "page_query", date(2024, 1, 1), date(2024, 1, 31), "x").isEmpty()
+    with pytest.raises(ValueError):
+        reports.traffic_report(rows, ("query",))
+    summary = reports.confidence_summary(spark.createDataFrame([("a", 80.0), ("a", 0.6), ("b", None), ("c", 0.1)], "k string, confidence double"), ["k"])
+    assert {tuple(r) for r in summary.collect()} == {("a", 0.7, "medium"), ("b", None, "unknown"), ("c", 0.1, "low")}
+    days = reports.job_days(spark.createDataFrame([("a", None, date(2024, 1, 2)), ("a", date(2024, 1, 1), date(2024, 1, 2)), ("a", date(2024, 3, 1), date(2024, 3, 2))], "k string, start date, end date"), date(2024, 1, 2), date(2024, 1, 31), ["k"])
+    assert [tuple(r) for r in days.collect()] == [("a", date(2024, 1, 2))]
+
+
+def test_analytics_payloads_that_cannot_be_read(spark):
+    good = '{"rows":[{"dimensionValues":[{"value":"20240105"},{"value":"/a?x=1"}],"metricValues":[{"value":"3"},{"value":"none"}]},{"dimensionValues":[{"value":"(other)"}],"metricValues":[]}]}'
+    df = spark.createDataFrame([(1, good), (2, "{"), (3, None), (4, "{}")], "id int, payload string")
+    got = sorted(map(tuple, providers.analytics_rows(df, ["date", "page_path"], ["sessions", "views"]).collect()), key=str)
+    assert got == sorted([(1, date(2024, 1, 5), "/a?x=1", 3.0, 0.0), (1, None, "", 0.0, 0.0)], key=str)
+
+
+def test_user_sort_falls_back(spark):
+    rows = spark.createDataFrame([("/b", 1, True, False, None), ("/A", 1, False, True, 3), ("/c", 5, True, False, 2)], "page_key string, clicks int, noindex boolean, has_traffic boolean, depth int").withColumns({c: F.lit(False) for c in ("crawl_error", "metadata_gap", "has_search", "has_crawl")} | {"canonical_variants": F.lit(0)})
+    keys_of = lambda **how: [r["page_key"] for r in blend.page_list(rows, **how).collect()]
+    assert keys_of(sort="nothing") == ["/c", "/A", "/b"] and keys_of(sort="page", ascending=True) == ["/A", "/b", "/c"] and keys_of(sort="depth") == ["/A", "/c", "/b"]
+    assert keys_of(only="noindex", traffic="without") == ["/c", "/b"] and keys_of(only="what", limit=1, offset=1) == ["/A"]
