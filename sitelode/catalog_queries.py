@@ -90,14 +90,24 @@ def c2_monthly_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(monthly_summary(fact(spark, sf, "page_daily")), "position_sum", digits=3)
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored_summary(spark: SparkSession, sf: str, grain: str) -> DataFrame:
+    """The monthly summary of a grain, written once for an application and partitioned by month."""
+    at = (spark.sparkContext.applicationId, sf, grain)
+    if at not in _STORED:
+        _STORED[at] = stored(monthly_summary(fact(spark, sf, grain)), f"months-{grain}", "month_start")
+    return _STORED[at]
+
+
 def rewritten(grain: str, dimensions: tuple[str, ...]) -> Query:
-    """The report through months and edges; its SQL counterpart reads days only."""
+    """All groups of the report through stored months and edges; its SQL counterpart reads days only."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        daily = facts(spark, sf, grain)
         report = SearchReport(START, END, dimensions)
         assert report.grain == grain
-        return rounded(report.page(daily, {grain: monthly_summary(daily[grain])}), "ctr", "position")
+        return rounded(report.plan(facts(spark, sf, grain), {grain: stored_summary(spark, sf, grain)}), "ctr", "position")
 
     return run
 
@@ -105,7 +115,7 @@ def rewritten(grain: str, dimensions: tuple[str, ...]) -> Query:
 for _grain in GRAINS:
     _key = {"page_daily": "page_key", "query_daily": "query", "country_daily": "country", "page_query_daily": "page_key, query", "site_daily": ""}[_grain]
     _days = ", CAST(SUM(query_count) AS BIGINT) AS query_days" if _grain in ("site_daily", "page_daily") else ""
-    _group = f" GROUP BY {_key} ORDER BY clicks DESC, impressions DESC, {_key} LIMIT 1000" if _key else ""
+    _group = f" GROUP BY {_key}" if _key else ""
     query(f"c2_rewrite_{_grain}", oracle_with(_grain) + f"SELECT {_key + ', ' if _key else ''}{SUMS}, {CTR}, {POSITION}{_days} FROM {_grain} WHERE {DAYS}{_group}")(
         rewritten(_grain, tuple({"page_key": "page"}.get(k, k) for k in _key.split(", ") if k))
     )

@@ -40,14 +40,6 @@ def j9_same_owner(spark: SparkSession, sf: str) -> DataFrame:
     return reports.same_owner(rows.filter("clicks > 2").select("owner", "site").distinct(), days, ["site"])
 
 
-@query("c2_rewrite_all_groups", oracle_with("page_query_daily") + f"SELECT page_key, query, {SUMS}, {CTR}, {POSITION} FROM page_query_daily WHERE {DAYS} GROUP BY 1, 2")
-def c2_rewrite_all_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Months and edges give what days give, for every group."""
-    daily = fact(spark, sf, "page_query_daily")
-    report = SearchReport(START, END, ("page", "query"))
-    return rounded(report.plan({report.grain: daily}, {report.grain: monthly_summary(daily)}), "ctr", "position")
-
-
 @query("j13_preferred_source", "WITH s AS (SELECT c_nationkey AS scope, CASE CAST(c_custkey % 3 AS INT) WHEN 0 THEN 'traffic' WHEN 1 THEN 'search' ELSE 'crawl' END AS kind, c_custkey AS source, c_custkey % 50 AS created_at FROM customer WHERE c_acctbal > 9500), r AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY CASE kind WHEN 'search' THEN 1 WHEN 'traffic' THEN 2 ELSE 3 END, created_at, source) rn FROM s) SELECT n_nationkey AS scope, kind, source FROM nation LEFT JOIN (SELECT * FROM r WHERE rn = 1) ON n_nationkey = scope")
 def j13_preferred_source(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("c_custkey") % 3 == 0, "traffic").when(F.col("c_custkey") % 3 == 1, "search").otherwise("crawl")

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Writes and reads back, which cuts the lineage."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -17,5 +17,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.gettempdir()}/sitelode-shared"
     path = f"{root}/sitelode/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
