@@ -633,7 +633,11 @@ def c6_page_facts(spark: SparkSession, sf: str) -> DataFrame:
     return _snapshots(spark, sf).select("page_id", "language", "h1_count", "h2_count")
 
 
-@query("c6_links")
+@query(
+    "c6_links",
+    """WITH a AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS link FROM pages), l AS (SELECT page_id, origin, regexp_extract(link, 'href="([^"]*)"', 1) AS href, regexp_extract(link, '>([^<]*)<', 1) AS anchor FROM a)
+    SELECT page_id, origin || href AS to_url, true AS internal, anchor, 'navigation' AS role, 'li' AS block_type FROM l""",
+)
 def c6_links(spark: SparkSession, sf: str) -> DataFrame:
     return markup.unfolded(_snapshots(spark, sf), "links")
 

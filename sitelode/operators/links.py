@@ -142,7 +142,7 @@ def with_vectors(words: DataFrame, near: DataFrame, sentences: DataFrame, target
     return seen.select(columns).unionByName(alone.withColumn("overlap", shared).select(columns))
 
 
-_WORDS = re.compile(r"[^\W_][^\W_-]*(?:-[^\W_-]+)*-*")
+_WORDS = re.compile(r"[^\W_](?:[^\W_]|-){2,}")
 
 
 def tokens_of(text: str) -> list[str]:
@@ -180,7 +180,7 @@ def anchor_span(sentence: str, phrases: list[str], target_words: set[str]) -> tu
         span = find_span(sentence, phrase)
         if span and useful_anchor(sentence[slice(*span)]):
             return span
-    words = [w for w in _WORDS.findall(sentence) if len(w) >= 3]
+    words = _WORDS.findall(sentence)
     for i in range(len(words)):
         for size in (4, 3, 2, 1):
             phrase = " ".join(words[i : i + size])
