@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog_queries import _BLEND, BOUNCE, CTR, DAYS, END, POSITION, SITE, START, SUMS, _blended, _key_sql, _log, query, rounded
+from .catalog_queries import _BLEND, BOUNCE, CTR, DAYS, END, ORACLE, POSITION, QUERIES, SITE, START, SUMS, _blended, _key_sql, _log, query, rounded
 from .functions import classify, dates, keys, measures
 from .operators import blend, coverage, graph, jobs, profiles, reports
 from .plans.search_report import Filter, SearchReport, monthly_summary
@@ -437,3 +437,42 @@ def k23_page_tests(spark: SparkSession, sf: str) -> DataFrame:
 
     pages = fact(spark, sf, "crawl_pages").withColumns({"page_key": keys.page_key(F.col("url")), "h1_text": F.when(F.col("h1_count") > 0, "h").otherwise("")})
     return links.page_tests(pages).select("crawl_order", "indexable", "source_ok", "target_ok")
+
+
+@query("s4_search_rows", "SELECT o_custkey AS page, false AS truncated, CAST(o_orderdate AS DATE) AS date, concat('q', CAST(o_custkey % 50 AS VARCHAR)) AS query, CAST(o_orderkey % 7 AS DOUBLE) AS clicks, CAST(o_orderkey % 90 AS DOUBLE) AS impressions, CAST(1 + o_orderkey % 9 AS DOUBLE) AS position FROM orders")
+def s4_search_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of provider payloads; those without enough keys or numbers are rejected."""
+    from .operators import merge
+
+    valid, _ = merge.split_valid(providers.search_rows(fact(spark, sf, "search_payloads")), 2)
+    return valid.select("page", "truncated", dates.provider_date(F.col("keys")[0]).alias("date"), F.col("keys")[1].alias("query"), "clicks", "impressions", "position")
+
+
+@query("s16_rejected_rows", "SELECT o_custkey AS page, COUNT(*) AS rejected FROM orders GROUP BY 1")
+def s16_rejected_rows(spark: SparkSession, sf: str) -> DataFrame:
+    from .operators import merge
+
+    return merge.split_valid(providers.search_rows(fact(spark, sf, "search_payloads")), 2)[1].groupBy("page").agg(F.count(F.lit(1)).alias("rejected"))
+
+
+@query("s8_second_engine_rows", "SELECT CASE WHEN o_orderkey % 4 = 0 THEN DATE '2024-02-01' ELSE CAST(o_orderdate AS DATE) END AS date, concat('q', CAST(o_custkey % 50 AS VARCHAR)) AS query, CAST(o_orderkey % 90 AS BIGINT) AS impressions, CAST(o_orderkey % 7 AS BIGINT) AS clicks, CAST(2 AS DOUBLE) AS click_position, CAST(3 AS DOUBLE) AS impression_position, CASE WHEN o_orderkey % 4 = 0 THEN 'fetched' ELSE 'reported' END AS date_source FROM orders")
+def s8_second_engine_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return providers.engine2_rows(fact(spark, sf, "engine2_payloads"))
+
+
+@query("s13_allowed_paths", "WITH p AS (SELECT concat('site', CAST(n_nationkey AS VARCHAR), '.example') AS site, n_nationkey % 4 AS k, concat('/s', CAST(s_suppkey % 5 AS VARCHAR), '/p', CAST(s_suppkey % 20 AS VARCHAR)) AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT DISTINCT site, path, NOT starts_with(path, concat('/s', CAST(k AS VARCHAR))) OR starts_with(path, concat('/s', CAST(k AS VARCHAR), '/p1')) AS allowed FROM p")
+def s13_allowed_paths(spark: SparkSession, sf: str) -> DataFrame:
+    rules = providers.robots_rules(fact(spark, sf, "robots_files"))
+    n = F.col("s_suppkey")
+    paths = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit("site"), F.col("s_nationkey").cast("string"), F.lit(".example")).alias("site"), F.concat(F.lit("/s"), (n % 5).cast("string"), F.lit("/p"), (n % 20).cast("string")).alias("path")).distinct()
+    return providers.allowed(paths, rules)
+
+
+@query("s12_robots_rules", "SELECT concat('site', CAST(n_nationkey AS VARCHAR), '.example') AS site, unnest(['disallow', 'allow', 'sitemap']) AS kind, unnest([concat('/s', CAST(n_nationkey % 4 AS VARCHAR)), concat('/s', CAST(n_nationkey % 4 AS VARCHAR), '/p1'), 'https://site.example/map.xml']) AS value FROM nation")
+def s12_robots_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return providers.robots_rules(fact(spark, sf, "robots_files"))
+
+
+@query("g4_orphans", f"SELECT page_key, resolved_key FROM ({ORACLE['g2_inbound_resolved']}) WHERE inbound = 0")
+def g4_orphans(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.orphans(QUERIES["g2_inbound_resolved"](spark, sf)).select("page_key", "resolved_key")

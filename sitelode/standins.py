@@ -60,6 +60,9 @@ SQL = {
         CASE WHEN p_partkey % 17 = 0 THEN 'our FAQ' WHEN p_partkey % 17 = 1 THEN 'faqs' WHEN p_partkey % 17 = 2 THEN NULL ELSE p_brand END AS body, p_partkey % 9 = 0 AS has_article, CAST(p_size % 4 AS INT) AS subheadings FROM {part}""",
     "asked_queries": """SELECT p_partkey AS id, concat(CASE CAST(p_partkey % 14 AS INT) WHEN 0 THEN 'How to clean ' WHEN 1 THEN 'buy ' WHEN 2 THEN 'sign up for ' WHEN 3 THEN 'acme goods ' WHEN 4 THEN 'Acme-Goods ' WHEN 5 THEN '  who made ' WHEN 6 THEN 'cheap ' WHEN 7 THEN 'could I use ' WHEN 8 THEN 'login ' WHEN 9 THEN 'meaning of ' ELSE '' END, lower(p_type), CASE WHEN p_partkey % 11 = 0 THEN ' price' WHEN p_partkey % 11 = 1 THEN '?' ELSE '' END) AS query FROM {part}""",
     "analytics_payloads": """SELECT event_id AS payload_id, concat('{{"rows":[{{"dimensionValues":[{{"value":"', replace(CAST(CAST(ts AS DATE) AS STRING), '-', ''), '"}},{{"value":"/s', CAST(user_id % 4 AS STRING), '/p', CAST(user_id % 30 AS STRING), '?u=', CAST(event_id AS STRING), '"}}],"metricValues":[{{"value":"', CAST(event_id % 9 AS STRING), '"}},{{"value":"', CAST(event_id % 5 AS STRING), '"}},{{"value":"', CAST(event_id % 13 AS STRING), '"}},{{"value":"0.', CAST(event_id % 10 AS STRING), '"}},{{"value":"', CAST(event_id % 3 AS STRING), '"}}]}}]}}') AS payload FROM {events}""",
+    "search_payloads": """SELECT o_custkey AS page, concat('{{"rows":[{{"keys":["', CAST(CAST(o_orderdate AS DATE) AS STRING), '","q', CAST(o_custkey % 50 AS STRING), '"],"clicks":', CAST(o_orderkey % 7 AS STRING), ',"impressions":', CAST(o_orderkey % 90 AS STRING), ',"ctr":0.5,"position":', CAST(1 + o_orderkey % 9 AS STRING), '}},{{"keys":["none"]}}]}}') AS payload FROM {orders}""",
+    "engine2_payloads": """SELECT DATE '2024-02-01' AS fetched_date, concat('{{"d":[{{"Query":" q', CAST(o_custkey % 50 AS STRING), ' ","Date":', CASE WHEN o_orderkey % 4 = 0 THEN 'null' ELSE concat('"', CAST(CAST(o_orderdate AS DATE) AS STRING), '"') END, ',"Impressions":', CAST(o_orderkey % 90 AS STRING), ',"Clicks":', CAST(o_orderkey % 7 AS STRING), ',"AvgClickPosition":2,"AvgImpressionPosition":3}},{{"Query":" "}}]}}') AS payload FROM {orders}""",
+    "robots_files": """SELECT concat('site', CAST(n_nationkey AS STRING), '.example') AS site, concat('User-agent: other', chr(10), 'Disallow: /', chr(10), '# comment', chr(10), 'User-Agent: *', chr(13), chr(10), 'Disallow: /s', CAST(n_nationkey % 4 AS STRING), chr(10), 'Allow: /s', CAST(n_nationkey % 4 AS STRING), '/p1', chr(10), 'Disallow:', chr(10), 'Sitemap: https://site.example/map.xml') AS robots FROM {nation}""",
 }
 
 
