@@ -14,7 +14,7 @@ import xxhash
 from .common import LOWER, UPPER
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
