@@ -51,7 +51,7 @@ from .words import Words, as_bytes, distinct, mix, segment_sums, slices
 ORDER = 2
 BLOCK = 2_000_000
 #: N-grams that a bucket is meant to answer for.
-BUCKET = 2_000_000
+BUCKET = 500_000
 #: Counts up to this are discounted.
 MOST = 5
 SPARE = 0.5
