@@ -716,7 +716,7 @@ def r16_recommendations(spark: SparkSession, sf: str) -> DataFrame:
     rows = links.anchored(found.join(target, "target_key").join(source, "source_key"))
     site = F.concat(F.lit(SITE), F.lit("/"), F.substring_index(F.substring("source_key", 2, 1000), "/", 1))
     best = links.top_per_target(links.scored(rows).withColumn("site", site))
-    return links.choose(best.select("site", "source_key", "target_key", "anchor", "overlap", "score", "confidence", "type"))
+    return links.choose(best.select("site", "source_key", "target_key", "anchor", "overlap", "score", "confidence", "type"), None)
 
 
 # -- raw reports, scopes, insights ----------------------------------------------------------------------------------------
