@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, katz, language, media, near_dup, packing, piece_model, quality, secrets, shards
+from . import chat, katz, language, media, near_dup, packing, piece_model, quality, secrets, shards, suffixes
 from .common import shared_path, table
 from .oracle import ORACLE  # noqa: F401
 
@@ -87,6 +87,12 @@ def op10_piece_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_model.encode(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz_backoff": op1_katz_backoff,
     "op2_secret_scan": op2_secret_scan,
@@ -98,5 +104,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_language_id": op9_language_id,
     "op10_piece_model": op10_piece_model,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "secret_ledger_versions": secret_ledger_versions,
 }
