@@ -9,9 +9,11 @@ id has it too.
    ties) follow one another; they make one *stretch*, about one for every fourteen bytes. Equal strings have equal grams at
    equal places, so a string can only be in two rows if its gram is. Blocks send fingerprints of their grams, hash buckets
    answer with one bit for each: held by more than one row, or not. False alarms cost work, not results.
-3. If a gram has the same stretch wherever it occurs, all suffixes that begin in that stretch are in the same rows, and the
-   stretch goes into the sort as one suffix. If not (at the ends of a shared passage), each of its suffixes goes in alone. A
-   second exchange, of grams with a 64-bit hash of their stretches, tells which.
+3. A stretch goes into the sort as one suffix, since who has all of it can lose all of it. Where a gram has several
+   stretches (at the ends of shared passages), their parts may still repeat, so each string of a stretch goes in too, but
+   only from the rows of the least id that has this stretch: all others lose the whole of it anyway. Where a gram has one
+   stretch only, its strings are in the same rows as the stretch. A second exchange, of grams with a 64-bit hash of their
+   stretches and the least id of each, tells which.
 4. Each block sorts what is left into runs of at most RUN suffixes, each once with the least id of its rows. A run is cut at
    splitters, taken from regular samples of the candidates of all blocks, and its parts travel front-coded: the length of
    the prefix shared with the suffix before, then only the rest.
@@ -48,15 +50,15 @@ from pyspark.sql import functions as F
 
 from .common import parallelism, shared_path
 from .katz import expand, squeeze
-from .words import as_bytes, mix, slices
+from .words import as_bytes, distinct, mix, slices
 
 LENGTH = 50
 GRAM = 24
 BLOCK = 16 << 20
 #: Bytes of text whose grams are hashed at once.
-SLICE = 1 << 18
+SLICE = 1 << 17
 #: Suffixes of a run.
-RUN = 1 << 18
+RUN = 1 << 19
 #: Grams that a bucket answers for, and suffixes that a range merges, on average.
 BUCKET, RANGE = 1 << 21, 1 << 19
 #: Suffixes of a sub-range, and most runs that a tree merges.
@@ -67,6 +69,7 @@ SAMPLES, EVERY = 8, 128
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _POWERS = np.array([1 << 8 * k for k in range(1, 8)], np.uint64)
 _TURN = np.uint64(0x9E3779B97F4A7C15)
+_HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
 # -- stretches ------------------------------------------------------------------------------------------------------------
@@ -113,18 +116,17 @@ def _slice(text: np.ndarray, sizes: np.ndarray, takes_part: np.ndarray, length:
         return nothing
     eight = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
     m = n - GRAM + 1
-    value = mix(eight[:m] * _TURN ^ eight[8 : m + 8] * np.uint64(0xC2B2AE3D27D4EB4F) ^ eight[16 : m + 16] * np.uint64(0x165667B19E3779F9))
-    hashes, place, reach, wide = value, np.arange(m, dtype=np.int32), 1, length - GRAM + 1
-    while reach < wide:  # least of the next ``reach`` grams, and its place
+    hashes = mix(eight[:m] * _TURN ^ eight[8 : m + 8] * np.uint64(0xC2B2AE3D27D4EB4F) ^ eight[16 : m + 16] * np.uint64(0x165667B19E3779F9))
+    value, reach, wide = (hashes & _HIGH) | np.arange(m, dtype=np.uint64), 1, length - GRAM + 1
+    while reach < wide:  # half a hash and the place of the least of the next ``reach`` grams
         step = min(reach, wide - reach)
-        left = value[:-step] <= value[step:]
-        value, place = np.where(left, value[:-step], value[step:]), np.where(left, place[:-step], place[step:])
+        value = np.minimum(value[:-step], value[step:])
         reach += step
     row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     starts = np.flatnonzero((row[: n - length + 1] == row[length - 1 :]) & takes_part[row[: n - length + 1]])
     if not len(starts):
         return nothing
-    least = place[starts]
+    least = (value[starts] & ~_HIGH).astype(np.int64)
     new = np.ones(len(starts), bool)
     new[1:] = (least[1:] != least[:-1]) | (row[starts[1:]] != row[starts[:-1]])
     begin = np.flatnonzero(new)
@@ -188,27 +190,30 @@ def hash_words(words: np.ndarray) -> np.ndarray:
 
 
 def front_code(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """(bytes shared with the suffix before, sizes, the other bytes in a row) of sorted suffixes."""
+    """(bytes shared with the suffix before, sizes, the other bytes in a row) of sorted suffixes; the other bytes begin with
+    the first word of eight that is not wholly shared."""
     sizes = (words[:, -1] & np.uint64(255)).astype(np.int64)
     common = np.zeros(len(words), np.int64)
     common[1:] = shared(words[1:], words[:-1])
-    column = np.arange(8 * words.shape[1])
-    rest = words.astype(">u8").view(np.uint8).reshape(len(words), -1)[(column >= common[:, None]) & (column < sizes[:, None])]
+    column = np.arange(words.shape[1])
+    text = words.copy()
+    text[:, -1] &= ~np.uint64(255)
+    rest = text[(column >= (common >> 3)[:, None]) & (column < ((sizes + 7) >> 3)[:, None])]
     return common.astype(np.uint8), sizes.astype(np.uint8), rest.tobytes()
 
 
 def front_decode(common: np.ndarray, sizes: np.ndarray, rest: bytes, wide: int) -> np.ndarray:
-    """The words of front-coded suffixes: a byte is that of the last row that brought one at its place."""
-    own = np.maximum(sizes.astype(np.int64) - common, 0)
-    begin = np.cumsum(own) - own - common
-    flat, rows = np.frombuffer(rest + b"\0", np.uint8), np.arange(len(common))
-    out = np.zeros((len(common), 8 * wide), np.uint8)
-    for c in range(int(sizes.max(initial=0))):
-        source = np.maximum.accumulate(np.where(common <= c, rows, 0))
-        held = sizes[source] > c
-        out[:, c] = np.where(held, flat[np.where(held, begin[source] + c, 0)], 0)
-    out[:, -1] = sizes
-    return out.view(">u8").astype(np.uint64)
+    """The words of front-coded suffixes: a word is that of the last row that brought one at its place."""
+    skipped, stop = common >> 3, (sizes.astype(np.int64) + 7) >> 3
+    own = np.maximum(stop - skipped, 0)
+    begin = np.cumsum(own) - own - skipped
+    flat, rows = np.append(np.frombuffer(rest, np.uint64), np.uint64(0)), np.arange(len(common))
+    out = np.zeros((len(common), wide), np.uint64)
+    for c in range(wide):
+        source = np.maximum.accumulate(np.where(skipped <= c, rows, 0))
+        out[:, c] = flat[np.where(stop[source] > c, begin[source] + c, -1)]
+    out[:, -1] |= sizes
+    return out
 
 
 # -- merging --------------------------------------------------------------------------------------------------------------
@@ -343,28 +348,29 @@ class Text:
         return keys[order][begin], np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin) if len(begin) else np.empty(0, bool)
 
     def candidates(self) -> Stretches:
-        keys = self.all.key >> self.bits
-        known = np.unique(keys)
-        held = self._answered(1)
-        return self.all.subset(held[np.searchsorted(known, keys)]) if len(known) else self.all
+        _, place, _ = distinct(self.all.key >> self.bits)
+        return self.all.subset(self._answered(1)[place])
 
-    def forms(self, found: Stretches) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (gram, hash of stretch)."""
+    def forms(self, found: Stretches) -> Forms:
         form = np.concatenate([np.empty(0, np.uint64), *(hash_words(read_words(found.text, found.first[a:b], found.sizes[a:b], words_of(self.length))) for a, b in _steps(len(found.key), RUN))])
         order = np.lexsort((form, found.key))
-        key, form = found.key[order], form[order]
+        key, form, ids = found.key[order], form[order], self.ids[found.row]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (form[1:] != form[:-1])
-        return key[new], form[new]
+        place = np.empty(len(key), np.int64)
+        place[order] = np.cumsum(new) - 1
+        least = np.minimum.reduceat(ids[order], np.flatnonzero(new)) if len(key) else ids
+        return Forms(key[new], form[new], least, place, ids)
 
     def strings(self, found: Stretches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, start, size) of what is sorted: whole stretches, or each string of those whose gram has several."""
-        known = np.unique(found.key)
-        several = self._answered(2)[np.searchsorted(known, found.key)] if len(known) else np.empty(0, bool)
-        count = np.where(several, found.last - found.first + 1, 1)
+        """(row, start, size) of what is sorted: every stretch; and each string of those that may be the first of several."""
+        forms = self.forms(found)
+        alone = found.subset(self._answered(2)[forms.place] & (forms.ids == forms.least[forms.place]))
+        count = alone.last - alone.first + 1
         of = np.repeat(np.arange(len(count)), count)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        return found.row[of], found.first[of] + nth, np.where(several, self.length, found.sizes)[of]
+        join = lambda a, b: np.concatenate([a, b])
+        return join(found.row, alone.row[of]), join(found.first, alone.first[of] + nth), join(found.sizes, np.full(len(of), self.length))
 
     def runs(self) -> Iterator[Run]:
         found = self.candidates()
@@ -408,6 +414,18 @@ class Text:
         return spans, texts
 
 
+@dataclass
+class Forms:
+    """Distinct (gram, hash of stretch) of a block, ordered, with the least id of each; ``place`` and ``ids`` are those of
+    each stretch."""
+
+    key: np.ndarray
+    form: np.ndarray
+    least: np.ndarray
+    place: np.ndarray
+    ids: np.ndarray
+
+
 @dataclass
 class Run:
     number: int
@@ -474,23 +492,28 @@ def into_blocks(docs: DataFrame, id_col: str, text_col: str, block: int) -> Data
 
 
 def answer(asked: pa.Table) -> pa.Table:
-    """Stage 1: is a fingerprint held by two rows? Stage 2: has a gram several stretches? One bit for each key."""
+    """Stage 1: is a fingerprint held by two rows? Stage 2: has a gram several stretches, and is no id with this one smaller?
+    One bit for each key."""
     rows = asked.sort_by("block").to_pylist()
     keys = [np.cumsum(expand(x["keys"], "u8"), dtype=np.uint64) for x in rows]
     flat = np.concatenate(keys)
     if rows[0]["stage"] == 1:
-        known, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+        known, place, _ = distinct(flat)
         twice = np.concatenate([np.unpackbits(expand(x["more"], "u1"), count=len(k)).astype(bool) for x, k in zip(rows, keys, strict=True)])
-        yes = count > 1
+        yes = np.bincount(place, minlength=len(known)) > 1
         yes[place[twice]] = True
-        each = [yes[p] for p in np.split(place, np.cumsum([len(k) for k in keys])[:-1])]
+        yes = yes[place]
     else:
-        form = np.concatenate([expand(x["more"], "u8") for x in rows])
-        order = np.lexsort((form, flat))
+        form, least = (np.concatenate([expand(x[c], kind) for x in rows]) for c, kind in (("more", "u8"), ("least", "i8")))
+        order = np.lexsort((least, form, flat))
         begin = _edges(flat[order])
-        known = flat[order][begin]
         several = np.minimum.reduceat(form[order], begin) != np.maximum.reduceat(form[order], begin)
-        each = [several[np.searchsorted(known, np.unique(k))] for k in keys]
+        new = np.ones(len(order), bool)
+        new[1:] = (flat[order][1:] != flat[order][:-1]) | (form[order][1:] != form[order][:-1])
+        lowest = least[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        yes = np.empty(len(order), bool)
+        yes[order] = np.repeat(several, np.diff(np.append(begin, len(order)))) & (least[order] == lowest)
+    each = np.split(yes, np.cumsum([len(k) for k in keys])[:-1])
     out = [{"block": x["block"], "stage": x["stage"], "run": 0, "bucket": x["bucket"], "n": len(bits), "bits": squeeze(np.packbits(bits))} for x, bits in zip(rows, each, strict=True)]
     return pa.Table.from_batches([_batch(ANSWERED, out)])
 
@@ -575,8 +598,8 @@ def _removed(blocks: DataFrame, length: int, wide: int, parts: int, bucket: int,
 
     def ask_forms(text: Text) -> list[dict]:
         found = text.candidates()
-        keys, forms = text.forms(found)
-        rows = [{"kind": "ask", "stage": 2, "block": text.number, "run": 0, "bucket": i, "keys": squeeze(np.diff(keys[a:b], prepend=np.uint64(0))), "more": squeeze(forms[a:b])} for i, a, b in _dealt(keys, 64, buckets)]
+        forms = text.forms(found)
+        rows = [{"kind": "ask", "stage": 2, "block": text.number, "run": 0, "bucket": i, "keys": squeeze(np.diff(forms.key[a:b], prepend=np.uint64(0))), "more": squeeze(forms.form[a:b]), "least": squeeze(forms.least[a:b])} for i, a, b in _dealt(forms.key, 64, buckets)]
         # Regular samples of what will be sorted; ``n`` has the most that it can be.
         first = found.first[::EVERY]
         if len(first):
