@@ -59,4 +59,45 @@ def stratified_shards_sql(shards_wanted: int = 8) -> str:
     SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard, CAST(place - CASE WHEN shard <= more THEN shard * (least + 1) ELSE (least + 1) * more + (shard - more) * least END AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, source FROM s"""
 
 
-ORACLE: dict[str, str] = {"op4_stratified_shards": stratified_shards_sql(), "op2_secret_scan": secret_scan_sql(), "secret_ledger_versions": ledger_versions_sql()}
+def _vectors_sql(scale: int) -> str:
+    """(r, vec_id, label, v) of the rows that are kept; components as integers, rows numbered."""
+    return f"SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+_APART = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+
+
+def vector_codes_sql(rounds: int = 2) -> str:
+    """Every part against every entry, with an average of each component after a round."""
+    steps, apart = [], _APART.format("p.x", "e.x")
+    nearest = "SELECT r, k, arg_min(i, d * 64 + i) AS i, min(d) AS d FROM (SELECT p.r, p.k, e.i, {0} AS d FROM p JOIN b{1} AS e ON p.k = e.k) GROUP BY r, k"
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS ({nearest.format(apart, n)})")
+        if n < rounds:
+            means = f"SELECT a{n}.k, a{n}.i, [{', '.join(_mean(f'p.x[{c}]') for c in range(1, 5))}] AS x FROM a{n} JOIN p USING (r, k) GROUP BY a{n}.k, a{n}.i"
+            steps.append(f"b{n + 1} AS (SELECT e.k, e.i, coalesce(m.x, e.x) AS x FROM b{n} AS e LEFT JOIN ({means}) AS m ON e.k = m.k AND e.i = m.i)")
+    return f"""WITH v AS ({_vectors_sql(256)}), p AS (SELECT r, k, v[4 * k + 1:4 * k + 4] AS x FROM v, range(16) AS t(k)),
+    f AS (SELECT r, row_number() OVER (ORDER BY vec_id, v) - 1 AS i FROM v QUALIFY i < 64), b0 AS (SELECT p.k, f.i, p.x FROM f JOIN p USING (r)), {', '.join(steps)},
+    c AS (SELECT r, string_agg(printf('%02x', i), '' ORDER BY k) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r),
+    h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY k, i)) AS codebooks_sha256 FROM b{rounds})
+    SELECT v.vec_id, c.code, c.error, sum(c.error) OVER (PARTITION BY v.label)::BIGINT AS label_error, h.codebooks_sha256 FROM v JOIN c USING (r), h"""
+
+
+def _mean(total: str) -> str:
+    """floor(sum / count) of integers; ``//`` rounds towards zero."""
+    return f"CAST((sum({total}) - (((sum({total}) % count(*)) + count(*)) % count(*))) // count(*) AS BIGINT)"
+
+
+def centroid_clusters_sql(rounds: int = 3) -> str:
+    steps, apart = [], _APART.format("v.v", "e.x")
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS (SELECT r, arg_min(i, d * 16 + i) AS i, min(d) AS d FROM (SELECT v.r, e.i, {apart} AS d FROM v, b{n} AS e) GROUP BY r)")
+        if n < rounds:
+            each = f"SELECT a{n}.i, g.c, {_mean('v.v[g.c]')} AS m FROM a{n} JOIN v USING (r), range(1, 65) AS g(c) GROUP BY a{n}.i, g.c"
+            steps.append(f"b{n + 1} AS (SELECT e.i, coalesce(m.x, e.x) AS x FROM b{n} AS e LEFT JOIN (SELECT i, list(m ORDER BY c) AS x FROM ({each}) GROUP BY i) AS m ON e.i = m.i)")
+    return f"""WITH v AS ({_vectors_sql(64)}), b0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS i, v AS x FROM v QUALIFY i < 16), {', '.join(steps)}
+    SELECT v.vec_id, a.i::INT AS cluster, a.d AS distance, sum(a.d) OVER (PARTITION BY a.i)::BIGINT AS cluster_inertia, sum(a.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(e.x, ',')) AS centroid_sha256
+    FROM v JOIN a{rounds} AS a USING (r) JOIN b{rounds} AS e ON a.i = e.i"""
+
+
+ORACLE: dict[str, str] = {"op4_stratified_shards": stratified_shards_sql(), "op2_secret_scan": secret_scan_sql(), "secret_ledger_versions": ledger_versions_sql(), "op12_vector_codes": vector_codes_sql(), "op13_centroid_clusters": centroid_clusters_sql()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, katz, language, media, near_dup, packing, piece_model, quality, secrets, shards, suffixes
+from . import centroids, chat, codes, katz, language, media, near_dup, packing, piece_model, quality, secrets, shards, suffixes
 from .common import shared_path, table
 from .oracle import ORACLE  # noqa: F401
 
@@ -93,6 +93,17 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, at = centroids.clusters(table(spark, sf_dir, "embeddings"))
+    digest = F.array(*[F.lit(d) for d in centroids.digests(at)]).cast("array<string>")[F.col("cluster")]
+    return found.withColumn("centroid_sha256", digest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz_backoff": op1_katz_backoff,
     "op2_secret_scan": op2_secret_scan,
@@ -105,5 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_piece_model": op10_piece_model,
     "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_centroid_clusters": op13_centroid_clusters,
     "secret_ledger_versions": secret_ledger_versions,
 }
