@@ -4,19 +4,20 @@ A byte goes if some string of ``length`` bytes that covers it also starts in a r
 text stands for its suffix, cut off at ``length`` bytes, and what is needed of each suffix is whether a row with a smaller
 id has it too.
 
-1. Texts are read once into blocks of about BLOCK bytes, a table bucketed by block; blocks never move.
+1. Texts are read once into compressed blocks of about BLOCK bytes, a table bucketed by block; blocks never move.
 2. Which suffixes can repeat at all? The strings of ``length`` bytes that share their least hashed 24-byte gram (leftmost at
    ties) follow one another; they make one *stretch*, about one for every fourteen bytes. Equal strings have equal grams at
    equal places, so a string can only be in two rows if its gram is. Blocks send fingerprints of their grams, hash buckets
    answer with one bit for each: held by more than one row, or not. False alarms cost work, not results.
-3. A stretch goes into the sort as one suffix, since who has all of it can lose all of it. Where a gram has several
-   stretches (at the ends of shared passages), their parts may still repeat, so each string of a stretch goes in too, but
-   only from the rows of the least id that has this stretch: all others lose the whole of it anyway. Where a gram has one
-   stretch only, its strings are in the same rows as the stretch. A second exchange, of grams with a 64-bit hash of their
-   stretches and the least id of each, tells which.
+3. A stretch that several rows have goes into the sort as one suffix, since who has all of it can lose all of it. Where a
+   gram has several stretches (at the ends of shared passages), their parts may still repeat, so the strings of a stretch
+   go in too, but only from the rows of the least id that has this stretch: all others lose the whole of it anyway. Where a
+   gram has one stretch only, its strings are in the same rows as the stretch. A second exchange, of grams with a 64-bit
+   hash of their stretches and the least id of each, tells which; a third one, of fingerprints of those strings, leaves out
+   what is in one row only.
 4. Each block sorts what is left into runs of at most RUN suffixes, each once with the least id of its rows. A run is cut at
-   splitters, taken from regular samples of the candidates of all blocks, and its parts travel front-coded: the length of
-   the prefix shared with the suffix before, then only the rest.
+   splitters, which come from regular samples of the candidates of all blocks, and its parts travel front-coded: the length
+   of the prefix shared with the suffix before, then only the rest.
 5. A range merges its runs by loser trees that keep, at every node, the length of the prefix shared with the last winner:
    where two lengths differ, their order is known without a look at the texts; where they agree, comparing begins behind
    them. A range is cut into sub-ranges of about SUBRANGE suffixes whose trees run side by side in numpy. A winner that
@@ -54,11 +55,11 @@ from .words import as_bytes, distinct, mix, slices
 
 LENGTH = 50
 GRAM = 24
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: Bytes of text whose grams are hashed at once.
 SLICE = 1 << 17
 #: Suffixes of a run.
-RUN = 1 << 19
+RUN = 1 << 18
 #: Grams that a bucket answers for, and suffixes that a range merges, on average.
 BUCKET, RANGE = 1 << 21, 1 << 19
 #: Suffixes of a sub-range, and most runs that a tree merges.
@@ -189,6 +190,16 @@ def hash_words(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def string_hashes(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each string of ``length`` bytes, by overlapping words."""
+    eight = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
+    out = np.zeros(len(starts), np.uint64)
+    for at in [*range(0, length - 8, 8), length - 8]:
+        out = (out ^ eight[starts + at]) * _TURN
+        out ^= out >> np.uint64(29)
+    return mix(out)
+
+
 def front_code(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
     """(bytes shared with the suffix before, sizes, the other bytes in a row) of sorted suffixes; the other bytes begin with
     the first word of eight that is not wholly shared."""
@@ -331,25 +342,43 @@ class Text:
         self.length, self.bits, self.number = length, np.uint64(64 - bits), row["block"]
         self.ids = np.array([0 if x is None else x for x in row["ids"]], np.int64)
         self.has_id = np.array([x is not None for x in row["ids"]], bool)
-        self.sizes, self.text = np.array(row["sizes"], np.int64), row["text"]
+        self.sizes = np.array(row["sizes"], np.int64)
+        self.text = zstandard.decompress(row["text"]) if row["text"] else b""
         self.answers = answers
-        self.all = stretches(self.text, self.sizes, self.has_id, length)
 
-    def _answered(self, stage: int, run: int = 0) -> np.ndarray:
+    def stretches(self) -> Stretches:
+        return stretches(self.text, self.sizes, self.has_id, self.length)
+
+    def _answered(self, stage: int, run: int = 0, column: str = "bits") -> np.ndarray:
         mine = sorted((x for x in self.answers if x["stage"] == stage and x["run"] == run), key=lambda x: x["bucket"])
-        return np.concatenate([np.empty(0, bool), *(np.unpackbits(expand(x["bits"], "u1"), count=x["n"]).astype(bool) for x in mine)])
+        return np.concatenate([np.empty(0, bool), *(np.unpackbits(expand(x[column], "u1"), count=x["n"]).astype(bool) for x in mine)])
 
-    def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct fingerprints of grams, and whether two rows of this block have one."""
-        keys = self.all.key >> self.bits
+    def _held(self, hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct fingerprints, and whether two rows of this block have one."""
+        keys = hashes >> self.bits
         order = np.argsort(keys)
-        ids = self.ids[self.all.row[order]]
+        ids = self.ids[row[order]]
         begin = _edges(keys[order])
         return keys[order][begin], np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin) if len(begin) else np.empty(0, bool)
 
+    def ask_grams(self) -> tuple[np.ndarray, np.ndarray]:
+        found = self.stretches()
+        return self._held(found.key, found.row)
+
     def candidates(self) -> Stretches:
-        _, place, _ = distinct(self.all.key >> self.bits)
-        return self.all.subset(self._answered(1)[place])
+        """The stretches whose gram is in two rows: found, or as kept from an earlier reading."""
+        kept = [x for x in self.answers if x["stage"] == 0]
+        if kept:
+            row, key, first, more = (expand(kept[0][c], kind) for c, kind in (("row", "i4"), ("key", "u8"), ("first", "i8"), ("more", "u1")))
+            first = np.cumsum(first)
+            return Stretches(np.frombuffer(self.text + bytes(8 * words_of(self.length) + GRAM), np.uint8), self.length, row.astype(np.int64), key, first, first + more)
+        found = self.stretches()
+        _, place, _ = distinct(found.key >> self.bits)
+        return found.subset(self._answered(1)[place])
+
+    def kept_candidates(self, found: Stretches) -> dict:
+        columns = {"row": found.row.astype(np.int32), "key": found.key, "first": np.diff(found.first, prepend=0), "more": (found.last - found.first).astype(np.uint8)}
+        return {"stage": 0, "block": self.number, "run": 0, "bucket": 0, "n": len(found.key)} | {c: squeeze(x) for c, x in columns.items()}
 
     def forms(self, found: Stretches) -> Forms:
         form = np.concatenate([np.empty(0, np.uint64), *(hash_words(read_words(found.text, found.first[a:b], found.sizes[a:b], words_of(self.length))) for a, b in _steps(len(found.key), RUN))])
@@ -359,18 +388,30 @@ class Text:
         new[1:] = (key[1:] != key[:-1]) | (form[1:] != form[:-1])
         place = np.empty(len(key), np.int64)
         place[order] = np.cumsum(new) - 1
-        least = np.minimum.reduceat(ids[order], np.flatnonzero(new)) if len(key) else ids
-        return Forms(key[new], form[new], least, place, ids)
+        begin = np.flatnonzero(new)
+        least, most = (f.reduceat(ids[order], begin) if len(key) else ids for f in (np.minimum, np.maximum))
+        return Forms(key[new], form[new], least, least != most, place, ids)
 
-    def strings(self, found: Stretches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, start, size) of what is sorted: every stretch; and each string of those that may be the first of several."""
-        forms = self.forms(found)
+    def parts(self, found: Stretches, forms: Forms) -> tuple[np.ndarray, np.ndarray]:
+        """(row, start) of the strings of stretches that may be the first of several."""
         alone = found.subset(self._answered(2)[forms.place] & (forms.ids == forms.least[forms.place]))
         count = alone.last - alone.first + 1
         of = np.repeat(np.arange(len(count)), count)
-        nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        return alone.row[of], alone.first[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+
+    def ask_parts(self, found: Stretches) -> tuple[np.ndarray, np.ndarray]:
+        row, start = self.parts(found, self.forms(found))
+        return self._held(string_hashes(found.text, start, self.length), row)
+
+    def strings(self, found: Stretches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, start, size) of what is sorted: stretches and single strings that two rows have."""
+        forms = self.forms(found)
+        whole = found.subset(self._answered(2, column="own")[forms.place])
+        row, start = self.parts(found, forms)
+        _, place, _ = distinct(string_hashes(found.text, start, self.length) >> self.bits)
+        some = self._answered(3)[place]
         join = lambda a, b: np.concatenate([a, b])
-        return join(found.row, alone.row[of]), join(found.first, alone.first[of] + nth), join(found.sizes, np.full(len(of), self.length))
+        return join(whole.row, row[some]), join(whole.first, start[some]), join(whole.sizes, np.full(int(some.sum()), self.length))
 
     def runs(self) -> Iterator[Run]:
         found = self.candidates()
@@ -384,44 +425,43 @@ class Text:
             ids = self.ids[row[a:b][order]]
             place = np.empty(len(order), np.int64)
             place[order] = np.cumsum(new) - 1
-            yield Run(number, words[new], np.minimum.reduceat(ids, np.flatnonzero(new)), place, self.ids[row[a:b]], start[a:b], size[a:b])
+            yield Run(number, words[new], np.minimum.reduceat(ids, np.flatnonzero(new)), place, row[a:b], self.ids[row[a:b]], start[a:b], size[a:b])
 
-    def kept(self) -> tuple[list[np.ndarray], list[bytes]]:
+    def left(self) -> tuple[list[np.ndarray], list[bytes]]:
         """Of each text: the spans that go, as one (start, end) after the other, and the bytes that stay."""
-        total = len(self.text)
-        edge = np.zeros(total + 1, np.int32)
+        starts, stops, rows = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for run in self.runs():
-            gone = self._answered(3, run.number)[run.place] | (run.id > run.least[run.place])
-            edge += np.bincount(run.start[gone], minlength=total + 1).astype(np.int32)
-            edge -= np.bincount(run.start[gone] + run.size[gone], minlength=total + 1).astype(np.int32)
-        gone = np.cumsum(edge[:-1]) > 0
+            gone = self._answered(4, run.number)[run.place] | (run.id > run.least[run.place])
+            starts.append(run.start[gone])
+            stops.append(run.start[gone] + run.size[gone])
+            rows.append(run.row[gone])
+        starts, stops, rows = (np.concatenate(x) for x in (starts, stops, rows))
+        order = np.argsort(starts)
+        starts, rows, reach = starts[order], rows[order], np.maximum.accumulate(stops[order])
+        new = np.ones(len(starts), bool)
+        new[1:] = (starts[1:] > reach[:-1]) | (rows[1:] != rows[:-1])
+        begin = np.flatnonzero(new)
+        spans = np.stack([starts[begin], reach[np.append(begin[1:], len(starts))[: len(begin)] - 1]], axis=1)
         ends = np.cumsum(self.sizes)
-        # A span also ends where its text does.
-        mark = np.zeros(total + 1, bool)
-        mark[1:-1] = gone[1:] != gone[:-1]
-        mark[[0, *ends.tolist()]] = True
-        cut = np.flatnonzero(mark)
-        inside = gone[cut[:-1]]
-        begins, stops = cut[:-1][inside], cut[1:][inside]
-        bounds = np.append(0, np.searchsorted(begins, ends))
-        left = np.frombuffer(self.text, np.uint8)[~gone].tobytes()
-        kept_before = np.append(0, np.cumsum(~gone))
-        spans, texts = [], []
+        bounds = np.searchsorted(rows[begin], np.arange(len(ends) + 1))
+        found, texts = [], []
         for i, (size, end) in enumerate(zip(self.sizes.tolist(), ends.tolist(), strict=True)):
-            a, b = bounds[i], bounds[i + 1]
-            spans.append(np.stack([begins[a:b], stops[a:b]], axis=1) - (end - size))
-            texts.append(left[kept_before[end - size] : kept_before[end]])
-        return spans, texts
+            own = spans[bounds[i] : bounds[i + 1]]
+            edges = [end - size, *own.ravel().tolist(), end]
+            texts.append(b"".join(self.text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+            found.append(own - (end - size))
+        return found, texts
 
 
 @dataclass
 class Forms:
-    """Distinct (gram, hash of stretch) of a block, ordered, with the least id of each; ``place`` and ``ids`` are those of
-    each stretch."""
+    """Distinct (gram, hash of stretch) of a block, ordered, with the least id of each and whether two ids have it;
+    ``place`` and ``ids`` are those of each stretch."""
 
     key: np.ndarray
     form: np.ndarray
     least: np.ndarray
+    twice: np.ndarray
     place: np.ndarray
     ids: np.ndarray
 
@@ -432,6 +472,7 @@ class Run:
     words: np.ndarray  # sorted, distinct
     least: np.ndarray  # least id of each
     place: np.ndarray  # of each occurrence among them
+    row: np.ndarray
     id: np.ndarray
     start: np.ndarray
     size: np.ndarray
@@ -450,7 +491,9 @@ def _steps(n: int, step: int) -> list[tuple[int, int]]:
 
 BLOCKS = "block long, ids array<long>, sizes array<long>, text binary, n_bytes long"
 ASKED = "kind string, stage int, block long, run int, bucket long, n int, keys binary, more binary, rest binary, least binary"
-ANSWERED = "block long, stage int, run int, bucket long, n int, bits binary"
+ANSWERED = "block long, stage int, run int, bucket long, n int, bits binary, own binary, row binary, key binary, first binary, more binary"
+#: Questions, and what a block keeps for itself.
+_WITH_BOTH = ", ".join([ASKED, *(x for x in ANSWERED.split(", ") if x not in ASKED.split(", "))])
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
 
 
@@ -486,18 +529,19 @@ def into_blocks(docs: DataFrame, id_col: str, text_col: str, block: int) -> Data
 
     def row(number: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
         whole = b"".join(texts)
-        return _batch(BLOCKS, [{"block": number, "ids": ids, "sizes": list(map(len, texts)), "text": whole, "n_bytes": len(whole)}])
+        return _batch(BLOCKS, [{"block": number, "ids": ids, "sizes": list(map(len, texts)), "text": zstandard.compress(whole, 1), "n_bytes": len(whole)}])
 
     return slim.mapInArrow(run, BLOCKS)
 
 
 def answer(asked: pa.Table) -> pa.Table:
-    """Stage 1: is a fingerprint held by two rows? Stage 2: has a gram several stretches, and is no id with this one smaller?
-    One bit for each key."""
+    """Stages 1 and 3: is a fingerprint held by two rows? Stage 2: has a gram several stretches, and is no id with this one
+    smaller; and have two rows this one (``own``)? One bit for each key."""
     rows = asked.sort_by("block").to_pylist()
     keys = [np.cumsum(expand(x["keys"], "u8"), dtype=np.uint64) for x in rows]
     flat = np.concatenate(keys)
-    if rows[0]["stage"] == 1:
+    own = None
+    if rows[0]["stage"] != 2:
         known, place, _ = distinct(flat)
         twice = np.concatenate([np.unpackbits(expand(x["more"], "u1"), count=len(k)).astype(bool) for x, k in zip(rows, keys, strict=True)])
         yes = np.bincount(place, minlength=len(known)) > 1
@@ -510,11 +554,18 @@ def answer(asked: pa.Table) -> pa.Table:
         several = np.minimum.reduceat(form[order], begin) != np.maximum.reduceat(form[order], begin)
         new = np.ones(len(order), bool)
         new[1:] = (flat[order][1:] != flat[order][:-1]) | (form[order][1:] != form[order][:-1])
-        lowest = least[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        begin_form = np.flatnonzero(new)
+        lowest = least[order][begin_form][np.cumsum(new) - 1]
+        twice = np.concatenate([np.unpackbits(expand(x["rest"], "u1"), count=len(k)).astype(bool) for x, k in zip(rows, keys, strict=True)])
+        count = np.diff(np.append(begin_form, len(order)))
+        own = np.empty(len(order), bool)
+        own[order] = np.repeat((count > 1) | np.logical_or.reduceat(twice[order], begin_form), count)
         yes = np.empty(len(order), bool)
         yes[order] = np.repeat(several, np.diff(np.append(begin, len(order)))) & (least[order] == lowest)
     each = np.split(yes, np.cumsum([len(k) for k in keys])[:-1])
-    out = [{"block": x["block"], "stage": x["stage"], "run": 0, "bucket": x["bucket"], "n": len(bits), "bits": squeeze(np.packbits(bits))} for x, bits in zip(rows, each, strict=True)]
+    owned = np.split(own, np.cumsum([len(k) for k in keys])[:-1]) if own is not None else [None] * len(rows)
+    packed = lambda x: None if x is None else squeeze(np.packbits(x))
+    out = [{"block": x["block"], "stage": x["stage"], "run": 0, "bucket": x["bucket"], "n": len(bits), "bits": packed(bits), "own": packed(mine)} for x, bits, mine in zip(rows, each, owned, strict=True)]
     return pa.Table.from_batches([_batch(ANSWERED, out)])
 
 
@@ -530,7 +581,7 @@ def merge_range(asked: pa.Table, wide: int) -> pa.Table:
     lowest = np.minimum.reduceat(least[order], begin)
     smaller = np.empty(len(order), bool)
     smaller[order] = lowest[np.cumsum(met < 8 * wide) - 1] < least[order]
-    out = [{"block": x["block"], "stage": 3, "run": x["run"], "bucket": x["bucket"], "n": x["n"], "bits": squeeze(np.packbits(smaller[a:b]))} for x, a, b in zip(rows, starts[:-1], starts[1:], strict=True)]
+    out = [{"block": x["block"], "stage": 4, "run": x["run"], "bucket": x["bucket"], "n": x["n"], "bits": squeeze(np.packbits(smaller[a:b]))} for x, a, b in zip(rows, starts[:-1], starts[1:], strict=True)]
     return pa.Table.from_batches([_batch(ANSWERED, out)])
 
 
@@ -543,7 +594,7 @@ def send_runs(text: Text, splitters: np.ndarray) -> list[dict]:
         begin = _edges(bucket)
         for a, b in zip(begin.tolist(), np.append(begin[1:], len(bucket)).tolist(), strict=True):
             common, sizes, rest = front_code(run.words[a:b])
-            rows.append({"kind": "run", "stage": 3, "block": text.number, "run": run.number, "bucket": int(bucket[a]), "n": b - a, "keys": squeeze(common), "more": squeeze(sizes), "rest": zstandard.compress(rest, 1), "least": squeeze(run.least[a:b])})
+            rows.append({"kind": "run", "stage": 4, "block": text.number, "run": run.number, "bucket": int(bucket[a]), "n": b - a, "keys": squeeze(common), "more": squeeze(sizes), "rest": zstandard.compress(rest, 1), "least": squeeze(run.least[a:b])})
     return rows
 
 
@@ -558,7 +609,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
     parts, wide = parallelism(spark), words_of(length)
     name = f"sitelode_texts_{uuid.uuid4().hex}"
     path = shared_path(spark, "texts")
-    into_blocks(docs, id_col, text_col, block).write.bucketBy(parts, "block").option("path", path).option("compression", "zstd").saveAsTable(name)
+    into_blocks(docs, id_col, text_col, block).write.bucketBy(parts, "block").option("path", path).option("compression", "none").saveAsTable(name)
     try:
         return _removed(spark.table(name), length, wide, parts, bucket, per_range).withColumnRenamed("_id", id_col)
     finally:
@@ -572,11 +623,15 @@ def _removed(blocks: DataFrame, length: int, wide: int, parts: int, bucket: int,
     bits = min(64, grams.bit_length() + 12)  # one false alarm in 4,096 grams
     buckets = max(parts, math.ceil(grams / bucket))
 
+    def message(stage: int, number: int, i: int, keys: np.ndarray, twice: np.ndarray) -> dict:
+        return {"kind": "ask", "stage": stage, "block": number, "run": 0, "bucket": i, "keys": squeeze(np.diff(keys, prepend=np.uint64(0))), "more": squeeze(np.packbits(twice))}
+
     def ask_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                keys, twice = Text(row, [], length, bits).fingerprints()
-                yield _batch(ASKED, [{"stage": 1, "block": row["block"], "run": 0, "bucket": i, "keys": squeeze(np.diff(keys[a:b], prepend=np.uint64(0))), "more": squeeze(np.packbits(twice[a:b]))} for i, a, b in _dealt(keys, bits, buckets)])
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                keys, twice = Text(row, [], length, bits).ask_grams()
+                yield _batch(ASKED, [message(1, row["block"], i, keys[a:b], twice[a:b]) for i, a, b in _dealt(keys, bits, buckets)])
 
     def with_answers(work, shape: str):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -587,6 +642,7 @@ def _removed(blocks: DataFrame, length: int, wide: int, parts: int, bucket: int,
 
     columns = ["block", "ids", "sizes", "text"]
     by_block = lambda answers: blocks.select(*columns).groupBy("block").cogroup(answers.groupBy("block"))
+    asked_names, answered_names = ([x.split()[0] for x in shape.split(", ")] for shape in (ASKED, ANSWERED))
 
     def stored(df: DataFrame, what: str, shape: str) -> DataFrame:
         path = shared_path(spark, what)
@@ -599,26 +655,37 @@ def _removed(blocks: DataFrame, length: int, wide: int, parts: int, bucket: int,
     def ask_forms(text: Text) -> list[dict]:
         found = text.candidates()
         forms = text.forms(found)
-        rows = [{"kind": "ask", "stage": 2, "block": text.number, "run": 0, "bucket": i, "keys": squeeze(np.diff(forms.key[a:b], prepend=np.uint64(0))), "more": squeeze(forms.form[a:b]), "least": squeeze(forms.least[a:b])} for i, a, b in _dealt(forms.key, 64, buckets)]
+        rows = [{"kind": "ask", "stage": 2, "block": text.number, "run": 0, "bucket": i, "keys": squeeze(np.diff(forms.key[a:b], prepend=np.uint64(0))), "more": squeeze(forms.form[a:b]), "least": squeeze(forms.least[a:b]), "rest": squeeze(np.packbits(forms.twice[a:b]))} for i, a, b in _dealt(forms.key, 64, buckets)]
+        return [*rows, {"kind": "kept"} | text.kept_candidates(found)]
+
+    second = stored(by_block(held).applyInArrow(with_answers(ask_forms, _WITH_BOTH), _WITH_BOTH), "forms", _WITH_BOTH)
+    known = second.filter("kind = 'kept'").select(*answered_names)
+    ask = lambda d: d.filter("kind = 'ask'").select(*asked_names).groupBy("bucket").applyInArrow(answer, ANSWERED)
+    known = known.unionByName(stored(ask(second), "several", ANSWERED))
+
+    def ask_parts(text: Text) -> list[dict]:
+        found = text.candidates()
+        keys, twice = text.ask_parts(found)
+        rows = [message(3, text.number, i, keys[a:b], twice[a:b]) for i, a, b in _dealt(keys, bits, buckets)]
         # Regular samples of what will be sorted; ``n`` has the most that it can be.
         first = found.first[::EVERY]
         if len(first):
             sample = read_words(found.text, first, np.full(len(first), length), wide)
-            rows.append({"kind": "sample", "stage": 2, "block": text.number, "run": 0, "bucket": 0, "n": int((found.last - found.first + 1).sum()), "rest": sample.astype(">u8").tobytes()})
+            rows.append({"kind": "sample", "stage": 3, "block": text.number, "run": 0, "bucket": 0, "n": len(found.first) + len(keys), "rest": sample.astype(">u8").tobytes()})
         return rows
 
-    second = stored(by_block(held).applyInArrow(with_answers(ask_forms, ASKED), ASKED), "forms", ASKED)
-    forms = stored(second.filter("kind = 'ask'").groupBy("bucket").applyInArrow(answer, ANSWERED), "several", ANSWERED)
-    splitters = _splitters(second.filter("kind = 'sample'"), wide, parts, per_range)
+    third = stored(by_block(known).applyInArrow(with_answers(ask_parts, ASKED), ASKED), "parts", ASKED)
+    known = known.unionByName(stored(ask(third), "repeated", ANSWERED))
+    splitters = _splitters(third.filter("kind = 'sample'"), wide, parts, per_range)
 
-    runs = by_block(held.unionByName(forms)).applyInArrow(with_answers(lambda text: send_runs(text, splitters), ASKED), ASKED)
+    runs = by_block(known).applyInArrow(with_answers(lambda text: send_runs(text, splitters), ASKED), ASKED)
     merged = stored(runs.groupBy("bucket").applyInArrow(lambda t: merge_range(t, wide), ANSWERED), "merged", ANSWERED)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, n_bytes, spans, kept = [], [], [], []
         for row in left.to_pylist():
             text = Text(row, right.to_pylist(), length, bits)
-            some, rest = text.kept()
+            some, rest = text.left()
             ids += row["ids"]
             n_bytes += row["sizes"]
             spans += some
@@ -629,7 +696,7 @@ def _removed(blocks: DataFrame, length: int, wide: int, parts: int, bucket: int,
         listed = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], fields=list(span)))
         return pa.table([pa.array(ids, pa.int64()), pa.array(n_bytes, pa.int64()), listed, pa.array(kept, pa.binary())], names=["_id", "n_bytes", "spans", "kept"])
 
-    return by_block(held.unionByName(forms).unionByName(merged)).applyInArrow(finish, "_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return by_block(known.unionByName(merged)).applyInArrow(finish, "_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def _splitters(samples: DataFrame, wide: int, parts: int, per_range: int) -> np.ndarray:
