@@ -5,7 +5,7 @@ so that every text is read whole whatever its length. Logistic regression is fit
 them calibrates the margin (Platt scaling), and whole batches are scored against a fixed threshold. The weight table has
 a fixed size (2**BITS floats), so sending it to every task is bounded.
 
-SAMPLE bounds the labelled rows that are fitted: those with the smallest hash of their id. Without labels of both kinds
+SAMPLE and SAMPLE_BYTES bound the labelled rows that are fitted, one for each id: those with the smallest hash of their id. Without labels of both kinds
 there is no classifier, and the counts alone decide. Null texts count as empty (no words: failed). Repeated label rows of
 a document vote; null labels are ignored. Equal texts get equal results; other columns are not read.
 """
@@ -17,13 +17,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
 from .words import Words, as_bytes, mix, slices
 
 BITS = 17
 SAMPLE = 4096
+#: Text of the labelled rows that are fitted, in bytes.
+SAMPLE_BYTES = 32 << 20
 GRAMS = (2, 3, 4)
 ROUNDS = 20
 RIDGE = 1e-5
@@ -187,11 +190,18 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Sparse features of at most ``sample`` labelled documents."""
+def labelled_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """Sparse features of at most ``sample`` labelled documents of ``most_bytes`` of text together: one row for each id
+    (of repeated ones, that whose text has the least hash), in the order of a hash of the id, up to the first that would
+    go over."""
     votes = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("_label"))
     chosen = votes.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_label", "_text")
+    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    one = written(known.groupBy("_id", "_label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text")), "labelled")
+    size = F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long")
+    upto = F.sum("_size").over(Window.orderBy(F.xxhash64("_id"), "_id"))  # at most ``sample`` rows, without their texts
+    fits = one.select("_id", size.alias("_size")).withColumn("_upto", upto).filter(F.col("_upto") <= most_bytes)
+    rows = one.join(F.broadcast(fits.select("_id")), "_id").select("_id", "_label", "_text")
     kind = rows.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

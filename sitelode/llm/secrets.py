@@ -10,6 +10,9 @@ lengths of the parts go on, one row for each, and a running sum over a text's pa
 proportion to the matches. Offsets count code points, ends are exclusive. The sentinels cannot occur in the text, because
 a translation of equal length removes them first; no rule can match the character put in their place.
 
+Every rule is linear in the text, but for the 512 characters of a web token's header that may be read from several
+beginnings, and none has a repeated group, so a text of any length and content is scanned in bounded stack.
+
 A null text counts as empty; a text without findings has an empty ``spans`` and the digest of no spans. Repeated rows and
 equal texts get the same findings; an empty table gives no rows and adds nothing to the ledger. Only the id and text
 columns are read, so other columns may have any names; ``redact`` keeps all columns, whatever their names.
@@ -48,11 +51,13 @@ BASE = (
 )
 EXTRA = (
     Rule("bearer", r"(?:ghp|gho|ghs|glpat|sk|xoxb|xoxp)[_-][A-Za-z0-9_-]+", 0, 24, "(?:ghp|gho|ghs|glpat|sk|xoxb|xoxp)[_-][A-Za-z0-9_-]{10}"),
-    Rule("webtoken", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 24, "eyJ[A-Za-z0-9_-]"),
-    Rule("pem", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", 0, 1, "-----BEGIN "),
+    # A header of up to 512 characters, so that a long run without a dot is not read again from every beginning.
+    Rule("webtoken", r"eyJ[A-Za-z0-9_-]{1,512}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 24, "eyJ[A-Za-z0-9_-]"),
+    # No repeated group: the JVM matches those by recursion.
+    Rule("pem", r"-----BEGIN [A-Z0-9 ]{0,64}?PRIVATE KEY-----", 0, 1, "-----BEGIN "),
 )
 RULES = BASE + EXTRA
-RULE_VERSION = "1"
+RULE_VERSION = "2"
 PARTS = "array<struct<rank:int,place:int,size:int,match:int,measured:int>>"
 SPAN = "struct<kind:string,start:int,end:int,rank:int>"
 LEDGER = f"blob string, rule_version string, findings array<{SPAN}>"
