@@ -61,7 +61,7 @@ SLICE = 1 << 17
 #: Suffixes of a run.
 RUN = 1 << 18
 #: Grams that a bucket answers for, and suffixes that a range merges, on average.
-BUCKET, RANGE = 1 << 21, 1 << 19
+BUCKET, RANGE = 1 << 19, 1 << 18
 #: Suffixes of a sub-range, and most runs that a tree merges.
 SUBRANGE, TREE = 48, 64
 #: Strings that the driver draws for each range, and stretches of a block that one sample stands for.
