@@ -12,6 +12,7 @@ from .functions import classify, dates, keys, measures, text
 from .operators import blend, compare, coverage, graph, insights, jobs, links, markup, merge, profiles, scopes, topics
 from .plans.search_report import GRAINS, Filter, SearchReport, monthly_summary
 from .sources import access_log, providers
+from .sources.page_store import PageStore
 from .standins import fact, oracle_with, table
 from .shared import stored
 from .streaming import events as event_stream
@@ -158,9 +159,7 @@ def _key_sql(column: str) -> str:
     return f"(CASE WHEN {path} = '/' THEN '/' ELSE regexp_replace({path}, '/$', '') END)"
 
 
-_BLEND = (
-    oracle_with("page_query_daily", "traffic_page_daily", "crawl_pages", "crawl_links")
-    + f""", s AS (SELECT page_key, CAST(SUM(clicks) AS BIGINT) clicks, CAST(SUM(impressions) AS BIGINT) impressions, SUM(position * impressions) / SUM(impressions) AS position, COUNT(DISTINCT query) query_count FROM page_query_daily WHERE page_key <> '' GROUP BY 1),
+_JUDGED = f""", s AS (SELECT page_key, CAST(SUM(clicks) AS BIGINT) clicks, CAST(SUM(impressions) AS BIGINT) impressions, SUM(position * impressions) / SUM(impressions) AS position, COUNT(DISTINCT query) query_count FROM page_query_daily WHERE page_key <> '' GROUP BY 1),
     t AS (SELECT page_key, CAST(SUM(sessions) AS BIGINT) sessions, CAST(SUM(page_views) AS BIGINT) page_views, SUM(bounce_rate * sessions) / SUM(sessions) AS bounce_rate FROM traffic_page_daily WHERE page_key <> '' GROUP BY 1),
     k AS (SELECT *, {_key_sql('url')} AS raw_key, CASE WHEN canonical_url LIKE 'https://site.example/%' THEN {_key_sql('canonical_url')} ELSE {_key_sql('url')} END AS resolved_key FROM crawl_pages),
     i AS (SELECT to_key, COUNT(*) inbound FROM crawl_links WHERE from_key <> to_key GROUP BY 1),
@@ -181,35 +180,57 @@ _BLEND = (
       WHEN has_search AND NOT has_traffic THEN 'Check analytics match' WHEN (has_traffic OR has_crawl) AND NOT has_search THEN 'Review search coverage' ELSE 'No priority issue' END insight FROM b),
     v AS (SELECT *, CASE WHEN insight IN ('Find in crawl', 'Fix crawl error', 'Resolve canonical mismatch') THEN CASE WHEN demand THEN 'high' ELSE 'medium' END WHEN insight = 'Resolve noindex conflict' THEN CASE WHEN impressions >= 100 OR clicks > 0 THEN 'high' ELSE 'medium' END
       WHEN insight IN ('Fix page metadata', 'Improve CTR', 'Add internal links', 'Improve engagement') THEN 'medium' WHEN insight = 'No priority issue' THEN 'none' ELSE 'low' END severity FROM r) """
-)
+_BLEND = oracle_with("page_query_daily", "traffic_page_daily", "crawl_pages", "crawl_links") + _JUDGED
+
+
+CRAWLED = date(2024, 1, 15)
+ALL_DAYS = date(1990, 1, 1), date(2049, 12, 31)
+_STORES: dict[tuple[str, str, str], PageStore] = {}
+
+
+def page_store(spark: SparkSession, sf: str, name: str, fill: Callable[[PageStore], PageStore]) -> PageStore:
+    """A store that is written once for an application."""
+    at = (spark.sparkContext.applicationId, sf, name)
+    if at not in _STORES:
+        _STORES[at] = fill(PageStore(spark, STORE_BUCKETS))
+    return _STORES[at]
+
+
+#: The stand-ins are small and have eighty months of several sites, each with a file for each bucket.
+STORE_BUCKETS = 2
+
+
+def stored_pages(spark: SparkSession, sf: str) -> PageStore:
+    """The stand-in facts of one site."""
+    rows = lambda name: fact(spark, sf, name)
+    fill = lambda store: store.add_search(rows("page_query_daily"), SITE).add_traffic(rows("traffic_page_daily"), SITE).add_crawl(rows("crawl_pages"), graph.inbound(rows("crawl_links")), SITE, CRAWLED, SITE)
+    return page_store(spark, sf, "pages", fill)
 
 
-def _blended(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    traffic = blend.traffic_pages(fact(spark, sf, "traffic_page_daily"))
-    crawl = blend.crawl_evidence(fact(spark, sf, "crawl_pages"), traffic, graph.inbound(fact(spark, sf, "crawl_links")), SITE)
-    return blend.search_pages(fact(spark, sf, "page_query_daily")), traffic, crawl
+def blended(spark: SparkSession, sf: str) -> DataFrame:
+    return blend.judged(stored_pages(spark, sf).sides(SITE, *ALL_DAYS, CRAWLED))
 
 
 @query("r11_blend", _BLEND + "SELECT page_key, has_search, has_traffic, has_crawl, clicks, impressions, round(position, 6) AS position, query_count, sessions, page_views, round(bounce_rate, 6) AS bounce_rate, canonical_variants, inbound, folder, crawl_issue, insight, severity FROM v")
 def r11_blend(spark: SparkSession, sf: str) -> DataFrame:
-    rows = blend.blend(*_blended(spark, sf))
+    rows = blended(spark, sf)
     shown = rows.select("page_key", "has_search", "has_traffic", "has_crawl", "clicks", "impressions", "position", "query_count", "sessions", "page_views", "bounce_rate", "canonical_variants", "inbound", "folder", "crawl_issue", "insight", "severity")
     return rounded(shown, "position", "bounce_rate")
 
 
 @query("r11_totals", _BLEND + "SELECT COUNT(*) AS pages, CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions, CAST(SUM(sessions) AS BIGINT) AS sessions, round(CAST(SUM(clicks) AS DOUBLE) / SUM(impressions), 6) AS ctr, round(SUM(position * impressions) / SUM(impressions), 6) AS position, round(SUM(bounce_rate * sessions) / SUM(sessions), 6) AS bounce_rate, count_if(has_search)::BIGINT AS search_pages, count_if(has_traffic)::BIGINT AS traffic_pages, count_if(has_crawl)::BIGINT AS crawl_pages, count_if(crawl_issue)::BIGINT AS issue_pages FROM v")
 def r11_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(blend.blend_totals(blend.blend(*_blended(spark, sf))), "ctr", "position", "bounce_rate")
+    return rounded(blend.blend_totals(blended(spark, sf)), "ctr", "position", "bounce_rate")
 
 
 @query("r11_folders", _BLEND + "SELECT folder, COUNT(*) AS pages, CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(sessions) AS BIGINT) AS sessions FROM v GROUP BY 1 ORDER BY 3 DESC, 4 DESC, 1 LIMIT 6")
 def r11_folders(spark: SparkSession, sf: str) -> DataFrame:
-    return blend.top_folders(blend.blend(*_blended(spark, sf)))
+    return blend.top_folders(blended(spark, sf))
 
 
 @query("r11_opportunities", _BLEND + ", w AS (SELECT page_key, insight, severity, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END weight, impressions, sessions FROM v) SELECT page_key, insight, severity FROM w WHERE weight > 0 ORDER BY weight DESC, impressions DESC, sessions DESC, page_key LIMIT 4")
 def r11_opportunities(spark: SparkSession, sf: str) -> DataFrame:
-    return blend.top_opportunities(blend.blend(*_blended(spark, sf))).select("page_key", "insight", "severity")
+    return blend.top_opportunities(blended(spark, sf)).select("page_key", "insight", "severity")
 
 
 @query(
@@ -221,7 +242,7 @@ def r11_opportunities(spark: SparkSession, sf: str) -> DataFrame:
     SELECT page_key, has_search, has_traffic, has_crawl, clicks, impressions, sessions, coalesce(array_to_string(fl, ','), '') AS flags, CASE WHEN len(fl) = 0 THEN 'matched' ELSE 'flagged' END AS status, len(fl) * 1e9 + impressions * 100.0 + clicks * 10.0 + sessions AS score FROM g""",
 )
 def r12_reconciliation(spark: SparkSession, sf: str) -> DataFrame:
-    return blend.reconcile(*_blended(spark, sf))
+    return blend.reconciled(blended(spark, sf))
 
 
 # -- keys and text --------------------------------------------------------------------------------------------------------

@@ -44,7 +44,11 @@ def blend(search: DataFrame, traffic: DataFrame, crawl: DataFrame) -> DataFrame:
     a = search.withColumn("has_search", F.lit(True))
     b = traffic.withColumn("has_traffic", F.lit(True))
     c = crawl.withColumn("has_crawl", F.lit(True))
-    joined = a.join(b, "page_key", "full_outer").join(c, "page_key", "full_outer")
+    return judged(a.join(b, "page_key", "full_outer").join(c, "page_key", "full_outer"))
+
+
+def judged(joined: DataFrame) -> DataFrame:
+    """Pages with what each source has of them (null where it has nothing), with insight and issue flag."""
     joined = joined.fillna(False, ["has_search", "has_traffic", "has_crawl", "noindex"]).fillna(0, ["clicks", "impressions", "position", "query_count", "sessions", "page_views", "bounce_rate", "canonical_variants", "inbound"])
     none = lambda x: F.trim(F.coalesce(F.col(x), F.lit(""))) == ""
     rows = joined.withColumns(
@@ -87,7 +91,12 @@ FLAGS = ("missing_in_crawl", "missing_in_search", "missing_in_traffic", "crawl_e
 
 def reconcile(search: DataFrame, traffic: DataFrame, crawl: DataFrame, traffic_complete: bool = True) -> DataFrame:
     """Flags per page, and a score that puts flagged and wanted pages first. Missing traffic counts only when its coverage is complete."""
-    rows = flagged(blend(search, traffic, crawl), traffic_complete)
+    return reconciled(blend(search, traffic, crawl), traffic_complete)
+
+
+def reconciled(blended: DataFrame, traffic_complete: bool = True) -> DataFrame:
+    """``reconcile`` of blended rows."""
+    rows = flagged(blended, traffic_complete)
     n = F.size("flags")
     score = n * F.lit(1e9) + F.col("impressions") * 100.0 + F.col("clicks") * 10.0 + F.col("sessions")
     return rows.select("page_key", "has_search", "has_traffic", "has_crawl", "clicks", "impressions", "sessions", F.array_join("flags", ",").alias("flags"), F.when(n == 0, "matched").otherwise("flagged").alias("status"), score.alias("score"))

@@ -14,13 +14,13 @@ from ..functions.classify import confidence_label, opportunity_type
 from ..functions.keys import compared_url
 from ..functions.measures import clamp, half_up, unit
 from ..functions.text import STOP_WORDS, link_tokens
-from ..shared import stored
+from .choice import MOST_LINKS, choose  # noqa: F401
+from .words_met import word_candidates  # noqa: F401
 
 LEAST_SIMILARITY = 0.58
 LEAST_SCORE = 50
 #: Probability that hashed tables meet a pair at the least similarity, and the seed of their projections.
 LEAST_RECALL, SEED = 0.95, 1729
-PER_TARGET, PER_SOURCE, PER_ANCHOR = 5, 3, 2
 
 
 def nearest(targets: DataFrame, items: DataFrame, k: int, least: float = LEAST_SIMILARITY, dims: int = 64, planes: int = 0, recall: float = LEAST_RECALL) -> DataFrame:
@@ -107,28 +107,6 @@ def apart(pairs: DataFrame, pages: DataFrame) -> DataFrame:
     return both.filter(~F.coalesce(one, F.lit(False))).select(pairs.columns)
 
 
-def word_candidates(targets: DataFrame, sentences: DataFrame, existing: DataFrame, least: int = 2) -> DataFrame:
-    """(target_key, source_key, sentence_id, overlap): sentences that share ``least`` tokens or more with a target, on other
-    pages that do not link there yet.
-
-    Tokens are ordered by how many sentences have them. Two sets that share ``least`` tokens share one outside the last
-    ``least`` - 1 of each, so pairs meet only in the rarer tokens, the commonest never bring any together, and the overlap
-    is counted on the sets. No pair is lost."""
-    t = targets.select("target_key", F.array_distinct(link_tokens(F.col("text"))).alias("words"))
-    s = sentences.select("source_key", "sentence_id", F.array_distinct(link_tokens(F.col("sentence"))).alias("words"))
-    often = s.select(F.explode("words").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-
-    def rarer(rows: DataFrame, ids: list[str]) -> DataFrame:
-        each = rows.select(*ids, F.explode("words").alias("token")).join(often, "token")
-        place = F.row_number().over(Window.partitionBy(*ids).orderBy(F.desc("n"), F.desc("token")))
-        return each.withColumn("_rn", place).filter(F.col("_rn") >= least).select(*ids, "token")
-
-    pairs = rarer(t, ["target_key"]).join(rarer(s, ["source_key", "sentence_id"]), "token").filter("target_key <> source_key").select("target_key", "source_key", "sentence_id").distinct()
-    pairs = pairs.join(existing.select(F.col("from_key").alias("source_key"), F.col("to_key").alias("target_key")).distinct(), ["source_key", "target_key"], "left_anti")
-    both = pairs.join(t.withColumnRenamed("words", "_t"), "target_key").join(s.withColumnRenamed("words", "_s"), ["source_key", "sentence_id"])
-    return both.select("target_key", "source_key", "sentence_id", F.size(F.array_intersect("_t", "_s")).alias("overlap")).filter(F.col("overlap") >= least)
-
-
 def with_vectors(words: DataFrame, near: DataFrame, sentences: DataFrame, targets: DataFrame, existing: DataFrame) -> DataFrame:
     """``words`` with the similarity of ``near`` (target_key, source_key, similarity; 0 where it has none), and the pairs
     that only ``near`` has, with the first sentence of the source and the tokens that it shares with the target."""
@@ -239,32 +217,3 @@ def scored(candidates: DataFrame) -> DataFrame:
 def top_per_target(rows: DataFrame, k: int = 3) -> DataFrame:
     own = Window.partitionBy("site", "target_key").orderBy(F.desc("score"), "source_key", "anchor")
     return rows.withColumn("_rn", F.row_number().over(own)).filter(F.col("_rn") <= k).drop("_rn")
-
-
-#: What may be chosen from each group of candidates.
-CAPS = ((("source_key",), PER_SOURCE), (("target_key",), PER_TARGET), (("target_key", "_text"), PER_ANCHOR), (("source_key", "_text"), 1), (("source_key", "target_key"), 1))
-#: Links of a site, at most; the reports' default.
-MOST_LINKS = 500
-
-
-def choose(rows: DataFrame, most: int | None = MOST_LINKS) -> DataFrame:
-    """The greedy choice, which depends on its own earlier choices: by falling score, at most PER_SOURCE links from a
-    page, PER_TARGET to a page, PER_ANCHOR with one text to a page, one use of a text on a page, one link between two
-    pages; then the first ``most`` of each site (None: all).
-
-    In rounds, on Spark: a candidate that fits even if all before it in each of its groups are taken is taken, one of a
-    group that is full is dropped, and what is left goes to the next round. The first one left is always taken, and the
-    result is that of taking one at a time."""
-    order = [F.desc("score"), F.asc("target_key"), F.asc("source_key"), F.asc("_text"), F.asc("anchor"), F.asc("_id")]
-    now = stored(rows.withColumns({"_text": F.lower("anchor"), "_taken": F.lit(False), "_id": F.monotonically_increasing_id()}), "choice")
-    while not now.filter("not _taken").isEmpty():
-        fits, full = F.lit(True), F.lit(False)
-        for group, cap in CAPS:
-            own = Window.partitionBy("site", *group)
-            fits &= F.row_number().over(own.orderBy(F.desc("_taken"), *order)) <= cap
-            full |= F.count_if("_taken").over(own) >= cap
-        judged = now.withColumns({"_fits": fits, "_full": full})
-        now = stored(judged.filter("_taken or not _full").withColumn("_taken", F.col("_taken") | F.col("_fits")).drop("_fits", "_full"), "choice")
-    if most is not None:
-        now = now.withColumn("_rn", F.row_number().over(Window.partitionBy("site").orderBy(*order))).filter(F.col("_rn") <= most)
-    return now.select(rows.columns)

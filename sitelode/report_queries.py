@@ -7,11 +7,14 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog_queries import _BLEND, BOUNCE, CTR, DAYS, END, ORACLE, POSITION, QUERIES, SITE, START, SUMS, _blended, _key_sql, _log, query, rounded
+from .catalog_queries import _BLEND, _JUDGED, BOUNCE, CRAWLED, CTR, DAYS, END, ORACLE, POSITION, QUERIES, SITE, START, SUMS, _key_sql, _log, blended, page_store, query, rounded
 from .functions import classify, dates, keys, measures
 from .operators import blend, coverage, graph, jobs, profiles, reports
+from .plans import query_sketches
 from .plans.search_report import Filter, SearchReport, monthly_summary
+from .shared import stored
 from .sources import providers
+from .sources.page_store import PageStore
 from .standins import fact, oracle_with
 
 # -- scopes ---------------------------------------------------------------------------------------------------------------
@@ -22,7 +25,61 @@ _SCOPED = "date BETWEEN DATE '1996-01-15' AND DATE '1996-09-20' AND site = 'http
 @query("s1_scoped_report", oracle_with("scoped_daily") + f"SELECT page_key, query, {SUMS}, {CTR}, {POSITION} FROM scoped_daily WHERE {_SCOPED} AND owner = 'owner1' AND contains(query, '1') GROUP BY 1, 2 ORDER BY 3 DESC, 4 DESC, 1, 2 LIMIT 500")
 def s1_scoped_report(spark: SparkSession, sf: str) -> DataFrame:
     report = SearchReport(START, END, ("page", "query"), (Filter("query", "contains", "1"),), limit=500, site="https://site-3.example", owner="owner1")
-    return rounded(report.page({report.grain: fact(spark, sf, "scoped_daily")}), "ctr", "position")
+    rows = scoped_pages(spark, sf).daily("search", report.site, START, END, report.owner)
+    return rounded(report.page({report.grain: rows}), "ctr", "position")
+
+
+def scoped_pages(spark: SparkSession, sf: str) -> PageStore:
+    """Facts of five sites with owners, of which some rows have none; as many pages and queries as the tables have."""
+
+    def fill(store: PageStore) -> PageStore:
+        links = fact(spark, sf, "scoped_links").filter("from_key <> to_key").groupBy("site", "to_key").agg(F.count(F.lit(1)).alias("inbound"))
+        return store.add_search(fact(spark, sf, "scoped_daily")).add_traffic(fact(spark, sf, "scoped_traffic")).add_crawl(fact(spark, sf, "scoped_crawl"), links, SITE, CRAWLED)
+
+    return page_store(spark, sf, "scoped", fill)
+
+
+_OF_SITE = "owner = 'owner1' AND site = 'https://site-3.example'"
+_SITE_BLEND = (
+    oracle_with("scoped_daily", "scoped_traffic", "scoped_crawl", "scoped_links")
+    + f""", page_query_daily AS (SELECT * FROM scoped_daily WHERE {_SCOPED} AND {_OF_SITE}), traffic_page_daily AS (SELECT * FROM scoped_traffic WHERE {_SCOPED} AND {_OF_SITE}),
+    crawl_pages AS (SELECT * EXCLUDE (owner, site) FROM scoped_crawl WHERE {_OF_SITE}), crawl_links AS (SELECT * FROM scoped_links WHERE site = 'https://site-3.example')"""
+    + _JUDGED
+)
+
+
+def _of_site(spark: SparkSession, sf: str) -> DataFrame:
+    return blend.judged(scoped_pages(spark, sf).sides("https://site-3.example", START, END, CRAWLED, "owner1"))
+
+
+@query("r11_site_blend", _SITE_BLEND + "SELECT page_key, has_search, has_traffic, has_crawl, clicks, impressions, round(position, 6) AS position, query_count, sessions, page_views, round(bounce_rate, 6) AS bounce_rate, canonical_variants, inbound, crawl_issue, insight, severity FROM v")
+def r11_site_blend(spark: SparkSession, sf: str) -> DataFrame:
+    """One site of one owner in a range: an aggregate over the pruned, bucketed store."""
+    shown = _of_site(spark, sf).select("page_key", "has_search", "has_traffic", "has_crawl", "clicks", "impressions", "position", "query_count", "sessions", "page_views", "bounce_rate", "canonical_variants", "inbound", "crawl_issue", "insight", "severity")
+    return rounded(shown, "position", "bounce_rate")
+
+
+@query("r12_site_reconciliation", _SITE_BLEND + """, f AS (SELECT *, list_filter([CASE WHEN (has_search OR has_traffic) AND NOT has_crawl THEN 'missing_in_crawl' END, CASE WHEN (has_traffic OR has_crawl) AND NOT has_search THEN 'missing_in_search' END, CASE WHEN (has_search OR has_crawl) AND NOT has_traffic THEN 'missing_in_traffic' END,
+    CASE WHEN has_crawl AND (status_code IS NULL OR status_code >= 400) THEN 'crawl_error' END, CASE WHEN noindex THEN 'noindex' END, CASE WHEN canonical_variants > 0 THEN 'canonical_mismatch' END, CASE WHEN impressions >= 100 AND clicks = 0 THEN 'impressions_without_clicks' END], lambda x: x IS NOT NULL) AS fl FROM v)
+    SELECT page_key, has_search, has_traffic, has_crawl, clicks, impressions, sessions, coalesce(array_to_string(fl, ','), '') AS flags, CASE WHEN len(fl) = 0 THEN 'matched' ELSE 'flagged' END AS status, len(fl) * 1e9 + impressions * 100.0 + clicks * 10.0 + sessions AS score FROM f""")
+def r12_site_reconciliation(spark: SparkSession, sf: str) -> DataFrame:
+    return blend.reconciled(_of_site(spark, sf))
+
+
+_SKETCHED: dict[tuple[str, str], DataFrame] = {}
+
+
+@query("a7_queries_from_sketches", oracle_with("scoped_daily") + f"SELECT page_key, {SUMS}, {CTR}, {POSITION}, COUNT(DISTINCT (date, query)) AS query_days, COUNT(DISTINCT query) AS query_count FROM scoped_daily WHERE {_SCOPED} AND {_OF_SITE} AND query <> '' GROUP BY 1")
+def a7_queries_from_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct queries of pages from monthly sketches and edge days; few queries a page, so the estimate is the count."""
+    site, owner = "https://site-3.example", "owner1"
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _SKETCHED:
+        days = scoped_pages(spark, sf).table.filter("source = 'search'")
+        _SKETCHED[at] = stored(query_sketches.sketched_summary(days, ["owner", "site", "page_key"]), "query-sketches", "month_start")
+    months = _SKETCHED[at].filter((F.col("site") == site) & (F.col("owner") == owner)).drop("owner", "site")
+    days = scoped_pages(spark, sf).daily("search", site, START, END, owner)
+    return rounded(query_sketches.report(days, months, START, END, ["page_key"]), "ctr", "position")
 
 
 @query("j9_rows_without_owner", oracle_with("scoped_daily") + f"SELECT query, {SUMS}, {CTR}, {POSITION} FROM scoped_daily WHERE {_SCOPED} AND owner IS NULL GROUP BY 1")
@@ -135,7 +192,7 @@ _LISTED = "page_key, clicks, impressions, sessions, round(bounce_rate, 6) AS bou
 
 def _listed(**how: object):  # noqa: ANN202
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        shown = blend.page_list(blend.blend(*_blended(spark, sf)), **how)
+        shown = blend.page_list(blended(spark, sf), **how)
         return rounded(shown.select("page_key", "clicks", "impressions", "sessions", "bounce_rate", "inbound", "crawl_issue"), "bounce_rate")
 
     return run
@@ -161,7 +218,7 @@ _FLAGGED = _BLEND + """, f AS (SELECT *, [CASE WHEN (has_search OR has_traffic)
       WHEN 'canonical_mismatch' THEN CAST(canonical_variants AS VARCHAR) || CASE WHEN canonical_variants = 1 THEN ' variant' ELSE ' variants' END || ' under this page.' ELSE format('{:,}', impressions) || ' impressions and no clicks.' END AS detail FROM u""",
 )
 def k7_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    return blend.reasons(blend.flagged(blend.blend(*_blended(spark, sf))))
+    return blend.reasons(blend.flagged(blended(spark, sf)))
 
 
 _STATUSES = ("all", "issues", "matched", *blend.STATUS_FLAGS)
@@ -169,7 +226,7 @@ _STATUSES = ("all", "issues", "matched", *blend.STATUS_FLAGS)
 
 @query("k8_statuses", _FLAGGED + "SELECT 'all' AS status, COUNT(*) AS pages FROM g UNION ALL SELECT 'issues', count_if(len(flags) > 0) FROM g UNION ALL SELECT 'matched', count_if(len(flags) = 0) FROM g" + "".join(f" UNION ALL SELECT '{s}', count_if(list_contains(flags, '{f}')) FROM g" for s, f in blend.STATUS_FLAGS.items()))
 def k8_statuses(spark: SparkSession, sf: str) -> DataFrame:
-    rows = blend.flagged(blend.blend(*_blended(spark, sf)))
+    rows = blend.flagged(blended(spark, sf))
     counted = [blend.with_status(rows, s).agg(F.lit(s).alias("status"), F.count(F.lit(1)).alias("pages")) for s in _STATUSES]
     out = counted[0]
     for more in counted[1:]:

@@ -5,17 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Writes and reads back, which cuts the lineage."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a local master (tests) may do without it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.gettempdir()}/sitelode-shared"
-    path = f"{root}/sitelode/{name}-{uuid.uuid4().hex}"
+    return root
+
+
+def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Writes and reads back, which cuts the lineage."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/sitelode/{name}-{uuid.uuid4().hex}"
     (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

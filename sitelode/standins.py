@@ -49,6 +49,14 @@ SQL = {
     "scoped_daily": """SELECT CASE WHEN l_suppkey % 4 > 0 THEN concat('owner', CAST(l_suppkey % 4 AS STRING)) END AS owner, concat('https://site-', CAST(l_suppkey % 5 AS STRING), '.example') AS site, CAST(l_shipdate AS DATE) AS date,
         concat('/s', CAST(l_suppkey AS STRING), '/p', CAST(l_partkey % 50 AS STRING)) AS page_key, concat('part ', CAST(l_partkey AS STRING)) AS query, SUM(CAST(floor(l_quantity * l_discount) AS BIGINT)) AS clicks, SUM(CAST(l_quantity AS BIGINT)) AS impressions,
         CAST(SUM(CAST(l_quantity AS BIGINT) * (1 + CAST(round(l_tax * 100) AS BIGINT))) AS DOUBLE) / SUM(CAST(l_quantity AS BIGINT)) AS position FROM {lineitem} GROUP BY 1, 2, 3, 4, 5""",
+    "scoped_traffic": """SELECT CASE WHEN l_suppkey % 4 > 0 THEN concat('owner', CAST(l_suppkey % 4 AS STRING)) END AS owner, concat('https://site-', CAST(l_suppkey % 5 AS STRING), '.example') AS site, CAST(l_shipdate AS DATE) AS date,
+        concat('/s', CAST(l_suppkey AS STRING), '/p', CAST((l_partkey + 7) % 60 AS STRING)) AS page_key, SUM(CAST(l_quantity AS BIGINT)) AS sessions, SUM(CAST(l_quantity AS BIGINT) + l_linenumber) AS page_views, CAST(SUM(l_linenumber % 2) AS DOUBLE) / COUNT(*) AS bounce_rate FROM {lineitem} GROUP BY 1, 2, 3, 4""",
+    "scoped_crawl": """SELECT CASE WHEN s % 4 > 0 THEN concat('owner', CAST(s % 4 AS STRING)) END AS owner, concat('https://site-', CAST(s % 5 AS STRING), '.example') AS site, concat('https://www.site.example/s', CAST(s AS STRING), '/p', CAST(p AS STRING), CASE WHEN p % 2 = 0 THEN '/' ELSE '?x=1' END) AS url,
+        CASE WHEN p % 11 = 0 THEN concat('https://site.example/s', CAST(s AS STRING), '/p1') WHEN p % 7 = 0 THEN 'https://other.example/z' WHEN p % 13 = 0 THEN concat('https://site.example/s', CAST(s AS STRING), '/p', CAST(p + 40 AS STRING)) END AS canonical_url,
+        CASE WHEN p % 17 = 0 THEN 404 WHEN p % 19 = 0 THEN NULL ELSE 200 END AS status_code, p % 23 = 0 AS noindex, CASE WHEN p % 5 = 0 THEN '' ELSE concat('Title ', CAST(p AS STRING)) END AS title, CASE WHEN p % 3 = 0 THEN NULL ELSE 'About it' END AS meta_description,
+        CAST(p % 3 AS INT) AS h1_count, CAST(p * 20 AS BIGINT) AS word_count, CAST(s * 100 + p AS BIGINT) AS crawl_order FROM (SELECT DISTINCT l_suppkey AS s, l_partkey % 55 AS p FROM {lineitem}) AS x""",
+    "scoped_links": """SELECT DISTINCT CASE WHEN l_suppkey % 4 > 0 THEN concat('owner', CAST(l_suppkey % 4 AS STRING)) END AS owner, concat('https://site-', CAST(l_suppkey % 5 AS STRING), '.example') AS site, concat('/s', CAST(l_suppkey AS STRING), '/p', CAST(l_partkey % 50 AS STRING)) AS from_key,
+        concat('/s', CAST(l_suppkey AS STRING), '/p', CAST(l_orderkey % 53 AS STRING)) AS to_key FROM {lineitem}""",
     "authority_pages": """SELECT concat('/p', CAST(p_partkey AS STRING)) AS page_key, concat('https://site.example/p', CAST(p_partkey AS STRING)) AS url, p_name AS title FROM {part} WHERE p_partkey % 5 > 0""",
     "authority_profiles": """SELECT concat('/p', CAST(p_partkey AS STRING)) AS page_key, regexp_extract(p_type, '^([A-Z]+)', 1) AS page_type, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN CAST(p_partkey % 100 AS DOUBLE) + 2 ELSE CAST(p_partkey % 100 AS DOUBLE) / 100 END AS confidence,
         CASE WHEN p_partkey % 4 = 0 THEN p_brand END AS template_key FROM {part} WHERE p_partkey % 3 < 2""",
