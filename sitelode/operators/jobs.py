@@ -27,11 +27,38 @@ def one_running(jobs: DataFrame) -> DataFrame:
     return jobs.filter("status = 'running'").withColumn("rank", F.row_number().over(own)).filter("rank > 1")
 
 
+#: Spans of 1, 2, 4 ... days that ranges are made of; the largest are longer than a century.
+LEVELS = 16
+
+
+def spans_of_range(start: Column, end: Column) -> Column:
+    """The fewest aligned spans that make up the days from ``start`` to ``end``: at most two of each length.
+
+    At a level, the spans that lie wholly inside go from ``low`` to ``high`` - 1; the first is taken if it is odd, the last
+    if it is even, since the next level's spans hold the others in pairs."""
+    found = []
+    for level in range(LEVELS):
+        low, high = F.shiftright(F.unix_date(start) + ((1 << level) - 1), level), F.shiftright(F.unix_date(end) + 1, level)
+        span = lambda n, level=level: F.struct(F.lit(level).alias("level"), n.cast("int").alias("n"))
+        found += [F.when((low < high) & (low % 2 != 0), span(low)), F.when((low < high) & (high % 2 != 0), span(high - 1))]
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def spans_of_day(day: Column) -> Column:
+    """The span of each length that holds a day."""
+    return F.array(*[F.struct(F.lit(level).alias("level"), F.shiftright(F.unix_date(day), level).cast("int").alias("n")) for level in range(LEVELS)])
+
+
 def covering(requests: DataFrame, jobs: DataFrame) -> DataFrame:
     """The existing job that covers each request (same owner and site, range within its own): exact ranges first, then
-    running, retrying, queued, completed, the tightest, the newest."""
+    running, retrying, queued, completed, the tightest, the newest.
+
+    A request meets a job in the one span of the job's range that holds the request's first day, so a site with very many
+    jobs is split by time, and only jobs that reach over that day meet the request."""
     rank = F.when(F.col("status") == "running", 0).when(F.col("status") == "retrying", 1).when(F.col("status") == "queued", 2).otherwise(3)
-    both = requests.join(jobs.withColumnRenamed("id", "job_id"), ["owner", "site"]).filter("start <= want_start and end >= want_end")
+    asked = requests.withColumn("_span", F.explode(spans_of_day(F.col("want_start"))))
+    known = jobs.withColumnRenamed("id", "job_id").withColumn("_span", F.explode(spans_of_range(F.col("start"), F.col("end"))))
+    both = asked.join(known, ["owner", "site", "_span"]).filter("end >= want_end")
     exact = ((F.col("start") == F.col("want_start")) & (F.col("end") == F.col("want_end"))).cast("int")
     own = Window.partitionBy("request_id").orderBy(exact.desc(), rank, F.desc("start"), F.asc("end"), F.desc("updated_at"), F.desc("job_id"))
     return both.withColumn("_rn", F.row_number().over(own)).filter("_rn = 1").select("request_id", "job_id")
@@ -42,13 +69,18 @@ def queue_positions(jobs: DataFrame) -> DataFrame:
 
     A place is the number of the site's jobs of earlier days (a running sum over a table of day counts) and the place
     within the day, so that no task ranks a whole queue."""
-    queued = jobs.filter("status = 'queued'").withColumn("_day", F.to_date("created_at"))
-    days = queued.groupBy("site", "_day").agg(F.count(F.lit(1)).alias("_n"))
+    return _places(jobs.filter("status = 'queued'"), "created_at", "place")
+
+
+def _places(jobs: DataFrame, at: str, name: str) -> DataFrame:
+    """Adds the place of each row in its site by ``at`` and id."""
+    dated = jobs.withColumn("_day", F.to_date(at))
+    days = dated.groupBy("site", "_day").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("site").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     before = days.select(F.col("site").alias("_s"), F.col("_day").alias("_d"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("site", "_day").orderBy("created_at", "id")
-    placed = queued.withColumn("_in", F.row_number().over(own)).join(before, F.col("site").eqNullSafe(F.col("_s")) & F.col("_day").eqNullSafe(F.col("_d")))
-    return placed.withColumn("place", (F.col("_before") + F.col("_in")).cast("int")).drop("_s", "_d", "_before", "_in", "_day")
+    own = Window.partitionBy("site", "_day").orderBy(at, "id")
+    placed = dated.withColumn("_in", F.row_number().over(own)).join(before, F.col("site").eqNullSafe(F.col("_s")) & F.col("_day").eqNullSafe(F.col("_d")))
+    return placed.withColumn(name, (F.col("_before") + F.col("_in")).cast("int")).drop("_s", "_d", "_before", "_in", "_day")
 
 
 def waits(jobs: DataFrame, slots: int = 2, least: int = 30) -> DataFrame:
@@ -74,8 +106,7 @@ def estimates(jobs: DataFrame, now: Column, slots: int = 2, least: int = 30) ->
     # the slots of a site: what its running jobs have left, the least first; the others are free
     first = running.withColumn("_rn", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("left"), "id"))).filter(F.col("_rn") <= slots)
     held = first.groupBy("site").agg(F.collect_list("left").alias("_left"))
-    own = Window.partitionBy("site").orderBy(F.col("queued_at").asc(), "id")
-    waiting = open_jobs.filter("status <> 'running'").withColumn("n", F.row_number().over(own)).join(held, "site", "left")
+    waiting = _places(open_jobs.filter("status <> 'running'"), "queued_at", "n").join(held, "site", "left")
     busy = F.coalesce("_left", F.array().cast("array<long>"))
     free = F.array_sort(F.concat(busy, F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(0), slots - F.size(busy)))))
     wait = F.element_at(free, ((F.col("n") - 1) % slots + 1).cast("int")) + F.floor((F.col("n") - 1) / slots) * F.col("typical")

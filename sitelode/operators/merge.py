@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row for each key: the first by ``order``."""
@@ -42,6 +46,20 @@ def replace_partitions(df: DataFrame, path: str, by: str = "date") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def merge_touched(new: DataFrame, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame], by: str = "date") -> list:
+    """Merges ``new`` into the table at ``path``, partitioned by ``by``, reading and writing only the partitions that
+    ``new`` touches, which it returns. ``merge`` is any of the merges above as a function of old and new rows; the keys must
+    include ``by``. The merged rows are staged first, since they come from the files that they replace; files of other
+    partitions stay as they are. A partition that becomes empty stays."""
+    spark = new.sparkSession
+    fresh = stored(new, "merge-new")
+    touched = sorted(r[0] for r in fresh.select(by).distinct().collect())  # partitions, not rows
+    if touched:
+        old = spark.read.schema(new.schema).parquet(path).filter(F.col(by).isin(touched))
+        replace_partitions(stored(merge(old.select(new.columns), fresh), "merged"), path, by)
+    return touched
+
+
 def rollup_pages(page_query: DataFrame) -> DataFrame:
     """Page facts from page and query facts, on the key."""
     position = F.sum(F.col("position") * F.col("impressions"))
@@ -50,7 +68,11 @@ def rollup_pages(page_query: DataFrame) -> DataFrame:
 
 
 def split_valid(rows: DataFrame, keys: int) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected) of provider rows: enough keys and four numbers."""
+    """(valid, rejected) of provider rows."""
+    return rows.filter(valid_row(keys)), rows.filter(~valid_row(keys))
+
+
+def valid_row(keys: int) -> Column:
+    """True for a provider row with enough keys and four numbers."""
     ok = (F.size("keys") >= keys) & F.col("clicks").isNotNull() & F.col("impressions").isNotNull() & F.col("ctr").isNotNull() & F.col("position").isNotNull()
-    ok = F.coalesce(ok, F.lit(False))
-    return rows.filter(ok), rows.filter(~ok)
+    return F.coalesce(ok, F.lit(False))

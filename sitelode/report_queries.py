@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,8 @@ from .functions import classify, dates, keys, measures
 from .operators import blend, coverage, graph, jobs, profiles, reports
 from .plans import query_sketches
 from .plans.search_report import Filter, SearchReport, monthly_summary
-from .shared import stored
-from .sources import providers
+from .shared import shared_root, stored
+from .sources import ingest, providers
 from .sources.page_store import PageStore
 from .standins import fact, oracle_with
 
@@ -533,3 +534,36 @@ def s12_robots_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query("g4_orphans", f"SELECT page_key, resolved_key FROM ({ORACLE['g2_inbound_resolved']}) WHERE inbound = 0")
 def g4_orphans(spark: SparkSession, sf: str) -> DataFrame:
     return graph.orphans(QUERIES["g2_inbound_resolved"](spark, sf)).select("page_key", "resolved_key")
+
+
+# -- ingest ---------------------------------------------------------------------------------------------------------------
+
+_RESTATED = "date BETWEEN DATE '1996-03-05' AND DATE '1996-04-10'"
+
+
+def _ingested(spark: SparkSession, sf: str, dataset: str) -> DataFrame:
+    """Two runs into one warehouse: days before 1998 as provider rows, then some days again with other clicks."""
+    rows = fact(spark, sf, "page_query_daily").filter("date < DATE '1998-01-01'")
+    payload = lambda d: d.select(F.array(F.col("date").cast("string"), "page_key", "query").alias("keys"), "clicks", "impressions", F.lit(0.5).alias("ctr"), "position")
+    named = lambda d: d.select(F.to_date(F.col("keys")[0]).alias("date"), F.col("keys")[1].alias("page_key"), F.col("keys")[2].alias("query"), "clicks", "impressions", "position")
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _WAREHOUSES:
+        made = ingest.Warehouse(spark, f"{shared_root(spark)}/sitelode/warehouse-{uuid.uuid4().hex}")
+        made.ingest(payload(rows), 3, named, "first")
+        made.ingest(payload(rows.filter(_RESTATED).withColumn("clicks", F.col("clicks") + 100)), 3, named, "restated")
+        _WAREHOUSES[at] = made
+    return _WAREHOUSES[at].read(dataset)
+
+
+_WAREHOUSES: dict[tuple[str, str], ingest.Warehouse] = {}
+_BROUGHT = oracle_with("page_query_daily") + f", r AS (SELECT date, page_key, query, clicks + CASE WHEN {_RESTATED} THEN 100 ELSE 0 END AS clicks, impressions, position FROM page_query_daily WHERE date < DATE '1998-01-01') "
+
+
+@query("s15_ingested_pages", _BROUGHT + f"SELECT date, page_key, {SUMS}, {POSITION}, COUNT(DISTINCT query) AS query_count FROM r GROUP BY 1, 2")
+def s15_ingested_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_ingested(spark, sf, "pages"), "position")
+
+
+@query("s15_ingested_months", _BROUGHT + f"SELECT CAST(date_trunc('month', date) AS DATE) AS month_start, page_key, query, {SUMS}, round(SUM(position * impressions), 3) AS position_sum FROM r GROUP BY 1, 2, 3")
+def s15_ingested_months(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_ingested(spark, sf, "months"), "position_sum", digits=3)
