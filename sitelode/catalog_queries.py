@@ -685,7 +685,7 @@ def c7_repeated_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("c7_templates")
 def c7_templates(spark: SparkSession, sf: str) -> DataFrame:
-    return markup.templates(_snapshots(spark, sf))
+    return markup.templates(_snapshots(spark, sf), most_tokens=None)
 
 
 @query("r14_profiles")

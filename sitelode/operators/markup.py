@@ -43,11 +43,14 @@ class Limits:
     in_block: int | None = None
     block_text: int | None = None
     sentence_text: int | None = None
+    link_text: int | None = None
+    title: int | None = None
+    heading: int | None = None
 
 
 EXACT = Limits()
 # The bounds of a crawler that keeps pages small.
-CRAWLER = Limits(180, 120, 250, 6, 900, 420)
+CRAWLER = Limits(180, 120, 250, 6, 900, 420, 2000, 220, 180)
 # Roles in order, with the tags, aria roles and words of class, id or label that give them.
 ROLES = (
     ("footer", ("footer",), ("contentinfo",), ("footer",)),
@@ -267,9 +270,9 @@ def page_snapshot(url: str | None, html: str | None, limits: Limits = EXACT) ->
     structured = sorted({x.lower() for x in STRUCTURED.findall(html or "")})
     linked = Counter(id(near(a)) for a in by_tag.get("a", []))
     called = set(WORD.findall(" ".join(n.text() for t in ("a", "button") for n in by_tag.get(t, [])).lower()))
-    parts = text_parts(nodes, role, tidy(first("h1") or "", 180), limits)
+    parts = text_parts(nodes, role, tidy(first("h1") or "", limits.heading), limits)
     return {
-        "title": tidy(first("title") or "", 220) or None,
+        "title": tidy(first("title") or "", limits.title) or None,
         "meta_description": tidy(meta.get("description", "")) or None,
         "canonical_url": urljoin(url or "", canonical) if canonical else None,
         "noindex": "noindex" in meta.get("robots", "").lower(),
@@ -329,8 +332,8 @@ def text_parts(nodes: list[Element], role, page_heading: str, limits: Limits = E
         words = len(text.split())
         if (len(text) < 4 if n.tag in HEADINGS else len(text) < 35 or words < 6) or (limits.raw is not None and len(raw) >= limits.raw):
             continue
-        linked = tidy("".join(a.text() for a in n.walk() if a.tag == "a"), 2000)
-        headings = [tidy(x, 180) for x in chain if x]
+        linked = tidy("".join(a.text() for a in n.walk() if a.tag == "a"), limits.link_text)
+        headings = [tidy(x, limits.heading) for x in chain if x]
         children = max(1, sum(isinstance(c, Element) for c in n.children))
         key = digest("|".join([where, dom_path(n).lower(), selector(n), " > ".join(headings).lower()]))[:20]
         raw.append({"block_key": f"blk_{key}", "block_type": n.tag, "role": where, "dom_path": dom_path(n), "headings": headings, "text": text, "text_hash": digest(text), "link_density": between(len(linked) / len(text)), "text_density": between(words / max(12, 10 * children)), "prominence": between(PROMINENCE.get(n.tag, 0.5) + PROMINENT_REGION.get(where, 0.0))})

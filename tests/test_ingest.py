@@ -130,3 +130,17 @@ def test_a_hot_site_meets_only_ranges_over_the_day(spark):
     over = asked.join(made.select("start", "end"), (F.col("start") <= F.col("want_start")) & (F.col("end") >= F.col("want_start"))).count()
     assert met == over < 2000 * 100
     assert jobs.covering(asked, made).count() == 2000
+
+
+# -- markup ---------------------------------------------------------------------------------------------------------------
+
+
+def test_long_links_and_headings_are_read_whole():
+    from sitelode.operators import markup
+
+    words = "linked text of a long block " * 200
+    html = f"<html><head><title>{'t' * 500}</title></head><body><h1>{'heading ' * 60}</h1><p><a href='/x'>{words}</a></p></body></html>"
+    exact, bounded = markup.page_snapshot("https://a.b/", html), markup.page_snapshot("https://a.b/", html, markup.CRAWLER)
+    block = next(b for b in exact["blocks"] if b["block_type"] == "p")
+    assert block["link_density"] == 1 and len(exact["title"]) == 500 and len(block["headings"][0]) > 400
+    assert len(bounded["title"]) == 220 and len(next(b for b in bounded["blocks"] if b["block_type"] == "p")["headings"][0]) <= 180
