@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import classify, dates, keys, measures, text
 from .operators import blend, compare, coverage, graph, insights, jobs, links, markup, merge, profiles, scopes, topics
+from .operators.paging import Placed
 from .plans.search_report import GRAINS, Filter, SearchReport, monthly_summary
 from .sources import access_log, providers
 from .sources.page_store import PageStore
@@ -452,6 +454,38 @@ def j12_latest_per_key(spark: SparkSession, sf: str) -> DataFrame:
     return _orders(spark, sf).groupBy("k").agg(F.max_by(F.struct("seq", "status"), F.struct("price", "seq")).alias("r")).select("k", "r.seq", "r.status")
 
 
+_DEEP = "SELECT page_key, query, clicks, impressions FROM (SELECT page_key, query, " + SUMS + " FROM scoped_daily WHERE page_key <> '' AND query <> '' GROUP BY 1, 2) ORDER BY 3 DESC, 4 DESC, 1, 2 LIMIT 2000 OFFSET "
+
+
+@query("o2_deep_page", oracle_with("scoped_daily") + _DEEP + "3000")
+def o2_deep_page(spark: SparkSession, sf: str) -> DataFrame:
+    return _report_pages(spark, sf).page(3000, 2000).select("page_key", "query", "clicks", "impressions")
+
+
+@query("o2_behind_row", oracle_with("scoped_daily") + _DEEP + "1000")
+def o2_behind_row(spark: SparkSession, sf: str) -> DataFrame:
+    """The page behind the thousandth row, by that row's values."""
+    report, held = replace(_PAGED, limit=2000), {_PAGED.grain: fact(spark, sf, "scoped_daily")}
+    last = _report_pages(spark, sf).page(999, 1).head()
+    return report.after(tuple(last[c] for c, _ in report.order()), held).select("page_key", "query", "clicks", "impressions")
+
+
+_PAGED = SearchReport(date(1970, 1, 1), date(2099, 12, 31), ("page", "query"))
+
+
+def _report_pages(spark: SparkSession, sf: str) -> Placed:
+    return _PAGED.placed({_PAGED.grain: fact(spark, sf, "scoped_daily")})
+
+
+# A token's stem in SQL.
+_STEM = "CASE WHEN length(t) > 5 AND t LIKE '%ing' THEN t[:-4] WHEN length(t) > 4 AND t LIKE '%es' THEN t[:-3] WHEN length(t) > 3 AND t LIKE '%s' THEN t[:-2] ELSE t END"
+
+
+@query("f13_topic_tokens", f"SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}]+'), lambda t : {_STEM}), lambda t : length(t) > 2 AND t NOT IN {text.STOP_WORDS}), ' ') AS tokens FROM documents")
+def f13_topic_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.array_join(text.topic_tokens(F.col("text")), " ").alias("tokens"))
+
+
 # -- C6: crawl and graph --------------------------------------------------------------------------------------------------
 
 
@@ -466,6 +500,23 @@ def g1_reach(spark: SparkSession, sf: str) -> DataFrame:
     return graph.reach(spark.sql("SELECT '/s0/p0' AS page_key"), fact(spark, sf, "crawl_links"), 3)
 
 
+_SEEDS = "SELECT DISTINCT from_key AS page_key, CASE WHEN from_key = '/s1/p2' THEN 'seed' WHEN from_key LIKE '%/p2' THEN 'sitemap' ELSE 'previous-crawl' END AS discovered_from FROM scoped_links WHERE from_key LIKE '%/p2' OR from_key LIKE '%0/p7'"
+_BUDGET = 2500
+
+
+def _level(n: int) -> str:
+    """A level of the queue in SQL: first parent of each page not seen, numbered behind the earlier levels, within the budget."""
+    before = " UNION ALL ".join(f"SELECT page_key FROM l{i}" for i in range(n))
+    return f""", f{n} AS (SELECT to_key AS page_key, from_key, place, row_number() OVER (PARTITION BY to_key ORDER BY place, from_key) AS rn FROM scoped_links JOIN l{n - 1} ON from_key = page_key WHERE from_key <> to_key AND to_key NOT IN (SELECT * FROM ({before}))),
+    l{n} AS (SELECT * FROM (SELECT page_key, {n} AS depth, 'link' AS discovered_from, from_key AS discovered_from_key, (SELECT COUNT(*) FROM ({before})) + row_number() OVER (ORDER BY place, page_key) - 1 AS place FROM f{n} WHERE rn = 1) WHERE place < {_BUDGET})"""
+
+
+@query("g1_frontier", oracle_with("scoped_links") + f", l0 AS (SELECT page_key, 0 AS depth, discovered_from, CAST(NULL AS VARCHAR) AS discovered_from_key, row_number() OVER (ORDER BY CASE discovered_from WHEN 'seed' THEN 1 WHEN 'sitemap' THEN 2 ELSE 3 END, page_key) - 1 AS place FROM ({_SEEDS}))" + "".join(map(_level, (1, 2, 3))) + " SELECT * FROM l0" + "".join(f" UNION ALL SELECT * FROM l{i}" for i in (1, 2, 3)))
+def g1_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    found = stored(fact(spark, sf, "scoped_links").select("from_key", "to_key"), "links")
+    return graph.frontier(spark.sql(_SEEDS.replace("scoped_links", "{scoped_links}"), scoped_links=found), found, 3, _BUDGET)
+
+
 @query("g3_outbound", oracle_with("crawl_links") + "SELECT from_key, COUNT(*) AS outbound, COUNT(DISTINCT to_key) AS targets FROM crawl_links GROUP BY 1")
 def g3_outbound(spark: SparkSession, sf: str) -> DataFrame:
     return graph.outbound(fact(spark, sf, "crawl_links"))

@@ -1,10 +1,12 @@
-"""Text functions: hashes, tokens, sentences, phrases."""
+"""Text functions: hashes, tokens, sentences, phrases, compatibility forms."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .unicode_forms import unaccented
+
 # Common words that no tokeniser keeps.
 STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "are", "was", "you", "your", "our", "how", "what", "why", "when", "who", "can", "best", "near", "into", "about")
 
@@ -40,8 +42,7 @@ def sentences(x: Column, most_text: int | None = None, most_sentence: int | None
 
 def topic_tokens(x: Column) -> Column:
     """Lower-cased runs of letters and digits without accents, light stems, three characters or more."""
-    plain = F.regexp_replace(F.translate(F.lower(x), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"), r"\p{M}", "")
-    found = F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}]+)"), 1)
+    found = F.regexp_extract_all(F.lower(unaccented(x)), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
     def stem(t: Column) -> Column:
         n = F.length(t)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import blend_insight
 from ..functions.keys import folder, page_key, resolved_key
 from ..functions.measures import safe_ratio, weighted_mean
+from .paging import paged
 
 
 def search_pages(page_query: DataFrame) -> DataFrame:
@@ -170,4 +171,4 @@ def page_list(blended: DataFrame, sort: str = "clicks", ascending: bool = False,
         rows = rows.filter(F.lower("page_key").contains(search.lower()))
     name = SORTS.get(sort, "clicks")
     key = F.lower("page_key") if name == "page_key" else F.coalesce(F.col(name).cast("double"), F.lit(0.0))
-    return rows.orderBy(key.asc() if ascending else key.desc(), "page_key").offset(offset).limit(limit)
+    return paged(rows, [key.asc() if ascending else key.desc(), F.col("page_key")], limit, offset)

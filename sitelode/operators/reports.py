@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import clamp, normal_confidence, safe_ratio, weighted_mean
+from .paging import paged
 
 # -- scopes ---------------------------------------------------------------------------------------------------------------
 
@@ -56,7 +57,7 @@ def raw_search(rows: DataFrame, kind: str, start: date, end: date, search: str =
     else:
         found = held.select("date", *keys, "clicks", "impressions", safe_ratio(F.col("clicks"), F.col("impressions")).alias("ctr"), "position")
         order = [F.desc("date"), F.desc("clicks"), F.desc("impressions"), *map(F.asc, keys)]
-    return found.orderBy(*order).offset(offset).limit(limit)
+    return paged(found, order, limit, offset)
 
 
 def raw_traffic(rows: DataFrame, kind: str, search: str = "", limit: int = 100, offset: int = 0) -> DataFrame:
@@ -65,15 +66,15 @@ def raw_traffic(rows: DataFrame, kind: str, search: str = "", limit: int = 100,
     if search:
         held = held.filter(F.lower("page_key").contains(search.lower()))
     if kind == "page_date":
-        return held.orderBy(F.desc("date"), F.desc("sessions"), F.desc("page_views"), "page_key").offset(offset).limit(limit)
-    return traffic_sums(held, ["page_key"]).orderBy(F.desc("sessions"), F.desc("page_views"), "page_key").offset(offset).limit(limit)
+        return paged(held, [F.desc("date"), F.desc("sessions"), F.desc("page_views"), F.col("page_key")], limit, offset)
+    return paged(traffic_sums(held, ["page_key"]), [F.desc("sessions"), F.desc("page_views"), F.col("page_key")], limit, offset)
 
 
 def raw_dimension(rows: DataFrame, dimension: str, search: str = "", limit: int = 100, offset: int = 0) -> DataFrame:
     held = rows.filter((F.col("dimension") == dimension) & (F.col("dimension_value") != ""))
     if search:
         held = held.filter(F.lower("dimension_value").contains(search.lower()))
-    return traffic_sums(held, ["dimension", "dimension_value"]).orderBy(F.desc("sessions"), F.desc("page_views"), "dimension_value").offset(offset).limit(limit)
+    return paged(traffic_sums(held, ["dimension", "dimension_value"]), [F.desc("sessions"), F.desc("page_views"), F.col("dimension_value")], limit, offset)
 
 
 # -- traffic and referrals ------------------------------------------------------------------------------------------------

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import page_key
 from ..functions.measures import safe_ratio
+from ..operators.paging import Placed, after, ordered, paged, place
 from .summary_window import month_end, summary_window
 
 DIMENSIONS = ("date", "query", "page", "country")
@@ -106,14 +107,23 @@ class SearchReport:
     def _queries(self, df: DataFrame) -> list[Column]:
         return [F.count_distinct(F.nullif("query", F.lit(""))).alias("query_count")] if self._distinct(df) else []
 
-    def order(self) -> list[Column]:
-        keys = [F.col(COLUMN[d]).asc() for d in self.dimensions]
+    def order(self) -> list[tuple[str, bool]]:
+        """Columns of the order, and whether they descend."""
+        keys = [(COLUMN[d], False) for d in self.dimensions]
         if "date" in self.dimensions:
-            return [F.col("date").asc(), *keys]
-        return [F.col("clicks").desc(), F.col("impressions").desc(), *keys] if self.dimensions else [F.col("impressions").desc()]
+            return [("date", False), *(k for k in keys if k[0] != "date")]
+        return [("clicks", True), ("impressions", True), *keys] if self.dimensions else [("impressions", True)]
 
     def page(self, facts: Mapping[str, DataFrame], summaries: Mapping[str, DataFrame] | None = None) -> DataFrame:
-        return self.plan(facts, summaries).orderBy(*self.order()).offset(self.offset).limit(self.limit)
+        return paged(self.plan(facts, summaries), ordered(self.order()), self.limit, self.offset)
+
+    def placed(self, facts: Mapping[str, DataFrame], summaries: Mapping[str, DataFrame] | None = None) -> Placed:
+        """The whole report in buckets of its order, for many pages."""
+        return place(self.plan(facts, summaries), ordered(self.order()))
+
+    def after(self, last: tuple, facts: Mapping[str, DataFrame], summaries: Mapping[str, DataFrame] | None = None) -> DataFrame:
+        """The page behind the row whose values in the columns of ``order`` are ``last``."""
+        return after(self.plan(facts, summaries), self.order(), last, self.limit)
 
     def total(self, facts: Mapping[str, DataFrame], summaries: Mapping[str, DataFrame] | None = None) -> int:
         return self.plan(facts, summaries).count()

@@ -87,10 +87,10 @@ def sitemap_urls(maps: DataFrame, column: str = "xml") -> DataFrame:
     return found.filter(host == F.regexp_replace("site", r"^www\.", "")).distinct()
 
 
-def expand_sitemaps(seeds: DataFrame, fetched: DataFrame, depth: int = 3, most_maps: int = 1000, most_urls: int = 50_000) -> DataFrame:
+def expand_sitemaps(seeds: DataFrame, fetched: DataFrame, depth: int = 3, most_maps: int | None = 1000, most_urls: int | None = 50_000) -> DataFrame:
     """site, url of the pages that the ``seeds`` (site, url) lead to through sitemap indexes, by ``fetched`` (site, map_url,
     xml): level by level, each map once, and of each site at most so many maps and pages, the lesser addresses first. The
-    two bounds are the crawler's own; a site's maps are few, so a level is a small join."""
+    two bounds are the crawler's own, and None lifts them; a level is a join."""
     level = seeds.select("site", F.col("url").alias("map_url")).distinct()
     seen, found = level, []
     for _ in range(depth):
@@ -102,7 +102,9 @@ def expand_sitemaps(seeds: DataFrame, fetched: DataFrame, depth: int = 3, most_m
     return _first(reduce(DataFrame.unionByName, found).distinct(), "url", most_urls)
 
 
-def _first(rows: DataFrame, column: str, most: int) -> DataFrame:
+def _first(rows: DataFrame, column: str, most: int | None) -> DataFrame:
+    if most is None:
+        return rows
     own = Window.partitionBy("site").orderBy(column)
     return rows.withColumn("_rn", F.row_number().over(own)).filter(F.col("_rn") <= most).drop("_rn")
 
