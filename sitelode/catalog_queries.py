@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date
@@ -15,8 +16,9 @@ from .operators.paging import Placed
 from .plans.search_report import GRAINS, Filter, SearchReport, monthly_summary
 from .sources import access_log, providers
 from .sources.page_store import PageStore
+from .sources.paged_files import land_pages, read_pages
 from .standins import fact, oracle_with, table
-from .shared import stored
+from .shared import shared_root, stored
 from .streaming import events as event_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -477,6 +479,20 @@ def _report_pages(spark: SparkSession, sf: str) -> Placed:
     return _PAGED.placed({_PAGED.grain: fact(spark, sf, "scoped_daily")})
 
 
+_PAGE = 400
+
+
+@query("s4_paged_files", oracle_with("query_daily") + f"SELECT CAST(date_trunc('month', date) AS DATE) AS chunk, CAST(ceil(COUNT(*) / {_PAGE}.0) AS BIGINT) AS pages, COUNT(*) AS held, {SUMS}, round(SUM(position * impressions) / SUM(impressions), 6) AS position FROM query_daily GROUP BY 1")
+def s4_paged_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Search facts landed as pages of payloads by month, and read back through the data source."""
+    path = f"{shared_root(spark)}/sitelode/landed-{uuid.uuid4().hex}"
+    rows = fact(spark, sf, "query_daily").withColumn("chunk", F.trunc("date", "MM"))
+    row = F.struct(F.array(F.col("date").cast("string"), F.col("query")).alias("keys"), "clicks", "impressions", measures.safe_ratio(F.col("clicks"), F.col("impressions")).alias("ctr"), "position")
+    land_pages(rows, row, [F.col("date"), F.col("query")], path, _PAGE)
+    back = providers.search_rows(read_pages(spark, path, _PAGE), page_size=_PAGE)
+    return rounded(back.groupBy("chunk").agg(F.count_distinct("page").alias("pages"), F.count(F.lit(1)).alias("held"), F.sum("clicks").cast("long").alias("clicks"), F.sum("impressions").cast("long").alias("impressions"), measures.weighted_mean(F.col("position"), F.col("impressions")).alias("position")), "position")
+
+
 # A token's stem in SQL.
 _STEM = "CASE WHEN length(t) > 5 AND t LIKE '%ing' THEN t[:-4] WHEN length(t) > 4 AND t LIKE '%es' THEN t[:-3] WHEN length(t) > 3 AND t LIKE '%s' THEN t[:-2] ELSE t END"
 
