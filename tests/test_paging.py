@@ -130,7 +130,7 @@ def test_sitemaps_without_bounds(spark):
 
 def test_compatibility_forms_of_every_code_point(spark):
     codes = spark.range(0x110000).filter("id < 55296 OR id >= 57344")
-    text = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32BE")
+    text = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex("id"), 8, "0"))), "UTF-32")  # behind a byte-order mark
     wrong = [(r["id"], r["x"]) for r in codes.select("id", unaccented(text).alias("x")).toLocalIterator() if r["x"] != without_marks(chr(r["id"]))]
     assert wrong == []
 
