@@ -21,6 +21,9 @@ block. A block asks for what it lacks, and buckets of the hash space answer:
    adds up, stores alpha, and answers;
 3. each block evaluates its tokens, from the highest order down, and emits its documents' scores.
 
+N-grams are told apart by 64-bit hashes: of N distinct ones about N^2 / 2^65 pairs clash and share a count. At 3 TB, 10^12
+n-grams, that is some 30,000 pairs.
+
 A frequent word or n-gram is one entry per block, so no key is hot; buckets are ranges of a hash, so they are even. What
 a task holds is a block or a bucket; a block is cut between documents, so a text of more than BLOCK words makes a block of
 its own size. Blocks never move: the table's bucketing serves steps 2 and 3. Messages travel as compressed byte planes; the
@@ -52,6 +55,8 @@ ORDER = 2
 BLOCK = 2_000_000
 #: N-grams that a bucket is meant to answer for.
 BUCKET = 500_000
+#: Bytes of an array that are not worth a compressed frame.
+PLAIN = 32
 #: Counts up to this are discounted.
 MOST = 5
 SPARE = 0.5
@@ -67,15 +72,19 @@ def _turn(k: int) -> np.uint64:
 
 
 def squeeze(x: np.ndarray) -> bytes:
-    """An array as zstd-compressed planes of its bytes: high bytes, mostly zero, shrink to nothing."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1) if len(x) else b""
+    """An array as zstd-compressed planes of its bytes: high bytes, mostly zero, shrink to nothing. Few bytes, which a frame
+    would not shorten, are taken as they are; the first byte tells which."""
+    if not len(x):
+        return b""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return b"\0" + planes if len(planes) <= PLAIN else b"\1" + zstandard.compress(planes, 1)
 
 
 def expand(data: bytes, kind: str) -> np.ndarray:
     if not data:
         return np.empty(0, kind)
     size = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    planes = np.frombuffer(zstandard.decompress(data[1:]) if data[0] else data[1:], np.uint8)
     return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
 
 
@@ -185,10 +194,15 @@ def _batch(shape: str, rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in fields], names=[n for n, _ in fields])
 
 
-def _ranges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket, an equal range of the hash space, begins among sorted keys; and the end."""
-    edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+def _ranges(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, begin, end) of each bucket that has some of the sorted keys. Buckets are equal ranges of the hash space: that
+    of a key is key * buckets / 2^64. Work and result go by the keys, not by the buckets."""
+    if not len(keys):
+        return []
+    half, many = np.uint64(32), np.uint64(buckets)
+    own = ((keys >> half) * many + ((keys & np.uint64(0xFFFFFFFF)) * many >> half)) >> half
+    begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    return list(zip(own[begin].tolist(), begin.tolist(), np.append(begin[1:], len(keys)).tolist(), strict=True))
 
 
 def ask_counts(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
@@ -199,8 +213,7 @@ def ask_counts(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
                 weight = np.repeat(block.train, block.sizes).astype(np.float64)
                 for grams in block.orders(order):
                     n = np.bincount(grams.place, weight, len(grams.keys)).astype(np.uint32)
-                    at = _ranges(grams.keys, buckets)
-                    yield _batch(ASKED, [{"order": grams.order, "bucket": i, "block": block.number, "keys": squeeze_keys(grams.keys[a:b]), "n": squeeze(n[a:b])} for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a])
+                    yield _batch(ASKED, [{"order": grams.order, "bucket": i, "block": block.number, "keys": squeeze_keys(grams.keys[a:b]), "n": squeeze(n[a:b])} for i, a, b in _ranges(grams.keys, buckets)])
 
     return blocks.select("block", "train", "sizes", "tokens", "vocab").mapInArrow(run, ASKED)
 
@@ -329,10 +342,8 @@ def ask_weights(reading: Reading, buckets: int) -> list[dict]:
         keys = np.union1d(contexts, need)
         put = lambda values: np.bincount(np.searchsorted(keys, contexts), values, len(keys))  # noqa: B023, E731
         mass, lower, wanted = put(mass), put(lower), np.isin(keys, need, assume_unique=True)
-        at = _ranges(keys, buckets)
-        for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-            if b > a:
-                rows.append({"order": order, "bucket": i, "block": reading.block.number, "keys": squeeze_keys(keys[a:b]), "mass": squeeze(mass[a:b]), "lower": squeeze(lower[a:b]), "need": squeeze(np.packbits(wanted[a:b]))})
+        for i, a, b in _ranges(keys, buckets):
+            rows.append({"order": order, "bucket": i, "block": reading.block.number, "keys": squeeze_keys(keys[a:b]), "mass": squeeze(mass[a:b]), "lower": squeeze(lower[a:b]), "need": squeeze(np.packbits(wanted[a:b]))})
     return rows
 
 
@@ -372,9 +383,15 @@ def katz(docs: DataFrame, train: Column, order: int = ORDER, id_col: str = "doc_
     paths = {x: shared_path(spark, x) for x in ("blocks", "counts", "weights")}
     name = f"sitelode_blocks_{uuid.uuid4().hex}"
     made = tokenised(docs, train, id_col, text_col, block)
-    made.write.bucketBy(wide, "block").option("path", paths["blocks"]).option("compression", "none").saveAsTable(name)
-    blocks = spark.table(name)
-    id_type = made.schema["ids"].dataType.elementType.simpleString()
+    try:
+        made.write.bucketBy(wide, "block").option("path", paths["blocks"]).option("compression", "none").saveAsTable(name)
+        return _scores(spark.table(name), made.schema["ids"].dataType.elementType.simpleString(), paths, order, wide, id_col), paths
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # its name only: the files are in the shared folder, and the plan has them
+
+
+def _scores(blocks: DataFrame, id_type: str, paths: dict[str, str], order: int, wide: int, id_col: str) -> DataFrame:
+    spark = blocks.sparkSession
     # As many buckets as the tokens ask for; a block sends a bucket nothing where it has nothing, so there are never more
     # messages than n-grams.
     buckets = max(wide, math.ceil((blocks.agg(F.sum("n_tokens")).first()[0] or 0) / BUCKET))
@@ -413,8 +430,7 @@ def katz(docs: DataFrame, train: Column, order: int = ORDER, id_col: str = "doc_
 
     shape = f"_id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scores = blocks.select("ids", *columns).groupBy("block").cogroup(first.unionByName(second).groupBy("block")).applyInArrow(score, shape)
-    spark.sql(f"DROP TABLE {name}")  # its name only: the files are in the shared folder, and the plan has them
-    return scores.withColumnRenamed("_id", id_col), paths
+    return scores.withColumnRenamed("_id", id_col)
 
 
 def model_counts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:

@@ -7,11 +7,13 @@ For a row with text t, declared language d, address suffix s and host h, and for
 * text: byte n-grams of the lower-cased words under a hashed, smoothed model per language, tempered by the square root of
   the length (neighbouring n-grams are far from independent). The model is fitted on a bounded sample of the distinct
   texts whose declared language is known: SAMPLE of each language at most, those of least hash. Every declared tag of the
-  form of a language subtag (2 to 8 letters) with LEAST distinct texts or more is a language; a table takes 128 KB for
-  each. Text that is foreign to all of them goes to UNKNOWN, under which all n-grams are alike.
+  form of a language subtag (2 to 8 letters) with LEAST distinct texts or more is a language; the model has six bytes for
+  each of its slots. Text that is foreign to all of them goes to UNKNOWN, under which all n-grams are alike.
 * P(d | L), P(s | L): smoothed tables of how often rows whose text alone points to L declare d or have suffix s.
 * P(L | h): host counts smoothed towards the registered domain's, those towards the whole table's.
 
+A row has a score for each language, so languages cost time and room in proportion to their number.
+
 All tables but the text model come from grouped aggregation over all rows. Rows are joined to their host's prior from a
 written table, so that adaptive execution can broadcast it if it is small and split a hot host if it is not.
 
@@ -24,7 +26,7 @@ carry may have any names but those of the evidence and of the result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,14 +52,28 @@ TEMPER = 1.5
 KEEP_AT = 0.5
 #: Distinct texts that make a declared tag a language.
 LEAST = 4
+#: Scores, texts times languages, that a task holds at once.
+CELLS = 1 << 22
 OTHER, UNKNOWN = "other", "und"
 _READ = StructType([StructField("n_words", LongType()), StructField("letters", BooleanType()), StructField("evidence", ArrayType(DoubleType()))])
 
 
 @dataclass
 class TextModel:
+    """A smoothed table of each language, of which only the slots seen are stored: a few kilobytes for a tag of a few texts."""
+
     languages: list[str]
-    table: np.ndarray  # languages x slots, log probability
+    begins: np.ndarray  # of each language's slots, and the end
+    slots: np.ndarray
+    weights: np.ndarray  # log probability of each slot
+    floors: np.ndarray  # of each language: log probability of a slot that is not seen
+
+    def table(self, k: int) -> np.ndarray:
+        """Log probability of every slot under a language."""
+        own = slice(self.begins[k], self.begins[k + 1])
+        out = np.full(1 << BITS, self.floors[k], np.float32)
+        out[self.slots[own]] = self.weights[own]
+        return out
 
     def scores(self, words: Words) -> np.ndarray:
         """Tempered log likelihood, texts x languages and UNKNOWN, with the best at 0."""
@@ -68,8 +84,8 @@ class TextModel:
             grams = np.bincount(owner, minlength=words.size)
             size = words.per_text(grams[words.ids])
             root = np.sqrt(np.maximum(size, 1))
-            for k, own in enumerate(self.table):
-                each = np.bincount(owner, own[slots], words.size)
+            for k in range(len(self.languages)):
+                each = np.bincount(owner, self.table(k)[slots], words.size)
                 out[:, k] = words.per_text(each[words.ids]) * TEMPER / root
             out[:, -1] = -BITS * np.log(2) * size * TEMPER / root
         return out - out.max(axis=1, keepdims=True) if n else out
@@ -112,32 +128,42 @@ def sampled(rows: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> tuple[
 
 
 def fit_text(rows: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> TextModel:
-    """``rows``: text, declared (null: unlabelled). Slot counts are summed in the tasks, so the driver gets one
-    fixed-size vector for each task and language."""
+    """``rows``: text, declared (null: unlabelled). Slots are counted by language in the tasks and summed by a grouped
+    aggregate, so the driver gets one small row for each slot that a language has."""
     part, sizes = sampled(rows, sample, least)
-    if not sizes:
-        return TextModel([], np.zeros((0, 1 << BITS)))
     languages = sorted(sizes)
     number = {k: i for i, k in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), 1 << BITS), np.float32)
         for batch in batches:
             for piece in slices(batch, 1):
-                words = Words.of(as_bytes(piece.column(1)), lower=True)
-                slots, owner = gram_slots(words)
                 label = np.array([number[x] for x in piece.column(0).to_pylist()], np.int64)
-                for k in np.unique(label).tolist():
-                    own = np.bincount(words.ids, (label == k)[words.doc], words.size) if words.size else np.empty(0)
-                    total[k] += np.bincount(slots, own[owner], 1 << BITS)
-        for k in range(len(languages)):
-            used = np.flatnonzero(total[k])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k, np.int32)), pa.array(used.astype(np.int32)), pa.array(total[k][used].astype(np.float64))], names=["k", "slot", "n"])
-
-    found = part.mapInArrow(run, "k int, slot int, n double").groupBy("k", "slot").agg(F.sum("n").alias("n")).toArrow()
-    table = np.full((len(languages), 1 << BITS), SMOOTH, np.float32)
-    np.add.at(table, (found["k"].to_numpy(), found["slot"].to_numpy()), found["n"].to_numpy().astype(np.float32))
-    return TextModel(languages, np.log(table / table.sum(axis=1, keepdims=True, dtype=np.float64)).astype(np.float32))
+                keys, n = slot_counts(Words.of(as_bytes(piece.column(1)), lower=True), label)
+                yield pa.RecordBatch.from_arrays([pa.array(keys >> BITS, pa.int32()), pa.array(keys & (1 << BITS) - 1, pa.int32()), pa.array(n)], names=["k", "slot", "n"])
+
+    if not languages:
+        return TextModel([], np.zeros(1, np.int64), np.empty(0, np.uint16), np.empty(0, np.float32), np.empty(0))
+    found = part.mapInArrow(run, "k int, slot int, n double").groupBy("k", "slot").agg(F.sum("n").alias("n")).toArrow().sort_by("k")
+    k, n = found["k"].to_numpy(), found["n"].to_numpy()
+    total = np.log(np.bincount(k, n, len(languages)) + SMOOTH * (1 << BITS))
+    begins = np.searchsorted(k, np.arange(len(languages) + 1))
+    return TextModel(languages, begins, found["slot"].to_numpy().astype(np.uint16), (np.log(n + SMOOTH) - total[k]).astype(np.float32), np.log(SMOOTH) - total)
+
+
+def slot_counts(words: Words, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(label << BITS | slot, how often) over the texts of each label."""
+    slots, owner = gram_slots(words)
+    if not len(slots):
+        return np.empty(0, np.int64), np.empty(0)
+    order = np.argsort(owner, kind="stable")
+    slots, grams = slots[order], np.bincount(owner, minlength=words.size)
+    begin = np.cumsum(grams) - grams
+    pairs, often = np.unique(label[words.doc] * words.size + words.ids, return_counts=True)
+    own, word = np.divmod(pairs, words.size)
+    many = grams[word]
+    at = np.repeat(begin[word] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    keys, place = np.unique(np.repeat(own << BITS, many) | slots[at], return_inverse=True)
+    return keys, np.bincount(place, np.repeat(often, many), len(keys))
 
 
 def read_text(rows: DataFrame, model: TextModel, carry: list[str]) -> DataFrame:
@@ -148,17 +174,25 @@ def read_text(rows: DataFrame, model: TextModel, carry: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, batch.num_columns - 1):
+            for part in rows_of(slices(batch, batch.num_columns - 1), 1 + CELLS // (1 + len(model.languages))):
                 raw = as_bytes(part.column(part.num_columns - 1))
                 words = Words.of(raw, lower=True)
                 scores = model.scores(words)
                 letters = [any(map(str.isalpha, x.decode())) for x in raw]
-                arrays = [pa.array(words.counts), pa.array(letters, pa.bool_()), pa.array(list(scores), pa.list_(pa.float64()))]
+                ends = pa.array(np.arange(len(raw) + 1, dtype=np.int32) * scores.shape[1])
+                arrays = [pa.array(words.counts), pa.array(letters, pa.bool_()), pa.ListArray.from_arrays(ends, pa.array(scores.ravel()))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], names=names)
 
     return slim.mapInArrow(run, shape)
 
 
+def rows_of(parts: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The parts in runs of at most so many rows."""
+    for part in parts:
+        for at in range(0, part.num_rows, most):
+            yield part.slice(at, most)
+
+
 def domain_of(host: Column) -> Column:
     """The last two labels of a host name."""
     return F.array_join(F.slice(F.split(host, r"\."), F.greatest(F.size(F.split(host, r"\.")) - 1, F.lit(1)), 2), ".")
@@ -178,23 +212,29 @@ def identify(rows: DataFrame, carry: list[str], sample: int = SAMPLE, keep_at: f
     read = written(read_text(clean.withColumns({"_declared": tag, "_suffix": F.col("suffix"), "_host": F.col("host"), "_domain": domain_of(F.col("host"))}), model, [*carry, "_declared", "_suffix", "_host", "_domain"]), "language")
     best = F.array_position("evidence", F.array_max("evidence")).cast("int") - 1
     voters = read.filter("letters").select("_declared", "_suffix", "_host", "_domain", best.alias("_k"))
-    each = [F.sum(F.when(F.col("_k") == k, 1.0).otherwise(0.0)) for k in range(n)]
-    counts = lambda key: voters.filter(F.col(key).isNotNull()).groupBy(key).agg(F.array(*each).alias("c"))
-    overall = voters.agg(*[F.coalesce(x, F.lit(0.0)) for x in each]).first()
-    prior = np.array(overall, float) + 1
+
+    def counts(*key: str) -> DataFrame:
+        """Votes by key as an array over the languages, counted as rows of (key, language) first."""
+        votes = voters.filter(F.col(key[0]).isNotNull()).groupBy(*key, "_k").agg(F.count(F.lit(1)).cast("double").alias("v"))
+        found = votes.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_k", "v"))).alias("m"))
+        return found.select(*key, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0.0))).alias("c"))
+
+    overall = [0.0] * n  # one row for each language
+    for r in voters.groupBy("_k").count().collect():
+        overall[r["_k"]] = float(r["count"])
+    prior = np.array(overall) + 1
     prior = (prior / prior.sum()).tolist()
     base = F.array(*map(F.lit, prior))
 
     def likelihood(table: DataFrame) -> DataFrame:
         """log P(value | language), up to what all values share: counts over the language's, smoothed by STRENGTH rows."""
-        return table.withColumn("e", F.zip_with("c", F.array(*[F.lit(float(x)) for x in overall]), lambda c, t: F.log((c + 1) / (t + STRENGTH))))
+        return table.withColumn("e", F.zip_with("c", F.array(*map(F.lit, overall)), lambda c, t: F.log((c + 1) / (t + STRENGTH))))
 
     declared = likelihood(counts("_declared")).select("_declared", F.col("e").alias("_ed"))  # one row for each language, and one for OTHER
     suffixes = written(likelihood(counts("_suffix")).select("_suffix", F.col("e").alias("_es")), "suffixes")
     smooth = lambda c, towards: F.zip_with(c, towards, lambda a, b: (a + STRENGTH * b) / (F.aggregate(c, F.lit(0.0), lambda s, y: s + y) + STRENGTH))
     domains = counts("_domain").select("_domain", smooth(F.col("c"), base).alias("_pd"))
-    by_host = voters.filter(F.col("_host").isNotNull()).groupBy("_host", "_domain").agg(F.array(*each).alias("c"))
-    hosts = written(by_host.join(domains, "_domain").select("_host", F.transform(smooth(F.col("c"), F.col("_pd")), lambda p: F.log(p)).alias("_ep")), "hosts")
+    hosts = written(counts("_host", "_domain").join(domains, "_domain").select("_host", F.transform(smooth(F.col("c"), F.col("_pd")), lambda p: F.log(p)).alias("_ep")), "hosts")
     add = lambda a, b: F.when(b.isNull(), a).otherwise(F.zip_with(a, b, lambda x, y: x + y))
     joined = read.join(F.broadcast(declared), "_declared", "left").join(suffixes, "_suffix", "left").join(hosts, "_host", "left")
     fused = add(add(add(F.col("evidence"), F.col("_ed")), F.col("_es")), F.coalesce("_ep", F.array(*[F.log(F.lit(p)) for p in prior])))
