@@ -277,12 +277,12 @@ def f10_text_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.block_hash(t).alias("block_hash"), text.cache_hash(t).alias("cache_hash"), text.approximate_tokens(t).alias("approximate_tokens"))
 
 
-@query(
-    "f12_sentences",
-    """WITH t AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS x FROM documents), p AS (SELECT doc_id, string_split(regexp_replace(x, '([.!?])\\s+([A-Z0-9"''])', '\\1' || chr(10) || '\\2', 'g'), chr(10)) AS parts FROM t),
+_SENTENCES_SQL = """WITH t AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS x FROM documents), p AS (SELECT doc_id, string_split(regexp_replace(x, '([.!?])\\s+([A-Z0-9"''])', '\\1' || chr(10) || '\\2', 'g'), chr(10)) AS parts FROM t),
     u AS (SELECT doc_id, unnest(parts) AS sentence, unnest(range(len(parts))) AS i FROM p), g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS place FROM u WHERE length(sentence) >= 55 AND len(string_split(sentence, ' ')) >= 8),
-    h AS (SELECT doc_id, CAST(place AS INT) AS place, sentence, sha1(lower(sentence)) AS hash FROM g) SELECT doc_id, place, sentence, hash FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, hash ORDER BY place) rn FROM h) WHERE rn = 1""",
-)
+    h AS (SELECT doc_id, CAST(place AS INT) AS place, sentence, sha1(lower(sentence)) AS hash FROM g), f AS (SELECT doc_id, place, sentence, hash FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, hash ORDER BY place) rn FROM h) WHERE rn = 1)"""
+
+
+@query("f12_sentences", _SENTENCES_SQL + " SELECT doc_id, place, sentence, hash FROM f")
 def f12_sentences(spark: SparkSession, sf: str) -> DataFrame:
     """First of equal sentences in a document."""
     rows = table(spark, sf, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("place", "sentence")).withColumn("hash", text.block_hash(F.col("sentence")))
@@ -759,7 +759,9 @@ def c7_templates(spark: SparkSession, sf: str) -> DataFrame:
 def r14_profiles(spark: SparkSession, sf: str) -> DataFrame:
     pages = stored(_snapshots(spark, sf), "snapshots")
     shares = markup.repeated_blocks(markup.unfolded(pages, "blocks")).select("page_id", "repeated_share")
-    return profiles.profiles(pages.join(shares, "page_id", "left"))
+    found = profiles.profiles(pages.join(shares, "page_id", "left"))
+    named = lambda c: F.array_join(F.transform(c, lambda r: F.concat(r["key"], F.lit(" "), r["points"].cast("string"))), ", ")
+    return found.withColumns({c: named(c) for c in ("page_type_reasons", "primary_task_reasons")})
 
 
 @query("r24_audit", oracle_with("crawl_pages", "crawl_links") + f""", k AS (SELECT *, {_key_sql('url')} AS raw_key, CASE WHEN canonical_url LIKE 'https://site.example/%' THEN {_key_sql('canonical_url')} ELSE {_key_sql('url')} END AS resolved_key FROM crawl_pages), i AS (SELECT to_key, COUNT(*) inbound FROM crawl_links WHERE from_key <> to_key GROUP BY 1),
@@ -788,6 +790,20 @@ def j19_word_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return links.word_candidates(targets, sentences, existing)
 
 
+@query(
+    "r16_estimate",
+    _SENTENCES_SQL
+    + """, d AS (SELECT DISTINCT doc_id, source FROM documents), a AS (SELECT source AS site, COUNT(DISTINCT doc_id) AS p, COUNT(*) AS n, SUM(length(sentence)) AS chars FROM f JOIN d USING (doc_id) GROUP BY 1),
+    b AS (SELECT site, least(p, 1000) AS pages, least(n, least(p, 1000) * 50) AS sentences, CAST(chars AS DOUBLE) / n AS size FROM a), c AS (SELECT site, pages, sentences, CAST(floor(sentences * greatest(12.0, size / 4) + 0.5) AS BIGINT) AS embedding_tokens, CAST(225000 AS BIGINT) AS review_tokens FROM b)
+    SELECT *, round(embedding_tokens / 1000000.0::DOUBLE * 0.15, 9) AS embedding_cost, round(review_tokens / 1000000.0::DOUBLE * 0.2, 9) AS review_cost, round(embedding_tokens / 1000000.0::DOUBLE * 0.15 + review_tokens / 1000000.0::DOUBLE * 0.2, 9) AS total_cost FROM c""",
+)
+def r16_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each source's documents, were they its pages; a priced provider for both steps."""
+    source = table(spark, sf, "documents").select("doc_id", F.col("source").alias("site")).distinct()
+    rows = f12_sentences(spark, sf).join(source, "doc_id").withColumnRenamed("doc_id", "page_key")
+    return rounded(links.estimate(rows, ["site"], embedding="gemini", review="openai"), "embedding_cost", "review_cost", "total_cost", digits=9)
+
+
 @query("r16_recommendations")
 def r16_recommendations(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates by shared words or near vectors, scored, three for each target, chosen under the caps. A page's vector

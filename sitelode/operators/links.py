@@ -69,6 +69,45 @@ def hashed_cells(vector: Column, dims: int, planes: int, tables: int) -> Column:
     return cells(vector)
 
 
+# Sentences that are not embedded, the tokens of each, those of a review, and what a million of them costs in
+# the currency of the price lists, by a part of the provider's or model's name; the empty one is any other.
+MOST_LINKED, MOST_BOILERPLATE = 0.35, 0.65
+LEAST_TOKENS, NO_SENTENCE, REVIEW_TOKENS = 12, 120, 450
+FREE_PROVIDERS = ("local", "local-rules", "ollama")
+EMBEDDING_PRICES = (("cohere", 0.10), ("voyage", 0.12), ("jina", 0.02), ("gemini", 0.15), ("", 0.02))
+REVIEW_PRICES = (("anthropic", 0.80), ("gemini", 0.15), ("openrouter", 0.30), ("", 0.20))
+
+
+def price(name: str, prices: tuple[tuple[str, float], ...]) -> float:
+    """Of a million tokens; ``name`` is a provider, or a provider and a model with a colon between."""
+    name = name.strip().lower()
+    return 0.0 if name.split(":")[0] in ("", *FREE_PROVIDERS) else next(n for part, n in prices if part in name)
+
+
+def estimate(sentences: DataFrame, by: list[str], max_pages: int = 1000, max_sentences: int = 50, most_links: int = 500, embedding: str = "local", review: str = "local") -> DataFrame:
+    """What a run of the recommender over each group of sentences would take: ``by``, pages, sentences, embedding_tokens,
+    review_tokens, embedding_cost, review_cost and total_cost.
+
+    ``sentences``: ``by``, page_key, sentence, and where they are known link_density and boilerplate. The bounds are those of
+    the run: pages, sentences of a page, and links to review. One aggregate, counted in the tasks first."""
+    max_pages, max_sentences, most_links = min(max(max_pages, 1), 10_000), min(max(max_sentences, 1), 250), min(max(most_links, 1), 1000)
+    rows = sentences
+    if "link_density" in rows.columns:
+        rows = rows.filter(F.coalesce("link_density", F.lit(0.0)) <= MOST_LINKED)
+    if "boilerplate" in rows.columns:
+        rows = rows.filter(F.coalesce("boilerplate", F.lit(0.0)) < MOST_BOILERPLATE)
+    each = rows.groupBy(*by, "page_key").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("sentence")), F.lit(0)).alias("chars"))
+    all_ = each.groupBy(*by).agg(F.count("page_key").alias("p"), F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    pages = F.least(F.col("p"), F.lit(max_pages))
+    count = F.least(F.col("n"), pages * max_sentences)
+    size = F.when(count > 0, F.col("chars") / F.col("n")).otherwise(float(NO_SENTENCE))
+    tokens = F.floor(count * F.greatest(F.lit(float(LEAST_TOKENS)), size / 4) + 0.5)
+    out = all_.select(*by, pages.alias("pages"), count.alias("sentences"), tokens.alias("embedding_tokens"), F.lit(most_links * REVIEW_TOKENS).cast("long").alias("review_tokens"))
+    cost = lambda c, x: F.col(c) / 1_000_000 * x
+    out = out.withColumns({"embedding_cost": cost("embedding_tokens", price(embedding, EMBEDDING_PRICES)), "review_cost": cost("review_tokens", price(review, REVIEW_PRICES))})
+    return out.withColumn("total_cost", F.col("embedding_cost") + F.col("review_cost"))
+
+
 # Addresses that are no pages, and pages that are not linked.
 ASSET_URL = r"(?i)\.(?:avif|css|gif|ico|jpe?g|js|json|mov|mp3|mp4|pdf|png|svg|webm|webp|woff2?|xml|zip)(?:[?#].*)?$"
 ASSET_PATH = r"(?i)/(?:wp-content/uploads|uploads|assets|static|media)/"

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitelode.functions.text import STOP_WORDS
-from sitelode.operators import choice, words_met
+from sitelode.operators import choice, links, words_met
 from sitelode.operators.components import component_of
 
 SHAPE = "site string, source_key string, target_key string, anchor string, score int"
@@ -98,3 +98,15 @@ def test_words_that_all_have_bring_few_together(spark):
     n = sum(m.count() for m in met)
     kept = sum(m.filter(F.col("first") & (F.col("overlap") >= 2)).count() for m in met)
     assert kept > 1000 and n <= 3 * kept
+
+
+def test_estimate_of_a_run(spark):
+    rows = [("a", f"p{i % 3}", "x" * 100, 0.0, 0.0) for i in range(9)] + [("a", "p9", "x" * 100, 0.4, 0.0), ("a", "p9", "x", None, 0.65), ("b", "q", "x" * 10, None, None), ("b", "q", None, 0.35, 0.64)]
+    sentences = spark.createDataFrame(rows, "site string, page_key string, sentence string, link_density double, boilerplate double")
+    found = {r["site"]: r for r in links.estimate(sentences, ["site"], max_pages=2, max_sentences=3, most_links=5000, embedding="Voyage:v-3", review="ollama").collect()}
+    a, b = found["a"], found["b"]
+    assert (a["pages"], a["sentences"], a["embedding_tokens"], a["review_tokens"]) == (2, 6, 150, 450_000)
+    assert abs(a["total_cost"] - 150 / 1e6 * 0.12) < 1e-15 and a["review_cost"] == 0
+    assert (b["pages"], b["sentences"], b["embedding_tokens"]) == (1, 2, 24)
+    assert links.estimate(sentences.limit(0), ["site"]).collect() == []
+    assert [links.price(x, links.REVIEW_PRICES) for x in ("", "local", "openrouter:gemini", "other:anthropic-x", "openai")] == [0, 0, 0.15, 0.8, 0.2]

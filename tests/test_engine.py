@@ -281,6 +281,22 @@ def test_profiles(spark):
     assert [(r["page_type"], r["primary_task"]) for r in found] == [(a, b) for *_, a, b in pages]
 
 
+def test_reasons_of_profiles(spark):
+    fields = "page_id long, url string, title string, h1_text string, word_count int, h1_count int, regions array<struct<role:string,dom_path:string>>, has_ratings boolean"
+    rows = [(0, "https://s.example/q", "Guide to answers", "", 1500, 1, [], False), (1, "https://s.example/w", "Hello", "", 10, 1, [], None), (2, "https://s.example/e", "A vs B", "", 10, 1, [], True)]
+    guide, plain, rated = profiles.profiles(spark.createDataFrame(rows, fields)).orderBy("page_id").collect()
+    pairs = lambda r, c: [(x["key"], x["points"]) for x in r[f"{c}_reasons"]]
+    # guide 34 + 12 beats faq 44; article has 12
+    assert guide["page_type"] == "guide" and pairs(guide, "page_type") == [("guide-signals", 34), ("longform-guide", 12)]
+    assert (guide["page_type_score"], guide["page_type_share"], guide["page_type_confidence"]) == (46, 0.451, 0.276)
+    assert guide["primary_task"] == "learn" and pairs(guide, "primary_task") == [("guide-learn", 28), ("faq-learn", 14)]
+    assert pairs(plain, "page_type") == pairs(plain, "primary_task") == [("fallback", 1)]
+    assert (plain["page_type"], plain["page_type_score"], plain["page_type_share"], plain["page_type_confidence"]) == ("article", 1, 1.0, 0.05)
+    # the lead of 42 points counts as 40
+    assert (rated["page_type"], rated["page_type_confidence"], rated["page_type_label"]) == ("comparison", 0.681, "medium")
+    assert rated["primary_task"] == "compare" and rated["primary_task_confidence"] == 0.21
+
+
 def test_queue(spark):
     t = lambda m: datetime(2026, 1, 1, 0, m)
     rows = [(1, 1, "a", "running", t(0)), (2, 1, "a", "queued", t(1)), (3, 1, "b", "queued", t(2)), (4, 2, "a", "queued", t(3)), (5, 2, "a", "queued", t(4))]
