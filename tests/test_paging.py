@@ -112,6 +112,14 @@ def test_the_frontier_is_that_of_a_queue(spark, most, depth):
     assert [(r["page_key"], r["depth"], r["discovered_from"], r["discovered_from_key"], r["place"]) for r in rows] == queue(seeds, links, depth, most)
 
 
+def test_a_frontier_takes_in_every_seed_where_it_is_asked_to(spark):
+    seeds = spark.createDataFrame([(f"/s{i}", "sitemap") for i in range(6)], "page_key string, discovered_from string")
+    links = spark.createDataFrame([(f"/s{i}", f"/t{i}") for i in range(6)], "from_key string, to_key string")
+    keys = lambda most: [r["page_key"] for r in graph.frontier(seeds, links, 2, most, all_seeds=True).orderBy("place").collect()]
+    assert keys(4) == keys(6) == [f"/s{i}" for i in range(6)]
+    assert keys(8) == [*(f"/s{i}" for i in range(6)), "/t0", "/t1"]
+
+
 def test_a_frontier_of_odd_tables(spark):
     links = spark.createDataFrame([("/a", "/b"), ("/a", None), (None, "/c")], "from_key string, to_key string")
     none = spark.createDataFrame([], "page_key string, discovered_from string")
