@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,8 +111,15 @@ def _first(rows: DataFrame, column: str, most: int | None) -> DataFrame:
 
 
 def export_columns(grid: DataFrame, dimension: str) -> DataFrame:
-    """Report columns as text: rates with two decimals and a percent sign, positions with one."""
-    return grid.select(F.col(dimension), F.col("clicks").cast("string"), F.col("impressions").cast("string"), F.format_string("%.2f%%", F.col("ctr") * 100).alias("ctr"), F.format_string("%.1f", F.col("position")).alias("position"))
+    """Report columns as text: rates with two decimals and a percent sign, positions with one. A number is rounded by its
+    binary value, as C does; the JVM rounds its shortest decimal form, so that 4.085 would give 4.09 in place of 4.08."""
+
+    @F.pandas_udf("string")
+    def shown(values: pd.Series, digits: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(v) else f"{v:.{n}f}" for v, n in zip(values, digits, strict=True)], dtype=object)
+
+    ctr = F.concat(shown(F.col("ctr") * 100, F.lit(2)), F.lit("%"))
+    return grid.select(F.col(dimension), F.col("clicks").cast("string"), F.col("impressions").cast("string"), ctr.alias("ctr"), shown(F.col("position").cast("double"), F.lit(1)).alias("position"))
 
 
 def write_csv(grid: DataFrame, path: str) -> None:

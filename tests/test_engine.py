@@ -247,6 +247,14 @@ def test_export(spark, tmp_path):
     assert lines[1].startswith('"a ""q"", b",1,3,33.33%,2.')
 
 
+def test_export_rounds_halves_as_c_does(spark):
+    """4.085 is a little less in binary, 4.095 a little more; 2.25 is a true half, which goes to the even digit."""
+    rows = [(f"q{i}", 1, 3, x / 100, p) for i, (x, p) in enumerate([(4.085, 2.25), (4.095, 2.35), (1.005, 0.05), (100.0, 12.0)])]
+    got = providers.export_columns(spark.createDataFrame(rows, "query string, clicks long, impressions long, ctr double, position double"), "query").collect()
+    assert [(r["ctr"], r["position"]) for r in got] == [("%.2f%%" % (ctr * 100), "%.1f" % p) for *_, ctr, p in rows]
+    assert got[0]["ctr"] == "4.08%" and got[0]["position"] == "2.2"
+
+
 PAGE = """<html lang=en><head><title>Room guide</title><meta name=robots content="noindex,follow"><meta name=description content="About rooms"><link rel=canonical href="/guide"><style>p{}</style></head><body>
 <header class=site><nav><ul><li><a href="/">Home</a><li><a href="/g">Guides</a></ul></nav><div class=breadcrumb-trail><a href="/">Home</a></div></header>
 <main><article><h1>Room guide</h1><section id=basics><h2>Basics</h2><p>Start by measuring the room and finding every surface that reflects sound towards you. Then read the second sentence, which is long enough too.
