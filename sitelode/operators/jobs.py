@@ -54,11 +54,12 @@ def covering(requests: DataFrame, jobs: DataFrame) -> DataFrame:
     running, retrying, queued, completed, the tightest, the newest.
 
     A request meets a job in the one span of the job's range that holds the request's first day, so a site with very many
-    jobs is split by time, and only jobs that reach over that day meet the request."""
+    jobs is split by time, and only jobs that reach over that day meet the request. Both sides are dealt by the join: each
+    row becomes several, which Spark's size estimate leaves out, so a broadcast would bring many times the table to the driver."""
     rank = F.when(F.col("status") == "running", 0).when(F.col("status") == "retrying", 1).when(F.col("status") == "queued", 2).otherwise(3)
     asked = requests.withColumn("_span", F.explode(spans_of_day(F.col("want_start"))))
     known = jobs.withColumnRenamed("id", "job_id").withColumn("_span", F.explode(spans_of_range(F.col("start"), F.col("end"))))
-    both = asked.join(known, ["owner", "site", "_span"]).filter("end >= want_end")
+    both = asked.join(known.hint("merge"), ["owner", "site", "_span"]).filter("end >= want_end")
     exact = ((F.col("start") == F.col("want_start")) & (F.col("end") == F.col("want_end"))).cast("int")
     own = Window.partitionBy("request_id").orderBy(exact.desc(), rank, F.desc("start"), F.asc("end"), F.desc("updated_at"), F.desc("job_id"))
     return both.withColumn("_rn", F.row_number().over(own)).filter("_rn = 1").select("request_id", "job_id")
