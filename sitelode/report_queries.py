@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog_queries import _BLEND, _JUDGED, BOUNCE, CRAWLED, CTR, DAYS, END, ORACLE, POSITION, QUERIES, SITE, START, SUMS, _key_sql, _log, blended, page_store, query, rounded
+from .catalog_queries import _BLEND, _JUDGED, BOUNCE, CRAWLED, CTR, DAYS, END, ORACLE, POSITION, QUERIES, SCOPED_BUCKET_ROWS, SITE, START, SUMS, _key_sql, _log, blended, page_store, query, rounded
 from .functions import classify, dates, keys, measures
 from .operators import blend, coverage, graph, jobs, profiles, reports
 from .plans import query_sketches
@@ -37,7 +37,7 @@ def scoped_pages(spark: SparkSession, sf: str) -> PageStore:
         links = fact(spark, sf, "scoped_links").filter("from_key <> to_key").groupBy("site", "to_key").agg(F.count(F.lit(1)).alias("inbound"))
         return store.add_search(fact(spark, sf, "scoped_daily")).add_traffic(fact(spark, sf, "scoped_traffic")).add_crawl(fact(spark, sf, "scoped_crawl"), links, SITE, CRAWLED)
 
-    return page_store(spark, sf, "scoped", fill)
+    return page_store(spark, sf, "scoped", fill, SCOPED_BUCKET_ROWS)
 
 
 _OF_SITE = "owner = 'owner1' AND site = 'https://site-3.example'"

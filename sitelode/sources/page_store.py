@@ -5,7 +5,8 @@ it in each bucket. A report names a site and a range, so partitions are pruned;
 page key is one aggregate over the bucketed scan, which needs no exchange, whatever the number of sources.
 
 A bucket holds the keys of one hash value range for all sources. A page with very many rows (one for each query and day) is
-read by one task of each report; ``buckets`` should be such that a bucket of a site and range fits a task.
+read by one task of each report; ``buckets`` should be such that a bucket of a site and range fits a task, so it grows with
+the rows. Rows are written by ``tasks`` tasks, each with whole buckets of some sites and months.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ class PageStore:
     """One table in the shared folder. Rows are added by source; a day or crawl must be added once (see ``merge`` for
     replacing partitions)."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, name: str | None = None):
+    def __init__(self, spark: SparkSession, buckets: int | None = None, name: str | None = None, tasks: int | None = None):
         self.spark = spark
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets, self.tasks = buckets or shuffled, max(tasks or 0, shuffled)
         self.name = name or f"sitelode_pages_{uuid.uuid4().hex}"
         self.path = f"{shared_root(spark)}/sitelode/{self.name}"
 
@@ -40,8 +42,9 @@ class PageStore:
         whole = rows.withColumns({"source": F.lit(source), "site": own("site", site), "owner": own("owner", owner), "month": month})
         fields = [x.rsplit(" ", 1) if "struct" not in x else x.split(" ", 1) for x in _fields(SHAPE)]
         shown = [(F.col(n) if n in whole.columns else F.lit(None)).cast(kind).alias(n) for n, kind in fields]
-        # One task for each bucket, so that a partition has one file a bucket.
-        dealt = whole.select(*shown).repartition(self.buckets, "page_key")
+        # Spark's own bucket of a key: each bucket of a site and month goes to one task, so that it is one file.
+        bucket = F.pmod(F.hash("page_key"), F.lit(self.buckets))
+        dealt = whole.select(*shown).repartition(self.tasks, bucket, "site", "month")
         dealt.write.mode("append").partitionBy("source", "site", "month").bucketBy(self.buckets, "page_key").sortBy("page_key").option("path", self.path).saveAsTable(self.name)
 
     def add_search(self, daily: DataFrame, site: str | None = None, owner: str | None = None) -> PageStore:

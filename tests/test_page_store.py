@@ -116,3 +116,18 @@ def test_reports_read_one_store(spark, sf):
     for name in ("r11_blend", "r12_reconciliation"):
         assert first.name in catalog_queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert report_queries.scoped_pages(spark, sf).table.groupBy("source").count().count() == 3
+
+
+def test_a_store_grows_with_its_table(spark, sf, facts):
+    """Buckets and writing tasks by the rows; still one file for each bucket of a partition, and no exchange in its reports."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    few, many = (catalog_queries.page_store(spark, sf, f"of {n}", lambda s: s, n).buckets for n in (rows, rows // 10))
+    assert few < many
+    made = PageStore(spark, 3, tasks=7).add_search(facts[0])
+    try:
+        at = F.input_file_name()
+        files = made.table.select("source", "site", "month", F.pmod(F.hash("page_key"), F.lit(3)).alias("b"), at.alias("f")).distinct()
+        assert made.tasks == 7 and files.count() == files.select("source", "site", "month", "b").distinct().count()
+        assert files.groupBy("f").agg(F.count_distinct("b").alias("n")).filter("n > 1").count() == 0
+    finally:
+        made.drop()
