@@ -325,6 +325,22 @@ def test_nearest_and_its_cells(spark):
     assert len(exact) == 200 and len(exact & cells) / len(exact) >= 0.9
 
 
+def test_nearest_of_blocks(spark, monkeypatch):
+    """Equal to comparing one by one: copies, other lengths, no vector; no row of a vector is made many times for its cells."""
+    import numpy as np
+
+    monkeypatch.setattr(links, "PACK", 7)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(12, 8))
+    rows = [(f"k{i:02}", base[i % 12].tolist()) for i in range(60)] + [("short", [1.0]), ("zero", [0.0] * 8), ("none", None)]
+    item = spark.createDataFrame(rows, "item string, vector array<double>")
+    found = links.nearest(item.withColumnRenamed("item", "target"), item, 4, 0.2)
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, v in rows if v and any(v)}
+    want = {t: sorted((-round(float(a @ b), 9), i) for i, b in unit.items() if len(b) == len(a) and a @ b >= 0.2)[:4] for t, a in unit.items()}
+    assert sorted((r["target"], r["place"], r["item"]) for r in found.collect()) == sorted((t, n + 1, i) for t, w in want.items() for n, (_, i) in enumerate(w))
+    assert "Generate" not in links.nearest(item.withColumnRenamed("item", "target"), item, 4, 0.3, dims=8, planes=4)._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
 def test_recall_of_the_registered_cells(spark, size):
     from sitelode import catalog_queries as c
