@@ -146,10 +146,12 @@ def test_long_links_and_headings_are_read_whole():
     assert len(bounded["title"]) == 220 and len(next(b for b in bounded["blocks"] if b["block_type"] == "p")["headings"][0]) <= 180
 
 
-def test_covering_jobs_are_not_broadcast(spark):
+def test_covering_jobs_are_not_broadcast(spark, tmp_path):
     """Each job and request becomes several spans, which the size estimate of a broadcast leaves out."""
     made = spark.createDataFrame([(1, 1, 1, "queued", date(2026, 1, 1), date(2026, 1, 20), 1)], "id long, owner long, site long, status string, start date, end date, updated_at long")
     asked = spark.createDataFrame([(7, 1, 1, date(2026, 1, 3), date(2026, 1, 9))], "request_id long, owner long, site long, want_start date, want_end date")
-    found = jobs.covering(asked, made)
+    for name, rows in (("made", made), ("asked", asked)):  # Spark knows the size of files
+        rows.write.parquet(f"{tmp_path}/{name}")
+    found = jobs.covering(*(spark.read.parquet(f"{tmp_path}/{name}") for name in ("asked", "made")))
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in found.collect()] == [(7, 1)]
