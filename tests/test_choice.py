@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from sitelode import catalog_queries
 from sitelode.functions.text import STOP_WORDS
 from sitelode.operators import choice, links, words_met
 from sitelode.operators.components import component_of
@@ -100,6 +101,21 @@ def test_words_that_all_have_bring_few_together(spark):
     assert kept > 1000 and n <= 3 * kept
 
 
+def test_a_pair_meets_once_however_many_words_it_shares(spark):
+    text = " ".join(f"common{i}" for i in range(40))
+    targets = spark.createDataFrame([(f"/t{i}", text) for i in range(5)], "target_key string, text string")
+    sentences = spark.createDataFrame([(f"/s{i}", "h", text) for i in range(20)], "source_key string, sentence_id string, sentence string")
+    assert sum(m.count() for m in words_met.meetings(targets, sentences)) == 100
+
+
+def test_registered_word_candidates_are_those_of_the_asking_pages(spark):
+    sf = "/root/testdata/sf0.01"
+    known, *frames = catalog_queries._linkable(spark, sf)
+    asking = {r["page_key"] for r in known.filter("page_id % 100 = 0").collect()}
+    want = sorted(tuple(r) for r in words_met.word_candidates(*frames).collect() if r["target_key"] in asking)
+    assert want and sorted(tuple(r) for r in catalog_queries.QUERIES["j19_word_candidates"](spark, sf).collect()) == want
+
+
 def test_estimate_of_a_run(spark):
     rows = [("a", f"p{i % 3}", "x" * 100, 0.0, 0.0) for i in range(9)] + [("a", "p9", "x" * 100, 0.4, 0.0), ("a", "p9", "x", None, 0.65), ("b", "q", "x" * 10, None, None), ("b", "q", None, 0.35, 0.64)]
     sentences = spark.createDataFrame(rows, "site string, page_key string, sentence string, link_density double, boilerplate double")
