@@ -116,6 +116,14 @@ def test_registered_word_candidates_are_those_of_the_asking_pages(spark):
     assert want and sorted(tuple(r) for r in catalog_queries.QUERIES["j19_word_candidates"](spark, sf).collect()) == want
 
 
+def test_anchors_are_found_by_many_tasks(spark):
+    """Candidates take few bytes each, so that adaptive execution puts all of them into one partition."""
+    rows = spark.range(2000).selectExpr("concat('a red bicycle bell here ', id) sentence", "'/bicycle-bell' target_key", "'Bicycle bell' title", "'' h1_text")
+    found = links.anchored(rows.groupBy("target_key", "title", "h1_text", "sentence").count())
+    shown = found.withColumn("task", F.spark_partition_id()).collect()
+    assert {r["anchor"] for r in shown} == {"bicycle bell"} and len({r["task"] for r in shown}) > 1
+
+
 def test_estimate_of_a_run(spark):
     rows = [("a", f"p{i % 3}", "x" * 100, 0.0, 0.0) for i in range(9)] + [("a", "p9", "x" * 100, 0.4, 0.0), ("a", "p9", "x", None, 0.65), ("b", "q", "x" * 10, None, None), ("b", "q", None, 0.35, 0.64)]
     sentences = spark.createDataFrame(rows, "site string, page_key string, sentence string, link_density double, boilerplate double")
