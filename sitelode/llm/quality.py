@@ -59,8 +59,8 @@ def repeated_words(words: Words, n: int = 3) -> np.ndarray:
         for k in range(1, n):
             key = np.unique(key * words.size + words.ids[at + k], return_inverse=True)[1]
     # Windows that occur once in the whole batch drop out before the exact comparison inside each text.
-    slot = (mix(key.view(np.uint64)) >> np.uint64(64 - 22)).astype(np.int64)
-    seen = np.bincount(slot, minlength=1 << 22)
+    slot = (mix(key.view(np.uint64)) >> np.uint64(64 - 20)).astype(np.int64)
+    seen = np.bincount(slot, minlength=1 << 20)
     maybe = np.flatnonzero(seen[slot] > 1)
     doc, key = words.doc[at[maybe]], key[maybe]
     order = np.lexsort((key, doc))
@@ -241,14 +241,14 @@ def _fitted(rows: list[tuple[object, int, int, np.ndarray, np.ndarray]]) -> Mode
     label, held = np.array([x[1] for x in rows], np.float64), np.array([x[2] == 0 for x in rows], bool)
     if any(len(set(label[x])) < 2 for x in (held, ~held)):
         return None
-    parts, start = [], 0  # runs of rows, so that the arithmetic needs little room besides the sample
+    parts, start, n = [], 0, len(rows)  # runs of rows, so that the arithmetic needs little room besides the sample
     sizes = np.array([len(x[3]) for x in rows])
-    for stop in range(1, len(rows) + 1):
-        if stop == len(rows) or sizes[start:stop].sum() >= 1 << 18:
-            own = np.repeat(np.arange(start, stop), sizes[start:stop])
-            parts.append((own, np.concatenate([x[3] for x in rows[start:stop]]).astype(np.int64), np.concatenate([x[4] for x in rows[start:stop]])))
+    for stop in range(1, n + 1):
+        if stop == n or sizes[start:stop].sum() >= 1 << 18:
+            own = np.repeat(np.arange(start, stop, dtype=np.int32), sizes[start:stop])
+            parts.append((own, np.concatenate([x[3] for x in rows[start:stop]]), np.concatenate([x[4] for x in rows[start:stop]])))
+            rows[start:stop] = [None] * (stop - start)  # a run takes the place of its rows: the sample is held once
             start = stop
-    n = len(rows)
     rows.clear()
     share = label[~held].mean()
     weight = np.where(held, 0.0, np.where(label == 1, 0.5 / share, 0.5 / (1 - share))) / (~held).sum()

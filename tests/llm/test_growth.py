@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pickle
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from sitelode.llm import katz, language
+from sitelode.llm import katz, language, quality
 
 
 def test_thousands_of_tags_make_a_small_model(spark):
@@ -52,3 +53,15 @@ def test_arrays_travel_whole():
         for kind in ("u1", "u4", "i8", "u8", "f8"):
             x = np.arange(n).astype(kind)
             assert np.array_equal(katz.expand(katz.squeeze(x), kind), x)
+
+
+def test_the_fit_holds_its_sample_once():
+    rng, each = np.random.default_rng(1), 20_000
+    tracemalloc.start()
+    rows = [(i, i % 2, i // 2 % 4, rng.integers(0, 1 << quality.BITS, each, np.int32), np.full(each, 1 / each, np.float32)) for i in range(400)]
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.reset_peak()
+    assert quality._fitted(rows).rows == 400
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.2 * held
