@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sitelode import catalog_queries, report_queries
 from sitelode.operators import blend, graph
 from sitelode.plans import query_sketches
+from sitelode.shared import small_parts
 from sitelode.sources.page_store import PageStore
 from sitelode.standins import fact
 
@@ -131,3 +132,15 @@ def test_a_store_grows_with_its_table(spark, sf, facts):
         assert files.groupBy("f").agg(F.count_distinct("b").alias("n")).filter("n > 1").count() == 0
     finally:
         made.drop()
+
+
+def test_a_store_is_written_in_parts_of_bounded_size(spark, sf):
+    """Splits and shuffles follow the table while the store is filled, whatever the session has, which gets its own back."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    seen, before = [], [spark.conf.get(n) for n in names]
+    store = catalog_queries.page_store(spark, sf, "parts", lambda s: seen.append([spark.conf.get(n) for n in names]) or s, 10)
+    assert seen == [[str(store.tasks), "8m", "16m"]] and [spark.conf.get(n) for n in names] == before
+    with pytest.raises(ZeroDivisionError), small_parts(spark, 50):
+        assert spark.conf.get(names[0]) == "50"
+        raise ZeroDivisionError
+    assert [spark.conf.get(n) for n in names] == before
