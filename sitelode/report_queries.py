@@ -76,8 +76,9 @@ def a7_queries_from_sketches(spark: SparkSession, sf: str) -> DataFrame:
     site, owner = "https://site-3.example", "owner1"
     at = (spark.sparkContext.applicationId, sf)
     if at not in _SKETCHED:
-        days = scoped_pages(spark, sf).table.filter("source = 'search'")
-        _SKETCHED[at] = stored(query_sketches.sketched_summary(days, ["owner", "site", "page_key"]), "query-sketches", "month_start")
+        store = scoped_pages(spark, sf)
+        summary = query_sketches.sketched_summary(store.table.filter("source = 'search'"), ["owner", "site", "page_key"], tasks=store.tasks)
+        _SKETCHED[at] = stored(summary, "query-sketches", "month_start")
     months = _SKETCHED[at].filter((F.col("site") == site) & (F.col("owner") == owner)).drop("owner", "site")
     days = scoped_pages(spark, sf).daily("search", site, START, END, owner)
     return rounded(query_sketches.report(days, months, START, END, ["page_key"]), "ctr", "position")

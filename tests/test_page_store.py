@@ -144,3 +144,18 @@ def test_a_store_is_written_in_parts_of_bounded_size(spark, sf):
         assert spark.conf.get(names[0]) == "50"
         raise ZeroDivisionError
     assert [spark.conf.get(n) for n in names] == before
+
+
+def test_sketches_are_made_by_many_tasks(spark, store, facts):
+    """As many tasks as asked for, whatever the buckets; a file for each month and hash range, and the same rows."""
+    search = facts[0].filter("page_key <> ''")
+    numbers = spark.range(40).withColumnRenamed("id", "_n")
+    made = PageStore(spark, 2).add_search(search.join(numbers).withColumn("page_key", F.concat("page_key", F.col("_n").cast("string"))).drop("_n"))
+    try:
+        shown = lambda d: sorted(map(str, d.withColumn("queries", F.hll_sketch_estimate("queries")).collect()))
+        plain = query_sketches.sketched_summary(made.table, ["owner", "site", "page_key"])
+        dealt = query_sketches.sketched_summary(made.table, ["owner", "site", "page_key"], tasks=32)
+        used = lambda d: d.select(F.spark_partition_id()).distinct().count()
+        assert shown(dealt) == shown(plain) and used(plain) <= 2 < used(dealt)
+    finally:
+        made.drop()
