@@ -494,3 +494,17 @@ def test_user_sort_falls_back(spark):
     keys_of = lambda **how: [r["page_key"] for r in blend.page_list(rows, **how).collect()]
     assert keys_of(sort="nothing") == ["/c", "/A", "/b"] and keys_of(sort="page", ascending=True) == ["/A", "/b", "/c"] and keys_of(sort="depth") == ["/A", "/c", "/b"]
     assert keys_of(only="noindex", traffic="without") == ["/c", "/b"] and keys_of(only="what", limit=1, offset=1) == ["/A"]
+
+
+def test_pages_are_parsed_once_for_templates_and_repeated_blocks(spark, sf):
+    """Both use what is parsed several times; it is written before, so their plans have no parsing."""
+    from sitelode import catalog_queries
+
+    for name in ("c7_templates", "c7_repeated_blocks"):
+        found = catalog_queries.QUERIES[name](spark, sf)
+        assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    whole = markup.snapshots(spark.read.parquet(f"{sf}/pages.parquet"))
+    part = markup.snapshots(spark.read.parquet(f"{sf}/pages.parquet"), columns=("region_links", "dom"))
+    assert part.columns == ["page_id", "url", "dom", "region_links"]
+    show = lambda d: sorted(map(str, d.select(part.columns).collect()))
+    assert show(part) == show(whole)
