@@ -148,6 +148,25 @@ def test_secret_spans_match_brute_force(spark):
     assert got == {i: brute_spans(t) for i, t in enumerate(SECRETS)}
 
 
+def test_a_scan_cleans_a_text_once(spark, docs):
+    """The sentinels are taken out of a text once, not for each rule's filter and form."""
+    plan = secrets.scan_blobs(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\b(?:translate|replace\(replace)\(", plan)) == 1
+    df = spark.createDataFrame([(1, f"{secrets.OPEN}token=abc{secrets.CLOSE} {secrets.CLOSE}token=abcdefghijklmnop{secrets.OPEN}")], "doc_id long, text string")
+    assert secrets.scan_versions(df)[0].select(secrets.joined(F.col("findings"))).first()[0] == "assign:13:35"
+
+
+@pytest.mark.parametrize("kind, texts", [("assign", ["password", "passwd", "secret", "token", "apikey", "api_key"]), ("bearer", ["ghp", "gho", "ghs", "glpat", "sk", "xoxb", "xoxp"])])
+def test_filters_pass_over_most_places_in_one_step(kind, texts):
+    """A filter begins with a class and not with a choice of words, and passes every text with a match."""
+    rule = next(r for r in secrets.RULES if r.kind == kind)
+    assert rule.needs.startswith("[")
+    for word in texts:
+        found = [f"{w}={'x' * 12}" for w in (word, word.upper(), word.title())] if kind == "assign" else [word + mark + "-" * (23 - len(word)) for mark in "_-"]
+        for text in found:
+            assert re.search(rule.pattern, text, re.A) and re.search(rule.needs, text, re.A) and brute_spans(text)
+
+
 def test_ledger_scans_only_what_is_new(spark, docs):
     _, ledger = secrets.scan_versions(docs)
     assert secrets.scan_blobs(docs, ledger).count() == 0
